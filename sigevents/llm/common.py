@@ -43,3 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+
+#: Ids up to which a list of documents to drop is broadcast; an id has 8 bytes.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``. A short list is broadcast, a longer one joined by shuffle."""
+    ids = stored(ids.select(F.col("doc_id").alias("doc_id")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)

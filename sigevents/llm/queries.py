@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigevents.llm import binary_tokens, decontamination, language_id, toxicity
+from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, mixing, toxicity
 from sigevents.shipping import ship
 
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_table(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_table(table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,9 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_language_id, op7_decontamination, op8_toxicity, op10_token_planes]
+    found = [op1_mixing, op3_ngram_jaccard, op6_language_id, op7_decontamination, op8_toxicity, op10_token_planes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op7_decontamination": decontamination.ORACLE_SQL}
