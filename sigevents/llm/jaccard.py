@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import find_words, lower_ascii, stored
+from sigevents.llm.common import stored
 from sigevents.llm.components import components
 
 WIDTH, PERCENT = 5, 80
@@ -52,30 +52,51 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """Hashes of words already seen; bounded."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mix(np.arange(256, dtype=np.uint64), 11)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BYTE[_SPACE] = 0
+_BASE = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-
-_hashes = _WordHashes()
+@lru_cache(8)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, 2**bits of each."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.array([1], np.uint64)
+        for k in range(bits):
+            p = np.concatenate([p, p * np.uint64(pow(base, 1 << k, 1 << 64))])
+        out.append(p)
+    return out[0], out[1]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words, in order: differences of one running polynomial over the bytes."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    space = _SPACE[raw]
+    power, inverse = _powers(max(12, int(len(raw)).bit_length()))
+    value = _BYTE[raw] * power[: len(raw)]
+    total = np.cumsum(value)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = np.concatenate([np.zeros(not space[0], np.int64), edge, np.full(not space[-1], len(raw), np.int64)])
+    begin, last = edge[::2], edge[1::2] - 1
+    return mix((total[last] - total[begin] + value[begin]) * inverse[begin] + (last - begin).astype(np.uint64))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The document's set, sorted."""
-    words = find_words(lower_ascii(text)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
     n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = mix(h * _ODD[i % 8] + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    h = w[: len(w) - n + 1] * (_ODD[0] + np.uint64(2 * n))
+    for i in range(1, n):
+        h += w[i : len(w) - n + 1 + i] * _ODD[i % 8]
+    h = mix(h)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -104,42 +125,60 @@ def plan(r: int, level: int, percent: int = PERCENT) -> tuple[int, int, int, int
     return k, ceil(cells / 2), 2, 1
 
 
-def _cut(s: np.ndarray, band: int, r: int, level: int, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Signatures of one band and level, which of them are non-empty, elements needed to spoil all of those, k."""
+@lru_cache(256)
+def _names(band: int, level: int, n1: int, subsets: int) -> np.ndarray:
+    """A number for each partition and subset of a band's cut."""
+    at = np.arange(n1 * subsets, dtype=np.uint64) + np.uint64((band * 2 + level) << 40)
+    return mix(at, 5).reshape(n1, subsets)
+
+
+def _cut(s: np.ndarray, mixed: np.ndarray, band: int, r: int, level: int, percent: int) -> tuple[np.ndarray, np.ndarray | None, int, int]:
+    """Signatures with something in them, all signatures, elements needed to spoil the former, k.
+
+    ``s`` is sorted, so the parts of the domain are stretches of it.
+    """
     k, n1, n2, k2 = plan(r, level, percent)
-    x = s if not level else np.sort(mix(s, 7))
-    cell = ((x >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
+    cell = (s >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sums = np.zeros(n1 * n2, np.uint64)
-    sums[cell[starts]] = np.add.reduceat(mix(x, 2 + level), starts)
-    full = np.zeros(n1 * n2, bool)
-    full[cell[starts]] = True
-    sums, full = sums.reshape(n1, n2), full.reshape(n1, n2)
-    spoil = int(np.minimum(full.sum(1), k2 + 1).sum())
-    sigs, some = [], []
-    for j, subset in enumerate(combinations(range(n2), n2 - k2)):
-        part = list(subset)
-        name = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(j + (band * 2 + level) * (1 << 32))
-        sigs.append(mix(sums[:, part].sum(1) + mix(name, 5)))
-        some.append(full[:, part].any(1))
-    return np.concatenate(sigs), np.concatenate(some), spoil, k
+    cells, sums = cell[starts].astype(np.int64), np.add.reduceat(mixed, starts)
+    if n2 - k2 == 1:  # the subsets are the parts themselves
+        names = _names(band, level, n1, n2).ravel()
+        every = None
+        if level:
+            flat = np.zeros(n1 * n2, np.uint64)
+            flat[cells] = sums
+            every = mix(flat + names)
+        spoil = len(cells) if n2 == k2 + 1 else 0
+        return mix(sums + names[cells]), every, spoil, k
+    flat, full = np.zeros(n1 * n2, np.uint64), np.zeros(n1 * n2, bool)
+    flat[cells], full[cells] = sums, True
+    flat, full = flat.reshape(n1, n2), full.reshape(n1, n2)
+    subsets = [list(x) for x in combinations(range(n2), n2 - k2)]
+    names = _names(band, level, n1, len(subsets))
+    every = np.stack([mix(flat[:, x].sum(1) + names[:, j]) for j, x in enumerate(subsets)], 1)
+    some = np.stack([full[:, x].any(1) for x in subsets], 1)
+    return every[some], every.ravel(), int(np.minimum(full.sum(1), k2 + 1).sum()), k
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of a set: those of its band, and of the band below if a linked set can be there."""
     tops = bands(percent)
     own = int(np.searchsorted(tops, len(s)))
+    views = [(s, mix(s, 2))]
     out = []
-    for b in {own, own - 1}:
+    for b in (own, own - 1):
         if b < 0 or (b < own and len(s) * percent > 100 * int(tops[b])):
             continue
         for level in (0, 1):
-            sig, some, spoil, k = _cut(s, b, int(tops[b]), level, percent)
+            if level == len(views):
+                again = np.sort(mix(s, 7))
+                views.append((again, mix(again, 3)))
+            some, every, spoil, k = _cut(*views[level], b, int(tops[b]), level, percent)
             if spoil > k:
-                out.append(sig[some])
+                out.append(some)
                 break
-            out.append(sig[some] if not level else sig)
-    return np.unique(np.concatenate(out))
+            out.append(every if level else some)
+    return np.concatenate(out)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -152,29 +191,17 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node = [], []
-            for t in batch.column("text").to_pylist():
-                s = shingles(t, width)
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-            yield _batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64())})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
-
+PACK = "bucket int, sigs binary, refs binary, nodes binary, sizes binary, ids binary"
 
-PACK = "bucket int, sigs binary, refs binary, nodes binary, sizes binary"
 
+def set_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Sets and signatures of all documents, packed, from one pass over the texts.
 
-def signature_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Signatures packed by bucket: 64-bit hashes, each with its place in a list of nodes and sizes.
-
-    A task sends each node's signatures once for a slice of rows, however many copies it holds.
+    Rows without a bucket hold documents: ids, sizes of their sets, nodes (size 0: no node). Rows
+    with one hold signatures: 64-bit hashes, each with its place in a list of nodes and sizes. A
+    task sends each node's signatures once, however many copies it holds.
     """
+    names = [c.split()[0] for c in PACK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -196,28 +223,47 @@ def signature_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent:
                 kind = np.uint16 if len(used) < 1 << 16 else np.uint32
                 for column, x in zip(out, (b, all_sigs[take].tobytes(), ref.astype(kind).tobytes(), n[used].tobytes(), m[used].tobytes()), strict=True):
                     column.append(x)
-            return _batch({"bucket": pa.array(out[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("sigs", "refs", "nodes", "sizes"), out[1:], strict=True)})
+            return _batch({"bucket": pa.array(out[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(names[1:5], out[1:], strict=True)} | {"ids": pa.nulls(len(out[0]), pa.binary())})
 
         held = 0
         for batch in batches:
+            own_size, own_node = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, width)
-                if not len(s) or (name := node_of(s)) in seen:
+                own_size.append(len(s))
+                own_node.append(name := node_of(s) if len(s) else 0)
+                if not len(s) or name in seen:
                     continue
                 seen.add(name)
                 sigs.append(signatures(s, percent))
                 nodes.append(name)
                 sizes.append(len(s))
                 held += len(sigs[-1])
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield flush()
                     held, sigs, nodes, sizes = 0, [], [], []
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
+            packed = [np.array(own_node, np.int64).tobytes(), np.array(own_size, np.uint32).tobytes(), np.array([i is None for i in batch.column("doc_id").to_pylist()], np.uint8).tobytes() + batch.column("doc_id").fill_null(0).to_numpy().tobytes()]
+            yield _batch({"bucket": pa.nulls(1, pa.int32()), "sigs": pa.nulls(1, pa.binary()), "refs": pa.nulls(1, pa.binary())} | {c: pa.array([x], pa.binary()) for c, x in zip(("nodes", "sizes", "ids"), packed, strict=True)})
         if sigs:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, PACK)
+    return docs.select("doc_id", "text").mapInArrow(run, PACK)
+
+
+def set_table(packs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node (null for empty sets), from the packs' rows of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, sizes, ids in zip(batch.column("nodes"), batch.column("sizes"), batch.column("ids"), strict=True):
+                node, n = np.frombuffer(nodes.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)
+                raw = ids.as_py()
+                void = np.frombuffer(raw, np.uint8, len(n)).astype(bool)
+                yield _batch({"doc_id": pa.array(np.frombuffer(raw[len(n) :], np.int64), mask=void), "n_shingles": pa.array(n), "node": pa.array(node, mask=n == 0)})
+
+    return packs.where("bucket is null").select("nodes", "sizes", "ids").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
 def _runs_of(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -271,7 +317,7 @@ def runs(packs: DataFrame) -> DataFrame:
             sizes.append(m.tobytes())
         yield _batch({"run": pa.array(keys, pa.int64()), "nodes": pa.array(nodes, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
-    found = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, nodes binary, sizes binary")
+    found = packs.where("bucket is not null").drop("ids").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, nodes binary, sizes binary")
     return found.dropDuplicates(["run"])
 
 
@@ -394,11 +440,12 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(set_table(docs, width), "sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(12, ceil(0.7 * total / bucket_signatures))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(12, ceil(size / 9 / bucket_signatures))  # about one signature to nine bytes of text
+    packs = stored(set_packs(docs, buckets, width, percent), "packs")
+    sets = stored(set_table(packs), "sets")
     names = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
-    found = stored(runs(signature_packs(docs, buckets, width, percent)), "runs")
+    found = stored(runs(packs), "runs")
     links = stored(verify(docs, names, star_pairs(found, percent), width, percent), "links")
     labels = stored(components(links), "labels")
     more = stored(verify(docs, names, rest_pairs(found, labels, percent=percent), width, percent), "links")

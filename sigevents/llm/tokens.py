@@ -21,7 +21,7 @@ class WordEncoder:
     Ids are handled as bytes, four for each id, little-endian.
     """
 
-    def __init__(self, name: str, limit: int = 1_500_000):
+    def __init__(self, name: str, limit: int = 800_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tok.get_vocab_size()
@@ -99,7 +99,7 @@ class WordEncoder:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(name: str, limit: int = 1_500_000) -> WordEncoder:
+def encoder(name: str, limit: int = 800_000) -> WordEncoder:
     """One encoder per Python worker, kept from task to task."""
     if (name, limit) not in _encoders:
         _encoders[name, limit] = WordEncoder(name, limit)
