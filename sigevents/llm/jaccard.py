@@ -80,7 +80,7 @@ def word_hashes(text: str) -> np.ndarray:
     value = _BYTE[raw] * power[: len(raw)]
     total = np.cumsum(value)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edge = np.concatenate([np.zeros(not space[0], np.int64), edge, np.full(not space[-1], len(raw), np.int64)])
+    edge = np.concatenate([np.zeros(int(not space[0]), np.int64), edge, np.full(int(not space[-1]), len(raw), np.int64)])
     begin, last = edge[::2], edge[1::2] - 1
     return mix((total[last] - total[begin] + value[begin]) * inverse[begin] + (last - begin).astype(np.uint64))
 
