@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, mixing, toxicity
+from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, main_text, mixing, neighbours, toxicity, url_filter
 from sigevents.shipping import ship
 
 
@@ -23,6 +23,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), ef=120)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_table(table(spark, sf_dir, "documents"))
 
@@ -35,12 +43,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.token_table(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op3_ngram_jaccard, op6_language_id, op7_decontamination, op8_toxicity, op10_token_planes]
+    found = [op1_mixing, op3_ngram_jaccard, op4_nearest_neighbours, op5_main_text, op6_language_id, op7_decontamination, op8_toxicity, op9_url_filter, op10_token_planes]
     return {f.__name__: f for f in found}
 
 
