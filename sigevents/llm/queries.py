@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, main_text, mixing, neighbours, toxicity, url_filter
+from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, language_model, main_text, mixing, neighbours, toxicity, url_filter
 from sigevents.shipping import ship
 
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_table(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op3_ngram_jaccard, op4_nearest_neighbours, op5_main_text, op6_language_id, op7_decontamination, op8_toxicity, op9_url_filter, op10_token_planes]
+    found = [op1_mixing, op2_lm_scores, op3_ngram_jaccard, op4_nearest_neighbours, op5_main_text, op6_language_id, op7_decontamination, op8_toxicity, op9_url_filter, op10_token_planes]
     return {f.__name__: f for f in found}
 
 

@@ -95,6 +95,23 @@ class WordEncoder:
                 out.append(self._ids(t))
         return out
 
+    def encode_words(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words without spaces, every word with a space before it."""
+        if len(self.after) + len(self.bare) > self.limit:
+            self.after.clear()
+            self.bare.clear()
+        new: set[str] = set()
+        for words in lists:
+            new.update(words)
+        self._resolve([w for w in new if w not in self.after], True)
+        get, out = self.after.__getitem__, []
+        for words in lists:
+            try:
+                out.append(b"".join(map(get, words)))
+            except TypeError:  # other white space at a word's edge
+                out.append(b"".join([get(w) or self._ids(" " + w) for w in words]))
+        return out
+
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
