@@ -11,8 +11,10 @@ subsets of n2 - k2 parts are enumerated, and the set's projection onto each subs
 partition in which more than k2 parts differ is lost, but k differing elements cannot spoil all of
 them, so linked sets share a signature. Empty projections, which all sets would share, are left out:
 a set whose non-empty parts cannot be spoiled by k elements needs none (its parts outnumber them).
-The few sets for which that fails use a second, finer cut too, and if that fails as well, all
-signatures of the finer cut, empty ones included. So no link is missed.
+Shingles that very many sets hold (passages that go round) are left out of the first cut, which only
+makes sets more alike. The sets for which the condition then fails, such as those of large families
+of copies, use a cut with all shingles too, if that fails a finer one, and of that all signatures,
+empty ones included. So no link is missed, whatever is left out.
 
 *Candidates.* Equal sets have one node (their hash), so exact copies never meet as pairs. All nodes
 with one signature are a run. First each run's nodes are compared with its least node; then, of the
@@ -116,19 +118,19 @@ def bands(percent: int = PERCENT, most: int = 1 << 26) -> np.ndarray:
 
 @lru_cache(4096)
 def plan(r: int, level: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
-    """k, n1, n2, k2 for a band. Level 1 is the finer cut."""
+    """k, n1, n2, k2 for a band. Level 2 is the finer cut."""
     k = (100 - percent) * r * (100 + percent) // (percent * (100 + percent))  # elements by which linked sets can differ: r and r/0.8 at most
     if not k:
         return 0, 1, 1, 0
     cells = ceil(0.29 * r + 0.8 * sqrt(r)) + 1
-    cells = cells if not level else 2 * cells + 8
+    cells = cells if level < 2 else 2 * cells + 8
     return k, ceil(cells / 2), 2, 1
 
 
 @lru_cache(256)
 def _names(band: int, level: int, n1: int, subsets: int) -> np.ndarray:
     """A number for each partition and subset of a band's cut."""
-    at = np.arange(n1 * subsets, dtype=np.uint64) + np.uint64((band * 2 + level) << 40)
+    at = np.arange(n1 * subsets, dtype=np.uint64) + np.uint64((band * 4 + level) << 40)
     return mix(at, 5).reshape(n1, subsets)
 
 
@@ -138,13 +140,15 @@ def _cut(s: np.ndarray, mixed: np.ndarray, band: int, r: int, level: int, percen
     ``s`` is sorted, so the parts of the domain are stretches of it.
     """
     k, n1, n2, k2 = plan(r, level, percent)
+    if not len(s):
+        return s, None, 0, k
     cell = (s >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     cells, sums = cell[starts].astype(np.int64), np.add.reduceat(mixed, starts)
     if n2 - k2 == 1:  # the subsets are the parts themselves
         names = _names(band, level, n1, n2).ravel()
         every = None
-        if level:
+        if level == 2:
             flat = np.zeros(n1 * n2, np.uint64)
             flat[cells] = sums
             every = mix(flat + names)
@@ -160,24 +164,30 @@ def _cut(s: np.ndarray, mixed: np.ndarray, band: int, r: int, level: int, percen
     return every[some], every.ravel(), int(np.minimum(full.sum(1), k2 + 1).sum()), k
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All signatures of a set: those of its band, and of the band below if a linked set can be there."""
+def signatures(s: np.ndarray, frequent: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
+    """All signatures of a set: those of its band, and of the band below if a linked set can be there.
+
+    ``frequent``: sorted shingles to be left out of the first cut.
+    """
     tops = bands(percent)
     own = int(np.searchsorted(tops, len(s)))
-    views = [(s, mix(s, 2))]
+    rare = s
+    if frequent is not None and len(frequent):
+        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    views = [(rare, mix(rare, 2))]
     out = []
     for b in (own, own - 1):
         if b < 0 or (b < own and len(s) * percent > 100 * int(tops[b])):
             continue
-        for level in (0, 1):
+        for level in (0, 1, 2):
             if level == len(views):
-                again = np.sort(mix(s, 7))
-                views.append((again, mix(again, 3)))
+                again = np.sort(mix(s, 6 + level))
+                views.append((again, mix(again, 2 + level)))
             some, every, spoil, k = _cut(*views[level], b, int(tops[b]), level, percent)
             if spoil > k:
                 out.append(some)
                 break
-            out.append(every if level else some)
+            out.append(every if level == 2 else some)
     return np.concatenate(out)
 
 
@@ -191,10 +201,58 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int = 1_000_000, width: int = WIDTH) -> np.ndarray:
+    """Shingles of at least ``often`` different sets, sorted; the ``bound`` most frequent at most.
+
+    A task counts what it holds and reports shingles from three sets on; reports are summed by
+    bucket. Which shingles are found changes the number of candidates and never a result.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            times = np.diff(np.r_[first, len(x)])
+            x, times = x[first][times > 2], times[times > 2].astype(np.uint32)
+            bucket = (x % np.uint64(buckets)).astype(np.int32)
+            used = np.unique(bucket)
+            return _batch({"bucket": pa.array(used), "x": pa.array([x[bucket == b].tobytes() for b in used], pa.binary()), "n": pa.array([times[bucket == b].tobytes() for b in used], pa.binary())})
+
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                s = shingles(t, width)
+                if len(s) and (name := node_of(s)) not in seen:
+                    seen.add(name)
+                    held.append(s)
+                    n += len(s)
+                if n > 6_000_000:
+                    yield flush()
+                    held, n = [], 0
+                    seen = seen if len(seen) < 500_000 else set()
+        if held:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["n"], np.uint32)) for batch in batches for r in batch.to_pylist()]
+        if x:
+            value, where = np.unique(np.concatenate([v for v, _ in x]), return_inverse=True)
+            times = np.bincount(where, np.concatenate([n for _, n in x]))
+            best = np.argsort(-times, kind="stable")[: bound // buckets + 1]
+            best = best[times[best] >= often]
+            yield _batch({"x": pa.array([value[best].tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(count, "bucket int, x binary, n binary").repartition(buckets, "bucket").mapInArrow(total, "x binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.x, np.uint64) for r in found)]))[:bound]
+
+
 PACK = "bucket int, sigs binary, refs binary, nodes binary, sizes binary, ids binary"
 
 
-def set_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Sets and signatures of all documents, packed, from one pass over the texts.
 
     Rows without a bucket hold documents: ids, sizes of their sets, nodes (size 0: no node). Rows
@@ -202,6 +260,7 @@ def set_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int =
     task sends each node's signatures once, however many copies it holds.
     """
     names = [c.split()[0] for c in PACK.split(", ")]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -235,7 +294,7 @@ def set_packs(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int =
                 if not len(s) or name in seen:
                     continue
                 seen.add(name)
-                sigs.append(signatures(s, percent))
+                sigs.append(signatures(s, shared.value, percent))
                 nodes.append(name)
                 sizes.append(len(s))
                 held += len(sigs[-1])
@@ -383,8 +442,8 @@ def rest_pairs(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000
     return source.mapInArrow(run, "a long, b long").distinct()
 
 
-#: Pairs up to which the rows to be verified are picked by a broadcast join; a pair has 24 bytes.
-BROADCAST_PAIRS = 1_000_000
+#: Pairs up to which the rows to be verified are picked by a broadcast join; a pair takes about 100 bytes.
+BROADCAST_PAIRS = 500_000
 #: Members of one least node that are verified in one go.
 SALT_ROWS = 2_000
 
@@ -399,8 +458,9 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("k"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
     heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
+    few = pairs.count() <= BROADCAST_PAIRS
     need = stored(members.union(heads).join(names, "node").groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "role", "node")).alias("roles")), "need")
-    if need.count() <= BROADCAST_PAIRS:
+    if few:
         need = F.broadcast(need)
     rows = docs.select("doc_id", "text").join(need, "doc_id")
 
@@ -442,7 +502,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, ceil(size / 9 / bucket_signatures))  # about one signature to nine bytes of text
-    packs = stored(set_packs(docs, buckets, width, percent), "packs")
+    frequent = frequent_shingles(docs, min(buckets, 200), width=width)
+    packs = stored(set_packs(docs, buckets, frequent, width, percent), "packs")
     sets = stored(set_table(packs), "sets")
     names = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
     found = stored(runs(packs), "runs")
