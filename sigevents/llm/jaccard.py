@@ -17,10 +17,10 @@ of copies, use a cut with all shingles too, if that fails a finer one, and of th
 empty ones included. So no link is missed, whatever is left out.
 
 *Candidates.* Equal sets have one node (their hash), so exact copies never meet as pairs. All nodes
-with one signature are a run. First each run's nodes are compared with its least node; then, of the
-runs that still have nodes of different components, the pairs of different components. Large
-families of near copies are joined by the first step in linear time; the second one is exact for
-all the rest. Pairs are verified on whole sets, and components are found by star contraction.
+with one signature are a run. First each run's nodes are compared with its hub, the node that shares
+most signatures in all; then, of the runs that still have nodes of different components, the pairs
+of different components. Large families of near copies are joined by the first step in linear time
+(the text that others were copied from is their hub); the second one is exact for all the rest. Pairs are verified on whole sets, and components are found by star contraction.
 
 Documents without words or text link with nothing. Repeated ids: the rows are one document each, but
 share the id; a component's name is its smallest id. An empty table gives an empty table.
@@ -380,20 +380,73 @@ def runs(packs: DataFrame) -> DataFrame:
     return found.dropDuplicates(["run"])
 
 
+#: Nodes whose weights are broadcast to find hubs, 16 bytes each; those of most weight come first.
+HUB_NODES = 1_000_000
+
+
+def hubs_first(found: DataFrame) -> DataFrame:
+    """Runs with their hub in front: the node of most weight, the sum of the sizes of its runs."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs_ = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
+            runs_ = [n for n in runs_ if len(n) > 2]
+            if runs_:
+                node, where = np.unique(np.concatenate(runs_), return_inverse=True)
+                weight = np.bincount(where, np.concatenate([np.full(len(n), len(n) - 1) for n in runs_])).astype(np.int64)
+                yield _batch({"node": pa.array(node), "weight": pa.array(weight)})
+
+    weights = found.select("nodes").mapInArrow(weigh, "node long, weight long").groupBy("node").agg(F.sum("weight").alias("weight"))
+    top = weights.orderBy(F.desc("weight"), "node").limit(HUB_NODES).toPandas().sort_values("node")
+    shared = found.sparkSession.sparkContext.broadcast((top["node"].to_numpy(np.int64), top["weight"].to_numpy(np.int64)))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = shared.value
+        for batch in batches:
+            nodes, sizes = [], []
+            for n_, m_ in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
+                n, m = np.frombuffer(n_.as_py(), np.int64), np.frombuffer(m_.as_py(), np.uint32)
+                if len(n) > 2 and len(known):
+                    at = np.minimum(np.searchsorted(known, n), len(known) - 1)
+                    hub = int(np.where(known[at] == n, weight[at], 0).argmax())
+                    n, m = (np.concatenate([x[hub : hub + 1], np.delete(x, hub)]) for x in (n, m))
+                nodes.append(n.tobytes())
+                sizes.append(m.tobytes())
+            yield _batch({"run": batch.column("run"), "nodes": pa.array(nodes, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
+
+    return found.mapInArrow(order, "run long, nodes binary, sizes binary")
+
+
+def _pair_batches(parts: Iterator[np.ndarray], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs, in batches of about ``most``."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        both = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+        key = mix(both[:, 0].view(np.uint64), 21) ^ mix(both[:, 1].view(np.uint64), 22)
+        both = both[np.unique(key, return_index=True)[1]]
+        return _batch({"a": pa.array(np.ascontiguousarray(both[:, 0])), "b": pa.array(np.ascontiguousarray(both[:, 1]))})
+
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n > most:
+            yield out()
+            held, n = [], 0
+    yield out()
+
+
 def star_pairs(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each run's least node with each other node of a size that can link."""
+    """Each run's hub with each other node of a size that can link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            pairs = []
             for n, m in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
                 n, m = np.frombuffer(n.as_py(), np.int64), np.frombuffer(m.as_py(), np.uint32).astype(np.int64)
                 fit = np.minimum(m[1:], m[0]) * 100 >= np.maximum(m[1:], m[0]) * percent
-                pairs.append(np.stack([np.full(fit.sum(), n[0]), n[1:][fit]], 1))
-            both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            yield _batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+                yield np.stack([np.full(fit.sum(), n[0]), n[1:][fit]], 1)
 
-    return found.select("nodes", "sizes").mapInArrow(run, "a long, b long").distinct()
+    return found.select("nodes", "sizes").mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
 
 
 def rest_pairs(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000, percent: int = PERCENT) -> DataFrame:
@@ -422,24 +475,22 @@ def rest_pairs(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000
         ok = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent)
         return x.join(y, "run").where(ok).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         known, component = shared.value
         for batch in batches:
-            pairs = []
             for n_, m_ in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
                 n, m = np.frombuffer(n_.as_py(), np.int64), np.frombuffer(m_.as_py(), np.uint32).astype(np.int64)
                 at = np.minimum(np.searchsorted(known, n), max(0, len(known) - 1))
                 label = np.where(known[at] == n, component[at], n) if len(known) else n
                 if label.min() == label.max():
                     continue
-                for i in range(len(n) - 1):
+                for i in range(1, len(n) - 1):  # the hub's pairs were compared already
                     fit = (label[i + 1 :] != label[i]) & (np.minimum(m[i + 1 :], m[i]) * 100 >= np.maximum(m[i + 1 :], m[i]) * percent)
-                    if i and fit.any():  # the least node's pairs were compared already
-                        pairs.append(np.stack([np.full(fit.sum(), n[i]), n[i + 1 :][fit]], 1))
-            both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            yield _batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+                    if fit.any():
+                        rest = n[i + 1 :][fit]
+                        yield np.stack([np.minimum(rest, n[i]), np.maximum(rest, n[i])], 1)
 
-    return source.mapInArrow(run, "a long, b long").distinct()
+    return source.mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
 
 
 #: Pairs up to which the rows to be verified are picked by a broadcast join; a pair takes about 100 bytes.
@@ -506,7 +557,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     packs = stored(set_packs(docs, buckets, frequent, width, percent), "packs")
     sets = stored(set_table(packs), "sets")
     names = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
-    found = stored(runs(packs), "runs")
+    found = stored(hubs_first(stored(runs(packs), "runs")), "hubs")
     links = stored(verify(docs, names, star_pairs(found, percent), width, percent), "links")
     labels = stored(components(links), "labels")
     more = stored(verify(docs, names, rest_pairs(found, labels, percent=percent), width, percent), "links")
