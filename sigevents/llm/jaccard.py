@@ -19,8 +19,11 @@ empty ones included. So no link is missed, whatever is left out.
 *Candidates.* Equal sets have one node (their hash), so exact copies never meet as pairs. All nodes
 with one signature are a run. First each run's nodes are compared with its hub, the node that shares
 most signatures in all; then, of the runs that still have nodes of different components, the pairs
-of different components. Large families of near copies are joined by the first step in linear time
-(the text that others were copied from is their hub); the second one is exact for all the rest. Pairs are verified on whole sets, and components are found by star contraction.
+of different components whose sketches are near enough. Large families of near copies are joined by
+the first step in linear time (the text that others were copied from is their hub); the second one is
+exact for all the rest: a sketch has the parity of the set's elements in each of 1024 stretches of
+the domain, so that sets differ in at least as many elements as their sketches in bits. Pairs are
+verified on whole sets, and components are found by star contraction.
 
 Documents without words or text link with nothing. Repeated ids: the rows are one document each, but
 share the id; a component's name is its smallest id. An empty table gives an empty table.
@@ -62,7 +65,7 @@ _BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(8)
+@lru_cache(1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, 2**bits of each."""
     out = []
@@ -74,11 +77,14 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words, in order: differences of one running polynomial over the bytes."""
-    raw = np.frombuffer(text.encode(), np.uint8)
+#: Bytes hashed at once, as a power of two; longer words are hashed alone.
+CHUNK_BITS = 15
+
+
+def _chunk_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the words of some bytes, in order: differences of one running polynomial over the bytes."""
     space = _SPACE[raw]
-    power, inverse = _powers(max(12, int(len(raw)).bit_length()))
+    power, inverse = _powers(CHUNK_BITS) if len(raw) <= 1 << CHUNK_BITS else _powers.__wrapped__(len(raw).bit_length())
     value = _BYTE[raw] * power[: len(raw)]
     total = np.cumsum(value)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -87,6 +93,23 @@ def word_hashes(text: str) -> np.ndarray:
     return mix((total[last] - total[begin] + value[begin]) * inverse[begin] + (last - begin).astype(np.uint64))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words, in order. A long text is hashed in chunks that end at white space."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    out, begin = [], 0
+    while begin < len(raw):
+        end = begin + (1 << CHUNK_BITS)
+        if end < len(raw):
+            gaps = np.flatnonzero(_SPACE[raw[begin:end]])
+            while not len(gaps) and end < len(raw):  # a word longer than a chunk
+                end += end - begin
+                gaps = np.flatnonzero(_SPACE[raw[begin:end]])
+            end = begin + int(gaps[-1]) + 1 if len(gaps) else len(raw)
+        out.append(_chunk_hashes(raw[begin:end]))
+        begin = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The document's set, sorted."""
     w = word_hashes(text) if text else np.zeros(0, np.uint64)
@@ -229,7 +252,7 @@ def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int
                     seen.add(name)
                     held.append(s)
                     n += len(s)
-                if n > 6_000_000:
+                if n > 3_000_000:
                     yield flush()
                     held, n = [], 0
                     seen = seen if len(seen) < 500_000 else set()
@@ -298,7 +321,7 @@ def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int =
                 nodes.append(name)
                 sizes.append(len(s))
                 held += len(sigs[-1])
-                if held > 1_500_000:
+                if held > 700_000:
                     yield flush()
                     held, sigs, nodes, sizes = 0, [], [], []
                     if len(seen) > 500_000:
@@ -359,7 +382,8 @@ def runs(packs: DataFrame) -> DataFrame:
         # the partition is sorted by bucket: one bucket is held at a time
         bucket, held = None, []
         for batch in rows:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if row["bucket"] != bucket and held:
                     yield from pack(held)
                     held = []
@@ -449,48 +473,118 @@ def star_pairs(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.select("nodes", "sizes").mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
 
 
-def rest_pairs(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000, percent: int = PERCENT) -> DataFrame:
-    """Pairs of nodes of one run that are of different components and of sizes that can link.
+#: Bits of a node's sketch, and the nodes of a run that one task compares with all of the run.
+SKETCH_BITS, RUN_BLOCK = 1024, 20_000
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS stretches of the domain, whether the set has an odd number of elements there.
+
+    Each bit in which two sketches differ takes an element that only one of the sets has.
+    """
+    odd = np.bincount((s >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def mixed_rows(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000) -> DataFrame:
+    """run, n, node, size, component of the nodes of each run of three or more that has nodes of different components.
 
     ``labels``: node, component for nodes that have one. Up to ``label_bound`` of them are
-    broadcast; beyond that they are joined to the runs' nodes and each run is put together again.
+    broadcast; beyond that they are joined to the runs' nodes.
     """
-    spark, n = found.sparkSession, labels.count()
-    if n <= label_bound:
-        got = labels.toPandas().sort_values("node")
-        shared = spark.sparkContext.broadcast((got["node"].to_numpy(np.int64), got["component"].to_numpy(np.int64)))
-        source = found.select("nodes", "sizes")
-    else:
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for key, n_, m_ in zip(batch.column("run"), batch.column("nodes"), batch.column("sizes"), strict=True):
-                    nodes = np.frombuffer(n_.as_py(), np.int64)
-                    yield _batch({"run": pa.array([key.as_py()] * len(nodes), pa.int64()), "node": pa.array(nodes), "size": pa.array(np.frombuffer(m_.as_py(), np.uint32).astype(np.int64))})
-
-        flat = found.mapInArrow(unpack, "run long, node long, size long").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = flat.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("run")
-        x = flat.join(mixed, "run")
-        y = x.select("run", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
-        ok = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent)
-        return x.join(y, "run").where(ok).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    spark, few = found.sparkSession, labels.count() <= label_bound
+    got = labels.toPandas().sort_values("node") if few else None
+    shared = spark.sparkContext.broadcast((got["node"].to_numpy(np.int64), got["component"].to_numpy(np.int64)) if few else None)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        known, component = shared.value
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            for n_, m_ in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
-                n, m = np.frombuffer(n_.as_py(), np.int64), np.frombuffer(m_.as_py(), np.uint32).astype(np.int64)
-                at = np.minimum(np.searchsorted(known, n), max(0, len(known) - 1))
-                label = np.where(known[at] == n, component[at], n) if len(known) else n
-                if label.min() == label.max():
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for key, n_, m_ in zip(batch.column("run").to_pylist(), batch.column("nodes"), batch.column("sizes"), strict=True):
+                n, label = np.frombuffer(n_.as_py(), np.int64), None
+                if len(n) < 3:  # the hub and the other were compared already
                     continue
-                for i in range(1, len(n) - 1):  # the hub's pairs were compared already
-                    fit = (label[i + 1 :] != label[i]) & (np.minimum(m[i + 1 :], m[i]) * 100 >= np.maximum(m[i + 1 :], m[i]) * percent)
-                    if fit.any():
-                        rest = n[i + 1 :][fit]
-                        yield np.stack([np.minimum(rest, n[i]), np.maximum(rest, n[i])], 1)
+                label = n
+                if known is not None:
+                    if len(known[0]):
+                        at = np.minimum(np.searchsorted(known[0], n), len(known[0]) - 1)
+                        label = np.where(known[0][at] == n, known[1][at], n)
+                    if label.min() == label.max():
+                        continue
+                for column, x in zip(out, (np.full(len(n), key), np.full(len(n), len(n)), n, np.frombuffer(m_.as_py(), np.uint32).astype(np.int64), label), strict=True):
+                    column.append(x)
+            if out[0]:
+                yield _batch({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("run", "n", "node", "size", "component"), out, strict=True)})
+
+    flat = found.mapInArrow(unpack, "run long, n long, node long, size long, component long")
+    if few:
+        return flat
+    flat = flat.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = flat.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("run")
+    return flat.join(mixed, "run").select("run", "n", "node", "size", "component")
+
+
+def sketches(docs: DataFrame, names: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, sketch of the nodes of a table."""
+    need = stored(nodes.select("node").distinct().join(names, "node").select("doc_id").distinct(), "need")
+    if need.count() <= BROADCAST_PAIRS:
+        need = F.broadcast(need)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for s in (shingles(t, width) for t in batch.column("text").to_pylist()) if len(s)]
+            yield _batch({"node": pa.array([node_of(s) for s in found], pa.int64()), "sketch": pa.array([sketch(s) for s in found], pa.binary())})
+
+    return docs.join(need, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, sketch binary").dropDuplicates(["node"])
+
 
-    return source.mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
+def rest_pairs(docs: DataFrame, names: DataFrame, found: DataFrame, labels: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Pairs of nodes of one run that are of different components and that sizes and sketches let link.
+
+    A long run is dealt to several tasks, each of which compares RUN_BLOCK of its nodes with all.
+    Pairs whose sketches differ in more bits than linked sets have differing elements are left out
+    where they are made, so what is sent on is near the pairs that link.
+    """
+    flat = stored(mixed_rows(found, labels), "mixed")
+    flat = flat.join(sketches(docs, names, flat, width), "node")
+    flat = flat.withColumn("parts", F.ceil(F.col("n") / RUN_BLOCK).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    flat = flat.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
+
+    def compare(rows: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        node, size, label, mine = (np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows]) for c in ("node", "size", "component", "mine"))
+        bits = np.frombuffer(b"".join(x for r in rows for x in r.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        own = np.flatnonzero(mine)
+        step = max(1, 200_000 // len(node))
+        for at in range(0, len(own), step):
+            i = own[at : at + step]
+            apart = np.zeros((len(i), len(node)), np.int64)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[i, k, None] ^ bits[:, k])
+            both = size[i, None] + size
+            fit = (apart * (100 + percent) <= both * (100 - percent)) & (label[i, None] != label) & (node[i, None] < node)
+            fit &= np.minimum(size[i, None], size) * 100 >= np.maximum(size[i, None], size) * percent
+            x, y = np.nonzero(fit)
+            yield np.stack([node[i[x]], node[y]], 1)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        # sorted by run and part: one of them is held at a time
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("run", "part")], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if last != (now := tuple(key[b].tolist())) and held:
+                    yield from compare(held)
+                    held = []
+                last = now
+                held.append(batch.slice(b, e - b))
+        if held:
+            yield from compare(held)
+
+    dealt = flat.repartition("run", "part").sortWithinPartitions("run", "part").select("run", "part", "node", "size", "component", "mine", "sketch")
+    return dealt.mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
 
 
 #: Pairs up to which the rows to be verified are picked by a broadcast join; a pair takes about 100 bytes.
@@ -519,8 +613,11 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
         for batch in batches:
             a, salt, role, node, raw = [], [], [], [], []
             for t, roles in zip(batch.column("text").to_pylist(), batch.column("roles").to_pylist(), strict=True):
-                s = shingles(t, width).tobytes()
+                s = shingles(t, width)
+                name, s = node_of(s), s.tobytes()
                 for r in roles:
+                    if r["node"] != name:  # another text of the same id
+                        continue
                     a.append(r["a"])
                     salt.append(r["salt"])
                     role.append(r["role"])
@@ -548,7 +645,7 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
     return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 1_500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 700_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -560,7 +657,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = stored(hubs_first(stored(runs(packs), "runs")), "hubs")
     links = stored(verify(docs, names, star_pairs(found, percent), width, percent), "links")
     labels = stored(components(links), "labels")
-    more = stored(verify(docs, names, rest_pairs(found, labels, percent=percent), width, percent), "links")
+    more = stored(verify(docs, names, rest_pairs(docs, names, found, labels, width, percent), width, percent), "links")
     if more.limit(1).count():
         labels = stored(components(links.union(more)), "labels")
     # a component's name: the smallest id of its nodes' smallest ids
