@@ -82,6 +82,51 @@ def test_signatures_miss_nothing():
     assert n > 100
 
 
+def test_long_texts_hash_like_their_parts():
+    r = random.Random(5)
+    words = [r.choice(["é", "Ab", "x" * 9, "z" * 40_000]) for _ in range(40)] + [f"w{i}" for i in range(30_000)]
+    got = jaccard.word_hashes("\n".join(words))
+    assert got.tolist() == [int(jaccard.word_hashes(w)[0]) for w in words]
+
+
+def test_sketches_never_part_linked_sets():
+    r = np.random.default_rng(3)
+    for size in (1, 6, 50, 146, 3000):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 2**63, size // 10 + 1, dtype=np.uint64)]))
+            x, y = (np.frombuffer(jaccard.sketch(s), np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_rest_pairs_keep_every_link(spark, monkeypatch):
+    """One run of edited copies, no component known: all links stay, however the run is dealt."""
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(30):
+        words = list(base)
+        for at in r.sample(range(150), 3):
+            words[at] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    s = {i: jaccard.shingles(t) for i, t in rows}
+    node = {jaccard.node_of(x): i for i, x in s.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame(list(node.items()), "node long, doc_id long")
+    n = np.array(list(node), np.int64)
+    sizes = np.array([len(s[node[int(x)]]) for x in n], np.uint32)
+    found = spark.createDataFrame([(1, n.tobytes(), sizes.tobytes())], "run long, nodes binary, sizes binary")
+    links = {(a, b) for a in s for b in s if a < b and jaccard.linked(s[a], s[b])}
+    for block, bound in ((20_000, 2_000_000), (7, -1)):
+        monkeypatch.setattr(jaccard, "RUN_BLOCK", block)
+        rows_of = jaccard.mixed_rows
+        monkeypatch.setattr(jaccard, "mixed_rows", lambda f, k, rows_of=rows_of, bound=bound: rows_of(f, k, bound))
+        pairs = jaccard.rest_pairs(docs, names, found, spark.createDataFrame([], "node long, component long"))
+        got = {tuple(sorted((node[x.a], node[x.b]))) for x in pairs.collect()}
+        monkeypatch.undo()
+        assert links and links <= got and len(got) < 435
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150)] + [(-5, 7000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
