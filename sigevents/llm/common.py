@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,9 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, when all that was made of them is stored too.
+
+    The collection on the driver lets Spark delete the shuffle files of jobs that have ended.
+    """
+    gc.collect()
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
 
 #: Ids up to which a list of documents to drop is broadcast; an id has 8 bytes.
 BROADCAST_IDS = 2_000_000

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import stored
+from sigevents.llm.common import discard, stored
 from sigevents.llm.components import components
 
 WIDTH, PERCENT = 5, 80
@@ -224,12 +224,20 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int = 1_000_000, width: int = WIDTH) -> np.ndarray:
-    """Shingles of at least ``often`` different sets, sorted; the ``bound`` most frequent at most.
+COUNTS = "bucket int, x binary, n binary, nodes binary, sizes binary, ids binary"
+
+
+def counted_sets(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
+    """Documents and shingle counts, packed, from one pass over the texts.
 
-    A task counts what it holds and reports shingles from three sets on; reports are summed by
-    bucket. Which shingles are found changes the number of candidates and never a result.
+    Rows without a bucket hold documents: ids, sizes of their sets, nodes (size 0: no node). Rows
+    with one hold shingles that at least three different sets of a task have, and how many do.
     """
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+
+    def rows(columns: dict[str, list]) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return _batch({c: pa.array(columns.get(c, [None] * n), pa.int32() if c == "bucket" else pa.binary()) for c in names})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -242,13 +250,16 @@ def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int
             times = np.diff(np.r_[first, len(x)])
             x, times = x[first][times > 2], times[times > 2].astype(np.uint32)
             bucket = (x % np.uint64(buckets)).astype(np.int32)
-            used = np.unique(bucket)
-            return _batch({"bucket": pa.array(used), "x": pa.array([x[bucket == b].tobytes() for b in used], pa.binary()), "n": pa.array([times[bucket == b].tobytes() for b in used], pa.binary())})
+            used = np.unique(bucket).tolist()
+            return rows({"bucket": used, "x": [x[bucket == b].tobytes() for b in used], "n": [times[bucket == b].tobytes() for b in used]})
 
         for batch in batches:
+            own_size, own_node = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, width)
-                if len(s) and (name := node_of(s)) not in seen:
+                own_size.append(len(s))
+                own_node.append(name := node_of(s) if len(s) else 0)
+                if len(s) and name not in seen:
                     seen.add(name)
                     held.append(s)
                     n += len(s)
@@ -256,9 +267,22 @@ def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int
                     yield flush()
                     held, n = [], 0
                     seen = seen if len(seen) < 500_000 else set()
+            ids = batch.column("doc_id")
+            void = np.array([i is None for i in ids.to_pylist()], np.uint8).tobytes()
+            yield rows({"nodes": [np.array(own_node, np.int64).tobytes()], "sizes": [np.array(own_size, np.uint32).tobytes()], "ids": [void + ids.fill_null(0).to_numpy().tobytes()]})
         if held:
             yield flush()
 
+    return docs.select("doc_id", "text").mapInArrow(count, COUNTS)
+
+
+def frequent_shingles(counted: DataFrame, buckets: int, often: int = 64, bound: int = 1_000_000) -> np.ndarray:
+    """Shingles of at least ``often`` different sets, sorted; the ``bound`` most frequent at most.
+
+    The tasks' counts are summed by bucket. Which shingles are found changes the number of
+    candidates and never a result.
+    """
+
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = [(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["n"], np.uint32)) for batch in batches for r in batch.to_pylist()]
         if x:
@@ -268,21 +292,20 @@ def frequent_shingles(docs: DataFrame, buckets: int, often: int = 64, bound: int
             best = best[times[best] >= often]
             yield _batch({"x": pa.array([value[best].tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(count, "bucket int, x binary, n binary").repartition(buckets, "bucket").mapInArrow(total, "x binary").collect()
+    found = counted.where("bucket is not null").select("bucket", "x", "n").repartition(buckets, "bucket").mapInArrow(total, "x binary").collect()
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.x, np.uint64) for r in found)]))[:bound]
 
 
-PACK = "bucket int, sigs binary, refs binary, nodes binary, sizes binary, ids binary"
+PACK = "bucket int, sigs binary, nodes binary, sizes binary"
 
 
 def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Sets and signatures of all documents, packed, from one pass over the texts.
+    """Signatures of all sets by bucket, packed, each with its node and the size of its set.
 
-    Rows without a bucket hold documents: ids, sizes of their sets, nodes (size 0: no node). Rows
-    with one hold signatures: 64-bit hashes, each with its place in a list of nodes and sizes. A
-    task sends each node's signatures once, however many copies it holds.
+    Of a signature, the bucket and 40 bits more are kept. Buckets hold about as many signatures at
+    any size of the input, so that few of these agree by chance, which adds candidates and loses no
+    link. A task sends each node's signatures once, however many copies it holds.
     """
-    names = [c.split()[0] for c in PACK.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,29 +315,26 @@ def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int =
         sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            all_sigs = np.concatenate(sigs)
-            refs = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(x) for x in sigs])
-            bucket = (all_sigs % np.uint64(buckets)).astype(np.int32)
+            whole = np.concatenate(sigs)
+            of = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(x) for x in sigs])
+            bucket = (whole % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             n, m = np.array(nodes, np.int64), np.array(sizes, np.uint32)
-            out: list[list] = [[], [], [], [], []]
+            m = m if m.max() >> 16 else m.astype(np.uint16)
+            low, high = (whole // np.uint64(buckets)).astype(np.uint32), (whole // np.uint64(buckets) >> np.uint64(32)).astype(np.uint8)
+            out: list[list] = [[], [], [], []]
             for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
                 take = order[ends[b] : ends[b + 1]]
-                used, ref = np.unique(refs[take], return_inverse=True)
-                kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-                for column, x in zip(out, (b, all_sigs[take].tobytes(), ref.astype(kind).tobytes(), n[used].tobytes(), m[used].tobytes()), strict=True):
+                for column, x in zip(out, (b, low[take].tobytes() + high[take].tobytes(), n[of[take]].tobytes(), m[of[take]].tobytes()), strict=True):
                     column.append(x)
-            return _batch({"bucket": pa.array(out[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(names[1:5], out[1:], strict=True)} | {"ids": pa.nulls(len(out[0]), pa.binary())})
+            return _batch({"bucket": pa.array(out[0], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("sigs", "nodes", "sizes"), out[1:], strict=True)})
 
         held = 0
         for batch in batches:
-            own_size, own_node = [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, width)
-                own_size.append(len(s))
-                own_node.append(name := node_of(s) if len(s) else 0)
-                if not len(s) or name in seen:
+                if not len(s) or (name := node_of(s)) in seen:
                     continue
                 seen.add(name)
                 sigs.append(signatures(s, shared.value, percent))
@@ -326,16 +346,14 @@ def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int =
                     held, sigs, nodes, sizes = 0, [], [], []
                     if len(seen) > 500_000:
                         seen.clear()
-            packed = [np.array(own_node, np.int64).tobytes(), np.array(own_size, np.uint32).tobytes(), np.array([i is None for i in batch.column("doc_id").to_pylist()], np.uint8).tobytes() + batch.column("doc_id").fill_null(0).to_numpy().tobytes()]
-            yield _batch({"bucket": pa.nulls(1, pa.int32()), "sigs": pa.nulls(1, pa.binary()), "refs": pa.nulls(1, pa.binary())} | {c: pa.array([x], pa.binary()) for c, x in zip(("nodes", "sizes", "ids"), packed, strict=True)})
         if sigs:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACK)
+    return docs.select("text").mapInArrow(run, PACK)
 
 
-def set_table(packs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), from the packs' rows of documents."""
+def set_table(counted: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node (null for empty sets), from the rows of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,19 +363,20 @@ def set_table(packs: DataFrame) -> DataFrame:
                 void = np.frombuffer(raw, np.uint8, len(n)).astype(bool)
                 yield _batch({"doc_id": pa.array(np.frombuffer(raw[len(n) :], np.int64), mask=void), "n_shingles": pa.array(n), "node": pa.array(node, mask=n == 0)})
 
-    return packs.where("bucket is null").select("nodes", "sizes", "ids").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return counted.where("bucket is null").select("nodes", "sizes", "ids").mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+
+def _signatures_of(raw: bytes, n: int) -> np.ndarray:
+    """The 40 bits of each of ``n`` signatures: the low four bytes of all, then the high ones."""
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def _runs_of(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Nodes and sizes of each distinct run of a bucket: nodes, in order, that share a signature."""
-    sigs = np.concatenate([np.frombuffer(r["sigs"], np.uint64) for r in rows])
-    nodes, sizes = [], []
-    for r in rows:
-        own = np.frombuffer(r["nodes"], np.int64)
-        ref = np.frombuffer(r["refs"], np.uint16 if len(own) < 1 << 16 else np.uint32)
-        nodes.append(own[ref])
-        sizes.append(np.frombuffer(r["sizes"], np.uint32)[ref])
-    nodes, sizes = np.concatenate(nodes), np.concatenate(sizes)
+    nodes = [np.frombuffer(r["nodes"], np.int64) for r in rows]
+    sigs = np.concatenate([_signatures_of(r["sigs"], len(n)) for r, n in zip(rows, nodes, strict=True)])
+    sizes = np.concatenate([np.frombuffer(r["sizes"], f"<u{len(r['sizes']) // len(n)}").astype(np.uint32) for r, n in zip(rows, nodes, strict=True)])
+    nodes = np.concatenate(nodes)
     order = np.argsort(sigs, kind="stable")
     sigs = sigs[order]
     again = np.r_[False, sigs[1:] == sigs[:-1]]
@@ -400,7 +419,7 @@ def runs(packs: DataFrame) -> DataFrame:
             sizes.append(m.tobytes())
         yield _batch({"run": pa.array(keys, pa.int64()), "nodes": pa.array(nodes, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
-    found = packs.where("bucket is not null").drop("ids").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, nodes binary, sizes binary")
+    found = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, nodes binary, sizes binary")
     return found.dropDuplicates(["run"])
 
 
@@ -650,11 +669,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, ceil(size / 9 / bucket_signatures))  # about one signature to nine bytes of text
-    frequent = frequent_shingles(docs, min(buckets, 200), width=width)
-    packs = stored(set_packs(docs, buckets, frequent, width, percent), "packs")
-    sets = stored(set_table(packs), "sets")
+    counted = stored(counted_sets(docs, min(buckets, 200), width), "counts")
+    frequent = frequent_shingles(counted, min(buckets, 200))
+    sets = stored(set_table(counted), "sets")
+    discard(counted)
     names = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
-    found = stored(hubs_first(stored(runs(packs), "runs")), "hubs")
+    unordered = stored(runs(set_packs(docs, buckets, frequent, width, percent)), "runs")
+    found = stored(hubs_first(unordered), "hubs")
+    discard(unordered)
     links = stored(verify(docs, names, star_pairs(found, percent), width, percent), "links")
     labels = stored(components(links), "labels")
     more = stored(verify(docs, names, rest_pairs(docs, names, found, labels, width, percent), width, percent), "links")
