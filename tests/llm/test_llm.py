@@ -291,6 +291,15 @@ def test_language_model(docs, rows):
             assert np.isfinite(r.score) and r.score < 0
 
 
+def test_class_counts_hold_all_words(docs, rows):
+    learned = [r[1] or "" for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    seen = Counter(i for raw in WordEncoder(NAME).encode_words([find_words(lower_ascii(t)) for t in learned]) for i in np.frombuffer(raw, "<u4").tolist())
+    got = language_model.id_counts(language_model.count_words(docs.where(~language_model.held_out())), NAME)
+    assert {int(i): int(got[i]) for i in np.nonzero(got)[0]} == seen
+    scores = [{r.doc_id: r.score for r in language_model.score_documents(docs, top_words=top, steps=2).collect()} for top in (200_000, 5)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4)  # whatever is broadcast
+
+
 def test_windows_score_each_id_once():
     lengths = np.array([1, 5, 31, 32, 33, 56, 57, 100])
     seq, first, skip = language_model.windows(lengths)
