@@ -300,6 +300,35 @@ def test_class_counts_hold_all_words(docs, rows):
     assert scores[0] == pytest.approx(scores[1], rel=1e-4)  # whatever is broadcast
 
 
+def test_training_takes_all_of_each_text(spark):
+    texts = [" ".join(f"w{i % 90}" for i in range(3000)), "one two", "", None, "one two"]
+    ids = [np.frombuffer(x, "<u4") for x in WordEncoder(NAME).encode_words([find_words(t or "") for t in texts])]
+    cls = np.arange(60_000) % 127
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    rows = language_model.training_windows(docs, cls, NAME, 7).collect()
+    got = [language_model.unpacked(bytes(r.windows)) for r in rows]
+    given, target = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+    pairs = Counter(p for x in ids for p in zip([127, *cls[x].tolist()], [*cls[x].tolist(), 127]))
+    assert Counter(zip(given[target >= 0].tolist(), target[target >= 0].tolist())) == pairs
+    assert {r["round"] for r in rows} == set(range(7))
+    net = language_model.Attention(128)
+    sums = [language_model.summed_gradient(spark.createDataFrame(rows).repartition(k), net) for k in (1, 3)]
+    assert sums[0][1] == sums[1][1] == sum(map(len, ids)) + len(texts)
+    for k in net.w:  # whatever the number of tasks
+        assert np.allclose(sums[0][0][k], sums[1][0][k], atol=1e-2, rtol=1e-4)
+
+    def loss(name, at, by):
+        w = language_model.Attention(128)
+        w.w[name].flat[at] += by
+        z = w.attend(given)[-1] @ w.w["U"] + w.w["b"]
+        z = z.astype(float) - np.log(np.exp(z.astype(float)).sum(2, keepdims=True))
+        return -np.take_along_axis(z, np.maximum(target, 0)[..., None], 2)[..., 0][target >= 0].sum()
+
+    for name in net.w:
+        at = int(np.abs(sums[0][0][name]).argmax())
+        assert (loss(name, at, 1e-2) - loss(name, at, -1e-2)) / 2e-2 == pytest.approx(sums[0][0][name].flat[at], rel=0.05)
+
+
 def test_windows_score_each_id_once():
     lengths = np.array([1, 5, 31, 32, 33, 56, 57, 100])
     seq, first, skip = language_model.windows(lengths)
