@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, mixing
-from sigevents.llm.common import scratch_path, without
+from sigevents.llm.common import keyed, scratch_path, without
 from sigevents.shipping import ship
 
 
@@ -18,15 +18,17 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id, and of rows that repeat it one."""
     ship(spark)
-    return without(docs, jaccard.near_duplicates(docs).where("component_id <> doc_id"))
+    docs = keyed(docs)
+    return without(docs, jaccard.spare_rows(docs))
 
 
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item's window."""
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = keyed(docs)
     return without(docs, decontamination.contamination(docs, benchmark).where("n_hit > 0"))
 
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +61,34 @@ def discard(*tables: DataFrame) -> None:
         jvm.System.gc()
 
 
-#: Ids up to which a list of documents to drop is broadcast; an id has 8 bytes.
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (or all) of ``docs`` with ``_row``, a long of each row's own that stays the same however often the table is read.
+
+    A table that is read from files is keyed by file and place in it; any other one is written first.
+    """
+    columns = columns or docs.columns
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not {"file_path", "row_index"} <= _hidden(docs):
+        return stored(docs.select(*columns, F.monotonically_increasing_id().alias("_row")), "keyed")
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    with_file = docs.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return with_file.join(F.broadcast(number), "_path").select(*columns, (F.col("_file") * (1 << 40) + F.col("_at")).alias("_row"))
+
+
+def _hidden(docs: DataFrame) -> set[str]:
+    try:
+        return set(docs.select("_metadata.*").columns)
+    except AnalysisException:
+        return set()
+
+
+#: Rows up to which a list of rows to drop is broadcast; a key has 8 bytes.
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``. A short list is broadcast, a longer one joined by shuffle."""
-    ids = stored(ids.select(F.col("doc_id").alias("doc_id")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keyed ``docs`` without the rows whose ``_row`` is in ``rows``, and without the key. A short list is broadcast, a longer one joined by shuffle."""
+    rows = stored(rows.select("_row"), "rows")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, "_row", "left_anti").drop("_row")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import lower_ascii
+from sigevents.llm.common import keyed, lower_ascii
 
 #: Digits, a-z and everything beyond ASCII.
 find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -91,8 +91,9 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items that occur; one row for each row of ``docs``."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, n_words, spans of hit words, items that occur; one row for each row of ``docs``, with its key if it was given one."""
+    given = "_row" in docs.columns
+    docs = (docs if given else keyed(docs, "doc_id", "text")).select("_row", "doc_id", F.col("text").cast("string").alias("text"))
     spark, out, n_blocks = docs.sparkSession, None, 0
     for block in _blocks(benchmark, window, block_windows):
         if not block and n_blocks:
@@ -109,16 +110,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     n_words.append(len(words))
                     spans.append([x for m in re.finditer(b"\1+", hit) for x in m.span()] if found else [])
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["_row", "doc_id", "n_words", "spans", "items"])
 
-        found = docs.mapInArrow(search, "doc_id long, n_words long, spans array<int>, items array<long>")
-        if n_blocks:  # another block's hits join the first one's, by document
-            more = found.where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select("doc_id", F.col("spans").alias("s2"), F.col("items").alias("i2"))
+        found = docs.mapInArrow(search, "_row long, doc_id long, n_words long, spans array<int>, items array<long>")
+        if n_blocks:  # another block's hits join the first one's, by row
+            more = found.where(F.size("spans") > 0).select("_row", F.col("spans").alias("s2"), F.col("items").alias("i2"))
             none = F.array().cast("array<int>")
-            out = out.join(more, "doc_id", "left").select("doc_id", "n_words", F.concat("spans", F.coalesce("s2", none)).alias("spans"), F.array_distinct(F.concat("items", F.coalesce("i2", none.cast("array<long>")))).alias("items"))
+            out = out.join(more, "_row", "left").select("_row", "doc_id", "n_words", F.concat("spans", F.coalesce("s2", none)).alias("spans"), F.array_distinct(F.concat("items", F.coalesce("i2", none.cast("array<long>")))).alias("items"))
         else:
             out = found
         n_blocks += 1
+    out = out if given else out.drop("_row")
     if n_blocks < 2:
         return out.withColumn("n_hit", F.aggregate(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int")), F.lit(0).cast("long"), lambda a, k: a + F.coalesce(F.get("spans", 2 * k + 1) - F.get("spans", 2 * k), F.lit(0))))
     inside = F.array_distinct(F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda k: k % 2 == 0), lambda k: F.sequence(F.get("spans", k), F.get("spans", k + 1) - 1))))

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import discard, stored
+from sigevents.llm.common import discard, keyed, stored
 from sigevents.llm.components import components
 
 WIDTH, PERCENT = 5, 80
@@ -613,7 +613,7 @@ SALT_ROWS = 2_000
 
 
 def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The pairs that link. ``names``: node, doc_id of one document that has the set.
+    """The pairs that link. ``names``: node, doc_id (a key of one row) of one document that has the set.
 
     The members of a node ``a`` are dealt over salts of about SALT_ROWS, each with a copy of the
     set of ``a``; a task streams through them and holds two sets at a time.
@@ -666,14 +666,32 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 700_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = row_components(keyed(docs, "doc_id", "text"), width, percent, bucket_signatures)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def spare_rows(docs: DataFrame) -> DataFrame:
+    """_row of each row of keyed ``docs`` but one of each component: the one of the smallest id, and of those the first."""
+    rows = stored(row_components(docs).where("component is not null").select("doc_id", "_row", "component"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    return rows.join(rows.groupBy("component").agg(F.min(order).alias("first")), "component").where("_row <> first._row").select("_row")
+
+
+def row_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 700_000) -> DataFrame:
+    """doc_id, _row, n_shingles, component (null without shingles), component_id of every row of keyed ``docs``.
+
+    Texts are found again by the row's key: ids may be null, or stand for several texts.
+    """
+    ids = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    docs = docs.select(F.col("_row").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, ceil(size / 9 / bucket_signatures))  # about one signature to nine bytes of text
     counted = stored(counted_sets(docs, min(buckets, 200), width), "counts")
     frequent = frequent_shingles(counted, min(buckets, 200))
-    sets = stored(set_table(counted), "sets")
+    sets = stored(set_table(counted).withColumnRenamed("doc_id", "_row").join(ids, "_row"), "sets")
     discard(counted)
-    names = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
+    # of each set a row that has it, and the smallest id
+    names = stored(sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("doc_id"), F.min("doc_id").alias("least")), "names")
     unordered = stored(runs(set_packs(docs, buckets, frequent, width, percent)), "runs")
     found = stored(hubs_first(unordered), "hubs")
     discard(unordered)
@@ -683,9 +701,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if more.limit(1).count():
         labels = stored(components(links.union(more)), "labels")
     # a component's name: the smallest id of its nodes' smallest ids
-    ids = labels.join(names, labels["node"] == names["node"]).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = names.join(labels, "node", "left").join(ids, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labelled = names.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    by_node = labelled.join(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    return sets.join(by_node, "node", "left").select("doc_id", "_row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 #: The same rows as near_duplicates(documents).

@@ -353,3 +353,28 @@ def test_pipeline(spark, tmp_path):
     assert ids and 0 not in ids and 1 not in ids and 30 not in ids
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == ids
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows that repeat, ids of several texts, and rows without id: each row has its own verdict."""
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{i}" for i in range(150)) for k in "abcdef"}
+    near = lambda k: text[k].replace(f"{k}77", "new")
+    rows = [(1, text["a"]), (1, text["a"]), (2, text["b"]), (3, near("b")), (3, text["c"]), (None, text["d"]), (None, near("d")), (None, text["a"]), (5, text["e"]), (5, text["f"]), (None, text["e"]), (6, None), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(1, text["e"][:200]), (2, text["d"][-200:]), (3, "f1 f2 f3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    for given in (docs, docs.where("true").repartition(2)):  # a table of files, and another
+        kept = count(corpus_pipeline.one_of_each(spark, given, str(tmp_path)))
+        d = {k for k in kept if k[0] is None}
+        assert len(d) == 1 and d <= {(None, text["d"]), (None, near("d"))}
+        assert kept - Counter(d) == Counter({(1, text["a"]): 1, (2, text["b"]): 1, (3, text["c"]): 1, (5, text["e"]): 1, (5, text["f"]): 1, (6, None): 2})
+        clean = count(corpus_pipeline.no_benchmark_text(spark, given, str(tmp_path)))
+        assert clean == Counter(r for r in rows if r[1] is None or r[1][0] not in "def")
+    benchmark = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    reports = [sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(r["items"])) for r in decontamination.contamination(docs, benchmark, block_windows=limit).collect()) for limit in (1_000_000, 1)]
+    assert reports[0] == reports[1] and len(reports[0]) == len(rows)
+    found = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    assert found == Counter({(1, 1): 2, (None, 1): 1, (2, 2): 1, (3, 2): 1, (3, 3): 1, (None, None): 2, (5, 5): 2, (None, 5): 1, (6, 6): 2})
