@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigevents.llm.common import stored
+
 #: (verdict, host, path): the longest rule that fits decides.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 # Words of unwanted hosts, and words that hosts are often made of.
@@ -49,21 +52,38 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return tuple(reduce(lambda c, x: c.when(x[0], F.lit(x[1])), zip(fits, values, strict=True), F.when(F.lit(False), F.lit(None).cast("string"))) for values in ([h + p for _, h, p in ordered], [v for v, _, _ in ordered]))
 
 
-def word_costs(pages: DataFrame, max_words: int = 50_000) -> dict[str, float]:
-    """Minus log probabilities of words; the ``max_words`` most frequent of the corpus, and the lists."""
+def word_costs(pages: DataFrame, max_words: int = 50_000) -> tuple[dict[str, float], float, float, DataFrame | None]:
+    """Minus log probabilities of words: of the ``max_words`` most frequent of the corpus and the lists; the largest one of all words,
+    the logarithm of all words' number, and a table (w, n) of the words beyond ``max_words``, if there are any. All words count that are seen twice.
+    """
     parts = F.array_union(F.split(F.lower("path"), "[^a-z]+"), F.when(F.col("host").contains("-"), F.split("host", "[^a-z]+")).otherwise(F.array().cast("array<string>")))
     counted = pages.select(F.explode(parts).alias("w")).where(F.length("w").between(2, 20)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    counts = {r.w: r.n for r in counted.orderBy(F.desc("n"), "w").limit(max_words).collect()}
-    floor = max(10, sum(counts.values()) // 1000)
-    for w in (*UNWANTED, *USUAL):
-        counts[w] = max(counts.get(w, 0), floor)
-    total = sum(counts.values())
-    return {w: math.log(total / n) for w, n in counts.items()}
-
-
-def segment(name: str, costs: dict[str, float]) -> list[str]:
-    """The likeliest split of a run of letters. A stretch that is no word costs more for each letter."""
-    unknown = max(costs.values(), default=1.0)
+    counted = stored(counted, "words")
+    lists = sorted({*UNWANTED, *USUAL})
+    size, total, least = counted.agg(F.count("*"), F.sum("n"), F.min("n")).first()
+    top = counted.orderBy(F.desc("n"), "w").limit(max_words).collect()
+    counts = {r.w: r.n for r in top}
+    floor = max(10, (total or 0) // 1000)
+    listed = {r.w: r.n for r in counted.where(F.col("w").isin(lists)).collect()}
+    for w in lists:
+        counts[w] = max(listed.get(w, 0), floor)
+    total = (total or 0) + sum(counts[w] - listed.get(w, 0) for w in lists)
+    rare = None
+    if size > len(top):
+        rare = counted.where(~F.col("w").isin(lists))
+        if top:
+            rare = rare.where((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("w") > top[-1].w)))
+    lowest = min([*counts.values(), *([least] if rare is not None else [])])
+    return {w: math.log(total / n) for w, n in counts.items()}, math.log(total / lowest), math.log(total), rare
+
+
+def segment(name: str, costs: dict[str, float], unknown: float | None = None, rare: dict[str, float] | None = None) -> list[str]:
+    """The likeliest split of a run of letters. A stretch that is no word costs more for each letter.
+
+    ``unknown``: the largest cost; ``rare``: costs of more words.
+    """
+    unknown = max(costs.values(), default=1.0) if unknown is None else unknown
+    costs = ChainMap(rare, costs) if rare else costs
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(name) + 1):
         best.append(min((best[b][0] + costs.get(name[b:end], unknown + 3.0 * (end - b)), b) for b in range(max(0, end - 20), end)))
@@ -74,19 +94,47 @@ def segment(name: str, costs: dict[str, float]) -> list[str]:
     return words[::-1]
 
 
-def tokens(host: str, path: str, costs: dict[str, float], cache: dict[str, list[str]]) -> tuple[list[str], list[str]]:
-    """Words of a host (without its last label) and of a path."""
+def runs_of(host: str) -> list[str]:
+    """Runs of letters of a host without its last label."""
+    return _letters.findall(host.rpartition(".")[0])
+
+
+def tokens(host: str, path: str, model: dict, cache: dict[str, list[str]], rare: list[dict] | None = None) -> tuple[list[str], list[str]]:
+    """Words of a host (without its last label) and of a path. ``rare``: words beyond the model's that stand in the host, and their counts."""
     if host not in cache:
         if len(cache) > 100_000:
             cache.clear()
-        cache[host] = [w for part in _letters.findall(host.rpartition(".")[0]) for w in segment(part[:200], costs)]
+        more = {r["w"]: model["log_total"] - math.log(r["n"]) for r in rare or ()}
+        cache[host] = [w for part in runs_of(host) for w in segment(part, model["costs"], model["unknown"], more)]
     return cache[host], [f"/{w}" for w in _letters.findall(path.lower())]
 
 
-def learn(pages: DataFrame, max_tokens: int = 50_000) -> dict:
-    """Word costs, and the classifier's counts over all pages."""
-    costs = word_costs(pages)
-    shared = pages.sparkSession.sparkContext.broadcast(costs)
+def with_rare_words(pages: DataFrame, rare: DataFrame | None, costs: dict[str, float]) -> DataFrame:
+    """``pages`` with the rare words (w, n) that stand in each row's host; found by joining the stretches of each distinct host."""
+    if rare is None:
+        return pages.withColumn("rare", F.lit(None).cast("array<struct<w:string,n:long>>"))
+    shared = pages.sparkSession.sparkContext.broadcast(set(costs))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host in batch.column("host").to_pylist():
+                found = {run[b:e] for run in runs_of(host) for b in range(len(run)) for e in range(b + 2, min(len(run), b + 20) + 1)} - shared.value
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(sorted(found), pa.string())], names=["host", "w"])
+
+    found = pages.select("host").distinct().mapInArrow(stretches, "host string, w string").join(rare, "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("rare"))
+    return pages.join(found, "host", "left").select(*pages.columns, "rare")
+
+
+def learn(pages: DataFrame, max_tokens: int = 50_000, max_words: int = 50_000) -> tuple[dict, DataFrame, DataFrame | None]:
+    """Word costs and the classifier's odds; the pages with their rare words; and (token, odds) of the tokens beyond ``max_tokens``, if any.
+
+    Totals and the size of the vocabulary are of all tokens.
+    """
+    costs, unknown, log_total, rare = word_costs(pages, max_words)
+    pages = with_rare_words(pages, rare, costs)
+    model = {"costs": costs, "unknown": unknown, "log_total": log_total}
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, unwanted = {}, Counter(), set(UNWANTED)
@@ -95,8 +143,8 @@ def learn(pages: DataFrame, max_tokens: int = 50_000) -> dict:
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["bad", "w", "n"])
 
         for batch in batches:
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                own, rest = tokens(host, path, shared.value, cache)
+            for host, path, rare in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare")), strict=True):
+                own, rest = tokens(host, path, shared.value, cache, rare)
                 bad = not unwanted.isdisjoint(own)
                 seen.update((bad, w) for w in (*own, *rest, ""))  # the empty word counts pages
             if len(seen) > 200_000:
@@ -105,31 +153,53 @@ def learn(pages: DataFrame, max_tokens: int = 50_000) -> dict:
         if seen:
             yield flush()
 
-    rows = pages.select("host", "path").mapInArrow(count, "bad boolean, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    found = {r.w: (r.good, r.bad) for r in rows.orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(max_tokens).collect()}
-    n_good, n_bad = found.pop("", (0, 0))
-    total = [1 + sum(c[i] for c in found.values()) for i in (0, 1)]
-    size = len(found) + 1
-    odds = {w: math.log((b + 1) / (total[1] + size)) - math.log((g + 1) / (total[0] + size)) for w, (g, b) in found.items()}
+    rows = pages.select("host", "path", "rare").mapInArrow(count, "bad boolean, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
+    rows = stored(rows, "tokens")
+    n_good, n_bad = next(((r.good, r.bad) for r in rows.where("w = ''").collect()), (0, 0))
+    rows = rows.where("w <> ''")
+    good, bad, size = rows.agg(F.sum("good"), F.sum("bad"), F.count("*")).first()
+    below = [1 + (bad or 0) + size + 1, 1 + (good or 0) + size + 1]
+    log_odds = lambda r: math.log((r.bad + 1) / below[0]) - math.log((r.good + 1) / below[1])
+    top = rows.orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(max_tokens).collect()
+    odds = {r.w: log_odds(r) for r in [*top, *rows.where(F.col("w").isin(UNWANTED)).collect()]}
     for w in UNWANTED:  # known before any page is seen
         odds[w] = max(odds.get(w, 0.0), 3.0)
-    return {"costs": costs, "odds": odds, "prior": math.log((n_bad + 1) / (n_good + 1))}
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log odds of `block`) of each row of ``pages``."""
+    beyond = None
+    if size > len(top):
+        n = F.col("bad") + F.col("good")
+        beyond = rows.where(~F.col("w").isin(UNWANTED))
+        if top:
+            last = top[-1].bad + top[-1].good
+            beyond = beyond.where((n < last) | ((n == last) & (F.col("w") > top[-1].w)))
+        beyond = beyond.select("w", (F.log((F.col("bad") + 1) / below[0]) - F.log((F.col("good") + 1) / below[1])).alias("odds"))
+    return model | {"odds": odds, "prior": math.log((n_bad + 1) / (n_good + 1))}, pages, beyond
+
+
+def judge(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: int = 50_000) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (log odds of `block`) of each row of ``pages``.
+
+    Tokens that are not broadcast are joined by shuffle; the frequent ones are out of it.
+    """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    shared = pages.sparkSession.sparkContext.broadcast(learn(urls))
+    model, urls, beyond = learn(urls, max_tokens, max_words)
+    shared, joined = pages.sparkSession.sparkContext.broadcast(model), beyond is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model, cache, row = shared.value, {}, TaskContext.get().partitionId() << 36
         for batch in batches:
-            score = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                own, rest = tokens(host, path, model["costs"], cache)
+            score, more = [], []
+            for host, path, rare in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare")), strict=True):
+                own, rest = tokens(host, path, model, cache, rare)
                 score.append(model["prior"] + sum(model["odds"].get(w, 0.0) for w in (*own, *rest)) if host else -1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=["page_id", "host", "path", "score"])
-
-    scored = urls.mapInArrow(run, "page_id long, host string, path string, score double")
+                more.append([w for w in (*own, *rest) if w not in model["odds"]] if host and joined else [])
+            n = len(score)
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), *(batch.column(c) for c in ("page_id", "host", "path")), pa.array(score, pa.float64()), pa.array(more, pa.list_(pa.string()))], names=["row", "page_id", "host", "path", "score", "more"])
+            row += n
+
+    scored = urls.mapInArrow(run, "row long, page_id long, host string, path string, score double, more array<string>")
+    if joined:
+        scored = stored(scored, "scores")
+        rest = scored.select("row", F.explode("more").alias("w")).join(beyond, "w").groupBy("row").agg(F.sum("odds").alias("odds"))
+        scored = scored.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("odds", F.lit(0.0)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")

@@ -291,6 +291,20 @@ def test_language_model(docs, rows):
             assert np.isfinite(r.score) and r.score < 0
 
 
+def test_urls_use_all_counts(spark):
+    """Scores are the same however few words and tokens are broadcast; runs of letters are cut nowhere."""
+    r = random.Random(6)
+    words = ["".join(r.choices("bcdfgklmnprtv", k=6)) for _ in range(40)]
+    urls = [f"http://{''.join(r.choices(words, k=3))}{r.choice(['', 'casino'])}.org/{r.choice(words)}/{r.choice(words)}" for _ in range(300)]
+    urls += [f"http://{'qj' * 120}casino.org/x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = [{x.page_id: (x.verdict, x.score) for x in url_filter.judge(pages, **bounds).collect()} for bounds in ({}, {"max_tokens": 3}, {"max_words": 2}, {"max_tokens": 3, "max_words": 2})]
+    for other in got[1:]:
+        assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in got[0].items()}
+        assert {k: v[1] for k, v in other.items()} == pytest.approx({k: v[1] for k, v in got[0].items()})
+    assert len(got[0]) == len(urls) and got[0][300][0] == "block"
+
+
 def test_class_counts_hold_all_words(docs, rows):
     learned = [r[1] or "" for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     seen = Counter(i for raw in WordEncoder(NAME).encode_words([find_words(lower_ascii(t)) for t in learned]) for i in np.frombuffer(raw, "<u4").tolist())
