@@ -2,13 +2,15 @@
 
 Pages are sorted by host and path (range partitions, so that a host with very many pages is split),
 and each is paired with the neighbour, on the same host, whose path shares the longer beginning; ties
-take the one before. A page alone on its host in its partition has no pair. Both pages' text lines
+take the one before. The first and last page of each partition are also sent to the neighbouring one,
+so pairs do not depend on partitions; only a page alone on its host has none. Both pages' text lines
 are aligned by longest common subsequence, and lines of the page that are shared are template and
 are deleted, unless they stand in an article or main element, where shared lines are copied content.
 
 Differencing cannot see what varies from page to page, such as advertisements drawn at random. So,
 after it, lines of elements that never hold main text (menus, headers, footers, sidebars, forms,
-scripts, notices, adverts, comments: by tag, role, class or id) go too, and when a page has an
+scripts, notices, adverts, comments: by tag, role, class or id; class or id of what stands around an
+article or main element does not count for it) go too, and when a page has an
 article or main element, only lines in it stay.
 
 Null and empty pages give an empty text. White space, entities and blocks are handled as a reader
@@ -41,14 +43,15 @@ BESIDE_WORDS = set("ad ads advert advertisement adverts advertising banner bread
 def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     """Text lines in page order: text, whether it stands in an article, whether beside the main text."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, beside
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in an article, beside by tag, beside by a hint
     held: list[str] = []
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, *(stack[-1][1:] if stack else (False, False))))
+            _, article, beside, hinted = stack[-1] if stack else ("", False, False, False)
+            out.append((text, article, beside or hinted))
 
     at = 0
     for m in _part.finditer(page or ""):
@@ -67,10 +70,11 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
                 while stack.pop()[0] != tag:
                     pass
         elif not m[4].endswith("/"):
-            _, article, beside = stack[-1] if stack else ("", False, False)
+            _, article, beside, hinted = stack[-1] if stack else ("", False, False, False)
             hints = {w for h in _hint.findall(m[4]) for w in _word.findall(h.lower())}
             own = tag in ("article", "main")
-            stack.append((tag, article or own, beside or tag in BESIDE or (not own and not hints.isdisjoint(BESIDE_WORDS))))
+            hinted = hinted and not (own and not article)  # what stands around the outermost article says nothing of it
+            stack.append((tag, article or own, beside or tag in BESIDE, hinted or (not own and not hints.isdisjoint(BESIDE_WORDS))))
     held.append((page or "")[at:])
     end_line()
     return out
@@ -108,6 +112,38 @@ def main_text(lines: list[tuple[str, bool, bool]], pair: list[tuple[str, bool, b
     return "\n\n".join(x[0] for x in (inside or kept))
 
 
+#: Keys a partition that are drawn to find even bounds; they have no effect on the result.
+DRAWN = 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``part``, ranges of ``KEY``, and ``guest``: copies of the pages at the edges of the parts beside.
+
+    Bounds, and the edges' keys, are a few for each partition; they pass through the driver.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted(tuple(r) for r in rows.select(*KEY[:3]).orderBy(F.xxhash64(*KEY[:3])).limit(DRAWN * n).collect())
+    bounds = sorted({drawn[len(drawn) * k // n] for k in range(1, n)}) if drawn else []
+    part = F.lit(0)
+    if bounds:
+        named = lambda *c: F.struct(*(x.alias(k) for x, k in zip(c, KEY, strict=False)))
+        part = F.size(F.filter(F.array(*(named(F.lit(h), F.lit(p), F.lit(i).cast("long")) for h, p, i in bounds)), lambda b: b <= named(*map(F.col, KEY[:3]))))
+    rows = rows.withColumn("part", part).withColumn("guest", F.lit(False))
+    key = F.struct(*KEY)
+    edges = sorted(rows.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r.part)
+    sent = [x for a, b in zip(edges, edges[1:], strict=False) if a.last.host == b.first.host for x in ((*a.last, b.part), (*b.first, a.part))]
+    if not sent:
+        return rows
+    sent = spark.createDataFrame(sent, "host string, path string, place long, sum long, to int")
+    guests = rows.join(F.broadcast(sent), KEY).dropDuplicates([*KEY, "to"]).withColumn("part", F.col("to")).withColumn("guest", F.lit(True))
+    return rows.union(guests.select(*rows.columns))
+
+
+#: The order of pages; ``place`` is the id, ``sum`` a checksum of the page.
+KEY = ["host", "path", "place", "sum"]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
@@ -129,15 +165,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             done: list[tuple] = []
-            for page_id, url, page, host, path in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path")), strict=True):
-                after = (page_id, url, host, path, lines_of(page))
-                if now:
-                    done.append(finish(after))
-                before, now = now, after
+            for page_id, url, page, host, path, part, guest in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path", "part", "guest")), strict=True):
+                after = (page_id, url, host, path, lines_of(page), part, guest)
+                same = now and now[5] == part
+                if now and not now[6]:
+                    done.append(finish(after if same else None))
+                before, now = now if same else None, after
             if done:
                 yield out(done)
-        if now:
+        if now and not now[6]:
             yield out([finish(None)])
 
-    ordered = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    keys = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("place"), F.xxhash64("html").alias("sum"))
+    ordered = dealt(keys).repartitionByRange("part").sortWithinPartitions("part", *KEY)
+    return ordered.select("page_id", "url", "html", "host", "path", "part", "guest").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -268,6 +268,25 @@ def test_main_text(spark):
         assert len(shared) == lcs(a, b) and lcs([a[i] for i in sorted(shared)], b) == len(shared)
 
 
+def test_main_text_pairs_across_partitions(spark):
+    """Pages without article are compared with their neighbour wherever partitions end; hints around an article do not hide it."""
+    page = lambda k: f"<body><p>Group {k // 2} line</p><p>Top</p><p>text {k}</p><p>End</p></body>"
+    rows = [(k, f"http://x.com/{k // 2}/{k}", page(k)) for k in range(30)] + [(100, "http://y.com/", page(0)), (None, None, page(0))]
+    rows.append((200, "http://z.com/", "<body class='no-sidebar'><div class='layout-with-header social'><article><p>Kept</p><div class='share'>Share</div></article></div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in ("1", "4", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r.text for r in main_text.extract(pages).collect()}
+            assert len(got) == len(rows)
+            assert {k: got[k] for k in range(30)} == {k: f"text {k}" for k in range(30)}
+            assert got[100] == got[None] == "Group 0 line\n\nTop\n\ntext 0\n\nEnd" and got[200] == "Kept"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?x", "http://a.example.com/en/", "http://b.com/x", "https://q.net/es/1", "https://cheappills.example.org/a", "https://thther.example.org/en/1", None, "no scheme", "http://b.com", "http://notexample.com/en/"]
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
