@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +31,39 @@ def id_crc32(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Batches:
+    """A batch in slices of about ``most`` bytes of text, so that few texts are Python strings at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        held = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def tidied(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``task`` for mapInArrow, over slices of bounded size if there is a text column.
+
+    Python workers go from task to task; what one has set free goes back to the system at its end.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from task(x for batch in batches for x in (text_slices(batch) if "text" in batch.schema.names else (batch,)))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that driver and executors share.
 
