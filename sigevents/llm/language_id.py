@@ -1,18 +1,23 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of a bounded sample of labelled texts.
-A text, without anything but letters and in lower case, is compressed in blocks of ``block`` bytes
-with each dictionary; the language that gives the fewest bytes wins. The margin is the runner-up's
-excess in parts of the winner's bytes; below ``min_margin`` the prediction is rejected as unsure.
-
-A null text and one without letters is ``und`` with score 0, and rejected. Ties go to the language
-that sorts first (margin 0: rejected). With no labelled texts at all everything is ``und``. Whole
-texts are used, also very long ones; repeated rows each give a row.
+For each language a zstandard raw-content dictionary is made of the words of a bounded sample of
+labelled texts, read whole: the words that most of them hold, the commonest last, where they are
+cheapest to refer to. A text, without anything but letters and in lower case, is compressed in blocks
+of ``block`` bytes with each dictionary; the language that gives the fewest bytes wins. The margin is
+the runner-up's excess in parts of the winner's bytes; below ``min_margin`` the prediction is rejected
+as unsure.
+
+A null text and one without letters (Unicode category L) is ``und`` with score 0, and rejected. Ties
+go to the language that sorts first (margin 0: rejected). With no labelled texts at all everything is
+``und``. Whole texts are used, also very long ones; repeated rows each give a row. A null id is no
+reason to leave a row out. Other columns are passed on or not looked at, whatever their names. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,29 +27,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigevents.llm.common import id_crc32
+from sigevents.llm.common import id_crc32, tidied
 
 _not_letters = re.compile(r"[\W\d_]+")
 UND = "und"
 
 
 def letters_only(text: str | None) -> bytes:
-    return _not_letters.sub(" ", text.lower()).strip().encode() if text else b""
-
-
-def learn_dictionaries(docs: DataFrame, train: Column, rows_per_language: int = 600, dictionary_bytes: int = 1 << 15, max_languages: int = 400) -> dict[str, bytes]:
-    """Raw content for each language: at most ``rows_per_language`` texts, in the order of a hash of
-    their ids, cut when ``dictionary_bytes`` are reached. ``max_languages`` (the most frequent ones)
-    bounds what the driver gets. Each text's share is bounded so that one long text cannot fill a dictionary."""
-    share = max(1, 4 * dictionary_bytes // rows_per_language)
-    ranked = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = [r.lang for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ranked.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.substring("text", 1, share).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language)
+    """Runs of letters, in lower case, with a space between."""
+    words = _not_letters.sub(" ", text.lower()).strip() if text else ""
+    if not words.isascii() and not words.replace(" ", "").isalpha():  # other numbers, such as fractions
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words.encode()
+
+
+def learn_dictionaries(docs: DataFrame, train: Column, rows_per_language: int = 600, dictionary_bytes: int = 1 << 15) -> dict[str, bytes]:
+    """Raw content for each language, from the words of about ``rows_per_language`` whole texts.
+
+    The sample is taken by a threshold on a hash of the row, one for each language from its number of
+    rows, so no language is gathered or sorted. What the driver gets is bounded by
+    ``dictionary_bytes`` a language.
+    """
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("hash"))
+    shares = [(r.lang, min(1.0, rows_per_language / r["count"])) for r in rows.groupBy("lang").count().collect()]
+    if not shares:
+        return {}
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod("hash", F.lit(1 << 31)) < F.col("share") * (1 << 31))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, bytes]] = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seen.update((lang, w) for w in set(letters_only(text).split()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1].decode() for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+    words = picked.select("lang", "text").mapInArrow(tidied(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # the words of a sample
+    top = words.withColumn("r", F.row_number().over(order)).where(F.col("r") <= dictionary_bytes // 2).collect()
     content: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, -r.r)):  # the end of a dictionary is the cheapest to refer to
-        content.setdefault(r.lang, []).append(letters_only(r.text))
-    return {k: b" ".join(dict.fromkeys(v))[-dictionary_bytes:] for k, v in sorted(content.items())}
+    for r in sorted(top, key=lambda r: (r.lang, -r.r)):
+        content.setdefault(r.lang, []).append(r.word.encode())
+    return {k: b" ".join(v)[-dictionary_bytes:] for k, v in content.items()}
 
 
 class Classifier:
@@ -74,22 +98,41 @@ class Classifier:
         return self.names[best], float(score), margin
 
 
-def identify(docs: DataFrame, train: Column, min_margin: float = 0.002, block: int = 4096, **bounds: int) -> DataFrame:
-    """All columns of ``docs``, then ``_lang_pred``, ``_lang_score``, ``_lang_rejected``."""
-    dictionaries = docs.sparkSession.sparkContext.broadcast(learn_dictionaries(docs, train, **bounds))
+def judged(docs: DataFrame, train: Column, block: int = 4096, **bounds: int):
+    """For mapInArrow tasks: what gives the judgements of a batch's texts, by dictionaries learned from ``docs``."""
+    dictionaries, held = docs.sparkSession.sparkContext.broadcast(learn_dictionaries(docs, train, **bounds)), []
+
+    def judge(batch: pa.RecordBatch) -> list[tuple[str, float, float]]:
+        if not held:
+            held.append(Classifier(dictionaries.value, block))
+        return [held[0].judge(t) for t in batch.column("text").to_pylist()]
+
+    return judge
+
+
+def identify(docs: DataFrame, train: Column, min_margin: float = 0.002, **how: int) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of every row of ``docs`` (doc_id, text, lang)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    judge = judged(docs, train, **how)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries.value, block)
         for batch in batches:
-            got = [model.judge(t) for t in batch.column("text").to_pylist()]
-            lang, score, margin = zip(*got, strict=True) if got else ((), (), ())
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([g[0] == UND or m < min_margin for g, m in zip(got, margin, strict=True)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_lang_pred", "_lang_score", "_lang_rejected"])
+            got = judge(batch)
+            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UND or g[2] < min_margin for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "rejected"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(predict), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def of_known_language(docs: DataFrame, train: Column, min_margin: float = 0.002, **how: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+    judge = judged(docs, train, **how)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([g[0] != UND and g[2] >= min_margin for g in judge(batch)], pa.bool_()))
 
-    schema = docs.schema
-    for name, kind in (("_lang_pred", "string"), ("_lang_score", "double"), ("_lang_rejected", "boolean")):
-        schema = type(schema)([*schema.fields]).add(name, kind)
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
 
 
 def held_out() -> Column:
@@ -98,6 +141,5 @@ def held_out() -> Column:
 
 def language_table(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected."""
-    docs = docs.select("doc_id", "text", "lang")
     found = identify(docs, ~held_out())
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_lang_rejected").alias("rejected"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
