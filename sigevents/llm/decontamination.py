@@ -6,24 +6,32 @@ that holds a window holds its rarest word: containment must be whole, so the pre
 has one token. Joined positions are kept if the window fits between the document's ends (length and
 positional bounds) and then compared word for word.
 
-The benchmark is broadcast in blocks of at most ``block_windows`` windows, so that what a task holds
-is bounded whatever its size; a benchmark of more blocks takes more passes over the documents.
-
-Null or empty texts, of documents or items, have no words: nothing is hit, nothing occurs. Repeated
-items count once by their id. Repeated document rows each give a row.
+The benchmark is broadcast in blocks of about ``block_windows`` windows, as the items' words and flat
+arrays of places in them, so that what a task holds is bounded (some 150 bytes a window) whatever its
+size; a benchmark of more blocks takes more passes over the documents, and what they find is joined
+by a key of each document row.
+
+Null or empty texts, of documents or items, have no words: nothing is hit, nothing occurs. Items
+without an id are left out; repeated items count once by their id, of any type. Repeated document rows
+each give a row with the same result; ids may be null. Equal rarities are decided by the words, which
+changes no result. Texts of any length are searched whole. Other columns are not looked at. An empty
+table of documents gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import keyed, lower_ascii
+from sigevents.llm.common import keyed, lower_ascii, tidied
 
 #: Digits, a-z and everything beyond ASCII.
 find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -49,38 +57,72 @@ def rarity(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
                     seen.update(shared.value.intersection(find(lower_ascii(text))))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    return {r.word: r.n for r in docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-
-
-def prefix_index(items: list[tuple], window: int, df: dict[str, int]) -> dict[str, list[tuple[int, tuple[str, ...], list]]]:
-    """Rarest word -> (its place in the window, the window's words, the items that have it)."""
-    owners: dict[tuple[str, ...], set] = defaultdict(set)
-    for item_id, words in items:
-        for w in windows_of(words, window):
-            owners[w].add(item_id)
-    index = defaultdict(list)
-    for w, ids in owners.items():
-        at = min(range(len(w)), key=lambda i: (df.get(w[i], 0), w[i], i))
-        index[w[at]].append((at, w, sorted(ids)))
-    return dict(index)
-
-
-def find_hits(words: list[str], index: dict) -> tuple[bytearray, set]:
+    return {r.word: r.n for r in docs.select("text").mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+
+
+class Index:
+    """Windows of a benchmark block by their rarest word.
+
+    Of equal windows one is kept, with all items that have it. ``windows``: rarest word -> windows;
+    ``start``, ``size``, ``at``: a window's words in ``words`` and the rarest one's place in it;
+    ``owners[first[w]:first[w + 1]]``: the items that have window ``w``.
+    """
+
+    def __init__(self, items: list[tuple[str, list[str]]], window: int, df: dict[str, int]):
+        known: dict[str, str] = {}
+        self.words: list[str] = []
+        self.names = sorted({item_id for item_id, _ in items})
+        number = {x: i for i, x in enumerate(self.names)}
+        start, size, owner, digests = array("q"), array("i"), array("i"), bytearray()
+        for item_id, words in items:
+            begin, n = len(self.words), min(window, len(words))
+            self.words.extend(known.setdefault(w, w) for w in words)
+            for i in range(len(words) - n + 1):
+                start.append(begin + i)
+                size.append(n)
+                owner.append(number[item_id])
+                digests += hashlib.blake2b(" ".join(words[i : i + n]).encode(), digest_size=16).digest()
+        key = np.frombuffer(bytes(digests), np.uint64).reshape(-1, 2)
+        who = np.array(owner, np.int32)
+        order = np.lexsort((who, key[:, 1], key[:, 0]))
+        key, who = key[order], who[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        other = new.copy()
+        other[1:] |= who[1:] != who[:-1]  # an item counts once for each window
+        self.owners = who[other]
+        self.first = np.append(np.flatnonzero(new[other]), len(self.owners))
+        self.start, self.size = np.array(start, np.int64)[order][new], np.array(size, np.int32)[order][new]
+        self.at = np.zeros(len(self.start), np.int32)
+        by_word: dict[str, array] = defaultdict(lambda: array("i"))
+        for k, (b, n) in enumerate(zip(self.start.tolist(), self.size.tolist(), strict=True)):
+            w = self.words[b : b + n]
+            self.at[k] = at = min(range(n), key=lambda i: (df.get(w[i], 0), w[i], i))
+            by_word[w[at]].append(k)
+        self.windows = dict(by_word)
+
+
+def find_hits(words: list[str], index: Index) -> tuple[bytearray, set[str]]:
     """Which words stand inside an occurrence of a window, and the items whose windows occur."""
     hit, found, n = bytearray(len(words)), set(), len(words)
-    for i in [i for i, w in enumerate(words) if w in index]:
-        for at, window, ids in index[words[i]]:
-            begin, end = i - at, i - at + len(window)
-            if begin >= 0 and end <= n and tuple(words[begin:end]) == window:
-                hit[begin:end] = b"\1" * (end - begin)
-                found.update(ids)
-    return hit, found
+    windows = index.windows
+    for i in [i for i, w in enumerate(words) if w in windows]:
+        for k in windows[words[i]]:
+            size = int(index.size[k])
+            begin = i - int(index.at[k])
+            if begin < 0 or begin + size > n:
+                continue
+            start = int(index.start[k])
+            if words[begin : begin + size] == index.words[start : start + size]:
+                hit[begin : begin + size] = b"\1" * size
+                found.add(k)
+    return hit, {index.names[x] for k in found for x in index.owners[index.first[k] : index.first[k + 1]]}
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple]]:
     """The benchmark's items, block by block, through an iterator that fetches a partition at a time."""
     block, n = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").toLocalIterator():
         if words := item_words(r.text):
             block.append((r.item_id, words))
             n += max(1, len(words) - window + 1)
@@ -90,16 +132,16 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000) -> DataFrame:
     """doc_id, n_words, spans of hit words, items that occur; one row for each row of ``docs``, with its key if it was given one."""
     given = "_row" in docs.columns
-    docs = (docs if given else keyed(docs, "doc_id", "text")).select("_row", "doc_id", F.col("text").cast("string").alias("text"))
+    docs = (docs if given else keyed(docs, "doc_id", "text")).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, out, n_blocks = docs.sparkSession, None, 0
     for block in _blocks(benchmark, window, block_windows):
         if not block and n_blocks:
             break
         df = rarity(docs, {w for _, words in block for w in words}) if block else {}
-        index = spark.sparkContext.broadcast(prefix_index(block, window, df))
+        index = spark.sparkContext.broadcast(Index(block, window, df))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -110,13 +152,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     n_words.append(len(words))
                     spans.append([x for m in re.finditer(b"\1+", hit) for x in m.span()] if found else [])
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["_row", "doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["_row", "doc_id", "n_words", "spans", "items"])
 
-        found = docs.mapInArrow(search, "_row long, doc_id long, n_words long, spans array<int>, items array<long>")
+        found = docs.mapInArrow(tidied(search), "_row long, doc_id long, n_words long, spans array<int>, items array<string>")
         if n_blocks:  # another block's hits join the first one's, by row
             more = found.where(F.size("spans") > 0).select("_row", F.col("spans").alias("s2"), F.col("items").alias("i2"))
             none = F.array().cast("array<int>")
-            out = out.join(more, "_row", "left").select("_row", "doc_id", "n_words", F.concat("spans", F.coalesce("s2", none)).alias("spans"), F.array_distinct(F.concat("items", F.coalesce("i2", none.cast("array<long>")))).alias("items"))
+            out = out.join(more, "_row", "left").select("_row", "doc_id", "n_words", F.concat("spans", F.coalesce("s2", none)).alias("spans"), F.array_distinct(F.concat("items", F.coalesce("i2", none.cast("array<string>")))).alias("items"))
         else:
             out = found
         n_blocks += 1
@@ -129,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The digest of :func:`contamination`."""
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return contamination(docs, benchmark, window).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
