@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigevents.llm import binary_tokens, decontamination, jaccard, language_id, mixing
 from sigevents.llm.common import keyed, scratch_path, without
@@ -13,8 +12,7 @@ from sigevents.shipping import ship
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language is unsure."""
     ship(spark)
-    found = language_id.identify(docs, ~language_id.held_out())
-    return found.where(~F.col("_lang_rejected")).select(*docs.columns)
+    return language_id.of_known_language(docs, ~language_id.held_out())
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
