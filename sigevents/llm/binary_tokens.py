@@ -8,7 +8,8 @@ index: shard, chunk, first document, numbers of documents and ids, and the ids o
 It is written by Spark's own Parquet writer, so lost executors and any file system are its matter.
 
 Null texts count as empty and get the end id alone. Rows with the same id are all kept, in order of
-their texts. An empty table gives an empty table.
+their texts; equal rows follow one another. Null ids come first. A text of any length is encoded
+whole and lies in one chunk. Other columns are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import scratch_path
-from sigevents.llm.tokens import encoder, slices
+from sigevents.llm.common import scratch_path, tidied
+from sigevents.llm.tokens import encoder
 
 _HEAD = struct.Struct("<4sBIQI")
 _MAGIC = b"PLN1"
@@ -60,14 +61,12 @@ def unpack_planes(parts: list[bytes], n: int, block: int, planes: str) -> np.nda
     return np.ascontiguousarray(cells).view("<u4").ravel()[:n]
 
 
-def pack_chunk(doc_ids: list[int | None], ids: list[bytes], block: int = 1 << 14, planes: str = "byte") -> bytes:
-    """One record: header, document ids and lengths, planes."""
-    lengths = np.array([len(x) // 4 for x in ids], "<u4")
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def pack_chunk(doc_ids: list[int | None], lengths: np.ndarray, flat: np.ndarray, block: int = 1 << 14, planes: str = "byte") -> bytes:
+    """One record: header, document ids and lengths, planes of all their ids."""
     squeeze = zstandard.ZstdCompressor(level=3)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     docs = np.array([x or 0 for x in doc_ids], "<i8")
-    parts = [squeeze.compress(docs.tobytes() + known.tobytes() + lengths.tobytes()), *(pack_planes(flat, block, planes) if len(flat) else [])]
+    parts = [squeeze.compress(docs.tobytes() + known.tobytes() + lengths.astype("<u4").tobytes()), *(pack_planes(flat, block, planes) if len(flat) else [])]
     head = _HEAD.pack(_MAGIC, planes == "bit", block, len(flat), len(doc_ids))
     return head + struct.pack(f"<I{len(parts)}I", len(parts), *map(len, parts)) + b"".join(parts)
 
@@ -101,31 +100,38 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, ch
     """
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        number, chunk, start, held = TaskContext.get().partitionId(), 0, 0, 0
-        ids: list[bytes] = []
+        enc = encoder(tokenizer)
+        number, chunk, start = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
+        ids: list[np.ndarray] = []  # of the documents in ``names``, and their lengths
+        sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            row = [[number], [chunk], [start], [names[0]], [len(names)], [held], [pack_chunk(names, ids, block, planes)]]
+            flat, lengths = np.concatenate(ids), np.concatenate(sizes)
+            row = [[number], [chunk], [start], [names[0]], [len(names)], [len(flat)], [pack_chunk(names, lengths, flat, block, planes)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
         for batch in batches:
-            texts, keys = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            for b, e in slices(texts):
-                for key, raw in zip(keys[b:e], enc.encode(texts[b:e]), strict=True):
-                    ids.append(raw + end)
-                    names.append(key)
-                    held += len(raw) // 4 + 1
-                    if held >= chunk_ids:
-                        yield flush()
-                        chunk, start, held, ids, names = chunk + 1, start + held, 0, [], []
+            flat, size = enc.encode(batch.column("text"))
+            ends = np.cumsum(size)
+            flat, size = np.insert(flat, ends, end_id), size + 1
+            ends, keys, done = np.cumsum(size), batch.column("doc_id").to_pylist(), 0
+            while done < len(keys):  # documents up to the one that fills the chunk
+                held, before = sum(map(len, ids)), int(ends[done - 1]) if done else 0
+                to = min(len(keys), int(np.searchsorted(ends, before + chunk_ids - held)) + 1)
+                names += keys[done:to]
+                sizes.append(size[done:to])
+                ids.append(flat[before : ends[to - 1]])
+                if held + len(ids[-1]) >= chunk_ids:
+                    yield flush()
+                    chunk, start, ids, names, sizes = chunk + 1, start + held + len(ids[-1]), [], [], []
+                done = to
         if names:
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shard, CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidied(shard, 8 << 20), CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +148,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int32()), pa.array(begins + start, pa.int64()), pa.array(docs, pa.int64()), pa.array(lengths.astype("int64")), pa.array(crc, pa.int64())], names=["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
 
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    docs = chunks.select("shard", "shard_start", "payload").mapInArrow(rows, "shard int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = chunks.select("shard", "shard_start", "payload").mapInArrow(tidied(rows), "shard int, at long, doc_id long, n_tokens long, ids_crc32 long")
     # one number for each shard, of which there are as many as write tasks
     base, bases = 0, []
     for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():
@@ -151,8 +157,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(spark.createDataFrame(bases, "shard int, base long"), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, **how) -> DataFrame:
     """Write the token file of ``docs`` to the shared folder and read it back."""
     path = scratch_path(docs.sparkSession, "token-file")
-    write_token_file(docs, path, tokenizer, end_id)
+    write_token_file(docs, path, tokenizer, end_id, **how)
     return read_token_file(docs.sparkSession, path)

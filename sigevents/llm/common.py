@@ -45,15 +45,15 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         begin = end
 
 
-def tidied(task: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``task`` for mapInArrow, over slices of bounded size if there is a text column.
+def tidied(task: Callable[[Batches], Batches], most: int = 4 << 20) -> Callable[[Batches], Batches]:
+    """``task`` for mapInArrow, over slices of about ``most`` bytes if there is a text column.
 
     Python workers go from task to task; what one has set free goes back to the system at its end.
     """
 
     def run(batches: Batches) -> Batches:
         try:
-            yield from task(x for batch in batches for x in (text_slices(batch) if "text" in batch.schema.names else (batch,)))
+            yield from task(x for batch in batches for x in (text_slices(batch, most=most) if "text" in batch.schema.names else (batch,)))
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
@@ -77,10 +77,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends there."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in folders by some columns, and read it back: its lineage ends there."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back

@@ -2,17 +2,23 @@
 
 A byte-level BPE cuts a text at every single space that stands between two characters that are not
 white space, so such pieces can be encoded once and looked up afterwards; the ids are those of the
-whole text. Texts with other white space around a space are encoded whole.
+whole text. Texts with other white space around a space are encoded whole, and so are texts that hold
+the string of an added token, which the library turns into that token's id.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Characters that never join a letter in one piece; the apostrophe does (contractions).
 _TAIL = ".,;:!?%*$#&()[]{}\"/\\-+=_<>|~^@"
+has_space = re.compile(r"\s").search
 
 
 class WordEncoder:
@@ -21,9 +27,9 @@ class WordEncoder:
     Ids are handled as bytes, four for each id, little-endian.
     """
 
-    def __init__(self, name: str, limit: int = 800_000):
+    def __init__(self, name: str, limit: int = 1_000_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         size = self.tok.get_vocab_size()
         self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)])
         self.limit = limit
@@ -58,11 +64,13 @@ class WordEncoder:
                 tailed.append((k, stem, k[len(stem) :]))
             else:
                 rest.append(k)
-        self._learn(list({*words, *(w for _, w, _ in tailed if w not in into)}), into, sep)
+        self._learn(list({*words, *(w for _, w, _ in tailed if w not in into), *(k for k in rest if k and not has_space(k))}), into, sep)
         self._learn([t for t in {t for _, _, t in tailed} if t not in self.bare], self.bare, "\n")
         into.update([(k, into[w] + self.bare[t]) for k, w, t in tailed])
         lines = {}
         for k in rest:
+            if k in into:
+                continue
             parts = k.split("\n")
             if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
                 into[k] = None
@@ -76,60 +84,50 @@ class WordEncoder:
             for k, p in lines.items():
                 into[k] = self.newline.join([into[p[0]], *map(self.bare.__getitem__, p[1:])])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without special tokens."""
-        if len(self.after) + len(self.bare) > self.limit:
-            self.after.clear()
-            self.bare.clear()
-        cut = [t.split(" ") for t in texts]
-        rest: set[str] = set()
-        for c in cut:
-            rest.update(c[1:])
-        self._resolve([k for k in {c[0] for c in cut} if k and k not in self.bare], False)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and each one's number of ids, as the library gives them for it with ``add_special_tokens=False``."""
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        begin = pieces.offsets.to_numpy()[:-1].astype(np.int64) - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        which, rest = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if len(self.after) + len(self.bare) > self.limit:  # keep what is wanted now
+            self.after, self.bare = {k: self.after[k] for k in rest if k in self.after}, {}
+        first = [rest[i] for i in which[begin]] if len(begin) else []
+        self._resolve([k for k in set(first) if k and k not in self.bare], False)
         self._resolve([k for k in rest if k not in self.after], True)
-        get, out = self.after.__getitem__, []
-        for t, c in zip(texts, cut, strict=True):
-            try:
-                out.append(b"".join([self.bare[c[0]] if c[0] else b"", *map(get, c[1:])]))
-            except TypeError:  # a piece with white space at its edge
-                out.append(self._ids(t))
-        return out
-
-    def encode_words(self, lists: list[list[str]]) -> list[bytes]:
-        """Ids of each list of words without spaces, every word with a space before it."""
-        if len(self.after) + len(self.bare) > self.limit:
-            self.after.clear()
-            self.bare.clear()
-        new: set[str] = set()
-        for words in lists:
-            new.update(words)
-        self._resolve([w for w in new if w not in self.after], True)
-        get, out = self.after.__getitem__, []
-        for words in lists:
-            try:
-                out.append(b"".join(map(get, words)))
-            except TypeError:  # other white space at a word's edge
-                out.append(b"".join([get(w) or self._ids(" " + w) for w in words]))
-        return out
+        # a table of ids: of pieces after a space, of pieces at the start of texts, and of texts encoded whole
+        known, heads = [self.after[k] for k in rest], [self.bare[k] if k else b"" for k in first]
+        uncut = np.array([k is None for k in known], bool)
+        if uncut.any():
+            inner = uncut[which]
+            inner[begin] = False
+            whole |= np.add.reduceat(inner, begin).astype(bool)
+        whole |= np.array([k is None for k in heads], bool)
+        at = np.flatnonzero(whole)
+        table = [k or b"" for k in known] + [k or b"" for k in heads] + [self._ids(texts[i].as_py()) for i in at.tolist()]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        entry = which.copy()
+        entry[begin] = len(known) + np.arange(len(begin))
+        number = np.diff(np.append(begin, len(which)))
+        if len(at):
+            entry = np.where(np.repeat(whole, number), -1, entry)
+            entry[begin[at]] = len(known) + len(heads) + np.arange(len(at))
+        n = np.where(entry < 0, 0, size[entry])
+        start = np.repeat(((np.cumsum(size) - size)[entry] - (np.cumsum(n) - n)).astype(np.int32), n)
+        start += np.arange(len(start), dtype=np.int32)
+        flat = np.frombuffer(b"".join(table), "<u4")[start]
+        return flat, np.add.reduceat(n, begin) if len(begin) else n
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(name: str, limit: int = 800_000) -> WordEncoder:
+def encoder(name: str, limit: int = 1_000_000) -> WordEncoder:
     """One encoder per Python worker, kept from task to task."""
     if (name, limit) not in _encoders:
         _encoders[name, limit] = WordEncoder(name, limit)
     return _encoders[name, limit]
-
-
-def slices(texts: list[str], chars: int = 4_000_000):
-    """Ranges of rows of about so many characters, so that what is held at once stays bounded."""
-    begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
