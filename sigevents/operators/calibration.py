@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigevents.operators.metrics import prefix_sums, roc_auc
+
 EPS = 1e-6
 
 
@@ -47,35 +50,35 @@ def fit_platt(df: DataFrame, score: str = "prob", label: str = "label", c: float
 
 
 def fit_isotonic(df: DataFrame, score: str = "prob", label: str = "label"):
-    """MLlib's isotonic regression of the label on the score; its boundaries and predictions."""
-    rows = df.select(F.col(score).cast("double").alias("features"), F.col(label).cast("double").alias("label"))
-    m = IsotonicRegression().fit(rows)
+    """MLlib's isotonic regression of the label on the score, from the mean label and weight of each distinct score; its boundaries and predictions."""
+    rows = df.groupBy(F.col(score).cast("double").alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    m = IsotonicRegression(weightCol="weight").fit(rows)
     return list(m.boundaries), list(m.predictions), df.count()
 
 
 def apply_isotonic(p: Column, model: tuple) -> Column:
     """Linear between the boundaries, clipped at them and to [1/2n, 1-1/2n]."""
     xs, ys, n = model
-    x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-    q = F.least(F.greatest(p.cast("double"), F.lit(xs[0])), F.lit(xs[-1]))
-    i = F.greatest(F.least(F.size(F.filter(x, lambda v: v <= q)), F.lit(len(xs) - 1)), F.lit(1))
-    x0, x1, y0, y1 = F.get(x, i - 1), F.get(x, i), F.get(y, i - 1), F.get(y, i)
-    value = F.coalesce(y0 + F.try_divide((y1 - y0) * (q - x0), x1 - x0), y0)
-    return F.least(F.greatest(value, F.lit(0.5 / n)), F.lit(1 - 0.5 / n))
 
+    @F.pandas_udf("double")  # the boundaries are as many as the fitted steps
+    def value(q: pd.Series) -> pd.Series:
+        return pd.Series(np.clip(np.interp(q, xs, ys), 0.5 / n, 1 - 0.5 / n))
+
+    return value(p.cast("double"))
 
-def group_folds(df: DataFrame, group: str, k: int, seed: str = "0") -> DataFrame:
-    """``fold`` of each row: its group's place in the order of a hash, modulo k. Groups are few next to rows."""
-    from pyspark.sql import Window
 
-    g = df.select(group).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(seed))))
-    return df.join(g.withColumn("fold", (F.row_number().over(order) - 1) % k), group)
+def group_folds(df: DataFrame, group: str, k: int, seed: str = "0") -> DataFrame:
+    """``fold`` of each row: its group's place in the order of a hash, modulo k."""
+    md5 = F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(seed)))
+    g = df.select(group).distinct().withColumns({"_h": F.conv(F.substring(md5, 1, 13), 16, 10).cast("double"), "_one": F.lit(1)})
+    ranked = prefix_sums(g, "_h", ["_one"], descending=False)  # thirteen digits: no two groups share a place
+    return df.join(ranked.select(group, ((F.col("cum__one") - 1) % k).cast("int").alias("fold")), group)
 
 
-def cross_validated(df: DataFrame, group: str, k: int = 5, method: str = "platt", score: str = "prob", label: str = "label") -> DataFrame:
-    """Out-of-fold calibrated scores; a fold whose training part has no positive passes scores through."""
-    folds, out = group_folds(df, group, k).cache(), None
+def cross_validated(df: DataFrame, group: str, k: int | None = 5, method: str = "platt", score: str = "prob", label: str = "label") -> DataFrame:
+    """Out-of-fold calibrated scores; a fold whose training part has no positive passes scores through. ``k`` None leaves one group out at a time."""
+    k = k or df.select(group).distinct().count()
+    folds, out = group_folds(df, group, k).persist(), None
     for f in range(k):
         train, test = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
         p = F.col(score).cast("double")
@@ -93,6 +96,16 @@ def cross_validated(df: DataFrame, group: str, k: int = 5, method: str = "platt"
     return out
 
 
+def fold_auc_delta(validated: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
+    """Per fold: AUC of raw and of calibrated scores, and their difference."""
+    raw, new = (roc_auc(validated, ["fold"], c, label).select("fold", F.col("auc").alias(n)) for c, n in ((score, "auc_raw"), ("calibrated", "auc_calibrated")))
+    return raw.join(new, "fold").withColumn("delta", F.col("auc_calibrated") - F.col("auc_raw"))
+
+
+#: Weights (draws x clusters) up to which resampling counts are drawn exactly, as one seeded table.
+EXACT_CELLS = 50_000_000
+
+
 def bootstrap_weights(clusters: Sequence, draws: int, seed: int) -> np.ndarray:
     """How often each cluster is drawn, (draws, clusters): resampling with replacement, in the clusters' order."""
     r = np.random.RandomState(seed)
@@ -100,61 +113,100 @@ def bootstrap_weights(clusters: Sequence, draws: int, seed: int) -> np.ndarray:
     return np.stack([np.bincount(r.randint(0, n, n), minlength=n) for _ in range(draws)])
 
 
-def weighted_auc(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float | None:
-    """AUC of weighted counts; rows are sorted by score, highest first, one for each distinct score and cluster."""
-    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-    p, n = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
-    if not p.sum() or not n.sum():
-        return None
-    return float((n * (np.cumsum(p) - p / 2)).sum() / p.sum() / n.sum())
+def resampling(df: DataFrame, cluster: str, draws: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """For tasks: the weights (draws, clusters) of some clusters, the same wherever they are asked for.
+
+    While the table of all weights has EXACT_CELLS at most, clusters are resampled with replacement;
+    beyond that each cluster's weights are Poisson numbers with a mean of one, seeded by the cluster.
+    """
+    names = df.select(F.col(cluster).cast("string").alias("c"), F.col(cluster).alias("o")).distinct()
+    if names.count() * draws > EXACT_CELLS:
+        return lambda c: np.stack([np.random.default_rng([seed, zlib.crc32(str(x).encode())]).poisson(1, draws) for x in c], 1)
+    order = [r.c for r in names.orderBy("o").collect()]
+    shared = df.sparkSession.sparkContext.broadcast((dict(zip(order, range(len(order)), strict=True)), bootstrap_weights(order, draws, seed).astype(np.int32)))
+    return lambda c: shared.value[1][:, [shared.value[0][str(x)] for x in c]]
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 2000, seed: int = 0, stat: Callable | None = None, target: float | None = None, score: str = "prob", label: str = "label", slices: int = 32) -> DataFrame:
-    """Interval of a statistic under resampling of clusters; AUC by default.
+def auc_draws(df: DataFrame, cluster: str, weights: Callable, draws: int, score: str, label: str, parts: int | None = None) -> DataFrame:
+    """draw, auc (null for one class) of all resamples.
 
-    Rows are compacted to counts per cluster and distinct score; the compact table is broadcast once
-    (``round`` scores first if they are many) and draws are dealt over tasks. One-class draws are left out.
+    Counts of each cluster and distinct score are dealt over ranges of the score. A range gives, for
+    every draw, its weighted positives and negatives and the pairs it orders; the ranges of a draw are
+    then added up from the highest one down. Nothing but those sums leaves a range.
     """
-    spark, f = df.sparkSession, stat or weighted_auc
-    compact = df.groupBy(cluster, F.col(score).cast("double").alias("p")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")).toPandas().sort_values(["p", cluster], ascending=[False, True])
-    names = sorted(compact[cluster].unique())
-    where = compact[cluster].map({c: i for i, c in enumerate(names)}).to_numpy(int)
-    shared = spark.sparkContext.broadcast((compact["p"].to_numpy(float), compact["pos"].to_numpy(float), compact["neg"].to_numpy(float), where, bootstrap_weights(names, draws, seed).astype(np.int32)))
-
-    def run(batches):
-        p, pos, neg, at, weights = shared.value
-        for pdf in batches:
-            got = []
-            for b in pdf["id"]:
-                w = weights[b][at]
-                got.append(f(p, pos * w, neg * w))
-            yield pd.DataFrame({"draw": pdf["id"], "value": pd.array(got, "Float64")})
-
-    got = spark.range(0, draws, 1, slices).mapInPandas(run, "draw long, value double").where("value is not null")
+    counts = df.groupBy(F.col(cluster).cast("string").alias("c"), F.col(score).cast("double").alias("p")).agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg")).where("p is not null").persist()
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = counts.agg(F.percentile_approx("p", [k / n for k in range(1, n)], 100 * n).alias("b")).first().b if n > 1 else []
+    ranged = Bucketizer(splits=[float("-inf"), *sorted(set(found or [])), float("inf")], inputCol="p", outputCol="part").transform(counts)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ascending=False, kind="stable")
+        names, where = np.unique(pdf["c"].to_numpy(str), return_inverse=True)
+        w, p = weights(names), pdf["p"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        out = np.zeros((4, draws))
+        for b in range(0, draws, 50):
+            some = w[b : b + 50][:, where]
+            pos, neg = (np.add.reduceat(some * pdf[k].to_numpy(), starts, 1) for k in ("pos", "neg"))
+            out[:, b : b + 50] = np.arange(b, b + len(some)), pos.sum(1), neg.sum(1), (neg * (np.cumsum(pos, 1) - pos / 2)).sum(1)
+        return pd.DataFrame({"part": key[0], "draw": out[0].astype(np.int32), "pos": out[1], "neg": out[2], "pairs": out[3]})
+
+    sums = ranged.groupBy("part").applyInPandas(run, "part double, draw int, pos double, neg double, pairs double")
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("draw").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("pairs", F.col("pairs") + F.col("neg") * above)
+    return sums.groupBy("draw").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def _interval(draws: DataFrame, target: float | None = None) -> DataFrame:
+    got = draws.where("value is not null")
     beyond = F.avg((F.col("value") >= target).cast("double")) if target is not None else F.lit(None).cast("double")
     return got.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg("value").alias("mean"), F.count("*").alias("n"), beyond.alias("p_at_least"))
 
 
-def paired_delta_bootstrap(pairs: DataFrame, cluster: str, draws: int = 2000, seed: int = 0, a: str = "prob_a", b: str = "prob_b", label: str = "label", slices: int = 32) -> DataFrame:
-    """Interval of AUC(b) - AUC(a), both from the same draw; share of draws in which b is worse."""
-    spark = pairs.sparkSession
-    compact = pairs.groupBy(cluster, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")).toPandas()
-    names = sorted(compact[cluster].unique())
-    where = compact[cluster].map({c: i for i, c in enumerate(names)}).to_numpy(int)
-    cols = [compact[c].to_numpy(float) for c in ("a", "b", "pos", "neg")]
-    shared = spark.sparkContext.broadcast((cols, where, bootstrap_weights(names, draws, seed).astype(np.int32)))
-
-    def run(batches):
-        (x, y, pos, neg), at, weights = shared.value
-        ox, oy = np.argsort(-x, kind="stable"), np.argsort(-y, kind="stable")
+def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 2000, seed: int = 0, target: float | None = None, score: str = "prob", label: str = "label") -> DataFrame:
+    """Interval of the AUC under resampling of clusters. One-class draws are left out."""
+    got = auc_draws(df, cluster, resampling(df, cluster, draws, seed), draws, score, label)
+    return _interval(got.withColumnRenamed("auc", "value"), target)
+
+
+def summed_draws(sums: DataFrame, cluster: str, columns: Sequence[str], by: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """``by``, draw, and the resampled sums of ``columns`` of a table of one row for each cluster and ``by``."""
+    weights, by = resampling(sums, cluster, draws, seed), list(by)
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = []
-            for d in pdf["id"]:
-                w = weights[d][at]
-                u, v = (weighted_auc(s[o], (pos * w)[o], (neg * w)[o]) for s, o in ((x, ox), (y, oy)))
-                got.append(None if u is None or v is None else v - u)
-            yield pd.DataFrame({"draw": pdf["id"], "value": pd.array(got, "Float64")})
-
-    got = spark.range(0, draws, 1, slices).mapInPandas(run, "draw long, value double").where("value is not null")
+            for key, part in pdf.groupby(by) if by else [((), pdf)]:
+                got = weights(part["c"].to_numpy(str)) @ part[list(columns)].to_numpy(float)
+                yield pd.DataFrame({**dict(zip(by, key, strict=True)), "draw": np.arange(draws, dtype=np.int32), **{c: got[:, i] for i, c in enumerate(columns)}})
+
+    schema = ", ".join([f"{b} {kinds[b]}" for b in by] + ["draw int"] + [f"{c} double" for c in columns])
+    table = sums.select(F.col(cluster).cast("string").alias("c"), *by, *columns)
+    return table.mapInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def ece_bootstrap(df: DataFrame, cluster: str, n_bins: int = 10, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
+    """Interval of the expected calibration error over bins of equal width, filled anew in each draw."""
+    p = F.col(score).cast("double")
+    bin_ = F.least(F.floor(p * n_bins), F.lit(n_bins - 1)).cast("int")
+    sums = df.groupBy(cluster, bin_.alias("bin")).agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("p"), F.sum(label).cast("double").alias("y"))
+    got = summed_draws(sums, cluster, ["n", "p", "y"], ["bin"], draws, seed)
+    return _interval(got.groupBy("draw").agg(F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("value")))
+
+
+def precision_bootstrap(df: DataFrame, threshold: float, cluster: str, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
+    """Share of positives among scores at or above a threshold, their number, and the share's interval under resampling of clusters."""
+    hot = F.col(score).cast("double") >= threshold
+    sums = df.groupBy(cluster).agg(F.count_if(hot).cast("double").alias("n"), F.sum(F.when(hot, F.col(label)).otherwise(0)).cast("double").alias("y"))
+    whole = sums.agg(F.try_divide(F.sum("y"), F.sum("n")).alias("precision"), F.sum("n").cast("long").alias("n_hot"))
+    got = summed_draws(sums, cluster, ["n", "y"], [], draws, seed)
+    return whole.join(F.broadcast(_interval(got.select(F.try_divide("y", "n").alias("value"))).select("lo", "hi")))  # one row
+
+
+def paired_delta_bootstrap(pairs: DataFrame, cluster: str, draws: int = 10_000, seed: int = 0, a: str = "prob_a", b: str = "prob_b", label: str = "label") -> DataFrame:
+    """Interval of AUC(b) - AUC(a), both from the same draw; share of draws in which b is worse."""
+    weights = resampling(pairs, cluster, draws, seed)
+    x, y = (auc_draws(pairs, cluster, weights, draws, c, label).withColumnRenamed("auc", n) for c, n in ((a, "x"), (b, "y")))
+    got = x.join(y, "draw").select((F.col("y") - F.col("x")).alias("value")).where("value is not null")
     out = got.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg("value").alias("delta"), F.avg((F.col("value") < 0).cast("double")).alias("p_worse"))
     return out.withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))

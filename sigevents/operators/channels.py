@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 # The canonical order of channels and the older names of four of them.
 CANONICAL = "Fp1 Fp2 F7 F3 Fz F4 F8 T3 C3 Cz C4 T4 T5 P3 Pz P4 T6 O1 O2".split()
 LEGACY = {"T7": "T3", "T8": "T4", "P7": "T5", "P8": "T6"}
-# Chains whose neighbours are the pairs of the bipolar montages.
-LONGITUDINAL = ["Fp1 F7 T3 T5 O1", "Fp2 F8 T4 T6 O2", "Fp1 F3 C3 P3 O1", "Fp2 F4 C4 P4 O2", "Fz Cz Pz"]
-TRANSVERSE = ["F7 Fp1 Fp2 F8", "F7 F3 Fz F4 F8", "T3 C3 Cz C4 T4", "T5 P3 Pz P4 T6", "T5 O1 O2 T6"]
+# The pairs of the bipolar montages, in their order.
+LONGITUDINAL = "Fp1-F7 F7-T3 T3-T5 T5-O1 Fp2-F8 F8-T4 T4-T6 T6-O2 Fp1-F3 F3-C3 C3-P3 P3-O1 Fp2-F4 F4-C4 C4-P4 P4-O2 Fz-Cz Cz-Pz".split()
+TRANSVERSE = "F7-Fp1 Fp1-Fp2 Fp2-F8 F7-F3 F3-Fz Fz-F4 F4-F8 T3-C3 C3-Cz Cz-C4 C4-T4 T5-P3 P3-Pz Pz-P4 P4-T6 T5-O1 O1-O2 O2-T6".split()
 
 
-def pairs_of(chains: Sequence[str]) -> list[tuple[str, str]]:
-    return [p for c in chains for p in zip(c.split(), c.split()[1:], strict=False)]
+def pairs_of(montage: Sequence[str]) -> list[tuple[str, str]]:
+    return [tuple(x.split("-")) for x in montage]
 
 
 def normalise_channel(name: Column, to_legacy: bool = True) -> Column:
@@ -41,10 +41,14 @@ def select_channels(channels: DataFrame, wanted: Sequence[str], partial: bool =
 
 
 def apply_montage(signals: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Bipolar derivations a - b per block: two equi-joins on recording and block; ``signals``: recording_id, channel, block_idx, samples."""
-    table = reduce(lambda d, x: d.unionByName(x), [signals.where(F.col("channel") == a).select("recording_id", "block_idx", F.lit(i).alias("pos"), F.lit(f"{a}-{b}").alias("derivation"), F.lit(b).alias("_b"), "samples") for i, (a, b) in enumerate(pairs)])
-    other = signals.select("recording_id", "block_idx", F.col("channel").alias("_b"), F.col("samples").alias("_s"))
-    return table.join(other, ["recording_id", "block_idx", "_b"]).select("recording_id", "block_idx", "pos", "derivation", F.zip_with("samples", "_s", lambda x, y: x - y).alias("samples"))
+    """Bipolar derivations a - b per block, in one pass; ``signals``: recording_id, channel, block_idx, samples.
+
+    A literal table tells the pairs and the side each channel is on; both sides of a pair meet in one aggregate.
+    """
+    sides = reduce(lambda c, x: c.when(F.col("channel") == x, F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p[0] == x).alias("plus"), F.lit("-".join(p)).alias("derivation")) for i, p in enumerate(pairs) if x in p])), dict.fromkeys(c for p in pairs for c in p), F)
+    dealt = signals.select("recording_id", "block_idx", "samples", F.explode(sides).alias("_x")).select("recording_id", "block_idx", "samples", "_x.*")
+    met = dealt.groupBy("recording_id", "block_idx", "pos", "derivation").agg(F.first(F.when(F.col("plus"), F.col("samples")), ignorenulls=True).alias("_a"), F.first(F.when(~F.col("plus"), F.col("samples")), ignorenulls=True).alias("_b"))
+    return met.where("_a is not null and _b is not null").select("recording_id", "block_idx", "pos", "derivation", F.zip_with("_a", "_b", lambda x, y: x - y).alias("samples"))
 
 
 def common_average(signals: DataFrame) -> DataFrame:

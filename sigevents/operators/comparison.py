@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigevents.operators.metrics import quantiles
+
 
 def pair_arms(a: DataFrame, b: DataFrame) -> DataFrame:
     """Windows scored in both arms, joined on recording and start."""
@@ -31,13 +33,31 @@ def unequal_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     return digest(a, "_a").join(digest(b, "_b"), "recording_id").where("_a <> _b").select("recording_id")
 
 
-def drift_report(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Score differences of paired windows: median, upper quantiles, greatest, flips at the threshold, identical ones."""
+def drift_report(a: DataFrame, b: DataFrame, threshold: float, refused: DataFrame | None = None) -> DataFrame:
+    """Score differences of paired windows: median, upper quantiles, greatest, flips at the threshold, identical ones.
+
+    Recordings with unequal window grids are left out, and those in ``refused`` (recording_id; see :func:`refusals`).
+    """
     bad = unequal_grids(a, b)
+    bad = bad.unionByName(refused.select("recording_id")).distinct() if refused is not None else bad
     pairs = pair_arms(a.join(bad, "recording_id", "left_anti"), b.join(bad, "recording_id", "left_anti"))
-    x, y = F.col("prob_a").cast("double"), F.col("prob_b").cast("double")
-    d = F.abs(x - y)
-    return pairs.agg(F.count("*").alias("n"), F.percentile(d, 0.5).alias("median"), F.percentile(d, 0.95).alias("p95"), F.percentile(d, 0.99).alias("p99"), F.max(d).alias("largest"), F.count_if((x >= threshold) != (y >= threshold)).alias("flips"), F.count_if(d == 0).alias("identical"))
+    pairs = pairs.select(F.col("prob_a").cast("double").alias("x"), F.col("prob_b").cast("double").alias("y")).withColumn("d", F.abs(F.col("x") - F.col("y"))).persist()
+    q = quantiles(pairs, F.col("d"), [0.5, 0.95, 0.99]) or [None] * 3
+    named = [F.lit(v).cast("double").alias(n) for v, n in zip(q, ("median", "p95", "p99"), strict=True)]
+    got = pairs.agg(F.count("*").alias("n"), F.max("d").alias("largest"), F.count_if((F.col("x") >= threshold) != (F.col("y") >= threshold)).alias("flips"), F.count_if(F.col("d") == 0).alias("identical"))
+    return got.select("n", *named, "largest", "flips", "identical")
+
+
+def refusals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """recording_id, reason of recordings (recording_id, stem, sha256) that cannot be compared: an ambiguous stem in an arm, or other content."""
+    stem = lambda d: d.join(ambiguous_stems(d), "stem", "left_semi").select("recording_id", F.lit("ambiguous").alias("reason"))
+    other = a.select("recording_id", "sha256").join(b.select("recording_id", F.col("sha256").alias("_s")), "recording_id").where("sha256 <> _s").select("recording_id", F.lit("content").alias("reason"))
+    return stem(a).unionByName(stem(b)).unionByName(other).groupBy("recording_id").agg(F.min("reason").alias("reason"))
+
+
+def event_totals(compared: DataFrame) -> DataFrame:
+    """Sums of a comparison of event lists over all recordings, and the greatest shift."""
+    return compared.agg(*[F.sum(c).alias(c) for c in ("matched", "lost", "gained")], F.max("max_shift").alias("max_shift"))
 
 
 def worst_recordings(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -98,11 +118,16 @@ def interval_coverage_check(intervals: DataFrame) -> DataFrame:
 
 
 def boundary_fingerprint_match(a: DataFrame, b: DataFrame, tol: float = 0.05) -> DataFrame:
-    """Pairs of recordings that share interval boundaries, exactly or within ``tol``; joined on rounded buckets and their neighbours."""
+    """Pairs of recordings that share interval boundaries, exactly or within ``tol``.
+
+    Joined on the cells of start and stop, the one side with their neighbours, so that intervals that
+    merely begin alike (as at 0) do not meet.
+    """
     cell = lambda c: F.floor(F.col(c) / tol).cast("long")
-    x = a.select(F.col("recording_id").alias("rec_a"), F.col("start_s").alias("a0"), F.col("stop_s").alias("a1"), F.explode(F.array(*[cell("start_s") + k for k in (-1, 0, 1)])).alias("c"))
-    y = b.select(F.col("recording_id").alias("rec_b"), F.col("start_s").alias("b0"), F.col("stop_s").alias("b1"), cell("start_s").alias("c"))
-    near = x.join(y, "c").where((F.abs(F.col("a0") - F.col("b0")) <= tol) & (F.abs(F.col("a1") - F.col("b1")) <= tol))
+    around = [F.struct((cell("start_s") + i).alias("c"), (cell("stop_s") + j).alias("d")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    x = a.select(F.col("recording_id").alias("rec_a"), F.col("start_s").alias("a0"), F.col("stop_s").alias("a1"), F.explode(F.array(*around)).alias("_c")).select("*", "_c.*")
+    y = b.select(F.col("recording_id").alias("rec_b"), F.col("start_s").alias("b0"), F.col("stop_s").alias("b1"), cell("start_s").alias("c"), cell("stop_s").alias("d"))
+    near = x.join(y, ["c", "d"]).where((F.abs(F.col("a0") - F.col("b0")) <= tol) & (F.abs(F.col("a1") - F.col("b1")) <= tol))
     return near.groupBy("rec_a", "rec_b").agg(F.count("*").alias("shared"), F.count_if((F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1"))).alias("exact"))
 
 
@@ -130,6 +155,14 @@ def export_selection(events: DataFrame, durations: DataFrame) -> DataFrame:
     return e.select("recording_id", F.greatest("start_s", F.lit(0.0)).alias("start_s"), F.least("stop_s", "duration_s").alias("stop_s"), F.lit(1.0).alias("confidence"), F.col("prob").alias("model_score"), (F.col("status") == "added").alias("human_originated")).where("stop_s > start_s")
 
 
+def export_summary(events: DataFrame, windows: DataFrame, durations: DataFrame) -> DataFrame:
+    """Per recording: exported events, windows that were never assessed, and whether the export is empty."""
+    n = export_selection(events, durations).groupBy("recording_id").agg(F.count("*").alias("exported"))
+    w = windows.groupBy("recording_id").agg(F.count_if(F.coalesce(F.col("skip_code"), F.lit(0)) != 0).alias("unassessed"))
+    out = durations.select("recording_id").join(n, "recording_id", "left").join(w, "recording_id", "left").fillna(0, ["exported", "unassessed"])
+    return out.withColumn("empty_export", F.col("exported") == 0)
+
+
 def scoring_backlog(recordings: DataFrame, runs: DataFrame) -> DataFrame:
     """Recordings without a run, or whose size differs or whose time of change differs by more than a second."""
     r = runs.select("recording_id", F.col("size").alias("_s"), F.col("mtime").alias("_m"))

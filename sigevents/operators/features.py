@@ -30,26 +30,25 @@ def resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(out, n) * n / m
 
 
-def interrupted(window: np.ndarray) -> int:
-    """0 for a sound window (channels x samples), else the reason it is not."""
-    if window.size == 0:
-        return EMPTY
-    peak = np.abs(window).max(1)
-    if peak.min() <= 0 or (peak / peak.min() > 50).any():
-        return RATIO
-    step = window.shape[1] // 10
-    if not step:
-        return EMPTY
-    spread = window[:, : step * 10].reshape(len(window), 10, step).std(2)
-    return DC if (spread < 1).any() else UNSTABLE if (spread > 5000).any() else GOOD
-
-
-def log_spectrogram(window: np.ndarray, fs: int = 250, taper: np.ndarray | None = None, keep_dc: bool = False) -> np.ndarray:
-    """Frames of one second at half overlap, (time, channel, frequency): log10 magnitude, at least 0."""
+def interrupted(windows: np.ndarray) -> np.ndarray:
+    """0 for each sound window of a stack (windows x channels x samples), else the reason it is not."""
+    n, channels, samples = windows.shape
+    step = samples // 10
+    if not channels or not step:
+        return np.full(n, RATIO if channels and samples and np.abs(windows).max() > 0 else EMPTY)
+    peak = np.abs(windows).max(2)
+    low = peak.min(1)
+    ratio = (low <= 0) | (peak.max(1) > 50 * low)
+    spread = windows[:, :, : step * 10].reshape(n, channels, 10, step).std(3).reshape(n, -1)
+    return np.select([ratio, spread.min(1) < 1, spread.max(1) > 5000], [RATIO, DC, UNSTABLE], GOOD)
+
+
+def log_spectrogram(windows: np.ndarray, fs: int = 250, taper: np.ndarray | None = None, keep_dc: bool = False) -> np.ndarray:
+    """Frames of one second at half overlap of windows (..., channel, sample), as (..., time, channel, frequency): log10 magnitude, at least 0."""
     taper = np.sin(np.pi * (np.arange(fs) + 0.5) / fs) if taper is None else taper
-    frames = np.lib.stride_tricks.sliding_window_view(window, fs, axis=1)[:, :: fs // 2]
-    power = np.log10(np.abs(np.fft.rfft(frames * taper, axis=2)) + 1e-6)
-    return np.maximum(power if keep_dc else power[:, :, 1:], 0).transpose(1, 0, 2)
+    frames = np.lib.stride_tricks.sliding_window_view(windows, fs, axis=-1)[..., :: fs // 2, :]
+    power = np.log10(np.abs(np.fft.rfft(frames * taper, axis=-1)) + 1e-6)
+    return np.maximum(power if keep_dc else power[..., 1:], 0).swapaxes(-3, -2)
 
 
 def fft_bins(x: np.ndarray, fs: int = 250, most: int = 47) -> np.ndarray:
@@ -59,67 +58,96 @@ def fft_bins(x: np.ndarray, fs: int = 250, most: int = 47) -> np.ndarray:
 
 
 def welch(x: np.ndarray, fs: float, nperseg: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One-sided density: periodic Hann, half overlap, means removed."""
+    """One-sided density of signals (..., sample): periodic Hann, half overlap, means removed."""
     x = np.asarray(x, float)
-    if len(x) < 2:
-        return np.zeros(1), np.zeros(1)
-    n = nperseg or min(1 << int(np.ceil(np.log2(2 * fs))), 1 << int(np.log2(len(x))))
-    n = min(n, len(x))
+    if x.shape[-1] < 2:
+        return np.zeros(1), np.zeros((*x.shape[:-1], 1))
+    n = nperseg or min(1 << int(np.ceil(np.log2(2 * fs))), 1 << int(np.log2(x.shape[-1])))
+    n = min(n, x.shape[-1])
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    frames = np.lib.stride_tricks.sliding_window_view(x, n)[:: max(1, n - n // 2)]
-    p = (np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * w, axis=1)) ** 2).mean(0) / (fs * (w**2).sum())
-    p[1 : -1 if n % 2 == 0 else None] *= 2
+    frames = np.lib.stride_tricks.sliding_window_view(x, n, axis=-1)[..., :: max(1, n - n // 2), :]
+    p = (np.abs(np.fft.rfft((frames - frames.mean(-1, keepdims=True)) * w, axis=-1)) ** 2).mean(-2) / (fs * (w**2).sum())
+    p[..., 1 : -1 if n % 2 == 0 else None] *= 2
     return np.fft.rfftfreq(n, 1 / fs), p
 
 
-def band_powers(x: np.ndarray, fs: float, nperseg: int | None = None) -> dict[str, float]:
-    """Area under the density in each band; band edges are interpolated."""
+def _at(grid: np.ndarray, f: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Densities (..., frequency) at the places of a grid, linear between frequencies."""
+    i = np.clip(np.searchsorted(f, grid, "right") - 1, 0, max(0, len(f) - 2))
+    j = np.minimum(i + 1, len(f) - 1)
+    part = np.clip(np.divide(grid - f[i], f[j] - f[i], out=np.zeros(len(grid)), where=f[j] > f[i]), 0, 1)
+    return p[..., i] + (p[..., j] - p[..., i]) * part
+
+
+def band_powers(x: np.ndarray, fs: float, nperseg: int | None = None) -> dict[str, np.ndarray]:
+    """Area under the density of signals (..., sample) in each band; band edges are interpolated."""
     f, p = welch(x, fs, nperseg)
     out = {}
     for name, (lo, hi) in BANDS.items():
         hi = min(hi, f[-1])
         grid = np.unique(np.r_[lo, f[(f > lo) & (f < hi)], hi]) if hi > lo else np.array([lo])
-        out[name] = float(np.trapezoid(np.interp(grid, f, p), grid)) if len(grid) > 1 else 0.0
+        out[name] = np.trapezoid(_at(grid, f, p), grid, axis=-1) if len(grid) > 1 else np.zeros(p.shape[:-1])
     return out
 
 
+def stacks(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and stack of the arrays of each shape in a column of arrays, or of arrays of arrays."""
+    arrays = [np.stack([np.asarray(c, float) for c in x]) if len(x) and isinstance(x[0], (np.ndarray, list)) else np.asarray(x, float) for x in column]
+    shapes: dict[tuple, list[int]] = {}
+    for i, x in enumerate(arrays):
+        shapes.setdefault(x.shape, []).append(i)
+    return ((np.array(at), np.stack([arrays[i] for i in at])) for at in shapes.values())
+
+
 def _each(df: DataFrame, column: str, f: Callable, names: str) -> DataFrame:
-    """Rows of ``df`` with what ``f`` makes of an array column instead of it; small batches come from the session."""
+    """Rows of ``df`` with what ``f`` makes of an array column instead of it. ``f`` gets all arrays of a batch that have one shape
+    as a stack, and gives a list of values for each new column; small batches come from the session."""
     keys = [x for x in df.schema.fields if x.name != column]
     schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in keys) + ", " + names
+    new = [c.split()[0] for c in names.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [f(x) for x in pdf[column]]
-            yield pd.concat([pdf.drop(columns=column).reset_index(drop=True), pd.DataFrame(got, columns=[c.split()[0] for c in names.split(", ")])], axis=1)
+            values: list[list] = [[None] * len(pdf) for _ in new]
+            for at, stack in stacks(pdf[column]):
+                for into, got in zip(values, f(stack), strict=True):
+                    for i, v in zip(at, got, strict=True):
+                        into[i] = v
+            yield pdf.drop(columns=column).reset_index(drop=True).assign(**dict(zip(new, values, strict=True)))
 
     return df.mapInPandas(run, schema)
 
 
 def resample_signal(signals: DataFrame, fs: int, to: int = 250) -> DataFrame:
-    return _each(signals, "samples", lambda x: (resample(np.asarray(x, float), int(len(x) * to / fs)).astype(np.float32).tolist(),), "resampled array<float>")
-
-
-def _matrix(x) -> np.ndarray:
-    return np.array([np.asarray(c, float) for c in x])
+    return _each(signals, "samples", lambda x: ([resample(v, int(len(v) * to / fs)).astype(np.float32) for v in x],), "resampled array<float>")
 
 
 def interrupted_flag(windows: DataFrame) -> DataFrame:
-    return _each(windows, "samples", lambda x: (interrupted(_matrix(x)),), "reason int")
+    return _each(windows, "samples", lambda x: (interrupted(x if x.ndim == 3 else x.reshape(len(x), 0, 0)).tolist(),), "reason int")
 
 
 def stft_features(windows: DataFrame, fs: int = 250) -> DataFrame:
-    def one(x):
-        s = log_spectrogram(_matrix(x), fs)
-        return s.astype(np.float32).ravel().tolist(), *s.shape
+    def all_of(x: np.ndarray) -> tuple:
+        s = log_spectrogram(x, fs).astype(np.float32)
+        return list(s.reshape(len(s), -1)), *([n] * len(s) for n in s.shape[1:])
+
+    return _each(windows, "samples", all_of, "spec array<float>, n_time int, n_ch int, n_freq int")
+
 
-    return _each(windows, "samples", one, "spec array<float>, n_time int, n_ch int, n_freq int")
+def fft_bin_table(blocks: DataFrame, fs: int = 250, most: int = 47) -> DataFrame:
+    """Magnitudes of bins 1..most of each block's whole seconds, one after the other."""
+    return _each(blocks, "samples", lambda x: ([fft_bins(v, fs, most).ravel() for v in x],), "bins array<double>")
 
 
 def band_power_table(blocks: DataFrame, fs: float, nperseg: int | None = None) -> DataFrame:
     """Band powers of each block, and their shares of the total (0 where flat)."""
     names = list(BANDS)
-    out = _each(blocks, "samples", lambda x: tuple(band_powers(np.asarray(x, float), fs, nperseg)[n] for n in names), ", ".join(f"{n} double" for n in names))
+
+    def all_of(x: np.ndarray) -> list[list]:
+        got = band_powers(x, fs, nperseg)
+        return [got[n].tolist() for n in names]
+
+    out = _each(blocks, "samples", all_of, ", ".join(f"{n} double" for n in names))
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return out.withColumns({f"{n}_ratio": F.when(total > 0, F.col(n) / total).otherwise(0.0) for n in names})
 
@@ -134,18 +162,18 @@ def score_windows(windows: DataFrame, make_scorer: Callable[[], Callable], make_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, cleaner = make_scorer(), make_cleaner() if make_cleaner else None
         for pdf in batches:
-            skip, prob, fine, at = np.zeros(len(pdf), np.int8), np.zeros(len(pdf), np.float32), [], []
-            for i, x in enumerate(pdf["samples"]):
-                w = _matrix(x)
-                if interrupted(w):
-                    skip[i] = 1
-                elif cleaner and (w := cleaner(w)) is None:
-                    skip[i] = 2
-                else:
-                    fine.append(w)
-                    at.append(i)
-            if fine:
-                prob[at] = scorer(np.stack(fine))
+            skip, prob = np.zeros(len(pdf), np.int8), np.zeros(len(pdf), np.float32)
+            for at, stack in stacks(pdf["samples"]):
+                bad = interrupted(stack if stack.ndim == 3 else stack.reshape(len(stack), 0, 0)) != GOOD
+                skip[at[bad]] = 1
+                at, fine = at[~bad], stack[~bad]
+                if cleaner:
+                    cleaned = [cleaner(w) for w in fine]
+                    kept = np.array([w is not None for w in cleaned], bool)
+                    skip[at[~kept]] = 2
+                    at, fine = at[kept], [w for w in cleaned if w is not None]
+                if len(at):
+                    prob[at] = scorer(np.stack(fine))
             yield pd.DataFrame({"recording_id": pdf["recording_id"], "start_s": pdf["start_s"], "prob": prob, "skip_code": skip})
 
     return windows.select("recording_id", "start_s", "samples").mapInPandas(run, f"recording_id {kind}, start_s int, prob float, skip_code byte")

@@ -1,14 +1,20 @@
-"""Matching of event lists. Greedy matching is sequential by nature: it runs in grouped pandas over the
-few events of a recording and threshold; everything about proximity alone is a join."""
+"""Matching of event lists. Greedy matching is sequential by nature: tasks stream over the few events of
+each recording and threshold; everything about proximity alone is a join."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from sigevents.config import DEFAULT, OperatingPoint
+from sigevents.operators.events import events_from_windows, threshold_table
 from sigevents.operators.intervals import concatenate_nearby
 
 KEY = ("recording_id", "threshold")
@@ -33,16 +39,33 @@ def greedy(preds: list[tuple], refs: list[tuple], tol: float) -> list[tuple]:
 
 
 def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame) -> DataFrame:
-    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds to be scored."""
-    sides = preds.select(*KEY, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*KEY).join(refs, "recording_id").select(*KEY, F.lit(1).alias("side"), "start_s", "stop_s"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = [list(map(tuple, pdf.loc[pdf.side == k, ["start_s", "stop_s"]].to_numpy(float))) for k in (0, 1)]
-        got = pd.DataFrame(greedy(*pairs, tol), columns=[c.split()[0] for c in MATCHES.split(", ")])
-        return got.assign(recording_id=key[0], threshold=key[1])[[*KEY, *got.columns]]
+    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds to be scored.
 
-    kind = dict(preds.dtypes)["recording_id"]
-    return sides.groupBy(*KEY).applyInPandas(run, f"recording_id {kind}, threshold double, {MATCHES}")
+    A recording's events of all thresholds are dealt to one task and streamed in order, one threshold at a time.
+    """
+    kind = next(f.dataType for f in preds.schema.fields if f.name == "recording_id")
+    sides = preds.select(*KEY, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*KEY).join(refs, "recording_id").select(*KEY, F.lit(1).alias("side"), "start_s", "stop_s"))
+    names, types = zip(*(c.split() for c in MATCHES.split(", ")), strict=True)
+    arrow = [to_arrow_type(kind), pa.float64(), *(pa.string() if t == "string" else pa.float64() for t in types)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (*KEY, "side", "start_s", "stop_s")), strict=True))
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=[*KEY, *names])
+        for key, group in groupby(rows, key=lambda r: r[:2]):
+            pairs: tuple[list, list] = ([], [])
+            for _, _, side, a, b in group:
+                pairs[side].append((a, b))
+            out += [(*key, *x) for x in greedy(*pairs, tol)]
+            if len(out) > 20_000:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
+
+    # by a hash of the key: with the key itself Spark may take a cached side as dealt already and leave the shuffle of the union out
+    dealt = sides.repartition(F.xxhash64("recording_id")).sortWithinPartitions(*KEY)
+    return dealt.mapInArrow(run, f"recording_id {kind.simpleString()}, threshold double, {MATCHES}")
 
 
 def _near(a: DataFrame, b: DataFrame, tol: float, by: tuple[str, ...], how: str, strict: bool = False) -> DataFrame:
@@ -62,14 +85,23 @@ def proximity_misses(events: DataFrame, others: DataFrame, tol: float, by: tuple
 
 
 def score_overlap(preds: DataFrame, refs: DataFrame, keys: DataFrame, merge_fa_s: float | None = None) -> DataFrame:
-    """Per key: references that any prediction overlaps, and predictions that overlap none (those nearer than ``merge_fa_s`` count once)."""
-    r = keys.select(*KEY).join(refs.select("recording_id", "start_s", "stop_s"), "recording_id")
-    hits = _near(r, preds, 0.0, KEY, "left_semi", strict=True)
-    false = _near(preds.select(*KEY, "start_s", "stop_s"), r, 0.0, KEY, "left_anti", strict=True)
-    if merge_fa_s is not None:
-        false = concatenate_nearby(false, merge_fa_s, KEY)
-    h, f, n = (x.groupBy(*KEY).agg(F.count("*").alias(c)) for x, c in ((hits, "hits"), (false, "false_alarms"), (r, "n_refs")))
-    return keys.select(*KEY).distinct().join(h, list(KEY), "left").join(f, list(KEY), "left").join(n, list(KEY), "left").fillna(0, ["hits", "false_alarms", "n_refs"])
+    """Per key: references that any prediction overlaps, and predictions that overlap none (those nearer than ``merge_fa_s`` count once).
+
+    One range join tells both: a prediction without a partner is a false alarm, a partner is a hit.
+    """
+    r = refs.groupBy("recording_id", "start_s", "stop_s").agg(F.count("*").alias("_times"))
+    p = preds.select(*KEY, "start_s", "stop_s")
+    o = r.select(F.col("recording_id").alias("_rec"), F.col("start_s").alias("_b0"), F.col("stop_s").alias("_b1"), "_times")
+    met = p.join(o, (F.col("recording_id") == F.col("_rec")) & (F.col("start_s") < F.col("_b1")) & (F.col("stop_s") > F.col("_b0")), "left")
+    if merge_fa_s is None:
+        by_ref = met.groupBy(*KEY, "_b0", "_b1").agg(F.first("_times").alias("_hits"), F.count("*").alias("_n"))
+        found = by_ref.groupBy(*KEY).agg(F.sum("_hits").alias("hits"), F.sum(F.when(F.col("_b0").isNull(), F.col("_n"))).alias("false_alarms"))
+    else:
+        hits = met.where("_b0 is not null").groupBy(*KEY, "_b0", "_b1").agg(F.first("_times").alias("_hits")).groupBy(*KEY).agg(F.sum("_hits").alias("hits"))
+        false = concatenate_nearby(met.where("_b0 is null").select(*KEY, "start_s", "stop_s"), merge_fa_s, KEY).groupBy(*KEY).agg(F.count("*").alias("false_alarms"))
+        found = hits.join(false, list(KEY), "full")
+    n = r.groupBy("recording_id").agg(F.sum("_times").alias("n_refs"))
+    return keys.select(*KEY).distinct().join(found, list(KEY), "left").join(n, "recording_id", "left").select(*KEY, "hits", "false_alarms", "n_refs").fillna(0)
 
 
 def summarise_run(matches: DataFrame, durations: DataFrame, keys: DataFrame) -> DataFrame:
@@ -91,6 +123,43 @@ def event_sweep(runs: DataFrame, cohort: str = "cohort") -> DataFrame:
     return add_rates(g)
 
 
+ABLATION = {"raw": (False, False), "shape": (False, True), "average": (True, False), "average_shape": (True, True)}
+
+
+def postprocessing_ablation(windows: DataFrame, durations: DataFrame, refs: DataFrame, keys: DataFrame, thresholds: Sequence[float], op: OperatingPoint = DEFAULT) -> DataFrame:
+    """The event sweep for hot windows as they are, shaped, averaged per second, and both; ``config`` tells which.
+
+    ``keys``: the recordings to be scored; ``durations``: recording_id, duration_s, cohort.
+    """
+    runs = []
+    for config, (average, shape) in ABLATION.items():
+        e = events_from_windows(windows, durations, thresholds, op, average=average, shape=shape).join(keys, "recording_id", "left_semi")
+        runs.append(e.withColumn("config", F.lit(config)))
+    preds = reduce(lambda a, b: a.unionByName(b), runs)
+    # the greedy match is per recording and threshold: a configuration is a part of the recording's name here
+    named = lambda d: d.withColumn("recording_id", F.struct("recording_id", "config"))
+    whole = F.explode(F.array(*map(F.lit, ABLATION))).alias("config")
+    of = named(threshold_table(keys.select("recording_id", whole), thresholds))
+    matches = match_events(named(preds), named(refs.select("*", whole)), op.tolerance, of)
+    counts = matches.groupBy(F.col("recording_id.config").alias("config"), "threshold").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("match", "hits"), ("miss", "misses"), ("false_positive", "false_positives"), ("duplicate", "duplicates"))])
+    total = durations.join(keys, "recording_id", "left_semi").agg(F.sum("duration_s").alias("duration_s"))
+    grid = windows.sparkSession.createDataFrame([(c, float(t)) for c in ABLATION for t in thresholds], "config string, threshold double")
+    out = grid.join(counts, ["config", "threshold"], "left").fillna(0).join(F.broadcast(total))  # one row
+    return add_rates(out.withColumn("n_refs", F.col("hits") + F.col("misses")))
+
+
+def convention_comparison(preds: DataFrame, refs: DataFrame, durations: DataFrame, keys: DataFrame, tol: float, merge_fa_s: float = 30.0) -> DataFrame:
+    """Per threshold: hits, false alarms, sensitivity and false alarms per 24 h by greedy matching, by any overlap, and by any overlap with near false alarms merged."""
+    m = match_events(preds, refs, tol, keys).groupBy("threshold").agg(F.count_if(F.col("kind") == "match").alias("hits"), F.count_if(F.col("kind") == "false_positive").alias("false_alarms"), F.count_if(F.col("kind").isin("match", "miss")).alias("n_refs"))
+    parts = [m.withColumn("convention", F.lit("greedy"))]
+    for name, merge in (("overlap", None), ("overlap_merged", merge_fa_s)):
+        o = score_overlap(preds, refs, keys, merge).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("hits", "false_alarms", "n_refs")])
+        parts.append(o.withColumn("convention", F.lit(name)))
+    total = durations.join(keys.select("recording_id").distinct(), "recording_id", "left_semi").agg(F.sum("duration_s").alias("duration_s"))
+    out = reduce(lambda a, b: a.unionByName(b), parts).join(F.broadcast(total))  # one row
+    return out.withColumns({"sensitivity": F.try_divide("hits", "n_refs"), "fa_per_24h": F.try_divide(F.col("false_alarms") * F.lit(86400.0), "duration_s")})
+
+
 def compare_event_lists(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per recording: greedy matching by overlap in time order; matched, lost, gained, greatest shift of a boundary."""
     kind = dict(a.dtypes)["recording_id"]
@@ -142,6 +211,16 @@ def merge_review_state(proposals: DataFrame, reviewed: DataFrame, least: float =
     return proposals.groupBy("recording_id").cogroup(reviewed.groupBy("recording_id")).applyInPandas(run, f"recording_id {kind}, {REVIEW}")
 
 
+def shortest_first(recordings: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` shortest recordings; ties in order of the recording."""
+    return recordings.orderBy("duration_s", "recording_id").limit(limit)
+
+
+def worklist(events: DataFrame) -> DataFrame:
+    """Each recording's events with ``place``, their order of review: by start, then stop."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy("recording_id").orderBy("start_s", "stop_s")))
+
+
 def top_rows(df: DataFrame, k: int, order: list, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")

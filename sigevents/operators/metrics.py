@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = True) -> DataFrame:
-    """Running sums over all rows in order, without a one-task window: range partitions are summed on
-    their own, and each adds the totals of those before it (as many numbers as partitions)."""
-    key = F.desc(order) if descending else F.asc(order)
-    parts = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    totals = parts.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values]).orderBy("_part").collect()
+def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = True, parts: int | None = None) -> DataFrame:
+    """Running sums over all rows in order of a number, without a one-task window: ranges of ``order``
+    are summed on their own, and each adds the totals of those before it.
+
+    The ranges' bounds are numbers found once, so a row is of the same range however often and in
+    whatever partitions the table is read; ``parts`` ranges, or as many as shuffle partitions. Rows
+    without a number are left out; equal ones follow in any order.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).withColumn("_order", F.col(order).cast("double"))
+    found = df.agg(F.percentile_approx("_order", [k / n for k in range(1, n)], 100 * n).alias("b")).first().b if n > 1 else []
+    splits = [float("-inf"), *sorted({x for x in found or [] if abs(x) < float("inf")}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_part").transform(df).withColumn("_part", F.col("_part").cast("int"))
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values]).collect()
     rows, run = [], dict.fromkeys(values, 0)
-    for r in totals:
+    for r in sorted(totals, key=lambda r: r["_part"], reverse=descending):
         rows.append((r["_part"], *[run[v] for v in values]))
         run = {v: run[v] + (r[v] or 0) for v in values}
-    base = df.sparkSession.createDataFrame(rows, "_part int, " + ", ".join(f"_base_{v} long" for v in values))
-    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(base), "_part")  # one row a partition
-    return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"_base_{v}") for v in values}).drop("_part", *[f"_base_{v}" for v in values])
+    base = spark.createDataFrame(rows, "_part int, " + ", ".join(f"_base_{v} long" for v in values))
+    w = Window.partitionBy("_part").orderBy(F.desc("_order") if descending else F.asc("_order")).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(base), "_part")  # one row a range
+    return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"_base_{v}") for v in values}).drop("_part", "_order", *[f"_base_{v}" for v in values])
+
+
+def quantiles(df: DataFrame, value: Column, qs: Sequence[float]) -> list[float] | None:
+    """Exact linear quantiles of all values, from counts of distinct ones; at most two rows for each come to the driver."""
+    t = df.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n")).persist()
+    total = t.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    places = [q * (total - 1) for q in qs]
+    wanted = sorted({int(i) for x in places for i in (math.floor(x), math.ceil(x))})
+    ends = prefix_sums(t, "v", ["n"], descending=False)
+    hit = ends.select("v", F.explode(F.filter(F.array(*[F.lit(i).cast("long") for i in wanted]), lambda i: (i < F.col("cum_n")) & (i >= F.col("cum_n") - F.col("n")))).alias("i"))
+    at = {r.i: r.v for r in hit.collect()}
+    t.unpersist()
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in places]
 
 
 def score_table(df: DataFrame, by: Sequence[str] = (), score: str = "prob", label: str = "label") -> DataFrame:
     """Distinct scores with counts of both classes and running counts from the highest score down."""
     t = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
     if not by:
-        return prefix_sums(t, "score", ["pos", "neg"])
+        return prefix_sums(t.persist(), "score", ["pos", "neg"])  # the distinct scores are read three times
     w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumns({"cum_pos": F.sum("pos").over(w), "cum_neg": F.sum("neg").over(w)})
 
@@ -90,8 +116,7 @@ def bin_edges(df: DataFrame, n_bins: int, strategy: str, p: Column) -> list[floa
     if strategy == "width":
         edges = [i / n_bins for i in range(n_bins + 1)]
     else:
-        got = df.agg(F.percentile(p, [i / n_bins for i in range(n_bins + 1)]).alias("q")).first().q
-        edges = sorted(set(got or [0.0, 1.0]))
+        edges = sorted(set(quantiles(df, p, [i / n_bins for i in range(n_bins + 1)]) or [0.0, 1.0]))
         edges[0] = 0.0
     if len(edges) < 2:
         edges = [0.0, 1.0]
@@ -128,11 +153,20 @@ def precision_at_threshold(df: DataFrame, threshold: float, score: str = "prob",
 
 
 def false_positive_concentration(false: DataFrame, recordings: DataFrame) -> DataFrame:
-    """False-positive windows per recording, most first, with the running share of all."""
+    """False-positive windows per recording, most first, with rank and the running share of all; ties in order of the recording."""
     n = recordings.select("recording_id").join(false.groupBy("recording_id").agg(F.count("*").alias("n")), "recording_id", "left").fillna(0, ["n"])
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a recording
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "recording_id")
-    return n.select("recording_id", "n", F.row_number().over(order).alias("rank"), F.try_divide(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), total).alias("share"))
+    # recordings with as many are ranked among themselves, those with more by sums over distinct numbers
+    same = n.groupBy(F.col("n").alias("n")).agg(F.count("*").alias("_of"), F.sum("n").alias("_sum"))
+    total = same.agg(F.sum("_sum").alias("_total"))
+    before = prefix_sums(same, "n", ["_of", "_sum"]).select("n", (F.col("cum__of") - F.col("_of")).alias("_ahead"), (F.col("cum__sum") - F.col("_sum")).alias("_more"))
+    own = F.row_number().over(Window.partitionBy("n").orderBy("recording_id"))
+    ranked = n.withColumn("_own", own).join(before, "n").join(F.broadcast(total))  # one row
+    return ranked.select("recording_id", "n", (F.col("_ahead") + F.col("_own")).alias("rank"), F.try_divide(F.col("_more") + F.col("_own") * F.col("n"), "_total").alias("share"))
+
+
+def background_percentiles(windows: DataFrame, q: float = 0.85) -> DataFrame:
+    """Per recording: the q-quantile of its scored windows' scores."""
+    return windows.where("coalesce(skip_code, 0) = 0").groupBy("recording_id").agg(F.percentile(F.col("prob").cast("double"), q).alias("background"))
 
 
 def aggregate_arms(runs: DataFrame) -> DataFrame:

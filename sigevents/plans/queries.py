@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT as OP
-from sigevents.operators import calibration, channels, comparison, events, features, intervals, labels, matching, metrics, seconds, windows
+from sigevents.operators import calibration, channels, comparison, events, intervals, labels, matching, metrics, seconds, windows
 from sigevents.shipping import ship
 from sigevents.sources import driver_tables as T
 
@@ -23,7 +22,8 @@ def query(sql: str | None = None, base: bool = True):
     def add(f):
         QUERIES[f.__name__] = lambda spark, d: (ship(spark), f(spark, d))[1]
         if sql:
-            SQL[f.__name__] = ("WITH " + T.SQL.strip() + sql) if base else sql
+            start, sql_ = ("WITH RECURSIVE ", sql.removeprefix("RECURSIVE")) if sql.startswith("RECURSIVE") else ("WITH ", sql)
+            SQL[f.__name__] = (start + T.SQL.strip() + sql_) if base else sql
         return f
 
     return add
@@ -152,17 +152,6 @@ def event_runs(spark, d) -> DataFrame:
     return matching.summarise_run(m, rec.select("recording_id", "duration_s", "cohort"), keys)
 
 
-@query()
-def match_events(spark, d):
-    e, keys = _events_and_keys(spark, d)
-    return matching.match_events(e, T.references(spark, d), OP.tolerance, keys)
-
-
-@query()
-def event_sweep(spark, d):
-    return r6(matching.event_sweep(event_runs(spark, d)))
-
-
 @query(CUM + "SELECT round(sum(neg * (cp - pos + pos / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c")
 def roc_auc_pooled(spark, d):
     return r6(metrics.roc_auc(_scored(spark, d)))
@@ -230,23 +219,29 @@ def brier_decomposition(spark, d):
 
 @query()
 def calibration_report(spark, d):
-    """ECE and greatest gap of raw and out-of-fold calibrated scores, 15 quantile bins."""
-    s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20)
-    out = metrics.ece_mce(metrics.reliability(s)).withColumn("method", F.lit("raw"))
+    """ECE and greatest gap of raw and out-of-fold calibrated scores over 15 quantile bins, scores that are exactly 0 or 1, mean score; five patient folds."""
+    s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20).persist()
+
+    def report(df: DataFrame, score: str, method: str) -> DataFrame:
+        p = F.col(score).cast("double")
+        ends = df.agg(F.count_if(p == 0).alias("n_zero"), F.count_if(p == 1).alias("n_one"), F.avg(p).alias("mean_p"))
+        return metrics.ece_mce(metrics.reliability(df, score=score)).join(F.broadcast(ends)).withColumn("method", F.lit(method))  # one row
+
+    out = report(s, "prob", "raw")
     for m in ("temperature", "platt", "isotonic"):
-        out = out.unionByName(metrics.ece_mce(metrics.reliability(calibration.cross_validated(s, "patient", 3, m), score="calibrated")).withColumn("method", F.lit(m)))
+        out = out.unionByName(report(calibration.cross_validated(s, "patient", 5, m).persist(), "calibrated", m))
     return r6(out)
 
 
 @query()
 def cluster_bootstrap(spark, d):
-    return r6(calibration.cluster_bootstrap(_scored(spark, d).withColumn("p1", F.round("prob", 2)), "recording_id", 2000, 0, target=0.5, score="p1"))
+    return r6(calibration.cluster_bootstrap(_scored(spark, d), "recording_id", 2000, 0, target=0.5))
 
 
 @query()
 def paired_delta_bootstrap(spark, d):
     pairs = labels.label_any_overlap(comparison.pair_arms(T.windows(spark, d).where("recording_id % 7 <> 0"), T.second_arm(spark, d)), T.references(spark, d), OP.seg)
-    return r6(calibration.paired_delta_bootstrap(pairs.select("recording_id", "label", F.round("prob_a", 2).alias("prob_a"), F.round("prob_b", 2).alias("prob_b")), "recording_id", 500))
+    return r6(calibration.paired_delta_bootstrap(pairs, "recording_id"))
 
 
 @query(""", q AS (SELECT recording_id, count(*) FILTER (skip_code = 0) AS n, quantile_cont(CAST(prob AS DOUBLE), 0.85) FILTER (skip_code = 0) AS q FROM w GROUP BY 1), f AS (SELECT recording_id, CASE WHEN n >= 20 THEN greatest(q, 0.5) ELSE 0.5 END AS ref FROM q)
@@ -266,13 +261,6 @@ def drift_report(spark, d):
     return r6(comparison.drift_report(T.windows(spark, d), T.second_arm(spark, d), OP.threshold))
 
 
-@query()
-def event_list_drift(spark, d):
-    rec = T.recordings(spark, d)
-    a, b = (events.events_from_windows(w, rec, [OP.threshold]) for w in (T.windows(spark, d), T.second_arm(spark, d)))
-    return r6(matching.compare_event_lists(a, b))
-
-
 @query(""", a AS (SELECT recording_id, start_s FROM w WHERE skip_code = 0), c AS (SELECT recording_id, start_s FROM w2 WHERE skip_code = 0)
 SELECT 'both' AS part, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM c)) AS n UNION ALL SELECT 'only_a', (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c)) UNION ALL SELECT 'only_b', (SELECT count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)) UNION ALL SELECT 'either', (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM c))""")
 def arm_set_ops(spark, d):
@@ -379,28 +367,6 @@ def channel_stats(spark, d):
     return r6(T.read(spark, d, "embeddings").where("embedding is not null").select("vec_id", *[c.alias(k) for k, c in channels.channel_stats(F.col("embedding")).items()]))
 
 
-@query()
-def band_powers(spark, d):
-    return r6(features.band_power_table(_blocks(spark, d), 64.0, 32))
-
-
-@query()
-def spectrograms(spark, d):
-    """Interrupted windows are left out; the others' log spectrograms."""
-    b = _blocks(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("c")).select("recording_id", F.transform("c", lambda x: F.transform(x["samples"], lambda v: v * 100)).alias("samples"))
-    return features.stft_features(b, 16)
-
-
-@query()
-def score_windows(spark, d):
-    b = _blocks(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("c")).select("recording_id", F.lit(0).alias("start_s"), F.transform("c", lambda x: F.transform(x["samples"], lambda v: v * 100)).alias("samples"))
-    return features.score_windows(b, _rms_scorer)
-
-
-def _rms_scorer():
-    return lambda x: 1 - 1 / (1 + np.sqrt((x**2).mean((1, 2))))
-
-
 @query(" SELECT e.recording_id, count(*) FILTER (k % 5 = 0) AS proposed, count(*) FILTER (k % 5 = 1) AS accepted, count(*) FILTER (k % 5 = 2) AS edited, count(*) FILTER (k % 5 = 3) AS rejected, count(*) FILTER (k % 5 = 4) AS added FROM b e GROUP BY 1")
 def review_counts(spark, d):
     status = F.element_at(F.array(*map(F.lit, ("proposed", "accepted", "edited", "rejected", "added"))), (F.col("k") % 5 + 1).cast("int"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 def _stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    """The recording of a file: of the folder that ``write_annotations`` makes for it, else the file's name without ending."""
+    folder = F.regexp_extract(path, r"/recording_id=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +106,12 @@ SIGNALS = "recording_id string, channel string, block_idx int, start_s double, f
 
 def read_edf_signals(spark: SparkSession, root: str, block_s: int = 60) -> DataFrame:
     """Blocks of ``block_s`` seconds of each channel; a file is a task's unit of work."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(root).select(_stem(F.col("path")).alias("recording_id"), "content")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(root)
+    return decode_signals(f.select(_stem(F.col("path")).alias("recording_id"), "content"), block_s)
+
+
+def decode_signals(files: DataFrame, block_s: int = 60) -> DataFrame:
+    """The same for a table of recording_id and a file's content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -116,7 +123,7 @@ def read_edf_signals(spark: SparkSession, root: str, block_s: int = 60) -> DataF
                     rows = [(rec, label, i // step, i / fs, fs, x[i : i + step].astype(np.float32).tolist()) for i in range(0, len(x), step)]
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNALS.split(", ")])
 
-    return f.mapInPandas(run, SIGNALS)
+    return files.mapInPandas(run, SIGNALS)
 
 
 def annotation_lines(events: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made cases of the path from windows to events, metrics and review."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,8 +184,8 @@ def test_spectra(spark):
     assert set(features.band_powers(np.zeros(3000), 250).values()) == {0.0}
     x = np.random.default_rng(1).normal(size=(19, 3000)) * 30
     assert features.log_spectrogram(x).shape == (23, 19, 125) and (features.log_spectrogram(x) >= 0).all()
-    assert features.interrupted(x) == 0 and features.interrupted(np.vstack([x[:18], np.zeros((1, 3000))])) != 0
-    assert features.interrupted(np.zeros((0, 0))) == features.EMPTY
+    assert features.interrupted(np.stack([x, np.vstack([x[:18], np.zeros((1, 3000))]), x * 0.01, x * 1000])).tolist() == [features.GOOD, features.RATIO, features.DC, features.UNSTABLE]
+    assert features.interrupted(np.zeros((1, 0, 0))).tolist() == [features.EMPTY]
     assert np.allclose(features.resample(np.sin(2 * np.pi * 5 * np.arange(512) / 256), 500), np.sin(2 * np.pi * 5 * np.arange(500) / 250), atol=1e-9)
 
 
@@ -240,3 +241,62 @@ def test_splits(spark):
     assert (k.p, k.k) == ("00009455", "00009455_s003_t004_seiz")
     a, b = ev(spark, (1, 2), (5, 9)), ev(spark, (1.02, 2.02), (5, 9), rec="z")
     assert [(r.rec_b, r.shared, r.exact) for r in comparison.boundary_fingerprint_match(a, b).collect()] == [("z", 2, 1)]
+
+
+def exact_auc(p, y):
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    pos, neg = np.add.reduceat(y, starts), np.add.reduceat(1 - y, starts)
+    return (neg * (np.cumsum(pos) - pos / 2)).sum() / pos.sum() / neg.sum(), (pos * np.cumsum(pos) / np.cumsum(pos + neg)).sum() / pos.sum()
+
+
+def test_pooled_metrics_over_many_ranges(spark):
+    """Sums over ranges equal numpy's, whatever the partitions of the table, and again when read again."""
+    r = np.random.default_rng(8)
+    y = (r.random(20_000) < 0.3).astype(int)
+    p = np.round(r.normal(y * 0.8, 1), 3)
+    pdf = pd.DataFrame({"prob": p, "label": y, "g": r.integers(0, 40, len(p))})
+    auc, ap = exact_auc(p, y)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        for parts in (1, 7, 7):
+            df = spark.createDataFrame(pdf).repartition(parts)
+            assert metrics.roc_auc(df).first().auc == pytest.approx(auc, abs=1e-12)
+            assert metrics.average_precision(df).first().ap == pytest.approx(ap, abs=1e-12)
+            assert metrics.quantiles(df, F.col("prob"), [0, 0.013, 0.5, 1]) == pytest.approx(np.quantile(p, [0, 0.013, 0.5, 1]).tolist())
+        curve = metrics.curve_points(df).toPandas().sort_values("threshold")
+        assert curve.tpr.is_monotonic_decreasing and curve.tpr.max() == 1
+        draws = calibration.auc_draws(df, "g", lambda c: np.ones((5, len(c))), 5, "prob", "label").toPandas()
+        assert np.allclose(draws.auc, auc) and len(draws) == 5
+        w = calibration.bootstrap_weights(range(40), 20, 3)
+        names = sorted(set(pdf.g))
+        got = calibration.auc_draws(df, "g", calibration.resampling(df, "g", 20, 3), 20, "prob", "label").toPandas().sort_values("draw").auc
+        for b in range(20):
+            k = np.repeat(np.arange(len(p)), w[b][[names.index(g) for g in pdf.g]])
+            assert got.iloc[b] == pytest.approx(exact_auc(p[k], y[k])[0])
+        precision = calibration.precision_bootstrap(df, 0.5, "g", 300).first()
+        assert precision.precision == pytest.approx(y[p >= 0.5].mean()) and precision.lo < precision.precision < precision.hi
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_matching_of_cached_events(spark):
+    """The greedy matching is the same for events that are kept in memory, dealt by their key."""
+    e = spark.createDataFrame([(k % 5, 0.5, float(k * 20), float(k * 20 + 8)) for k in range(40)], "recording_id long, threshold double, start_s double, stop_s double")
+    e = e.groupBy("recording_id", "threshold", "start_s", "stop_s").count().drop("count").persist()
+    refs = e.select("recording_id", "start_s", (F.col("stop_s") + 2).alias("stop_s"))
+    keys = e.select("recording_id", "threshold").distinct()
+    assert {r.kind: r["count"] for r in matching.match_events(e, refs, 5.0, keys).groupBy("kind").count().collect()} == {"match": 40}
+
+
+def test_review_exports_and_refusals(spark):
+    e = spark.createDataFrame([("a", 1.0, 4.0, "accepted", 0.5), ("a", 6.0, 99.0, "rejected", 0.5), ("b", 1.0, 2.0, "proposed", 0.1)], "recording_id string, start_s double, stop_s double, status string, prob double")
+    d = spark.createDataFrame([("a", 50.0), ("b", 20.0)], "recording_id string, duration_s double")
+    got = {r.recording_id: (r.exported, r.unassessed, r.empty_export) for r in comparison.export_summary(e, win(spark, [0, 6], [0.1, 0.2], [1, 0]), d).collect()}
+    assert got == {"a": (1, 1, False), "b": (0, 0, True)}
+    arms = [spark.createDataFrame(x, "recording_id string, stem string, sha256 string") for x in ([("1", "s", "x"), ("2", "s", "y"), ("3", "t", "z")], [("3", "t", "other"), ("4", "u", "v")])]
+    assert {(r.recording_id, r.reason) for r in comparison.refusals(*arms).collect()} == {("1", "ambiguous"), ("2", "ambiguous"), ("3", "content")}
+    assert [r.recording_id for r in matching.shortest_first(d, 1).collect()] == ["b"]
