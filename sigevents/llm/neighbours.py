@@ -1,17 +1,20 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Rows are dealt over shards by a hash of their vector. A shard's graph has layers; each node's top
-layer is drawn by a hash of its vector, and a layer links the nodes that reach it. A layer is built
-in batches: each batch is searched in the graph so far, entered from the layer above, and linked to
-diverse near nodes both ways. Largest inner product becomes smallest distance by one more component
-that brings all vectors of a shard to one length. Indexes are rows of flat arrays, written to the
-shared folder. Every query is searched in every shard; results are scored exactly, in double
-precision on the original vectors, and merged.
+Rows are dealt over shards by their length, in bands of a factor of two, and by a hash of their vector.
+A shard's graph has layers; each node's top layer is drawn at random, and a layer links the nodes that
+reach it. A layer is built in batches: each batch is searched in the graph so far, entered from the
+layer above, and linked to diverse near nodes both ways. Largest inner product becomes smallest
+distance by one more component that brings all vectors of a shard to one length; as a shard's lengths
+are within a factor of two, no long vector hides the others' differences. Indexes are rows of flat
+arrays, written to the shared folder. Every query is searched in every shard; results are scored
+exactly, in double precision on the original vectors, and merged.
 
 Equal vectors are one node with its smallest ids, as many as a result can hold, so that a vector
-that very many rows share costs one node. Vectors that are null, zero, of another length than the
-first one's, or hold null or non-finite components take no part. Rows that share an id are all
-candidates, except for queries of that id. An empty table gives an empty table.
+that very many rows share costs one node. Vectors that are null, zero, of another length than most
+(of the shorter one, if two are as common), or hold null or non-finite components take no part. Rows
+without an id are left out; rows that share an id are all candidates, except for queries of that id,
+and repeated rows can fill a result. Ties go to the smaller id. Other columns are not looked at. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigevents.llm.common import stored
@@ -130,10 +133,7 @@ class Graph:
     """Layers of links over a shard's distinct vectors."""
 
     def __init__(self, vectors: np.ndarray, m: int = 16, ef: int = 80):
-        self.long = np.sqrt((vectors.astype(np.float64) ** 2).sum(1).max())
-        rest = np.sqrt(np.maximum(0, self.long**2 - (vectors.astype(np.float64) ** 2).sum(1)))
-        self.x = np.concatenate([vectors, rest[:, None]], 1).astype(np.float32)
-        self.norms = (self.x**2).sum(1)
+        self.place(vectors)
         n = len(vectors)
         draw = np.random.default_rng(7).random(n)
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(m)).astype(int)
@@ -149,6 +149,13 @@ class Graph:
             # the layer above is part of this one: its nodes go first, so that they can be entered
             self.layers.append(build_layer(self.x, self.norms, nodes[np.argsort(-level[nodes], kind="stable")], m, ef, enter))
 
+    def place(self, vectors: np.ndarray) -> None:
+        """The points: vectors as parts of the largest component, so that nothing overflows, and what they lack of the longest one's length."""
+        v = vectors / np.abs(vectors).max()
+        sizes = (v**2).sum(1)
+        self.x = np.concatenate([v, np.sqrt(np.maximum(0, sizes.max() - sizes))[:, None]], 1).astype(np.float32)
+        self.norms = (self.x**2).sum(1)
+
     def _descend(self, q: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
         at = np.repeat(self.tops[None, :], len(q), 0)
         for links in layers:
@@ -157,7 +164,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, ef: int) -> np.ndarray:
         """Nodes (b, k), nearest first, n for none."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+        q = queries / np.abs(queries).max(1, keepdims=True)
+        q = np.concatenate([q / np.sqrt((q**2).sum(1, keepdims=True)), np.zeros((len(q), 1))], 1).astype(np.float32)
         found, _ = search_layer(self.x, self.norms, self.layers[-1], q, self._descend(q, self.layers[:-1]), max(ef, k))
         return found[:, :k]
 
@@ -174,11 +182,25 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return x.where(F.size("embedding") == (size.d if size else 0))
 
 
-def build_index(vectors: DataFrame, k: int, shards: int, m: int = 16, ef: int = 80) -> DataFrame:
+def band_of(embedding: str) -> Column:
+    """The power of two below a vector's length, found without a square of a component."""
+    most = F.array_max(F.transform(embedding, F.abs))
+    parts = F.aggregate(F.transform(embedding, lambda v: (v / most) * (v / most)), F.lit(0.0), lambda a, v: a + v)
+    return F.floor(F.log2(most) + F.log2(parts) / 2).cast("int")
+
+
+def build_index(vectors: DataFrame, k: int, shard_rows: int, min_shards: int, m: int = 16, ef: int = 80) -> DataFrame:
     """One row of flat arrays for each shard; equal vectors are one node with its k + 1 smallest ids."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    few = vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
-    dealt = few.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding")
+    few = vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).withColumn("band", band_of("embedding"))
+    bands, rows, first = sorted((r.band, r["count"]) for r in vectors.groupBy(band_of("embedding").alias("band")).count().collect()), [], 0
+    total = sum(n for _, n in bands)
+    for band, n in bands:  # some two thousand at most
+        shards = max(math.ceil(n / shard_rows), round(min_shards * n / total), 1)
+        rows.append((band, first, shards))
+        first += shards
+    dealing = vectors.sparkSession.createDataFrame(rows, "band int, first int, shards int")
+    dealt = few.join(F.broadcast(dealing), "band").select((F.col("first") + F.pmod(F.xxhash64("embedding"), F.col("shards"))).cast("int").alias("shard"), "vec_id", "embedding")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         full = np.array(pdf["embedding"].tolist(), np.float64)
@@ -199,24 +221,21 @@ def open_graph(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarra
     """The graph of an index row, its nodes' ids and numbers of ids, and the vectors."""
     points = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
     g = Graph.__new__(Graph)
-    sizes = (points**2).sum(1)
-    g.long = np.sqrt(sizes.max())
-    g.x = np.concatenate([points, np.sqrt(np.maximum(0, g.long**2 - sizes))[:, None]], 1).astype(np.float32)
-    g.norms = (g.x**2).sum(1)
+    g.place(points)
     g.layers = [np.frombuffer(x, np.int32).reshape(row["n"] + 1, -1).astype(np.int64) for x in row["layers"]]
     g.tops = np.frombuffer(row["tops"], np.int64)
     return g, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64), points
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 160, shard_rows: int = 100_000, min_shards: int = 16, slice_queries: int = 50_000) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 160, shard_rows: int = 20_000, min_shards: int = 8, slice_queries: int = 50_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by ``every``.
 
-    ``min_shards`` shards, or as many as keep a shard at ``shard_rows`` rows. Queries are dealt in
+    About ``min_shards`` shards, or as many as keep a shard at ``shard_rows`` rows. Queries are dealt in
     slices of ``slice_queries``, each with its own copy of the indexes.
     """
     points = stored(valid_vectors(vectors), "vectors")
     n = points.count()
-    index = build_index(points, k, max(min_shards, math.ceil(n / shard_rows)))
+    index = build_index(points, k, shard_rows, min_shards)
     slices = max(1, math.ceil(n / every / slice_queries))
     queries = points.where(F.col("vec_id") % every == 0)
     number = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(slices)).cast("int")

@@ -28,7 +28,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"), ef=120)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), ef=160)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
