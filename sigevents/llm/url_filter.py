@@ -2,11 +2,15 @@
 
 Concatenated host names are split by a unigram Viterbi search; word counts come from all paths and
 hyphenated host names of the corpus and from the lists of known words below. Segmented host and path
-tokens are scored by multinomial naive Bayes. Its counts come from all pages: a page whose segmented
-host holds a known unwanted word teaches the class `block`, any other one `allow`.
+tokens are scored by multinomial naive Bayes. It learns from all pages that a rule decides, by the
+rule's verdict, and knows unwanted words before it has seen a page: each counts as if it had been in
+``SEED`` blocked pages, which what the pages say can outweigh. It decides the pages that no rule does.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Ties
-between the classes allow. Repeated rows each give a row.
+between the classes allow. Without pages under rules only the known words count. Repeated rows each
+give a row with the same verdict and count each; a null id is no reason to leave a row out. Urls of
+any length are read whole; words of more than 20 letters are split like unknown ones. Other columns
+are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 UNWANTED = "ads adult bet bets betting bonus casino cheap click clicks crack deals drugs escort farm free gamble gambling hack jackpot keygen loan loans lottery pharma pharmacy pills poker porn promo prize seo sex slots spam survey torrent track tracker tracking viagra warez win winner xxx".split()
 USUAL = "about api app art blog book books city cloud code com data dev docs edu example forum game games group help home host info lab library mail map media mobile music net new news online org page pages park photo post press science school shop site store study team tech time travel university video web weather wiki world www".split()
 
+#: Blocked pages that each unwanted word counts for before any page is seen.
+SEED = 20
 _letters = re.compile(r"[a-z]+")
 
 
@@ -126,7 +132,7 @@ def with_rare_words(pages: DataFrame, rare: DataFrame | None, costs: dict[str, f
     return pages.join(found, "host", "left").select(*pages.columns, "rare")
 
 
-def learn(pages: DataFrame, max_tokens: int = 50_000, max_words: int = 50_000) -> tuple[dict, DataFrame, DataFrame | None]:
+def learn(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: int = 50_000) -> tuple[dict, DataFrame, DataFrame | None]:
     """Word costs and the classifier's odds; the pages with their rare words; and (token, odds) of the tokens beyond ``max_tokens``, if any.
 
     Totals and the size of the vocabulary are of all tokens.
@@ -137,15 +143,14 @@ def learn(pages: DataFrame, max_tokens: int = 50_000, max_words: int = 50_000) -
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, unwanted = {}, Counter(), set(UNWANTED)
+        cache, seen = {}, Counter()
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["bad", "w", "n"])
 
         for batch in batches:
-            for host, path, rare in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare")), strict=True):
+            for host, path, rare, bad in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare", "bad")), strict=True):
                 own, rest = tokens(host, path, shared.value, cache, rare)
-                bad = not unwanted.isdisjoint(own)
                 seen.update((bad, w) for w in (*own, *rest, ""))  # the empty word counts pages
             if len(seen) > 200_000:
                 yield flush()
@@ -153,17 +158,18 @@ def learn(pages: DataFrame, max_tokens: int = 50_000, max_words: int = 50_000) -
         if seen:
             yield flush()
 
-    rows = pages.select("host", "path", "rare").mapInArrow(count, "bad boolean, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
+    verdict = rule_of(F.col("host"), F.col("path"), rules)[1]
+    rows = pages.select("host", "path", "rare", (verdict == "block").alias("bad")).where("bad is not null").mapInArrow(count, "bad boolean, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
     rows = stored(rows, "tokens")
     n_good, n_bad = next(((r.good, r.bad) for r in rows.where("w = ''").collect()), (0, 0))
     rows = rows.where("w <> ''")
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in UNWANTED], "w string").select("w", F.lit(SEED).alias("seed"))
+    rows = stored(rows.join(seeds, "w", "full").select("w", (F.coalesce("bad", F.lit(0)) + F.coalesce("seed", F.lit(0))).alias("bad"), F.coalesce("good", F.lit(0)).alias("good")), "tokens")
     good, bad, size = rows.agg(F.sum("good"), F.sum("bad"), F.count("*")).first()
     below = [1 + (bad or 0) + size + 1, 1 + (good or 0) + size + 1]
     log_odds = lambda r: math.log((r.bad + 1) / below[0]) - math.log((r.good + 1) / below[1])
     top = rows.orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(max_tokens).collect()
     odds = {r.w: log_odds(r) for r in [*top, *rows.where(F.col("w").isin(UNWANTED)).collect()]}
-    for w in UNWANTED:  # known before any page is seen
-        odds[w] = max(odds.get(w, 0.0), 3.0)
     beyond = None
     if size > len(top):
         n = F.col("bad") + F.col("good")
@@ -181,7 +187,7 @@ def judge(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: in
     Tokens that are not broadcast are joined by shuffle; the frequent ones are out of it.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    model, urls, beyond = learn(urls, max_tokens, max_words)
+    model, urls, beyond = learn(urls, rules, max_tokens, max_words)
     shared, joined = pages.sparkSession.sparkContext.broadcast(model), beyond is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
