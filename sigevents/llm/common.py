@@ -71,6 +71,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder is made for this session.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -87,7 +89,7 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote, when all that was made of them is stored too.
+    """Delete tables that ``stored`` wrote, when all that was made of them is stored too, so that no stage that could run again reads them.
 
     The collection on the driver lets Spark delete the shuffle files of jobs that have ended.
     """
@@ -99,18 +101,20 @@ def discard(*tables: DataFrame) -> None:
         jvm.System.gc()
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` (or all) of ``docs`` with ``_row``, a long of each row's own that stays the same however often the table is read.
+def keyed(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
+    """``columns`` of ``docs`` with ``_row``, a long of each row's own that stays the same however often the table is read.
 
     A table that is read from files is keyed by file and place in it; any other one is written first.
+    ``whole`` adds ``_whole``, a struct of all columns, whatever their names.
     """
-    columns = columns or docs.columns
+    kept = [F.col(c) for c in columns] + ([F.struct(*docs.columns).alias("_whole")] if whole else [])
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not {"file_path", "row_index"} <= _hidden(docs):
-        return stored(docs.select(*columns, F.monotonically_increasing_id().alias("_row")), "keyed")
+        return stored(docs.select(*kept, F.monotonically_increasing_id().alias("_row")), "keyed")
     files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
     number = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
-    with_file = docs.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-    return with_file.join(F.broadcast(number), "_path").select(*columns, (F.col("_file") * (1 << 40) + F.col("_at")).alias("_row"))
+    with_file = docs.select(*kept, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    row = (F.col("_file") * (1 << 40) + F.col("_at")).alias("_row")
+    return with_file.join(F.broadcast(number), "_path").select(*columns, *(["_whole"] if whole else []), row)
 
 
 def _hidden(docs: DataFrame) -> set[str]:
@@ -125,8 +129,8 @@ BROADCAST_IDS = 2_000_000
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keyed ``docs`` without the rows whose ``_row`` is in ``rows``, and without the key. A short list is broadcast, a longer one joined by shuffle."""
+    """The whole rows of keyed ``docs`` but for those whose ``_row`` is in ``rows``. A short list is broadcast, a longer one joined by shuffle."""
     rows = stored(rows.select("_row"), "rows")
     if rows.count() <= BROADCAST_IDS:
         rows = F.broadcast(rows)
-    return docs.join(rows, "_row", "left_anti").drop("_row")
+    return docs.join(rows, "_row", "left_anti").select("_whole.*")

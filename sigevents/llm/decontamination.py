@@ -133,9 +133,13 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items that occur; one row for each row of ``docs``, with its key if it was given one."""
-    given = "_row" in docs.columns
-    docs = (docs if given else keyed(docs, "doc_id", "text")).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, n_words, spans of hit words, items that occur, n_hit; one row for each row of ``docs``."""
+    return row_hits(keyed(docs, "doc_id", "text"), benchmark, window, block_windows).drop("_row")
+
+
+def row_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000) -> DataFrame:
+    """The same for keyed documents, with their key."""
+    docs = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, out, n_blocks = docs.sparkSession, None, 0
     for block in _blocks(benchmark, window, block_windows):
         if not block and n_blocks:
@@ -162,7 +166,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         else:
             out = found
         n_blocks += 1
-    out = out if given else out.drop("_row")
     if n_blocks < 2:
         return out.withColumn("n_hit", F.aggregate(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int")), F.lit(0).cast("long"), lambda a, k: a + F.coalesce(F.get("spans", 2 * k + 1) - F.get("spans", 2 * k), F.lit(0))))
     inside = F.array_distinct(F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda k: k % 2 == 0), lambda k: F.sequence(F.get("spans", k), F.get("spans", k + 1) - 1))))
