@@ -10,33 +10,40 @@ from sigevents.shipping import ship
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language is unsure."""
+    """Without the documents whose language is unsure, which are those without letters among others.
+
+    All stages keep all columns of ``docs`` but the last one, whatever their names, and have an empty
+    table for an empty one. Here: null and empty texts go; repeated rows stay or go together.
+    """
     ship(spark)
     return language_id.of_known_language(docs, ~language_id.held_out())
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, and of rows that repeat it one."""
+    """One document of each group of near duplicates, the one with the smallest id, and of rows that repeat it one.
+
+    Rows without an id come last; documents without words are in no group and stay.
+    """
     ship(spark)
-    docs = keyed(docs)
+    docs = keyed(docs, "doc_id", "text", whole=True)
     return without(docs, jaccard.spare_rows(docs))
 
 
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item's window."""
+    """Without the documents that hold a benchmark item's window. Each row is judged by its own text, null ones hold none."""
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    docs = keyed(docs)
-    return without(docs, decontamination.contamination(docs, benchmark).where("n_hit > 0"))
+    docs = keyed(docs, "doc_id", "text", whole=True)
+    return without(docs, decontamination.row_hits(docs, benchmark).where("n_hit > 0"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights; a document taken in several epochs is there as often."""
+    """Sources mixed to their target weights; a document taken in several epochs is there as often. Null texts weigh nothing and can be taken."""
     return mixing.mix_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, and what they hold of each."""
+    """Token files of the documents in order of their ids, and what they hold of each row; null texts give an end id alone."""
     ship(spark)
     return binary_tokens.token_table(docs)
 
