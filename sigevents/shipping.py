@@ -8,12 +8,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's files to the executors, once for each application."""
+    """Send the package's files to the executors, once for each application, and keep Arrow batches small.
+
+    A batch stands in the executor's memory several times over while Python works on it; Spark's
+    default of 64 MB is lowered, another setting is left alone.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
     if sc.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent
