@@ -16,42 +16,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for the mix, once for each epoch; nulls and repeats as in mixing.py."""
     return mixing.mixture_table(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and baseline scores of all whole documents; null texts are an end alone (language_model.py)."""
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all documents; texts without words link with nothing (jaccard.py)."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each twentieth vector among all; invalid vectors take no part (neighbours.py)."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), ef=160)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, empty for null pages (main_text.py)."""
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, `und` without letters (language_id.py)."""
     return language_id.language_table(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole document (decontamination.py)."""
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from labels outside the held-out part (toxicity.py)."""
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rule or else by the classifier (url_filter.py)."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold of every document, read back from them (binary_tokens.py)."""
     return binary_tokens.token_table(table(spark, sf_dir, "documents"))
 
 
