@@ -86,12 +86,14 @@ def run_meta(spark, d):
     return files.parse_run_meta(runs, "k int").select("event_id", "meta.k")
 
 
-@query(" SELECT recording_id, count(*) AS n, round(sum(start_s), 4) AS starts FROM r GROUP BY 1")
+@query(", u AS (SELECT recording_id, count(*) FILTER (skip_code <> 0) AS n FROM w GROUP BY 1) SELECT r.recording_id, count(*) AS n, CAST(count(*) FILTER (floor(start_s) % 3 > 0) AS INTEGER) AS n_exported, round(sum(start_s), 4) AS starts, any_value(u.n) AS windows_not_assessed, CAST(0.5 AS DOUBLE) AS threshold FROM r JOIN u USING (recording_id) GROUP BY 1")
 def provenance(spark, d):
-    """The JSON of each recording's events, read again."""
-    out = files.emit_provenance(T.references(spark, d).withColumns({"status": F.lit("accepted"), "prob": F.lit(0.5)}))
-    e = out.select("recording_id", F.from_json("json", "events array<struct<start_s: double, stop_s: double>>, exported_utc string").alias("j"))
-    return e.select("recording_id", F.explode("j.events").alias("e")).groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.sum("e.start_s"), 4).alias("starts"))
+    """The JSON of each recording's decisions, read again."""
+    status = F.when(F.floor("start_s") % 3 == 0, "rejected").when(F.floor("start_s") % 3 == 1, "accepted").otherwise("added")
+    out = files.emit_provenance(T.references(spark, d).withColumns({"status": status, "prob": F.lit(0.5), "review_note": F.lit(None).cast("string")}), T.windows(spark, d))
+    j = out.select("recording_id", F.from_json("json", "n_exported int, windows_not_assessed bigint, detector struct<threshold: double>, decisions array<struct<start_s: double>>").alias("j"))
+    starts = F.aggregate("j.decisions", F.lit(0.0), lambda a, x: a + x["start_s"])
+    return j.select("recording_id", F.size("j.decisions").cast("long").alias("n"), "j.n_exported", F.round(starts, 4).alias("starts"), "j.windows_not_assessed", "j.detector.threshold")
 
 
 @query()

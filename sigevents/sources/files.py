@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigevents.config import DEFAULT, OperatingPoint
+
 
 def _stem(path: Column) -> Column:
     """The recording of a file: of the folder that ``write_annotations`` makes for it, else the file's name without ending."""
@@ -155,6 +157,15 @@ def parse_run_meta(runs: DataFrame, schema: str) -> DataFrame:
     return runs.withColumn("meta", F.from_json("meta", schema))
 
 
-def emit_provenance(events: DataFrame) -> DataFrame:
-    """One JSON text per recording: its events in order and the time of export."""
-    return events.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "stop_s", "status", "prob"))).alias("events")).select("recording_id", F.to_json(F.struct("recording_id", "events", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("exported_utc"))).alias("json"))
+def emit_provenance(events: DataFrame, windows: DataFrame, op: OperatingPoint = DEFAULT) -> DataFrame:
+    """One JSON text per recording: what was decided on each event, what is exported, what was never assessed, and the operating point.
+
+    ``events``: recording_id, start_s, stop_s, status, prob, review_note.
+    """
+    decision = F.struct(F.round("start_s", 4).alias("start_s"), F.round("stop_s", 4).alias("stop_s"), "status", F.round("prob", 6).alias("score"), "review_note")
+    e = events.groupBy("recording_id").agg(F.array_sort(F.collect_list(decision)).alias("decisions"))
+    w = windows.groupBy("recording_id").agg(F.count("*").alias("n_windows"), F.count_if(F.coalesce(F.col("skip_code"), F.lit(0)) != 0).alias("windows_not_assessed"))
+    exported = F.filter("decisions", lambda x: x["status"].isin("accepted", "edited", "added"))
+    detector = F.struct(F.lit(op.seg).alias("segment_s"), F.lit(op.step).alias("step_s"), F.lit(op.fs).alias("fs"), F.lit(op.threshold).alias("threshold"))
+    text = F.struct("recording_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("exported_utc"), detector.alias("detector"), F.size(exported).alias("n_exported"), exported.alias("exported"), "decisions", "n_windows", "windows_not_assessed", F.lit(False).alias("scores_are_calibrated"))
+    return e.join(w, "recording_id", "left").fillna(0, ["n_windows", "windows_not_assessed"]).select("recording_id", F.to_json(text).alias("json"))
