@@ -25,8 +25,10 @@ exact for all the rest: a sketch has the parity of the set's elements in each of
 the domain, so that sets differ in at least as many elements as their sketches in bits. Pairs are
 verified on whole sets, and components are found by star contraction.
 
-Documents without words or text link with nothing. Repeated ids: the rows are one document each, but
-share the id; a component's name is its smallest id. An empty table gives an empty table.
+Documents without words or text (null or empty) link with nothing. Repeated ids: the rows are one
+document each, but share the id; a component's name is its smallest id, or null if none of its rows has
+one. Texts of any length are whole sets. Ties of hubs go to the larger node, which changes no result.
+Other columns are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import discard, keyed, stored
+from sigevents.llm.common import discard, keyed, stored, tidied
 from sigevents.llm.components import components
 
 WIDTH, PERCENT = 5, 80
@@ -77,6 +79,8 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes from which a word is hashed by xxhash.
+LONG_WORD = 256
 #: Bytes hashed at once, as a power of two; longer words are hashed alone.
 CHUNK_BITS = 15
 
@@ -90,7 +94,10 @@ def _chunk_hashes(raw: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = np.concatenate([np.zeros(int(not space[0]), np.int64), edge, np.full(int(not space[-1]), len(raw), np.int64)])
     begin, last = edge[::2], edge[1::2] - 1
-    return mix((total[last] - total[begin] + value[begin]) * inverse[begin] + (last - begin).astype(np.uint64))
+    out = mix((total[last] - total[begin] + value[begin]) * inverse[begin] + (last - begin).astype(np.uint64))
+    for i in np.flatnonzero(last - begin >= LONG_WORD):  # long words can be made to agree in such polynomials
+        out[i] = xxhash.xxh64_intdigest(raw[begin[i] : last[i] + 1].tobytes().lower())
+    return out
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -139,15 +146,24 @@ def bands(percent: int = PERCENT, most: int = 1 << 26) -> np.ndarray:
     return np.array(out)
 
 
+#: Largest size of bands whose partitions have three parts.
+SMALL = 64
+
+
 @lru_cache(4096)
 def plan(r: int, level: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
-    """k, n1, n2, k2 for a band. Level 2 is the finer cut."""
+    """k, n1, n2, k2 for a band. Level 2 is the finer cut.
+
+    Sets of up to SMALL elements have three parts a partition and all pairs of parts for signatures: half
+    as many again, each of a third more elements, which short texts of a few common shingles need to be
+    told apart. Larger ones have two parts, each its own subset, the least number of signatures.
+    """
     k = (100 - percent) * r * (100 + percent) // (percent * (100 + percent))  # elements by which linked sets can differ: r and r/0.8 at most
     if not k:
         return 0, 1, 1, 0
     cells = ceil(0.29 * r + 0.8 * sqrt(r)) + 1
     cells = cells if level < 2 else 2 * cells + 8
-    return k, ceil(cells / 2), 2, 1
+    return k, ceil(cells / 2), 3 if r <= SMALL else 2, 1
 
 
 @lru_cache(256)
@@ -273,7 +289,7 @@ def counted_sets(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(count, COUNTS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(count), COUNTS)
 
 
 def frequent_shingles(counted: DataFrame, buckets: int, often: int = 64, bound: int = 1_000_000) -> np.ndarray:
@@ -292,7 +308,7 @@ def frequent_shingles(counted: DataFrame, buckets: int, often: int = 64, bound:
             best = best[times[best] >= often]
             yield _batch({"x": pa.array([value[best].tobytes()], pa.binary())})
 
-    found = counted.where("bucket is not null").select("bucket", "x", "n").repartition(buckets, "bucket").mapInArrow(total, "x binary").collect()
+    found = counted.where("bucket is not null").select("bucket", "x", "n").repartition(buckets, "bucket").mapInArrow(tidied(total), "x binary").collect()
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.x, np.uint64) for r in found)]))[:bound]
 
 
@@ -349,7 +365,7 @@ def set_packs(docs: DataFrame, buckets: int, frequent: np.ndarray, width: int =
         if sigs:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, PACK)
+    return docs.select("text").mapInArrow(tidied(run), PACK)
 
 
 def set_table(counted: DataFrame) -> DataFrame:
@@ -363,7 +379,7 @@ def set_table(counted: DataFrame) -> DataFrame:
                 void = np.frombuffer(raw, np.uint8, len(n)).astype(bool)
                 yield _batch({"doc_id": pa.array(np.frombuffer(raw[len(n) :], np.int64), mask=void), "n_shingles": pa.array(n), "node": pa.array(node, mask=n == 0)})
 
-    return counted.where("bucket is null").select("nodes", "sizes", "ids").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return counted.where("bucket is null").select("nodes", "sizes", "ids").mapInArrow(tidied(run), "doc_id long, n_shingles long, node long")
 
 
 def _signatures_of(raw: bytes, n: int) -> np.ndarray:
@@ -419,45 +435,31 @@ def runs(packs: DataFrame) -> DataFrame:
             sizes.append(m.tobytes())
         yield _batch({"run": pa.array(keys, pa.int64()), "nodes": pa.array(nodes, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
-    found = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, nodes binary, sizes binary")
+    found = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "run long, nodes binary, sizes binary")
     return found.dropDuplicates(["run"])
 
 
-#: Nodes whose weights are broadcast to find hubs, 16 bytes each; those of most weight come first.
-HUB_NODES = 1_000_000
+def run_nodes(found: DataFrame) -> DataFrame:
+    """run, n, node, size: a row for each node of each run of ``n`` nodes."""
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes = ([np.frombuffer(x.as_py(), kind) for x in batch.column(c)] for c, kind in (("nodes", np.int64), ("sizes", np.uint32)))
+            n = np.array(list(map(len, nodes)), np.int64)
+            if len(n):
+                columns = (np.repeat(batch.column("run").to_numpy(), n), np.repeat(n, n), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64))
+                yield _batch({c: pa.array(x, pa.int64()) for c, x in zip(("run", "n", "node", "size"), columns, strict=True)})
 
-def hubs_first(found: DataFrame) -> DataFrame:
-    """Runs with their hub in front: the node of most weight, the sum of the sizes of its runs."""
+    return found.mapInArrow(tidied(unpack), "run long, n long, node long, size long")
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs_ = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
-            runs_ = [n for n in runs_ if len(n) > 2]
-            if runs_:
-                node, where = np.unique(np.concatenate(runs_), return_inverse=True)
-                weight = np.bincount(where, np.concatenate([np.full(len(n), len(n) - 1) for n in runs_])).astype(np.int64)
-                yield _batch({"node": pa.array(node), "weight": pa.array(weight)})
-
-    weights = found.select("nodes").mapInArrow(weigh, "node long, weight long").groupBy("node").agg(F.sum("weight").alias("weight"))
-    top = weights.orderBy(F.desc("weight"), "node").limit(HUB_NODES).toPandas().sort_values("node")
-    shared = found.sparkSession.sparkContext.broadcast((top["node"].to_numpy(np.int64), top["weight"].to_numpy(np.int64)))
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = shared.value
-        for batch in batches:
-            nodes, sizes = [], []
-            for n_, m_ in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
-                n, m = np.frombuffer(n_.as_py(), np.int64), np.frombuffer(m_.as_py(), np.uint32)
-                if len(n) > 2 and len(known):
-                    at = np.minimum(np.searchsorted(known, n), len(known) - 1)
-                    hub = int(np.where(known[at] == n, weight[at], 0).argmax())
-                    n, m = (np.concatenate([x[hub : hub + 1], np.delete(x, hub)]) for x in (n, m))
-                nodes.append(n.tobytes())
-                sizes.append(m.tobytes())
-            yield _batch({"run": batch.column("run"), "nodes": pa.array(nodes, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
-    return found.mapInArrow(order, "run long, nodes binary, sizes binary")
+def star_pairs(flat: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each run's hub with each other node of a size that can link. The hub is the node of most weight, the sum of the sizes of its runs."""
+    weights = flat.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    hubs = flat.join(weights, "node").groupBy("run").agg(F.max(F.struct("weight", "node", "size")).alias("hub"))
+    met = flat.join(hubs, "run").where("node <> hub.node")
+    fit = F.least("size", "hub.size") * 100 >= F.greatest("size", "hub.size") * percent
+    return met.where(fit).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _pair_batches(parts: Iterator[np.ndarray], most: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -479,19 +481,6 @@ def _pair_batches(parts: Iterator[np.ndarray], most: int = 500_000) -> Iterator[
     yield out()
 
 
-def star_pairs(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each run's hub with each other node of a size that can link."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for n, m in zip(batch.column("nodes"), batch.column("sizes"), strict=True):
-                n, m = np.frombuffer(n.as_py(), np.int64), np.frombuffer(m.as_py(), np.uint32).astype(np.int64)
-                fit = np.minimum(m[1:], m[0]) * 100 >= np.maximum(m[1:], m[0]) * percent
-                yield np.stack([np.full(fit.sum(), n[0]), n[1:][fit]], 1)
-
-    return found.select("nodes", "sizes").mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
-
-
 #: Bits of a node's sketch, and the nodes of a run that one task compares with all of the run.
 SKETCH_BITS, RUN_BLOCK = 1024, 20_000
 
@@ -505,40 +494,12 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def mixed_rows(found: DataFrame, labels: DataFrame, label_bound: int = 2_000_000) -> DataFrame:
-    """run, n, node, size, component of the nodes of each run of three or more that has nodes of different components.
+def mixed_rows(flat: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of runs of three or more nodes (with two, the hub and the other were compared) of different components, with ``component``.
 
-    ``labels``: node, component for nodes that have one. Up to ``label_bound`` of them are
-    broadcast; beyond that they are joined to the runs' nodes.
+    ``labels``: node, component for nodes that have one.
     """
-    spark, few = found.sparkSession, labels.count() <= label_bound
-    got = labels.toPandas().sort_values("node") if few else None
-    shared = spark.sparkContext.broadcast((got["node"].to_numpy(np.int64), got["component"].to_numpy(np.int64)) if few else None)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for key, n_, m_ in zip(batch.column("run").to_pylist(), batch.column("nodes"), batch.column("sizes"), strict=True):
-                n, label = np.frombuffer(n_.as_py(), np.int64), None
-                if len(n) < 3:  # the hub and the other were compared already
-                    continue
-                label = n
-                if known is not None:
-                    if len(known[0]):
-                        at = np.minimum(np.searchsorted(known[0], n), len(known[0]) - 1)
-                        label = np.where(known[0][at] == n, known[1][at], n)
-                    if label.min() == label.max():
-                        continue
-                for column, x in zip(out, (np.full(len(n), key), np.full(len(n), len(n)), n, np.frombuffer(m_.as_py(), np.uint32).astype(np.int64), label), strict=True):
-                    column.append(x)
-            if out[0]:
-                yield _batch({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("run", "n", "node", "size", "component"), out, strict=True)})
-
-    flat = found.mapInArrow(unpack, "run long, n long, node long, size long, component long")
-    if few:
-        return flat
-    flat = flat.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    flat = flat.where("n > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = flat.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("run")
     return flat.join(mixed, "run").select("run", "n", "node", "size", "component")
 
@@ -554,17 +515,18 @@ def sketches(docs: DataFrame, names: DataFrame, nodes: DataFrame, width: int = W
             found = [s for s in (shingles(t, width) for t in batch.column("text").to_pylist()) if len(s)]
             yield _batch({"node": pa.array([node_of(s) for s in found], pa.int64()), "sketch": pa.array([sketch(s) for s in found], pa.binary())})
 
-    return docs.join(need, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, sketch binary").dropDuplicates(["node"])
+    return docs.join(need, "doc_id", "left_semi").select("text").mapInArrow(tidied(run), "node long, sketch binary").dropDuplicates(["node"])
 
 
-def rest_pairs(docs: DataFrame, names: DataFrame, found: DataFrame, labels: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def rest_pairs(docs: DataFrame, names: DataFrame, runs_: DataFrame, labels: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Pairs of nodes of one run that are of different components and that sizes and sketches let link.
 
-    A long run is dealt to several tasks, each of which compares RUN_BLOCK of its nodes with all.
+    A long run is dealt to several tasks, each of which compares RUN_BLOCK of its nodes with all: beyond RUN_BLOCK nodes
+    both rows and comparisons grow with the square of what is left in a run after the first step.
     Pairs whose sketches differ in more bits than linked sets have differing elements are left out
     where they are made, so what is sent on is near the pairs that link.
     """
-    flat = stored(mixed_rows(found, labels), "mixed")
+    flat = stored(mixed_rows(runs_, labels), "mixed")
     flat = flat.join(sketches(docs, names, flat, width), "node")
     flat = flat.withColumn("parts", F.ceil(F.col("n") / RUN_BLOCK).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     flat = flat.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
@@ -603,7 +565,7 @@ def rest_pairs(docs: DataFrame, names: DataFrame, found: DataFrame, labels: Data
             yield from compare(held)
 
     dealt = flat.repartition("run", "part").sortWithinPartitions("run", "part").select("run", "part", "node", "size", "component", "mine", "sketch")
-    return dealt.mapInArrow(lambda batches: _pair_batches(pairs(batches)), "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(lambda batches: _pair_batches(pairs(batches))), "a long, b long").distinct()
 
 
 #: Pairs up to which the rows to be verified are picked by a broadcast join; a pair takes about 100 bytes.
@@ -642,7 +604,7 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
                     role.append(r["role"])
                     node.append(r["node"])
                     raw.append(s)
-                if sum(map(len, raw)) > 1 << 25:
+                if sum(map(len, raw)) > 1 << 23:
                     yield _batch({"a": pa.array(a, pa.int64()), "salt": pa.array(salt, pa.int32()), "role": pa.array(role, pa.int32()), "node": pa.array(node, pa.int64()), "raw": pa.array(raw, pa.binary())})
                     a, salt, role, node, raw = [], [], [], [], []
             yield _batch({"a": pa.array(a, pa.int64()), "salt": pa.array(salt, pa.int32()), "role": pa.array(role, pa.int32()), "node": pa.array(node, pa.int64()), "raw": pa.array(raw, pa.binary())})
@@ -660,8 +622,8 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, width: int = WID
                     b.append(node)
             yield _batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = rows.select("text", "roles").mapInArrow(sets, "a long, salt int, role int, node long, raw binary")
-    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long")
+    dealt = rows.select("text", "roles").mapInArrow(tidied(sets), "a long, salt int, role int, node long, raw binary")
+    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(tidied(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bucket_signatures: int = 700_000) -> DataFrame:
@@ -692,12 +654,10 @@ def row_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     discard(counted)
     # of each set a row that has it, and the smallest id
     names = stored(sets.where("node is not null").groupBy("node").agg(F.min("_row").alias("doc_id"), F.min("doc_id").alias("least")), "names")
-    unordered = stored(runs(set_packs(docs, buckets, frequent, width, percent)), "runs")
-    found = stored(hubs_first(unordered), "hubs")
-    discard(unordered)
-    links = stored(verify(docs, names, star_pairs(found, percent), width, percent), "links")
+    flat = stored(run_nodes(runs(set_packs(docs, buckets, frequent, width, percent))), "runs")
+    links = stored(verify(docs, names, star_pairs(flat, percent), width, percent), "links")
     labels = stored(components(links), "labels")
-    more = stored(verify(docs, names, rest_pairs(docs, names, found, labels, width, percent), width, percent), "links")
+    more = stored(verify(docs, names, rest_pairs(docs, names, flat, labels, width, percent), width, percent), "links")
     if more.limit(1).count():
         labels = stored(components(links.union(more)), "labels")
     # a component's name: the smallest id of its nodes' smallest ids

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from sigevents.llm import binary_tokens, decontamination, jaccard, language_id,
 from sigevents.llm.common import find_words, lower_ascii
 from sigevents.llm.components import components
 from sigevents.llm.tokens import WordEncoder
+from tokenizers import Tokenizer
 
 DOC = "doc_id long, text string, lang string, source string, score double"
 NAME = "byte_bpe_50k.json"
+TIK = "byte_bpe_50k.tiktoken"
 
 
 def make(n=160, seed=1):
@@ -113,18 +117,32 @@ def test_rest_pairs_keep_every_link(spark, monkeypatch):
     node = {jaccard.node_of(x): i for i, x in s.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     names = spark.createDataFrame(list(node.items()), "node long, doc_id long")
-    n = np.array(list(node), np.int64)
-    sizes = np.array([len(s[node[int(x)]]) for x in n], np.uint32)
-    found = spark.createDataFrame([(1, n.tobytes(), sizes.tobytes())], "run long, nodes binary, sizes binary")
+    flat = spark.createDataFrame([(1, len(node), n, len(s[i])) for n, i in node.items()], "run long, n long, node long, size long")
     links = {(a, b) for a in s for b in s if a < b and jaccard.linked(s[a], s[b])}
-    for block, bound in ((20_000, 2_000_000), (7, -1)):
+    for block in (20_000, 7):
         monkeypatch.setattr(jaccard, "RUN_BLOCK", block)
-        rows_of = jaccard.mixed_rows
-        monkeypatch.setattr(jaccard, "mixed_rows", lambda f, k, rows_of=rows_of, bound=bound: rows_of(f, k, bound))
-        pairs = jaccard.rest_pairs(docs, names, found, spark.createDataFrame([], "node long, component long"))
+        pairs = jaccard.rest_pairs(docs, names, flat, spark.createDataFrame([], "node long, component long"))
         got = {tuple(sorted((node[x.a], node[x.b]))) for x in pairs.collect()}
         monkeypatch.undo()
         assert links and links <= got and len(got) < 435
+    assert jaccard.star_pairs(flat).count() == 29
+
+
+def test_long_words_that_polynomials_confuse():
+    """Two Thue-Morse words, whose difference is zero in any polynomial modulo a power of two."""
+    x = "a"
+    for _ in range(11):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert jaccard.word_hashes(x)[0] != jaccard.word_hashes(y)[0] and jaccard.word_hashes(x)[0] == jaccard.word_hashes(x.upper())[0]
+
+
+def test_subsets_of_parts_are_enumerated():
+    k, n1, n2, k2 = jaccard.plan(40, 0)
+    assert (n2, k2) == (3, 1) and n1 * (k2 + 1) > k
+    a = np.sort(np.random.default_rng(5).integers(0, 2**63, 40, dtype=np.uint64))
+    some, every, spoil, k = jaccard._cut(a, jaccard.mix(a, 2), 1, 40, 0, 80)
+    assert len(every) == 3 * n1 and len(some) <= len(every) and spoil > 0
 
 
 def test_components(spark):
@@ -157,25 +175,34 @@ def test_decontamination_brute(spark, docs, rows):
 
 
 def test_tokens_are_exact():
-    enc, r = WordEncoder(NAME, 500), random.Random(1)
-    parts = ["a", "B", "é", " ", " ", "\n", "\t", "'s", "'", "1", "!", "%", "..", "日本", " ", "​", "<|endoftext|>", "-", "\r", "  ", "Word,"]
-    texts = ["".join(r.choices(parts, k=r.randrange(12))) for _ in range(4000)]
-    for b in range(0, 4000, 500):
-        assert enc.encode(texts[b : b + 500]) == [enc._ids(t) for t in texts[b : b + 500]]
-
-
-def test_token_file_round_trip(docs, rows):
-    enc, start, expected = WordEncoder(NAME), 0, {}
-    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
-        raw = enc._ids(text or "") + np.array([2], "<u4").tobytes()
-        expected[doc_id] = (start, len(raw) // 4, zlib.crc32(raw))
+    """Ids are those of the library's plain call, added tokens' strings included."""
+    enc, plain, r = WordEncoder(NAME, 500), Tokenizer.from_file(public_tokenizers.path(NAME)), random.Random(1)
+    parts = ["a", "B", "é", " ", " ", "\n", "\t", "'s", "'", "1", "!", "%", "..", "日本", " ", "​", "<|endoftext|>", "-", "\r", "  ", "Word,"]
+    texts = ["".join(r.choices(parts, k=r.randrange(12))) for _ in range(4000)] + [None, "ab <|endoftext|> cd"]
+    for b in range(0, len(texts), 500):
+        flat, n = enc.encode(pa.array(texts[b : b + 500], pa.string()))
+        got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts[b : b + 500]]
+    assert got[-1] == [397, 220, 50256, 22927]
+    assert enc.encode(pa.array([], pa.string()))[0].size == 0
+
+
+def test_token_file_round_trip(spark, docs, rows):
+    plain, start, expected = Tokenizer.from_file(public_tokenizers.path(NAME)), 0, []
+    more = [(7, "again"), (7, "again"), (None, "no id"), (10_000, "long " * 200_000), (10_001, "<|endoftext|>")]
+    for doc_id, text in sorted([r[:2] for r in rows] + more, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        raw = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        expected.append((doc_id, start, len(raw) // 4, zlib.crc32(raw)))
         start += len(raw) // 4
-    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in binary_tokens.token_table(docs).collect()} == expected
+    table = docs.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("shard")).union(spark.createDataFrame(more, "doc_id long, text string").selectExpr("*", "'x'", "1"))
+    for planes in ({}, {"chunk_ids": 100}):
+        got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in binary_tokens.token_table(table, **planes).collect())
+        assert [(d, *x) for x, d in ((g[:1] + g[2:], g[1]) for g in got)] == expected
     assert binary_tokens.token_table(docs.limit(0)).count() == 0
-    ids = [np.random.default_rng(k).integers(0, 2**32, k * 37, dtype=np.uint64).astype("<u4").tobytes() for k in range(6)]
+    ids = [np.random.default_rng(k).integers(0, 2**32, k * 37, dtype=np.uint64).astype("<u4") for k in range(6)]
     for planes in ("byte", "bit"):
-        names, lengths, flat = binary_tokens.unpack_chunk(binary_tokens.pack_chunk([5, None, 7, 8, 9, 10], ids, 64, planes))
-        assert names == [5, None, 7, 8, 9, 10] and flat.tobytes() == b"".join(ids) and lengths.tolist() == [len(x) // 4 for x in ids]
+        names, lengths, flat = binary_tokens.unpack_chunk(binary_tokens.pack_chunk([5, None, 7, 8, 9, 10], np.array(list(map(len, ids))), np.concatenate(ids), 64, planes))
+        assert names == [5, None, 7, 8, 9, 10] and flat.tolist() == np.concatenate(ids).tolist() and lengths.tolist() == list(map(len, ids))
 
 
 def test_language(docs):
@@ -291,7 +318,7 @@ def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?x", "http://a.example.com/en/", "http://b.com/x", "https://q.net/es/1", "https://cheappills.example.org/a", "https://thther.example.org/en/1", None, "no scheme", "http://b.com", "http://notexample.com/en/"]
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and got[1][2:] == ("example.com/en/", "block")
-    assert got[2][2:] == ("com/", "allow") and got[3][2:] == ("net/es/", "block") and got[4][2:] == (None, "block") and got[5][2:] == (None, "allow")
+    assert got[2][2:] == ("com/", "allow") and got[3][2:] == ("net/es/", "block") and got[4][:3] == ("cheappills.example.org", "/a", None) and got[5][:3] == ("thther.example.org", "/en/1", None)
     assert got[6][:3] == got[7][:3] == ("", "", None) and got[8][:3] == ("b.com", "", None) and got[9][2] == "com/"
     assert url_filter.segment("cheappills", {"cheap": 5.0, "pills": 5.0, "cheapp": 9.0}) == ["cheap", "pills"]
 
@@ -300,68 +327,120 @@ def test_language_model(docs, rows):
     tokens = {r[0]: [*(find_words(lower_ascii(r[1])) if r[1] else []), "\n"] for r in rows}
     seen = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(seen.values()), len(seen)
+    scores = []
     for top in (200_000, 5):  # all counts broadcast, or most of them joined
-        got = language_model.score_documents(docs, top_words=top, steps=30).collect()
+        got = language_model.score_documents(docs, top_words=top, steps=3, one_in=2).collect()
         assert len(got) == len(rows)
+        scores.append({r.doc_id: r.score for r in got})
         for r in got:
             t = tokens[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(seen[w] > 0 for w in t), n)
             assert r.base_score == pytest.approx(sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in t))
             assert np.isfinite(r.score) and r.score < 0
-
-
-def test_urls_use_all_counts(spark):
-    """Scores are the same however few words and tokens are broadcast; runs of letters are cut nowhere."""
-    r = random.Random(6)
-    words = ["".join(r.choices("bcdfgklmnprtv", k=6)) for _ in range(40)]
-    urls = [f"http://{''.join(r.choices(words, k=3))}{r.choice(['', 'casino'])}.org/{r.choice(words)}/{r.choice(words)}" for _ in range(300)]
-    urls += [f"http://{'qj' * 120}casino.org/x", None]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
-    got = [{x.page_id: (x.verdict, x.score) for x in url_filter.judge(pages, **bounds).collect()} for bounds in ({}, {"max_tokens": 3}, {"max_words": 2}, {"max_tokens": 3, "max_words": 2})]
-    for other in got[1:]:
-        assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in got[0].items()}
-        assert {k: v[1] for k, v in other.items()} == pytest.approx({k: v[1] for k, v in got[0].items()})
-    assert len(got[0]) == len(urls) and got[0][300][0] == "block"
-
-
-def test_class_counts_hold_all_words(docs, rows):
-    learned = [r[1] or "" for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    seen = Counter(i for raw in WordEncoder(NAME).encode_words([find_words(lower_ascii(t)) for t in learned]) for i in np.frombuffer(raw, "<u4").tolist())
-    got = language_model.id_counts(language_model.count_words(docs.where(~language_model.held_out())), NAME)
-    assert {int(i): int(got[i]) for i in np.nonzero(got)[0]} == seen
-    scores = [{r.doc_id: r.score for r in language_model.score_documents(docs, top_words=top, steps=2).collect()} for top in (200_000, 5)]
     assert scores[0] == pytest.approx(scores[1], rel=1e-4)  # whatever is broadcast
 
 
-def test_training_takes_all_of_each_text(spark):
-    texts = [" ".join(f"w{i % 90}" for i in range(3000)), "one two", "", None, "one two"]
-    ids = [np.frombuffer(x, "<u4") for x in WordEncoder(NAME).encode_words([find_words(t or "") for t in texts])]
-    cls = np.arange(60_000) % 127
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
-    rows = language_model.training_windows(docs, cls, NAME, 7).collect()
-    got = [language_model.unpacked(bytes(r.windows)) for r in rows]
-    given, target = (np.concatenate([x[k] for x in got]) for k in (0, 1))
-    pairs = Counter(p for x in ids for p in zip([127, *cls[x].tolist()], [*cls[x].tolist(), 127]))
-    assert Counter(zip(given[target >= 0].tolist(), target[target >= 0].tolist())) == pairs
-    assert {r["round"] for r in rows} == set(range(7))
-    net = language_model.Attention(128)
+def trained(texts, steep=False):
+    enc = language_model.encoding(TIK)
+    ids = [enc.encode_to_numpy(t.lower(), disallowed_special=()).astype("<u2") for t in texts]
+    counts = np.bincount(np.concatenate([*ids, np.zeros(0, int)]).astype(int), minlength=1 << 16).astype(float)
+    own, inside = language_model.own_ids(counts)
+    pairs = np.zeros((language_model.IDS,) * 2)
+    for x in ids:
+        t = np.append(own[x], language_model.END)
+        np.add.at(pairs, (np.r_[language_model.END, t[:-1]], t), 1)
+    net = language_model.Attention()
+    language_model.start_from(net, pairs)
+    net.ready().steep |= steep
+    return ids, counts, pairs, {"net": net, "own": own, "inside": inside}
+
+
+def test_score_is_a_plain_forward_pass_over_each_id():
+    """Every id once, from the window with the most context; groups and members are a distribution."""
+    texts = ["Hello there, " + "the other one and the " * 30, "", "a", "one two three " * 9]
+    for steep in (False, True):
+        ids, _, _, m = trained(texts, steep)
+        net, own = m["net"], m["own"]
+        w = {k: v.astype(float) for k, v in net.w.items()}
+
+        def log_probabilities(context, w=w, net=net):
+            x = w["E"][context] + w["P"][: len(context)]
+            q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
+            a = np.exp((q[-1] @ k.T) / language_model.WIDTH**0.5)
+            y = x[-1] + (a / a.sum()) @ v @ w["O"]
+            g = y @ w["U"] + w["b"]
+            g -= np.log(np.exp(g).sum())
+            inner = np.einsum("w,gwm->gm", y, w["Ug"]) + w["bg"]
+            inner -= np.log(np.exp(inner).sum(1, keepdims=True))
+            return g[net.group] + inner[net.group, net.member]
+
+        expected = []
+        for x in ids:
+            t = np.append(own[x], language_model.END)
+            given, total = np.r_[language_model.END, t[:-1]], 0.0
+            for i in range(len(t)):
+                first = 0 if i < language_model.WINDOW else (1 + (i - language_model.WINDOW) // language_model.STRIDE) * language_model.STRIDE
+                p = log_probabilities(given[first : i + 1])
+                assert np.exp(p).sum() == pytest.approx(1)
+                total += p[t[i]] / np.log(10)
+            expected.append(total + m["inside"][x].sum())
+        assert language_model.score_ids([x.tobytes() for x in ids], m, 3) == pytest.approx(expected, rel=1e-4)
+
+
+def test_counts_hold_all_texts(spark, docs, rows):
+    texts = [r[1] or "" for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    ids, counts, pairs, m = trained(texts)
+    got = language_model.encoded(docs.withColumn("_row", F.monotonically_increasing_id()), ~language_model.held_out(), TIK)
+    assert got.count() == len(rows)
+    learned = got.where("learn")
+    assert (language_model.id_counts(learned) == counts).all()
+    assert (language_model.pair_counts(learned, m["own"]) == pairs).all()
+
+
+def test_training_takes_from_all_of_each_text(spark):
+    texts = [" ".join(f"w{i % 90}" for i in range(3000)), "one two", "", "one two"]
+    ids, _, _, m = trained(texts)
+    table = spark.createDataFrame([(x.tobytes(),) for x in ids], "ids binary").repartition(2)
+    rows = language_model.training_windows(table, m["own"], 7, 1).collect()
+    given, target = language_model.unpacked(b"".join(bytes(r.windows) for r in rows))
+    own = [m["own"][x] for x in ids]
+    pairs = Counter(p for x in own for p in zip([language_model.END, *x.tolist()], [*x.tolist(), language_model.END]))
+    assert Counter(zip(given[target >= 0].tolist(), target[target >= 0].tolist())) == pairs  # all, with one in one
+    assert {r.step for r in rows} == set(range(7))
+    some = language_model.training_windows(table, m["own"], 3, 4).count()
+    assert 0.15 < some / len(rows) < 0.35
+    net = m["net"]
     sums = [language_model.summed_gradient(spark.createDataFrame(rows).repartition(k), net) for k in (1, 3)]
     assert sums[0][1] == sums[1][1] == sum(map(len, ids)) + len(texts)
     for k in net.w:  # whatever the number of tasks
         assert np.allclose(sums[0][0][k], sums[1][0][k], atol=1e-2, rtol=1e-4)
 
     def loss(name, at, by):
-        w = language_model.Attention(128)
-        w.w[name].flat[at] += by
-        z = w.attend(given)[-1] @ w.w["U"] + w.w["b"]
-        z = z.astype(float) - np.log(np.exp(z.astype(float)).sum(2, keepdims=True))
-        return -np.take_along_axis(z, np.maximum(target, 0)[..., None], 2)[..., 0][target >= 0].sum()
+        kept = net.w[name].copy()
+        net.w[name].flat[at] += by
+        out = net.ready().log10(given, np.maximum(target, 0), target >= 0).astype(float).sum() * -np.log(10)
+        net.w[name] = kept
+        return out
 
     for name in net.w:
         at = int(np.abs(sums[0][0][name]).argmax())
         assert (loss(name, at, 1e-2) - loss(name, at, -1e-2)) / 2e-2 == pytest.approx(sums[0][0][name].flat[at], rel=0.05)
 
 
+def test_urls_use_all_counts(spark):
+    """Scores are the same however few words and tokens are broadcast; runs of letters are cut nowhere."""
+    r = random.Random(6)
+    words = ["".join(r.choices("bcdfgklmnprtv", k=6)) for _ in range(40)]
+    urls = [f"http://{''.join(r.choices(words, k=3))}{r.choice(['', 'casino'])}.org/{r.choice(words)}/{r.choice(words)}" for _ in range(300)]
+    urls += [f"http://{'qj' * 120}casino.org/x", None] + [f"http://{r.choice(words)}.net/{r.choice(['es', 'fr'])}/{r.choice(words)}" for _ in range(40)] + [f"http://{r.choice(words)}.com/{r.choice(words)}" for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = [{x.page_id: (x.verdict, x.score) for x in url_filter.judge(pages, **bounds).collect()} for bounds in ({}, {"max_tokens": 3}, {"max_words": 2}, {"max_tokens": 3, "max_words": 2})]
+    for other in got[1:]:
+        assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in got[0].items()}
+        assert {k: v[1] for k, v in other.items()} == pytest.approx({k: v[1] for k, v in got[0].items()})
+    assert len(got[0]) == len(urls) and got[0][300][1] > got[0][301][1]
+
+
 def test_windows_score_each_id_once():
     lengths = np.array([1, 5, 31, 32, 33, 56, 57, 100])
     seq, first, skip = language_model.windows(lengths)
