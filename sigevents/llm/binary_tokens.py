@@ -131,7 +131,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, ch
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(tidied(shard, 8 << 20), CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidied(shard), CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:

@@ -52,11 +52,11 @@ def tidied(task: Callable[[Batches], Batches], most: int = 4 << 20) -> Callable[
     """
 
     def run(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())  # the one that gives back what is free
         try:
             yield from task(x for batch in batches for x in (text_slices(batch, most=most) if "text" in batch.schema.names else (batch,)))
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
                 trim(0)

@@ -27,7 +27,7 @@ class WordEncoder:
     Ids are handled as bytes, four for each id, little-endian.
     """
 
-    def __init__(self, name: str, limit: int = 1_000_000):
+    def __init__(self, name: str, limit: int = 400_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         size = self.tok.get_vocab_size()
@@ -126,7 +126,7 @@ class WordEncoder:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(name: str, limit: int = 1_000_000) -> WordEncoder:
+def encoder(name: str, limit: int = 400_000) -> WordEncoder:
     """One encoder per Python worker, kept from task to task."""
     if (name, limit) not in _encoders:
         _encoders[name, limit] = WordEncoder(name, limit)
