@@ -92,15 +92,15 @@ def unpack_chunk(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [d if k else None for d, k in zip(docs.tolist(), known, strict=True)], lengths, ids
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_ids: int = 1 << 18, block: int = 1 << 14, planes: str = "byte") -> None:
+def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_ids: int = 1 << 18, block: int = 1 << 14, planes: str = "byte", pieces: int = 400_000) -> None:
     """Encode ``docs`` (doc_id, text) and write chunks in ascending order of doc_id.
 
     Range partitioning by the id gives shards whose order is the order of ids; each shard is
-    streamed, so a task holds a slice of texts and one chunk.
+    streamed, so a task holds a slice of texts, one chunk, and the ids of ``pieces`` pieces it has seen.
     """
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, pieces)
         number, chunk, start = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         ids: list[np.ndarray] = []  # of the documents in ``names``, and their lengths

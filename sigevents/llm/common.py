@@ -45,21 +45,28 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         begin = end
 
 
+def _give_back() -> None:
+    """Return to the system what is free."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(task: Callable[[Batches], Batches], most: int = 4 << 20) -> Callable[[Batches], Batches]:
     """``task`` for mapInArrow, over slices of about ``most`` bytes if there is a text column.
 
-    Python workers go from task to task; what one has set free goes back to the system at its end.
+    Python workers go from task to task; what one has set free goes back to the system at its end,
+    and what only went with the task itself before the next one begins.
     """
 
     def run(batches: Batches) -> Batches:
         pa.set_memory_pool(pa.system_memory_pool())  # the one that gives back what is free
+        _give_back()
         try:
             yield from task(x for batch in batches for x in (text_slices(batch, most=most) if "text" in batch.schema.names else (batch,)))
         finally:
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _give_back()
 
     return run
 

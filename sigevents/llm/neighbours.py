@@ -183,10 +183,14 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def band_of(embedding: str) -> Column:
-    """The power of two below a vector's length, found without a square of a component."""
-    most = F.array_max(F.transform(embedding, F.abs))
-    parts = F.aggregate(F.transform(embedding, lambda v: (v / most) * (v / most)), F.lit(0.0), lambda a, v: a + v)
-    return F.floor(F.log2(most) + F.log2(parts) / 2).cast("int")
+    """The power of two below a vector's length, from its largest component and the squares in parts of it, which cannot overflow."""
+    state = lambda most, parts: F.struct(most.alias("most"), parts.alias("parts"))
+
+    def add(t: Column, v: Column) -> Column:
+        grown = state(v, t["parts"] * (t["most"] / v) * (t["most"] / v) + 1.0)
+        return F.when(v > t["most"], grown).when(v > 0, state(t["most"], t["parts"] + (v / t["most"]) * (v / t["most"]))).otherwise(t)
+
+    return F.aggregate(F.transform(embedding, F.abs), state(F.lit(0.0), F.lit(0.0)), add, lambda t: F.floor(F.log2(t["most"]) + F.log2(t["parts"]) / 2)).cast("int")
 
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int, min_shards: int, m: int = 16, ef: int = 80) -> DataFrame:
