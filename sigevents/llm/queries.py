@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigevents.llm import binary_tokens, conversations, decontamination, jaccard, language_id, language_model, main_text, mixing, neighbours, spelling, toxicity, url_filter
+from sigevents.llm import binary_tokens, conversations, decontamination, jaccard, language_id, language_model, main_text, minhash, mixing, neighbours, spelling, toxicity, url_filter
 from sigevents.shipping import ship
 
 
@@ -70,15 +70,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_table(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes, components and who stays of all documents; texts without words link with nothing (minhash.py)."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and the cheapest repair of every damaged conversation; nulls are one space (conversations.py)."""
     return conversations.repair_table(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_lm_scores, op3_ngram_jaccard, op4_nearest_neighbours, op5_main_text, op6_language_id, op7_decontamination, op8_toxicity, op9_url_filter, op10_token_planes, op11_spelling_variants, op13_conversation_repair]
+    found = [op1_mixing, op2_lm_scores, op3_ngram_jaccard, op4_nearest_neighbours, op5_main_text, op6_language_id, op7_decontamination, op8_toxicity, op9_url_filter, op10_token_planes, op11_spelling_variants, op12_minhash_dedup, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op7_decontamination": decontamination.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op7_decontamination": decontamination.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_minhash_dedup": minhash.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
