@@ -152,6 +152,22 @@ def band_power_table(blocks: DataFrame, fs: float, nperseg: int | None = None) -
     return out.withColumns({f"{n}_ratio": F.when(total > 0, F.col(n) / total).otherwise(0.0) for n in names})
 
 
+def score_stack(stack: np.ndarray, scorer: Callable, cleaner: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and skip codes of a stack of windows of one shape: 1 interrupted, 2 the cleaner gave none; a skipped window scores 0."""
+    skip, prob = np.zeros(len(stack), np.int8), np.zeros(len(stack), np.float32)
+    bad = interrupted(stack if stack.ndim == 3 else stack.reshape(len(stack), 0, 0)) != GOOD
+    skip[bad] = 1
+    at, fine = np.flatnonzero(~bad), stack[~bad]
+    if cleaner:
+        cleaned = [cleaner(w) for w in fine]
+        kept = np.array([w is not None for w in cleaned], bool)
+        skip[at[~kept]] = 2
+        at, fine = at[kept], [w for w in cleaned if w is not None]
+    if len(at):
+        prob[at] = scorer(np.stack(fine))
+    return prob, skip
+
+
 def score_windows(windows: DataFrame, make_scorer: Callable[[], Callable], make_cleaner: Callable[[], Callable] | None = None) -> DataFrame:
     """recording_id, start_s, prob, skip_code: 1 interrupted, 2 the cleaner gave none, else the score.
 
@@ -164,16 +180,7 @@ def score_windows(windows: DataFrame, make_scorer: Callable[[], Callable], make_
         for pdf in batches:
             skip, prob = np.zeros(len(pdf), np.int8), np.zeros(len(pdf), np.float32)
             for at, stack in stacks(pdf["samples"]):
-                bad = interrupted(stack if stack.ndim == 3 else stack.reshape(len(stack), 0, 0)) != GOOD
-                skip[at[bad]] = 1
-                at, fine = at[~bad], stack[~bad]
-                if cleaner:
-                    cleaned = [cleaner(w) for w in fine]
-                    kept = np.array([w is not None for w in cleaned], bool)
-                    skip[at[~kept]] = 2
-                    at, fine = at[kept], [w for w in cleaned if w is not None]
-                if len(at):
-                    prob[at] = scorer(np.stack(fine))
+                prob[at], skip[at] = score_stack(stack, scorer, cleaner)
             yield pd.DataFrame({"recording_id": pdf["recording_id"], "start_s": pdf["start_s"], "prob": prob, "skip_code": skip})
 
     return windows.select("recording_id", "start_s", "samples").mapInPandas(run, f"recording_id {kind}, start_s int, prob float, skip_code byte")

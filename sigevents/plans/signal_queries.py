@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.operators import channels, features, windows
+from sigevents.operators import channels, features, recording_scorer, windows
 from sigevents.plans.queries import query, r6
 from sigevents.sources import driver_tables as T
 
@@ -51,26 +51,52 @@ def interrupted_flag(spark, d):
 @query(SCALED + "SELECT recording_id, 0 AS start_s, CASE WHEN reason = 0 THEN round(CAST(CAST(1 - 1 / (1 + sqrt(sq / (n * 64))) AS FLOAT) AS DOUBLE), 5) ELSE 0.0 END AS prob, CAST(CASE WHEN reason = 0 THEN 0 ELSE 1 END AS INTEGER) AS skip_code FROM f", base=False)
 def score_windows(spark, d):
     """Scores of sound windows; interrupted ones are skipped."""
-    out = features.score_windows(_scaled(spark, d), _rms_scorer)
+    out = features.score_windows(_scaled(spark, d), rms_scorer)
     return out.select("recording_id", "start_s", F.round(F.col("prob").cast("double"), 5).alias("prob"), F.col("skip_code").cast("int").alias("skip_code"))
 
 
-def _rms_scorer():
+def rms_scorer():
     return lambda x: 1 - 1 / (1 + (x**2).mean((1, 2)) ** 0.5)
 
 
+#: Scores of windows of six seconds at stride three out of samples s (recording_id, c, i, x) of four channels at 16 Hz.
+SCORED_SQL = """, w AS (SELECT recording_id, unnest(range(0, n // 16 - 5, 3)) AS t FROM (SELECT recording_id, max(i) + 1 AS n FROM s GROUP BY 1)),
+v AS (SELECT w.recording_id, t, c, i - 16 * t AS j, x FROM w JOIN s ON s.recording_id = w.recording_id AND i >= 16 * t AND i < 16 * t + 96),
+p AS (SELECT recording_id, t, c, count(*) AS n, max(abs(x)) AS peak, sum(x * x) AS sq FROM v GROUP BY ALL), k AS (SELECT recording_id, t, c, j // 9 AS k, stddev_pop(x) AS sp FROM v WHERE j < 90 GROUP BY ALL),
+q AS (SELECT recording_id, t, count(*) = 4 AND min(n) = 96 AS whole, min(peak) AS lo, max(peak) AS hi, sum(sq) AS sq FROM p GROUP BY ALL), g AS (SELECT recording_id, t, min(sp) AS s0, max(sp) AS s1 FROM k GROUP BY ALL),
+f AS (SELECT w.recording_id, w.t, sq, CASE WHEN NOT coalesce(whole, false) THEN 3 WHEN lo <= 0 OR hi > 50 * lo OR s0 < 1 OR s1 > 5000 THEN 1 ELSE 0 END AS skip_code FROM w LEFT JOIN q USING (recording_id, t) LEFT JOIN g USING (recording_id, t))
+SELECT recording_id, CAST(t AS INTEGER) AS start_s, CASE WHEN skip_code = 0 THEN round(1 - 1 / (1 + sqrt(sq / 384)), 4) ELSE 0.0 END AS prob, CAST(skip_code AS INTEGER) AS skip_code FROM f"""
+
+
+def scored_rows(out: DataFrame) -> DataFrame:
+    return out.select("recording_id", "start_s", F.round(F.col("prob").cast("double"), 4).alias("prob"), F.col("skip_code").cast("int").alias("skip_code"))
+
+
+@query("""WITH s AS (SELECT vec_id // 32 AS recording_id, vec_id % 4 AS c, vec_id % 32 // 4 * 64 + i AS i, CAST(CAST(CAST(embedding[i + 1] AS DOUBLE) * CASE WHEN vec_id // 32 % 4 = 1 THEN 1.0 WHEN vec_id // 32 % 4 = 2 AND vec_id % 32 < 16 THEN 1e6 WHEN vec_id // 32 % 4 = 3 AND vec_id % 4 = 0 THEN 1e5 ELSE 100.0 END AS FLOAT) AS DOUBLE) AS x
+FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE embedding IS NOT NULL AND vec_id % 29 <> 7)""" + SCORED_SQL, base=False)
+def scored_recordings(spark, d):
+    """Blocks of four channels to scores in one stage; some blocks lack a channel, whose name is another one there."""
+    r, c = F.expr("vec_id div 32 % 4"), F.col("vec_id") % 4
+    by = F.when(r == 1, 1.0).when((r == 2) & (F.col("vec_id") % 32 < 16), 1e6).when((r == 3) & (c == 0), 1e5).otherwise(100.0)
+    name = F.when(F.col("vec_id") % 29 == 7, "ECG").otherwise(F.element_at(F.array(*map(F.lit, ("C3", "C4", "P3", "P4"))), (c + 1).cast("int")))
+    block = F.expr("vec_id % 32 div 4").cast("int")
+    signals = _vectors(spark, d).select(F.expr("vec_id div 32").alias("recording_id"), name.alias("channel"), block.alias("block_idx"), (block * 4.0).alias("start_s"), F.lit(16).alias("fs"), F.transform("samples", lambda v: v * by).alias("samples"))
+    return scored_rows(recording_scorer.score_recordings(signals, ["C3", "C4", "P3", "P4"], rms_scorer, 6, 3, 16))
+
+
 @query("SELECT vec_id, ['T3', 'T4', 'T5', 'T6', 'Fp1', 'F3', 'Cz', 'O1'][vec_id % 8 + 1] AS channel FROM embeddings", base=False)
 def normalise_channel(spark, d):
     raw = F.element_at(F.array(*map(F.lit, RAW)), (F.col("vec_id") % 8 + 1).cast("int"))
     return T.read(spark, d, "embeddings").select("vec_id", channels.normalise_channel(raw).alias("channel"))
 
 
-@query(f"""WITH c AS (SELECT vec_id // 8 AS recording_id, {list(RAW)!r}[vec_id % 8 + 1] AS channel, CAST(vec_id % 8 AS INTEGER) AS pos FROM embeddings WHERE vec_id % 37 <> 0),
+@query(f"""WITH c AS (SELECT vec_id // 8 AS recording_id, CASE WHEN vec_id % 37 = 6 THEN 'ECG' ELSE {list(RAW)!r}[vec_id % 8 + 1] END AS channel, CAST(vec_id % 8 AS INTEGER) AS pos FROM embeddings),
 h AS (SELECT recording_id, wanted, channel, pos, row_number() OVER (PARTITION BY recording_id, wanted ORDER BY pos) AS n FROM c, (SELECT unnest(['t7', 'P', 'Cz']) AS wanted) WHERE contains(upper(channel), upper(wanted))),
 g AS (SELECT recording_id FROM h WHERE n = 1 GROUP BY recording_id HAVING count(*) = 3) SELECT recording_id, wanted, channel, pos FROM h JOIN g USING (recording_id) WHERE n = 1""", base=False)
 def select_channels(spark, d):
     raw = F.element_at(F.array(*map(F.lit, RAW)), (F.col("vec_id") % 8 + 1).cast("int"))
-    c = T.read(spark, d, "embeddings").where("vec_id % 37 <> 0").select(F.expr("vec_id div 8").alias("recording_id"), raw.alias("channel"), (F.col("vec_id") % 8).cast("int").alias("pos"))
+    raw = F.when(F.col("vec_id") % 37 == 6, "ECG").otherwise(raw)
+    c = T.read(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("recording_id"), raw.alias("channel"), (F.col("vec_id") % 8).cast("int").alias("pos"))
     return channels.select_channels(c, ["t7", "P", "Cz"]).select("recording_id", "wanted", "channel", "pos")
 
 
@@ -173,5 +199,6 @@ def band_powers(spark, d):
 
 @query()
 def channel_importance(spark, d):
+    """A forest of 300 trees."""
     rows = _vectors(spark, d).select(F.col("samples").alias("features"), (F.get("samples", F.lit(17)) > 0).cast("int").alias("label"))
-    return r6(features.channel_importance(rows, 4, trees=20))
+    return r6(features.channel_importance(rows, 4))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT as OP
-from sigevents.operators import comparison, windows
+from sigevents.operators import comparison, recording_scorer, windows
 from sigevents.plans.queries import query, r6
+from sigevents.plans.signal_queries import SCORED_SQL, rms_scorer, scored_rows
 from sigevents.sources import driver_tables as T
-from sigevents.sources import files
+from sigevents.sources import edf, files
+from sigevents.sources.recording_files import write_files
 from sigevents.sources.scratch import scratch_path
 
 
@@ -73,11 +74,23 @@ def hypotheses_round_trip(spark, d):
     return spark.read.text(path)
 
 
-@query(" SELECT recording_id, count(*) AS n, max(start_s) AS last FROM w GROUP BY 1")
+@query(""", x AS (SELECT recording_id, count(*) AS n, max(start_s) AS last, count(*) FILTER (CAST(prob AS DOUBLE) >= 0.5) AS h1, count(*) FILTER (CAST(prob AS DOUBLE) >= 0.3) AS h2 FROM w GROUP BY 1)
+SELECT 'recordings' AS part, CAST(recording_id AS DOUBLE) AS key, n, CAST(last AS BIGINT) AS value FROM x UNION ALL SELECT 'thresholds', 0.5, CAST(sum(n) AS BIGINT), CAST(sum(h1) AS BIGINT) FROM x UNION ALL SELECT 'thresholds', 0.3, CAST(sum(n) AS BIGINT), CAST(sum(h2) AS BIGINT) FROM x
+UNION ALL SELECT 'metrics', CAST(max(last) AS DOUBLE), CAST(sum(n) AS BIGINT), count(*) FROM x""")
 def report_round_trip(spark, d):
+    """One nested document with pooled figures, a part for each threshold and one for each recording, read back and laid flat."""
     path = scratch_path(spark, "report")
-    files.write_report(T.windows(spark, d).groupBy("recording_id").agg(F.count("*").alias("n"), F.max("start_s").alias("last")), path)
-    return spark.read.schema("report struct<recording_id: bigint, n: bigint, last: int>").json(path).select("report.*")
+    p = F.col("prob").cast("double")
+    x = T.windows(spark, d).groupBy("recording_id").agg(F.count("*").alias("n"), F.max("start_s").alias("last"), F.count_if(p >= 0.5).alias("h1"), F.count_if(p >= 0.3).alias("h2"))
+    pooled = x.agg(F.max("last").alias("last"), F.sum("n").alias("n"), F.count("*").alias("recordings"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    sweep = pooled.select(F.explode(F.array(F.struct(F.lit(0.5).alias("threshold"), "n", F.col("h1").alias("hot")), F.struct(F.lit(0.3).alias("threshold"), "n", F.col("h2").alias("hot")))).alias("s")).select("s.*")
+    files.write_report(pooled.select("last", "n", "recordings"), sweep, x.select("recording_id", "n", "last"), path)
+    kind = "metrics struct<last: bigint, n: bigint, recordings: bigint>, thresholds array<struct<threshold: double, n: bigint, hot: bigint>>, recordings array<struct<recording_id: bigint, n: bigint, last: bigint>>"
+    j = spark.read.schema(kind).json(f"{path}/report.json", multiLine=True)
+    parts = [j.select(F.lit("metrics").alias("part"), F.col("metrics.last").cast("double").alias("key"), "metrics.n", F.col("metrics.recordings").alias("value"))]
+    for name, key, value in (("thresholds", "threshold", "hot"), ("recordings", "recording_id", "last")):
+        parts.append(j.select(F.explode(name).alias("x")).select(F.lit(name).alias("part"), F.col(f"x.{key}").cast("double").alias("key"), "x.n", F.col(f"x.{value}").alias("value")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", base=False)
@@ -105,9 +118,13 @@ def recordings_and_content(spark, d):
 
 
 def _edf(samples: np.ndarray) -> bytes:
-    """An EDF file of one signal: records of a second of 16 samples, a tenth of a unit for each step."""
-    cells = [("0", 8), *[("", 80)] * 2, ("", 8), ("", 8), ("512", 8), ("", 44), (str(len(samples) // 16), 8), ("1", 8), ("1", 4), ("C3", 16), ("", 80), ("uV", 8), ("-3276.8", 8), ("3276.7", 8), ("-32768", 8), ("32767", 8), ("", 80), ("16", 8), ("", 32)]
-    return "".join(text.ljust(n) for text, n in cells).encode() + struct.pack(f"<{len(samples)}h", *samples)
+    """An EDF file of signals (channel, time) of 16 samples a second: records of a second, a tenth of a unit for each step."""
+    names = ("C3", "C4", "P3", "P4")[: len(samples)]
+    seconds = samples.shape[1] // 16
+    cells = [("0", 8), *[("", 80)] * 2, ("", 8), ("", 8), (str(256 * (len(names) + 1)), 8), ("", 44), (str(seconds), 8), ("1", 8), (str(len(names)), 4)]
+    for per_signal in ([(n, 16) for n in names], *[[(text, width)] * len(names) for text, width in (("", 80), ("uV", 8), ("-3276.8", 8), ("3276.7", 8), ("-32768", 8), ("32767", 8), ("", 80), ("16", 8), ("", 32))]):
+        cells += per_signal
+    return "".join(text.ljust(n) for text, n in cells).encode() + samples.reshape(len(names), seconds, 16).swapaxes(0, 1).astype("<i2").tobytes()
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS recording_id, 'C3' AS channel, CAST(b AS INTEGER) AS block_idx, CAST(b * 2 AS DOUBLE) AS start_s, CAST(16 AS INTEGER) AS fs, CAST(list_sum([CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT) for x in embedding[b * 32 + 1 : b * 32 + 32]]) AS BIGINT) AS total FROM embeddings, (SELECT unnest(range(0, 2)) AS b) WHERE embedding IS NOT NULL", base=False)
@@ -116,9 +133,46 @@ def edf_signals(spark, d):
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"recording_id": pdf["vec_id"].astype(str), "content": [_edf(np.floor(np.asarray(x, float) * 1000).astype(int)) for x in pdf["samples"]]})
+            yield pd.DataFrame({"recording_id": pdf["vec_id"].astype(str), "content": [_edf(np.floor(np.asarray(x, float) * 1000)[None]) for x in pdf["samples"]]})
 
     raw = T.read(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
     blocks = files.decode_signals(raw.mapInPandas(encode, "recording_id string, content binary"), 2)
     total = F.aggregate(F.transform("samples", lambda x: F.round(x.cast("double") * 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return blocks.select("recording_id", "channel", "block_idx", "start_s", "fs", total.alias("total"))
+
+
+def _recording_files(spark, d, n: int, channels: int, scale) -> str:
+    """EDF files of ``n`` vectors each: a vector is four seconds of a channel, channels take turns; whole numbers of ``scale`` units."""
+    path = scratch_path(spark, "edf")
+    c = (F.col("vec_id") % channels).cast("int").alias("c")
+    rec = F.expr(f"vec_id div {n}")
+    v = T.read(spark, d, "embeddings").where("embedding is not null").select(rec.alias("rec"), c, F.expr(f"vec_id % {n} div {channels}").alias("b"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale(rec % 4, c))).alias("x"))
+    whole = v.groupBy("rec", "b").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")).where(F.size("s") == channels)
+    whole = whole.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("b", "s"))).alias("blocks"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            content = [_edf(np.concatenate([np.stack([s["x"] for s in b["s"]]) for b in blocks], 1)) for blocks in pdf["blocks"]]
+            yield pd.DataFrame({"recording_id": pdf["rec"].astype(str), "content": content})
+
+    write_files(whole.mapInPandas(encode, "recording_id string, content binary"), path, ".edf")
+    return path
+
+
+@query("""WITH e AS (SELECT vec_id // 8 AS r, vec_id % 8 AS b, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT r, b * 64 + i AS i, CAST(floor(CAST(x[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS v FROM e, (SELECT unnest(range(0, 64)) AS i))
+SELECT CAST(r AS VARCHAR) AS recording_id, 'C3' AS channel, CAST(i // 80 AS INTEGER) AS block_idx, CAST(i // 80 * 5 AS DOUBLE) AS start_s, CAST(16 AS INTEGER) AS fs, CAST(count(*) AS INTEGER) AS n, CAST(sum(v * (i % 80 + 1)) AS BIGINT) AS total FROM s GROUP BY r, i // 80""", base=False)
+def edf_ranges(spark, d):
+    """EDF files of eight vectors, read in ranges of 300 bytes, several a file, to blocks of five seconds."""
+    blocks = files.read_edf_signals(spark, _recording_files(spark, d, 8, 1, lambda r, c: F.lit(1000.0)), 5, 300)
+    total = F.aggregate(F.transform("samples", lambda x, i: F.round(x.cast("double") * 10).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return blocks.select("recording_id", "channel", "block_idx", "start_s", "fs", F.size("samples").alias("n"), total.alias("total"))
+
+
+@query("""WITH e AS (SELECT vec_id // 32 AS r, vec_id % 32 // 4 AS b, vec_id % 4 AS c, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), full4 AS (SELECT r, b FROM e GROUP BY 1, 2 HAVING count(*) = 4),
+s AS (SELECT CAST(r AS VARCHAR) AS recording_id, c, b * 64 + i AS i, CAST(CAST(CAST(floor(CAST(x[i + 1] AS DOUBLE) * CASE WHEN r % 4 = 1 THEN 5.0 WHEN r % 4 = 3 AND c > 0 THEN 100.0 WHEN r % 4 = 3 THEN 30000.0 ELSE 3000.0 END) AS BIGINT) * CAST(0.1 AS DOUBLE) AS FLOAT) AS DOUBLE) AS x FROM e JOIN full4 USING (r, b), (SELECT unnest(range(0, 64)) AS i))"""
+    + SCORED_SQL, base=False)
+def scored_ranges(spark, d):
+    """EDF files of four channels, read in ranges with six seconds more, and scored in the same stage: no shuffle of samples."""
+    path = _recording_files(spark, d, 32, 4, lambda r, c: F.when(r == 1, 5.0).when((r == 3) & (c > 0), 100.0).when(r == 3, 30000.0).otherwise(3000.0))
+    blocks = edf.read_edf_ranges(spark, path, 4, 1500, ahead_s=6)
+    return scored_rows(recording_scorer.score_recordings(blocks, ["C3", "C4", "P3", "P4"], rms_scorer, 6, 3, 16, layout="ranges"))

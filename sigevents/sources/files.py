@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT, OperatingPoint
+from sigevents.sources import edf
+from sigevents.sources.recording_files import write_files
 
 
 def _stem(path: Column) -> Column:
@@ -84,36 +87,19 @@ def list_recordings(spark: SparkSession, root: str, glob: str = "*") -> DataFram
 
 
 def decode_edf(content: bytes) -> list[tuple[str, int, np.ndarray]]:
-    """Label, rate and physical samples of each signal of an EDF file."""
-    text = lambda a, n: content[a : a + n].decode("latin1").strip()
-    header, records, seconds, ns = int(text(184, 8)), int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
-    at, fields = 256, {}
-    for name, width in (("label", 16), ("kind", 80), ("unit", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("n", 8)):
-        fields[name] = [text(at + i * width, width) for i in range(ns)]
-        at += ns * width
-    n = [int(x) for x in fields["n"]]
-    raw = np.frombuffer(content, "<i2", offset=header)
-    records = len(raw) // sum(n) if records < 0 else min(records, len(raw) // sum(n))
-    table, begin, out = raw[: records * sum(n)].reshape(records, sum(n)), 0, []
-    for i in range(ns):
-        p0, p1, d0, d1 = (float(fields[k][i]) for k in ("pmin", "pmax", "dmin", "dmax"))
-        gain = (p1 - p0) / (d1 - d0) if d1 != d0 else 1.0
-        out.append((fields["label"][i], round(n[i] / seconds), (table[:, begin : begin + n[i]].ravel() - d0) * gain + p0))
-        begin += n[i]
-    return out
-
-
-SIGNALS = "recording_id string, channel string, block_idx int, start_s double, fs int, samples array<float>"
-
-
-def read_edf_signals(spark: SparkSession, root: str, block_s: int = 60) -> DataFrame:
-    """Blocks of ``block_s`` seconds of each channel; a file is a task's unit of work."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(root)
-    return decode_signals(f.select(_stem(F.col("path")).alias("recording_id"), "content"), block_s)
+    """Label, rate and physical samples of each signal of a whole EDF file."""
+    h = edf.parse_header(content, len(content))
+    samples = edf.decode_records(content[h.bytes : h.bytes + h.records * h.record_bytes], h)
+    return [(h.labels[i], h.rate(i), x) for i, x in enumerate(samples)]
+
+
+def read_edf_signals(spark: SparkSession, root: str, block_s: int = 60, split_bytes: int = 32 << 20) -> DataFrame:
+    """Blocks of ``block_s`` seconds of each channel of the EDF files below a folder; a file is read by ranges (edf.py)."""
+    return edf.read_edf_ranges(spark, root, block_s, split_bytes).drop("ahead")
 
 
 def decode_signals(files: DataFrame, block_s: int = 60) -> DataFrame:
-    """The same for a table of recording_id and a file's content."""
+    """The same rows for a table of recording_id and a file's whole content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,9 +109,9 @@ def decode_signals(files: DataFrame, block_s: int = 60) -> DataFrame:
                         continue
                     step = fs * block_s
                     rows = [(rec, label, i // step, i / fs, fs, x[i : i + step].astype(np.float32).tolist()) for i in range(0, len(x), step)]
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNALS.split(", ")])
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in edf.SIGNALS.split(", ")])
 
-    return files.mapInPandas(run, SIGNALS)
+    return files.mapInPandas(run, edf.SIGNALS)
 
 
 def annotation_lines(events: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -136,8 +122,9 @@ def annotation_lines(events: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def write_annotations(events: DataFrame, recordings: DataFrame, path: str) -> None:
+    """One annotation file a recording, below one folder, all or none (recording_files.py)."""
     lines = annotation_lines(events, recordings).repartition("recording_id").sortWithinPartitions("recording_id", "k", "a", "b")
-    lines.select("recording_id", "line").write.partitionBy("recording_id").text(path)
+    write_files(lines.select(F.col("recording_id").cast("string").alias("recording_id"), "line"), path, ".csv")
 
 
 def hypothesis_lines(events: DataFrame) -> DataFrame:
@@ -149,8 +136,28 @@ def write_hypotheses(events: DataFrame, path: str) -> None:
     hypothesis_lines(events).write.text(path)
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    metrics.select(F.struct("*").alias("report")).write.json(path)
+def report_lines(metrics: DataFrame, sweep: DataFrame, per_recording: DataFrame) -> DataFrame:
+    """recording_id (``report``), line of one JSON document: {"metrics": {...}, "thresholds": [...], "recordings": [...]}.
+
+    ``metrics``: one row. The rows of the others are in order of their first two columns, a line each, so
+    that the document streams through one task, however many recordings it has.
+    """
+    parts = [metrics.select(F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.concat(F.lit('{"metrics": '), F.to_json(F.struct("*"))).alias("line"))]
+    for k, (name, t) in enumerate((("thresholds", sweep), ("recordings", per_recording)), 1):
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(x) for c, x in zip(t.columns, ("a", "b"))]
+        keys += [F.lit("").alias("b")] * (len(t.columns) == 1)
+        rows = t.select(F.lit(2 * k).alias("part"), *keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+        first = rows.agg(F.min(F.struct("a", "b", "line")).alias("_first"))
+        rows = rows.join(F.broadcast(first)).withColumn("line", F.when(F.struct("a", "b", "line") == F.col("_first"), F.col("line")).otherwise(F.concat(F.lit(","), "line"))).drop("_first")  # one row
+        parts += [metrics.select(F.lit(2 * k - 1).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(f', "{name}": [' if k == 1 else f'], "{name}": [').alias("line")), rows]
+    parts.append(metrics.select(F.lit(5).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("]}").alias("line")))
+    whole = reduce(lambda x, y: x.unionByName(y), parts)
+    return whole.repartition(1).sortWithinPartitions("part", "a", "b", "line").select(F.lit("report").alias("recording_id"), "line")
+
+
+def write_report(metrics: DataFrame, sweep: DataFrame, per_recording: DataFrame, path: str) -> None:
+    """The nested report as ``report.json`` in a folder."""
+    write_files(report_lines(metrics, sweep, per_recording), path, ".json")
 
 
 def parse_run_meta(runs: DataFrame, schema: str) -> DataFrame:
