@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT, OperatingPoint
-from sigevents.operators.intervals import clamp_interval, concatenate_nearby, shape_events
-from sigevents.operators.seconds import per_second, runs_above, scored
+from sigevents.operators.curves import threshold_events
+from sigevents.operators.intervals import clamp_interval
 
 
 def threshold_table(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -18,23 +18,8 @@ def threshold_table(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def events_from_windows(windows: DataFrame, durations: DataFrame, thresholds: Sequence[float], op: OperatingPoint = DEFAULT, average: bool = True, shape: bool = True, skip_policy: str = "zero") -> DataFrame:
-    """recording_id, threshold, start_s, stop_s, prob: the whole stage from scores to clamped events, all thresholds in one job."""
-    key = ["recording_id", "threshold"]
-    if average:
-        marks = per_second(windows, durations, op.seg, skip_policy=skip_policy).select("recording_id", F.col("s").cast("double").alias("a"), (F.col("s") + 1).cast("double").alias("b"), F.col("p").cast("double").alias("p"), "s")
-        hot = threshold_table(marks, thresholds).where("p >= threshold")
-        raw = runs_above(hot, F.lit(0.0), key)
-    else:
-        w = scored(windows, skip_policy).select("recording_id", F.col("start_s").cast("double").alias("a"), (F.col("start_s") + op.seg).cast("double").alias("b"), F.col("prob").cast("double").alias("p"))
-        hot = threshold_table(w, thresholds).where("p >= threshold")
-        raw = concatenate_nearby(hot.select(*key, F.col("a").alias("start_s"), F.col("b").alias("stop_s")), 1e-9, key)
-    if shape:
-        raw = shape_events(raw, op.min_duration, op.merge_gap, key)
-    d = durations.select("recording_id", F.col("duration_s").alias("_d"))
-    clamped = raw.join(d, "recording_id").withColumns({"start_s": F.greatest("start_s", F.lit(0.0)), "stop_s": F.least("stop_s", F.col("_d"))}).where("stop_s > start_s").drop("_d")
-    # the score of an event: the highest hot mark in it
-    inside = (F.col("a") < F.col("stop_s")) & (F.col("b") > F.col("start_s"))
-    return clamped.join(hot.select(*key, "a", "b", "p"), key).where(inside).groupBy(*key, "start_s", "stop_s").agg(F.max("p").alias("prob"))
+    """recording_id, threshold, start_s, stop_s, prob: the whole stage from scores to clamped events, for all thresholds from one sweep (curves.py)."""
+    return threshold_events(windows, durations, thresholds, op.seg, op.min_duration, op.merge_gap, average, (shape,), skip_policy).drop("shaped")
 
 
 def consecutive_window_events(windows: DataFrame, threshold: float, seg: int, durations: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigevents.operators.interval_join import CELL_S, meeting
+from sigevents.sources.scratch import stored
+
 REC = ("recording_id",)
 
 
@@ -59,12 +62,11 @@ def clamp_interval(start: Column, stop: Column, duration: Column, min_length: fl
     return F.greatest(F.least(a, wide - min_length), F.lit(0.0)), wide
 
 
-def intersect_hypotheses(a: DataFrame, b: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+def intersect_hypotheses(a: DataFrame, b: DataFrame, by: Sequence[str] = REC, cell_s: float | None = CELL_S) -> DataFrame:
     """All overlapping pairs: their common part and mean confidence."""
     by = list(by)
-    r = b.select(*by, F.col("start_s").alias("_b0"), F.col("stop_s").alias("_b1"), F.col("confidence").alias("_bc"))
-    both = a.join(r, by).where("start_s < _b1 and _b0 < stop_s")
-    return both.select(*by, F.greatest("start_s", "_b0").alias("start_s"), F.least("stop_s", "_b1").alias("stop_s"), ((F.col("confidence") + F.col("_bc")) / 2).alias("confidence"))
+    both = meeting(a.select(*by, "start_s", "stop_s", "confidence"), b.withColumn("_bc", F.col("confidence")), by, keep=["_bc"], cell_s=cell_s)
+    return both.select(*by, F.greatest("start_s", "_r0").alias("start_s"), F.least("stop_s", "_r1").alias("stop_s"), ((F.col("confidence") + F.col("_bc")) / 2).alias("confidence"))
 
 
 def pairwise_discard(events: DataFrame, gap: float = 10.0, min_duration: float = 5.0, by: Sequence[str] = REC) -> DataFrame:
@@ -77,12 +79,9 @@ def pairwise_discard(events: DataFrame, gap: float = 10.0, min_duration: float =
     return x.where(own & (far | before)).withColumn("start_s", F.when(far, F.col("start_s")).otherwise(F.col("_p0"))).drop("_p0", "_p1")
 
 
-def discarded_runs(runs: DataFrame, kept: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+def discarded_runs(runs: DataFrame, kept: DataFrame, by: Sequence[str] = REC, cell_s: float | None = CELL_S) -> DataFrame:
     """Threshold runs that no kept event contains."""
     by = list(by)
-    k = kept.select(*by, F.col("start_s").alias("_k0"), F.col("stop_s").alias("_k1"))
-    on = [runs[c].eqNullSafe(k[c]) for c in by] + [k["_k0"] <= runs["start_s"], runs["stop_s"] <= k["_k1"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return runs.join(k, cond, "left_anti")
+    runs, key = stored(runs, "runs"), [*by, "start_s", "stop_s"]
+    held = meeting(runs.select(*key), kept, by, strict=False, cell_s=cell_s).where("_r0 <= start_s and stop_s <= _r1").select(*key).distinct()
+    return runs.join(held, key, "left_anti")

@@ -1,26 +1,22 @@
-"""Labels of windows and seconds from reference intervals; range joins with the recording as equi key."""
+"""Labels of windows and seconds from reference intervals; range joins by recording and cell of time (interval_join.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigevents.operators.interval_join import CELL_S, meeting
 
-def _refs(refs: DataFrame) -> DataFrame:
-    return refs.select(F.col("recording_id").alias("_r"), F.col("start_s").alias("_r0"), F.col("stop_s").alias("_r1"))
 
-
-def label_any_overlap(windows: DataFrame, refs: DataFrame, seg: int, key: tuple[str, ...] = ("recording_id", "start_s")) -> DataFrame:
+def label_any_overlap(windows: DataFrame, refs: DataFrame, seg: int, key: tuple[str, ...] = ("recording_id", "start_s"), cell_s: float | None = CELL_S) -> DataFrame:
     """``label`` 1 if the window overlaps any reference by more than nothing. The predicate is in the join, so unmatched rows stay null."""
-    r = _refs(refs)
-    hit = windows.select(*key).join(r, (F.col("recording_id") == F.col("_r")) & (F.col("start_s") < F.col("_r1")) & (F.col("start_s") + seg > F.col("_r0"))).select(*key).distinct().withColumn("_hit", F.lit(1))
+    hit = meeting(windows.select(*key), refs, until=F.col("start_s") + seg, cell_s=cell_s).select(*key).distinct().withColumn("_hit", F.lit(1))
     return windows.join(hit, list(key), "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
-def label_fully_inside(windows: DataFrame, refs: DataFrame, seg: int, key: tuple[str, ...] = ("recording_id", "start_s")) -> DataFrame:
+def label_fully_inside(windows: DataFrame, refs: DataFrame, seg: int, key: tuple[str, ...] = ("recording_id", "start_s"), cell_s: float | None = CELL_S) -> DataFrame:
     """1 inside one reference, 0 touching none; anything else has ``keep`` false."""
-    r = _refs(refs)
-    touch = windows.select(*key).join(r, (F.col("recording_id") == F.col("_r")) & (F.col("start_s") < F.col("_r1")) & (F.col("start_s") + seg > F.col("_r0")))
+    touch = meeting(windows.select(*key), refs, until=F.col("start_s") + seg, cell_s=cell_s)
     seen = touch.groupBy(*key).agg(F.bool_or((F.col("_r0") <= F.col("start_s")) & (F.col("start_s") + seg <= F.col("_r1"))).alias("_in"))
     out = windows.join(seen, list(key), "left")
     return out.withColumns({"label": F.when(F.col("_in"), 1).otherwise(0), "keep": F.col("_in").isNull() | F.col("_in")}).drop("_in")
@@ -38,20 +34,20 @@ def label_seconds(curve: DataFrame, refs: DataFrame) -> DataFrame:
     return curve.where("p > 0").join(hot, ["recording_id", "s"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
-def peak_per_reference(windows: DataFrame, refs: DataFrame, seg: int, strict: bool = True, keep_unseen: bool = False) -> DataFrame:
+def peak_per_reference(windows: DataFrame, refs: DataFrame, seg: int, strict: bool = True, keep_unseen: bool = False, cell_s: float | None = CELL_S) -> DataFrame:
     """Highest score over each reference; overlap strict or inclusive; references without a window are dropped or 0."""
-    w = windows.select(F.col("recording_id").alias("_w"), F.col("start_s").alias("_w0"), F.col("prob").cast("double").alias("_p"))
-    a, b = F.col("_w0") < F.col("stop_s"), F.col("_w0") + seg > F.col("start_s")
-    if not strict:
-        a, b = F.col("_w0") <= F.col("stop_s"), F.col("_w0") + seg >= F.col("start_s")
-    peaks = refs.join(w, (F.col("recording_id") == F.col("_w")) & a & b, "left").groupBy("recording_id", "start_s", "stop_s").agg(F.max("_p").alias("peak"))
-    return peaks.fillna(0.0, ["peak"]) if keep_unseen else peaks.where("peak is not null")
+    w = windows.select("recording_id", "start_s", F.col("prob").cast("double").alias("_p"))
+    met = meeting(w, refs, until=F.col("start_s") + seg, strict=strict, cell_s=cell_s)
+    peaks = met.groupBy("recording_id", F.col("_r0").alias("start_s"), F.col("_r1").alias("stop_s")).agg(F.max("_p").alias("peak")).where("peak is not null")
+    if not keep_unseen:
+        return peaks
+    return refs.select("recording_id", "start_s", "stop_s").distinct().join(peaks, ["recording_id", "start_s", "stop_s"], "left").fillna(0.0, ["peak"])
 
 
-def background_stats(windows: DataFrame, refs: DataFrame, seg: int) -> DataFrame:
+def background_stats(windows: DataFrame, refs: DataFrame, seg: int, cell_s: float | None = CELL_S) -> DataFrame:
     """Max and mean score per recording of the windows that touch no reference."""
-    r = _refs(refs)
-    quiet = windows.join(r, (F.col("recording_id") == F.col("_r")) & (F.col("start_s") < F.col("_r1")) & (F.col("start_s") + seg > F.col("_r0")), "left_anti")
+    key = ["recording_id", "start_s"]
+    quiet = windows.join(meeting(windows.select(*key), refs, until=F.col("start_s") + seg, cell_s=cell_s).select(*key).distinct(), key, "left_anti")
     return quiet.groupBy("recording_id").agg(F.max(F.col("prob").cast("double")).alias("bg_max"), F.avg(F.col("prob").cast("double")).alias("bg_mean"))
 
 

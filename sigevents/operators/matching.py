@@ -1,24 +1,62 @@
-"""Matching of event lists. Greedy matching is sequential by nature: tasks stream over the few events of
-each recording and threshold; everything about proximity alone is a join."""
+"""Matching of event lists. Greedy matching is sequential by nature, but only among events near each other:
+tasks stream over chains of such events; everything about proximity alone is a join."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from sigevents.config import DEFAULT, OperatingPoint
-from sigevents.operators.events import events_from_windows, threshold_table
+from sigevents.operators.curves import threshold_events
+from sigevents.operators.events import threshold_table
+from sigevents.operators.interval_join import CELL_S, meeting
 from sigevents.operators.intervals import concatenate_nearby
+from sigevents.sources.scratch import stored
 
 KEY = ("recording_id", "threshold")
 MATCHES = "kind string, pred_start double, pred_stop double, ref_start double, ref_stop double"
+#: Seconds of a stretch in which chains are found by one task.
+CHAIN_CELL_S = 86_400.0
+
+
+def chained(events: DataFrame, by: Sequence[str], reach: float, cell_s: float = CHAIN_CELL_S) -> DataFrame:
+    """``events`` (start_s, stop_s) with ``chain``: the start of the first event of a chain, in which each begins at most ``reach`` after the end of all before it.
+
+    Events that come within ``reach`` of each other are of one chain, so whatever is decided between such
+    events is decided inside chains. Stretches of ``cell_s`` seconds are ordered by themselves; what they
+    need of those before, the greatest end and the last begin of a chain, is carried over by a window over
+    one row a stretch, so a long recording is dealt over many tasks. Events are stored first, since they are
+    read three times. Reversed intervals count as their start.
+    """
+    by = list(by)
+    end = F.greatest("start_s", "stop_s")
+    x = stored(events, "chained").withColumns({"_cell": F.floor(F.col("start_s") / cell_s), "_end": end})
+    ends = x.groupBy(*by, "_cell").agg(F.max("_end").alias("_top"))
+    over = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_cell", F.max("_top").over(over).alias("_before"))
+    same = lambda a, b: reduce(lambda p, q: p & q, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*by, "_cell"]])
+    x = x.alias("x").join(carried.alias("c"), same("x", "c")).select("x.*", "_before")
+    w = Window.partitionBy(*by, "_cell").orderBy("start_s", "stop_s")
+    before = F.greatest(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    x = x.withColumn("_first", F.when(before.isNull() | (F.col("start_s") > before + reach), F.col("start_s")))
+    begins = x.groupBy(*by, "_cell").agg(F.max("_first").alias("_last"))
+    late = begins.select(*by, "_cell", F.max("_last").over(over).alias("_chain"))
+    x = x.withColumn("_own", F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.alias("x").join(late.alias("c"), same("x", "c")).withColumn("chain", F.coalesce("_own", "_chain")).drop("_cell", "_end", "_before", "_first", "_own", "_chain", *[F.col(f"c.{c}") for c in by], F.col("c._cell"))
+
+
+def nearby(spans: list[tuple], reach: float, long: float) -> Callable[[float, float], range]:
+    """For an interval, the places of those of ``spans`` (in order, ``long`` the length of the longest) that can come within ``reach`` of it."""
+    starts = [s[0] for s in spans]
+    return lambda a, b: range(bisect_left(starts, a - reach - long), bisect_right(starts, b + reach))
 
 
 def greedy(preds: list[tuple], refs: list[tuple], tol: float) -> list[tuple]:
@@ -26,8 +64,9 @@ def greedy(preds: list[tuple], refs: list[tuple], tol: float) -> list[tuple]:
     then least onset and offset error; near a claimed one only: duplicate; near none: false positive."""
     preds, refs = sorted(preds), sorted(refs)
     free, out = set(range(len(refs))), []
+    around = nearby(refs, tol, max((b - a for a, b in refs), default=0.0))
     for a, b in preds:
-        near = [i for i, (r0, r1) in enumerate(refs) if a <= r1 + tol and b >= r0 - tol]
+        near = [i for i in around(a, b) if a <= refs[i][1] + tol and b >= refs[i][0] - tol]
         mine = [i for i in near if i in free]
         if mine:
             best = max(mine, key=lambda i: (max(0.0, min(b, refs[i][1]) - max(a, refs[i][0])), -abs(a - refs[i][0]), -abs(b - refs[i][1]), -i))
@@ -38,25 +77,25 @@ def greedy(preds: list[tuple], refs: list[tuple], tol: float) -> list[tuple]:
     return out + [("miss", None, None, *refs[i]) for i in sorted(free)]
 
 
-def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame) -> DataFrame:
-    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds to be scored.
+def by_chain(sides: DataFrame, by: Sequence[str], columns: Sequence[str], decide: Callable[[list, list], list[tuple]], schema: str) -> DataFrame:
+    """``decide`` of the left and the right rows (``side`` 0 and 1; tuples of ``columns``) of each chain: rows of ``by`` and ``schema``.
 
-    A recording's events of all thresholds are dealt to one task and streamed in order, one threshold at a time.
+    Chains are dealt by a hash of their key and stream through a task one at a time.
     """
-    kind = next(f.dataType for f in preds.schema.fields if f.name == "recording_id")
-    sides = preds.select(*KEY, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*KEY).join(refs, "recording_id").select(*KEY, F.lit(1).alias("side"), "start_s", "stop_s"))
-    names, types = zip(*(c.split() for c in MATCHES.split(", ")), strict=True)
-    arrow = [to_arrow_type(kind), pa.float64(), *(pa.string() if t == "string" else pa.float64() for t in types)]
+    kinds = [sides.schema[c].dataType for c in by]
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    arrow = [*map(to_arrow_type, kinds), *map(to_arrow_type, (_parse_datatype_string(t) for t in types))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (*KEY, "side", "start_s", "stop_s")), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True))
         out: list[tuple] = []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=[*KEY, *names])
-        for key, group in groupby(rows, key=lambda r: r[:2]):
-            pairs: tuple[list, list] = ([], [])
-            for _, _, side, a, b in group:
-                pairs[side].append((a, b))
-            out += [(*key, *x) for x in greedy(*pairs, tol)]
+        n = len(by)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=[*by, *names])
+        for key, group in groupby(rows, key=lambda r: r[: n + 1]):
+            pair: tuple[list, list] = ([], [])
+            for r in group:
+                pair[r[n + 1]].append(r[n + 2 :])
+            out += [(*key[:n], *x) for x in decide(*pair)]
             if len(out) > 20_000:
                 yield batch()
                 out = []
@@ -64,42 +103,46 @@ def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame)
             yield batch()
 
     # by a hash of the key: with the key itself Spark may take a cached side as dealt already and leave the shuffle of the union out
-    dealt = sides.repartition(F.xxhash64("recording_id")).sortWithinPartitions(*KEY)
-    return dealt.mapInArrow(run, f"recording_id {kind.simpleString()}, threshold double, {MATCHES}")
+    n = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.select(*by, "chain", "side", *columns).repartition(n, F.xxhash64(*by, "chain")).sortWithinPartitions(*by, "chain")
+    head = ", ".join(f"`{c}` {k.simpleString()}" for c, k in zip(by, kinds, strict=True))
+    return dealt.mapInArrow(run, f"{head}, {schema}")
 
 
-def _near(a: DataFrame, b: DataFrame, tol: float, by: tuple[str, ...], how: str, strict: bool = False) -> DataFrame:
-    o = b.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("start_s").alias("_b0"), F.col("stop_s").alias("_b1"))
-    on = [F.col(c) == F.col(f"_{c}") for c in by]
-    on += [F.col("start_s") < F.col("_b1"), F.col("stop_s") > F.col("_b0")] if strict else [F.col("start_s") <= F.col("_b1") + tol, F.col("stop_s") >= F.col("_b0") - tol]
-    return a.join(o, reduce(lambda x, y: x & y, on), how)
+def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame, cell_s: float = CHAIN_CELL_S) -> DataFrame:
+    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds to be scored.
+
+    Matching is decided inside chains of predictions and references that come within ``tol`` of each other, so the events of a long recording are dealt over many tasks.
+    """
+    sides = preds.select(*KEY, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*KEY).join(refs, "recording_id").select(*KEY, F.lit(1).alias("side"), "start_s", "stop_s"))
+    return by_chain(chained(sides, KEY, tol, cell_s), KEY, ["start_s", "stop_s"], lambda a, b: greedy(a, b, tol), MATCHES)
 
 
-def proximity_hits(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+def proximity_hits(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...] = ("recording_id",), cell_s: float | None = CELL_S) -> DataFrame:
     """Events within ``tol`` of any other, ends included."""
-    return _near(events, others, tol, by, "left_semi")
+    return _told_apart(events, others, tol, by, "left_semi", cell_s)
 
 
-def proximity_misses(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    return _near(events, others, tol, by, "left_anti")
+def proximity_misses(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...] = ("recording_id",), cell_s: float | None = CELL_S) -> DataFrame:
+    return _told_apart(events, others, tol, by, "left_anti", cell_s)
 
 
-def score_overlap(preds: DataFrame, refs: DataFrame, keys: DataFrame, merge_fa_s: float | None = None) -> DataFrame:
-    """Per key: references that any prediction overlaps, and predictions that overlap none (those nearer than ``merge_fa_s`` count once).
+def _told_apart(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...], how: str, cell_s: float | None) -> DataFrame:
+    events, key = stored(events, "events"), [*by, "start_s", "stop_s"]
+    near = meeting(events.select(*key), others, by, strict=False, tol=tol, cell_s=cell_s).select(*key).distinct()
+    return events.join(near, key, how)
 
-    One range join tells both: a prediction without a partner is a false alarm, a partner is a hit.
-    """
+
+def score_overlap(preds: DataFrame, refs: DataFrame, keys: DataFrame, merge_fa_s: float | None = None, cell_s: float | None = CELL_S) -> DataFrame:
+    """Per key: references that any prediction overlaps, and predictions that overlap none (those nearer than ``merge_fa_s`` count once)."""
     r = refs.groupBy("recording_id", "start_s", "stop_s").agg(F.count("*").alias("_times"))
-    p = preds.select(*KEY, "start_s", "stop_s")
-    o = r.select(F.col("recording_id").alias("_rec"), F.col("start_s").alias("_b0"), F.col("stop_s").alias("_b1"), "_times")
-    met = p.join(o, (F.col("recording_id") == F.col("_rec")) & (F.col("start_s") < F.col("_b1")) & (F.col("stop_s") > F.col("_b0")), "left")
-    if merge_fa_s is None:
-        by_ref = met.groupBy(*KEY, "_b0", "_b1").agg(F.first("_times").alias("_hits"), F.count("*").alias("_n"))
-        found = by_ref.groupBy(*KEY).agg(F.sum("_hits").alias("hits"), F.sum(F.when(F.col("_b0").isNull(), F.col("_n"))).alias("false_alarms"))
-    else:
-        hits = met.where("_b0 is not null").groupBy(*KEY, "_b0", "_b1").agg(F.first("_times").alias("_hits")).groupBy(*KEY).agg(F.sum("_hits").alias("hits"))
-        false = concatenate_nearby(met.where("_b0 is null").select(*KEY, "start_s", "stop_s"), merge_fa_s, KEY).groupBy(*KEY).agg(F.count("*").alias("false_alarms"))
-        found = hits.join(false, list(KEY), "full")
+    p = stored(preds.select(*KEY, "start_s", "stop_s"), "predictions")
+    met = meeting(p, r, keep=["_times"], cell_s=cell_s).select(*KEY, "start_s", "stop_s", "_r0", "_r1", "_times")
+    hits = met.groupBy(*KEY, "_r0", "_r1").agg(F.first("_times").alias("_hits")).groupBy(*KEY).agg(F.sum("_hits").alias("hits"))
+    false = p.join(met.select(*KEY, "start_s", "stop_s").distinct(), [*KEY, "start_s", "stop_s"], "left_anti")
+    if merge_fa_s is not None:
+        false = concatenate_nearby(false, merge_fa_s, KEY)
+    found = hits.join(false.groupBy(*KEY).agg(F.count("*").alias("false_alarms")), list(KEY), "full")
     n = r.groupBy("recording_id").agg(F.sum("_times").alias("n_refs"))
     return keys.select(*KEY).distinct().join(found, list(KEY), "left").join(n, "recording_id", "left").select(*KEY, "hits", "false_alarms", "n_refs").fillna(0)
 
@@ -132,10 +175,11 @@ def postprocessing_ablation(windows: DataFrame, durations: DataFrame, refs: Data
     ``keys``: the recordings to be scored; ``durations``: recording_id, duration_s, cohort.
     """
     runs = []
-    for config, (average, shape) in ABLATION.items():
-        e = events_from_windows(windows, durations, thresholds, op, average=average, shape=shape).join(keys, "recording_id", "left_semi")
-        runs.append(e.withColumn("config", F.lit(config)))
-    preds = reduce(lambda a, b: a.unionByName(b), runs)
+    for average in (False, True):  # one sweep gives events both as they are and shaped
+        e = threshold_events(windows, durations, thresholds, op.seg, op.min_duration, op.merge_gap, average, (False, True)).join(keys, "recording_id", "left_semi")
+        name = {shape: config for config, (mean, shape) in ABLATION.items() if mean == average}
+        runs.append(e.withColumn("config", F.when(F.col("shaped"), name[True]).otherwise(name[False])).drop("shaped"))
+    preds = runs[0].unionByName(runs[1])
     # the greedy match is per recording and threshold: a configuration is a part of the recording's name here
     named = lambda d: d.withColumn("recording_id", F.struct("recording_id", "config"))
     whole = F.explode(F.array(*map(F.lit, ABLATION))).alias("config")
@@ -150,6 +194,7 @@ def postprocessing_ablation(windows: DataFrame, durations: DataFrame, refs: Data
 
 def convention_comparison(preds: DataFrame, refs: DataFrame, durations: DataFrame, keys: DataFrame, tol: float, merge_fa_s: float = 30.0) -> DataFrame:
     """Per threshold: hits, false alarms, sensitivity and false alarms per 24 h by greedy matching, by any overlap, and by any overlap with near false alarms merged."""
+    preds = stored(preds, "predictions")
     m = match_events(preds, refs, tol, keys).groupBy("threshold").agg(F.count_if(F.col("kind") == "match").alias("hits"), F.count_if(F.col("kind") == "false_positive").alias("false_alarms"), F.count_if(F.col("kind").isin("match", "miss")).alias("n_refs"))
     parts = [m.withColumn("convention", F.lit("greedy"))]
     for name, merge in (("overlap", None), ("overlap_merged", merge_fa_s)):
@@ -160,42 +205,49 @@ def convention_comparison(preds: DataFrame, refs: DataFrame, durations: DataFram
     return out.withColumns({"sensitivity": F.try_divide("hits", "n_refs"), "fa_per_24h": F.try_divide(F.col("false_alarms") * F.lit(86400.0), "duration_s")})
 
 
-def compare_event_lists(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per recording: greedy matching by overlap in time order; matched, lost, gained, greatest shift of a boundary."""
-    kind = dict(a.dtypes)["recording_id"]
+def compare_event_lists(a: DataFrame, b: DataFrame, cell_s: float = CHAIN_CELL_S) -> DataFrame:
+    """Per recording: greedy matching by overlap in time order; matched, lost, gained, greatest shift of a boundary. Decided by chains of events that touch."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = (sorted(map(tuple, p[["start_s", "stop_s"]].to_numpy(float))) for p in (left, right))
+    def decide(x: list[tuple], y: list[tuple]) -> list[tuple]:
+        x, y = sorted(x), sorted(y)
         free, matched, shift = set(range(len(y))), 0, 0.0
+        around = nearby(y, 0.0, max((e - s for s, e in y), default=0.0))
         for s, e in x:
-            over = [(min(e, y[i][1]) - max(s, y[i][0]), -i) for i in free]
+            over = [(min(e, y[i][1]) - max(s, y[i][0]), -i) for i in around(s, e) if i in free]
             if over and max(over)[0] > 0:
                 i = -max(over)[1]
                 free.discard(i)
                 matched += 1
                 shift = max(shift, abs(s - y[i][0]), abs(e - y[i][1]))
-        return pd.DataFrame({"recording_id": [key[0]], "matched": [matched], "lost": [len(x) - matched], "gained": [len(free)], "max_shift": [shift]})
+        return [(matched, len(x) - matched, len(free), shift)]
 
-    return a.groupBy("recording_id").cogroup(b.groupBy("recording_id")).applyInPandas(run, f"recording_id {kind}, matched long, lost long, gained long, max_shift double")
+    sides = a.select("recording_id", F.lit(0).alias("side"), "start_s", "stop_s").unionByName(b.select("recording_id", F.lit(1).alias("side"), "start_s", "stop_s"))
+    parts = by_chain(chained(sides, ["recording_id"], 0.0, cell_s), ["recording_id"], ["start_s", "stop_s"], decide, "matched bigint, lost bigint, gained bigint, max_shift double")
+    return parts.groupBy("recording_id").agg(*[F.sum(c).alias(c) for c in ("matched", "lost", "gained")], F.max("max_shift").alias("max_shift"))
 
 
 REVIEW = "event_id int, start_s double, stop_s double, source_start_s double, source_stop_s double, prob double, status string, review_note string"
 
 
-def merge_review_state(proposals: DataFrame, reviewed: DataFrame, least: float = 0.5) -> DataFrame:
+def merge_review_state(proposals: DataFrame, reviewed: DataFrame, least: float = 0.5, cell_s: float = CHAIN_CELL_S) -> DataFrame:
     """Each proposal takes the best unused reviewed event that overlaps at least ``least`` of the shorter
-    one (on source extents) and inherits its id, status, note and extent; reviewed ones left over stay."""
-    kind = dict(proposals.dtypes)["recording_id"]
+    one (on source extents) and inherits its id, status, note and extent; reviewed ones left over stay.
+
+    ``least`` is more than 0, so this is decided by chains of events whose source extents touch. A reviewed
+    event without a source extent (an added one) has its own; ties go to the first reviewed event in time.
+    """
     names = [c.split()[0] for c in REVIEW.split(", ")]
+    top = lambda *p: max((x for x in p if x is not None and x == x), default=None)
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        old = right.sort_values(["start_s", "stop_s"]).to_dict("records")
+    def decide(left: list[tuple], right: list[tuple]) -> list[tuple]:
+        old = sorted((dict(zip(names, r[2:], strict=True)) | {"at": r[:2]} for r in right), key=lambda r: (r["start_s"], r["stop_s"]))
+        order = sorted(range(len(old)), key=lambda i: old[i]["at"])
+        around = nearby([old[i]["at"] for i in order], 0.0, max((r["at"][1] - r["at"][0] for r in old), default=0.0))
         used, out = set(), []
-        top = lambda *p: max((x for x in p if pd.notna(x)), default=None)
-        for p in left.sort_values(["start_s", "stop_s"]).to_dict("records"):
+        for p in sorted((dict(zip(names, r[2:], strict=True)) for r in left), key=lambda r: (r["start_s"], r["stop_s"])):
             share = []
-            for i, r in enumerate(old):
-                r0, r1 = (r["source_start_s"], r["source_stop_s"]) if pd.notna(r["source_start_s"]) else (r["start_s"], r["stop_s"])
+            for i in (order[k] for k in around(p["start_s"], p["stop_s"])):
+                r0, r1 = old[i]["at"]
                 short = min(p["stop_s"] - p["start_s"], r1 - r0)
                 if i not in used and short > 0 and (s := (min(p["stop_s"], r1) - max(p["start_s"], r0)) / short) >= least:
                     share.append((s, -i))
@@ -206,9 +258,17 @@ def merge_review_state(proposals: DataFrame, reviewed: DataFrame, least: float =
             else:
                 out.append({"event_id": None, "start_s": p["start_s"], "stop_s": p["stop_s"], "source_start_s": p["start_s"], "source_stop_s": p["stop_s"], "prob": p["prob"], "status": "proposed", "review_note": None})
         out += [r for i, r in enumerate(old) if i not in used]
-        return pd.DataFrame(out, columns=names).assign(recording_id=key[0])[["recording_id", *names]].astype({"event_id": "Int32"})
+        return [tuple(r[c] for c in names) for r in out]
+
+    def side(df: DataFrame, k: int, a: Column, b: Column) -> DataFrame:
+        there = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names]
+        cast = [c.cast(t).alias(f"_{n}") for c, n, t in zip(there, names, (x.split()[1] for x in REVIEW.split(", ")), strict=True)]
+        return df.select("recording_id", F.lit(k).alias("side"), a.cast("double").alias("start_s"), b.cast("double").alias("stop_s"), *cast)
 
-    return proposals.groupBy("recording_id").cogroup(reviewed.groupBy("recording_id")).applyInPandas(run, f"recording_id {kind}, {REVIEW}")
+    known = F.col("source_start_s").isNotNull() & ~F.isnan(F.col("source_start_s").cast("double"))
+    own = lambda s, e: F.when(known, F.col(s)).otherwise(F.col(e))
+    sides = side(proposals, 0, F.col("start_s"), F.col("stop_s")).unionByName(side(reviewed, 1, own("source_start_s", "start_s"), own("source_stop_s", "stop_s")))
+    return by_chain(chained(sides, ["recording_id"], 0.0, cell_s), ["recording_id"], ["start_s", "stop_s", *[f"_{n}" for n in names]], decide, REVIEW)
 
 
 def shortest_first(recordings: DataFrame, limit: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigevents.sources.scratch import stored
+
 
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = True, parts: int | None = None) -> DataFrame:
     """Running sums over all rows in order of a number, without a one-task window: ranges of ``order``
@@ -175,6 +177,17 @@ def aggregate_arms(runs: DataFrame) -> DataFrame:
     return sums.withColumns({"sensitivity": F.try_divide("hits", "n_refs"), "fp_per_24h": F.try_divide(F.col("false_positives") * F.lit(86400.0), F.col("duration_s"))})
 
 
+def arm_auc(pairs: DataFrame, arms: dict[str, str], baseline: str, label: str = "label") -> DataFrame:
+    """arm, auc, n_pos, n_neg, delta_auc (its distance from the baseline's) over windows that all arms have scored; ``arms``: name to column."""
+    pairs, out = stored(pairs.select(*arms.values(), label), "pairs"), None
+    for arm, score in arms.items():
+        found = roc_auc(pairs, score=score, label=label).withColumn("arm", F.lit(arm))
+        out = found if out is None else out.unionByName(found)
+    out = stored(out, "areas")  # a row each
+    base = out.where(F.col("arm") == baseline).select(F.col("auc").alias("_base"))
+    return out.join(F.broadcast(base)).select("arm", "auc", "n_pos", "n_neg", (F.col("auc") - F.col("_base")).alias("delta_auc"))
+
+
 def arm_deltas(per_arm: DataFrame, baseline: str, columns: Sequence[str] = ("sensitivity", "fp_per_24h")) -> DataFrame:
     base = per_arm.where(F.col("arm") == baseline).select(*[F.col(c).alias(f"_{c}") for c in columns])
     return per_arm.where(F.col("arm") != baseline).join(F.broadcast(base)).select("arm", *[(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in columns])

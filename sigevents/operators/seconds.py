@@ -10,29 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REC = ("recording_id",)
-
+from sigevents.operators import curves
 
-def scored(windows: DataFrame, skip_policy: str = "zero") -> DataFrame:
-    """`exclude` leaves windows out that were never scored; `zero` keeps them as they are."""
-    return windows.where("coalesce(skip_code, 0) = 0") if skip_policy == "exclude" else windows
+REC = ("recording_id",)
 
 
-def per_second(windows: DataFrame, durations: DataFrame, seg: int, how: str = "mean", skip_policy: str = "zero", by: Sequence[str] = REC) -> DataFrame:
+def per_second(windows: DataFrame, durations: DataFrame, seg: int, how: str = "mean", skip_policy: str = "zero", by: Sequence[str] = REC, span_s: int = curves.SPAN_S) -> DataFrame:
     """One row per second of ``[0, ceil(duration_s))``: the mean (or max) of the windows over it, 0 where none is.
 
     The mean is summed in double and rounded to float, as scores are. ``durations``: recording_id, duration_s.
+    ``skip_policy``: ``exclude`` leaves windows out that were never scored, ``zero`` keeps them as they are.
+    Stretches of ``span_s`` seconds are swept by themselves (curves.py).
     """
-    by = list(by)
-    n = durations.select("recording_id", F.ceil("duration_s").cast("int").alias("n")).where("n > 0")
-    w = scored(windows, skip_policy).join(n, "recording_id")
-    lo = F.greatest(F.floor("start_s").cast("int"), F.lit(0))
-    hi = F.least(F.ceil(F.col("start_s") + seg).cast("int"), F.col("n")) - 1
-    p = F.col("prob").cast("double")
-    covered = w.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").select(*by, F.explode(F.sequence("lo", "hi")).alias("s"), p.alias("p"))
-    covered = covered.groupBy(*by, "s").agg((F.avg("p") if how == "mean" else F.max("p")).cast("float").alias("p"))
-    axis = windows.select(*by).distinct().join(n, "recording_id").select(*by, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    return axis.join(covered, [*by, "s"], "left").select(*by, "s", F.coalesce("p", F.lit(0.0).cast("float")).alias("p"))
+    return curves.per_second(windows, durations, seg, how, skip_policy, by, span_s)
 
 
 def trailing_mean(predictions: DataFrame, m: int, total: DataFrame, by: Sequence[str] = REC) -> DataFrame:

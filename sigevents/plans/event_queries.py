@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT as OP
+from sigevents.config import OperatingPoint
 from sigevents.operators import calibration, comparison, events, intervals, labels, matching, metrics, seconds, windows
 from sigevents.plans.queries import EVENTS, LABELLED, SECONDS, _events_and_keys, _scored, event_runs, query, r6
 from sigevents.sources import driver_tables as T
+from sigevents.sources.scratch import stored
 
 GRID = "[0.5, 0.3, 0.1, 0.05, 0.01]::DOUBLE[]"
 KEYS = f""", k AS (SELECT recording_id, unnest({GRID}) AS threshold FROM rec WHERE has_reference)"""
@@ -91,7 +93,7 @@ o1 AS (SELECT threshold, count(*) AS false_alarms FROM fa GROUP BY 1), o2 AS (SE
 SELECT threshold, convention, CAST(hits AS BIGINT) AS hits, CAST(false_alarms AS BIGINT) AS false_alarms, n_refs, du AS duration_s, round(hits / n_refs, 6) AS sensitivity, round(false_alarms * 86400.0 / du, 6) AS fa_per_24h FROM al, (SELECT count(*) AS n_refs FROM r), (SELECT sum(duration_s) AS du FROM rec WHERE has_reference)""")
 def convention_comparison(spark, d):
     e, keys = _events_and_keys(spark, d)
-    return r6(matching.convention_comparison(e.persist(), T.references(spark, d), T.recordings(spark, d), keys, OP.tolerance))
+    return r6(matching.convention_comparison(e, T.references(spark, d), T.recordings(spark, d), keys, OP.tolerance))
 
 
 def _arm_runs(spark, d) -> DataFrame:
@@ -162,7 +164,8 @@ SELECT target, round(a * 86400.0 / du, 6) AS fa_a, round(b * 86400.0 / du, 6) AS
 def matched_sensitivity(spark, d):
     """False alarms of the overlap conventions without and with merging, at equal sensitivity."""
     e, keys = _events_and_keys(spark, d)
-    c = matching.convention_comparison(e.persist(), T.references(spark, d), T.recordings(spark, d), keys, OP.tolerance).withColumnRenamed("fa_per_24h", "fp_per_24h").persist()
+    c = matching.convention_comparison(e, T.references(spark, d), T.recordings(spark, d), keys, OP.tolerance).withColumnRenamed("fa_per_24h", "fp_per_24h")
+    c = stored(c, "conventions")  # a few rows, read twice
     return r6(metrics.matched_sensitivity(c.where("convention = 'overlap'"), c.where("convention = 'overlap_merged'"), [0.05, 0.1, 0.2, 0.3]))
 
 
@@ -196,11 +199,53 @@ def clamp_interval(spark, d):
     return r6(x.select("recording_id", a.alias("start_s"), b.alias("stop_s")))
 
 
-@query(EVENTS + " SELECT run.recording_id, run.a AS start_s, run.z AS stop_s FROM run WHERE threshold = 0.5 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.recording_id = run.recording_id AND ev.threshold = 0.5 AND ev.start_s <= run.a AND run.z <= ev.stop_s)")
+STRICT = OperatingPoint(min_duration=13.0, merge_gap=1.0)  # so that runs of one window's width are dropped
+
+
+@query(EVENTS.replace("< 10 THEN 0", "< 1 THEN 0").replace(">= 5)", ">= 13)") + " SELECT run.recording_id, run.a AS start_s, run.z AS stop_s FROM run WHERE threshold = 0.5 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.recording_id = run.recording_id AND ev.threshold = 0.5 AND ev.start_s <= run.a AND run.z <= ev.stop_s)")
 def discarded_runs(spark, d):
+    """Runs that rules of 13 s at least and joins below 1 s leave out."""
     w, rec = T.windows(spark, d), T.recordings(spark, d)
     runs = seconds.runs_above(seconds.per_second(w, rec, OP.seg), OP.threshold)
-    return intervals.discarded_runs(runs, events.events_from_windows(w, rec, [OP.threshold]))
+    return intervals.discarded_runs(runs, events.events_from_windows(w, rec, [OP.threshold], STRICT))
+
+
+REVIEWED = """, y AS (SELECT *, CASE WHEN status = 'added' THEN start_s ELSE start_s - 4 END AS s0, CASE WHEN status = 'added' THEN stop_s ELSE stop_s + 3 END AS s1 FROM (SELECT recording_id, start_s, stop_s, i, CASE WHEN i % 4 > 0 THEN i * 3 END AS event_id, ['added', 'accepted', 'edited'][i % 3 + 1] AS status, CASE WHEN i % 3 > 0 THEN CAST(0.25 AS DOUBLE) END AS prob
+  FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_s, stop_s) AS i FROM r))),
+x AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_s, stop_s) AS n FROM (SELECT e.recording_id, e.start_s, e.stop_s, max(h.p) AS prob FROM ev e JOIN hot h ON h.recording_id = e.recording_id AND h.threshold = e.threshold AND h.s < e.stop_s AND h.s + 1 > e.start_s WHERE e.threshold = 0.5 GROUP BY ALL)),
+o AS (SELECT x.recording_id, x.n, y.i, (least(x.stop_s, s1) - greatest(x.start_s, s0)) / least(x.stop_s - x.start_s, s1 - s0) AS share FROM x JOIN y ON y.recording_id = x.recording_id AND x.start_s < s1 AND s0 < x.stop_s),
+c AS (SELECT x.recording_id, x.n, coalesce(list(o.i ORDER BY share DESC, o.i) FILTER (share >= 0.5), []) AS cand FROM x LEFT JOIN o USING (recording_id, n) GROUP BY 1, 2),
+g AS (SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM c
+  UNION ALL SELECT recording_id, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (SELECT g.recording_id, c.n, g.used, list_filter(c.cand, lambda q: NOT list_contains(g.used, q))[1] AS pick FROM g JOIN c ON c.recording_id = g.recording_id AND c.n = g.n + 1)),
+me AS (SELECT x.recording_id, y.event_id, coalesce(y.start_s, x.start_s) AS start_s, coalesce(y.stop_s, x.stop_s) AS stop_s, x.start_s AS source_start_s, x.stop_s AS source_stop_s, greatest(x.prob, y.prob) AS prob, coalesce(y.status, 'proposed') AS status FROM x JOIN g USING (recording_id, n) LEFT JOIN y ON y.recording_id = x.recording_id AND y.i = g.pick
+  UNION ALL SELECT recording_id, event_id, start_s, stop_s, CASE WHEN status <> 'added' THEN s0 END, CASE WHEN status <> 'added' THEN s1 END, prob, status FROM y WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.recording_id = y.recording_id AND g.pick = y.i)),
+ke AS (SELECT *, event_id > 0 AND event_id IS NOT NULL AND row_number() OVER (PARTITION BY recording_id, event_id ORDER BY start_s, stop_s) = 1 AS keep FROM me),
+us AS (SELECT recording_id, coalesce(list(event_id) FILTER (keep), []) AS used, count(*) AS n FROM ke GROUP BY 1),
+nu AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY start_s, stop_s ROWS UNBOUNDED PRECEDING) AS place FROM ke)"""
+
+
+@query("RECURSIVE" + EVENTS + REVIEWED + " SELECT nu.recording_id, CAST(CASE WHEN keep THEN event_id ELSE list_filter(range(1, us.n + len(used) + 1), lambda q: NOT list_contains(used, q))[CAST(place AS BIGINT)] END AS INTEGER) AS event_id, round(start_s, 6) AS start_s, round(stop_s, 6) AS stop_s, round(source_start_s, 6) AS source_start_s, round(source_stop_s, 6) AS source_stop_s, round(prob, 6) AS prob, status FROM nu JOIN us USING (recording_id)")
+def review_merge(spark, d):
+    """Events at 0.5 as proposals, merged with reviewed events made of the references, then numbered."""
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_s", "stop_s"))
+    old = T.references(spark, d).withColumn("i", place)
+    source = F.col("i") % 3 > 0
+    old = old.select("recording_id", F.when(F.col("i") % 4 > 0, F.col("i") * 3).alias("event_id"), "start_s", "stop_s", F.when(source, F.col("start_s") - 4).alias("source_start_s"), F.when(source, F.col("stop_s") + 3).alias("source_stop_s"), F.when(source, 0.25).alias("prob"), F.element_at(F.array(*map(F.lit, ("added", "accepted", "edited"))), F.col("i") % 3 + 1).alias("status"))
+    new = events.events_from_windows(T.windows(spark, d), T.recordings(spark, d), [OP.threshold]).select("recording_id", "start_s", "stop_s", "prob")
+    return r6(events.assign_event_ids(matching.merge_review_state(new, old)).drop("review_note"))
+
+
+SHARED = """, p AS (SELECT a.recording_id, a.start_s, CAST(a.prob AS DOUBLE) AS pa, CAST(b.prob AS DOUBLE) AS pb FROM w a JOIN w2 b USING (recording_id, start_s) WHERE a.skip_code = 0 AND b.skip_code = 0 AND a.prob IS NOT NULL AND recording_id % 7 <> 0),
+y AS (SELECT p.*, CAST(EXISTS (SELECT 1 FROM r WHERE r.recording_id = p.recording_id AND p.start_s < r.stop_s AND p.start_s + 12 > r.start_s) AS INTEGER) AS label FROM p),
+z AS (SELECT 'a' AS arm, pa AS score, label FROM y UNION ALL SELECT 'b', pb, label FROM y), t AS (SELECT arm, score, sum(label) AS pos, sum(1 - label) AS neg FROM z GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY arm ORDER BY score DESC) AS cp FROM t),
+au AS (SELECT arm, sum(neg * (cp - pos + pos / 2.0)) / (sum(pos) * sum(neg)) AS auc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c GROUP BY 1)"""
+
+
+@query(SHARED + " SELECT arm, round(auc, 6) AS auc, n_pos, n_neg, round(auc - (SELECT auc FROM au WHERE arm = 'a'), 6) AS delta_auc FROM au")
+def arm_auc(spark, d):
+    """Both arms scored again on the windows that both have: area of each and its distance from the first one's."""
+    pairs = comparison.pair_arms(T.windows(spark, d).where("recording_id % 7 <> 0 and prob is not null"), T.second_arm(spark, d))
+    return r6(metrics.arm_auc(labels.label_any_overlap(pairs, T.references(spark, d), OP.seg), {"a": "prob_a", "b": "prob_b"}, "a"))
 
 
 @query(""", g AS (SELECT *, CASE WHEN start_s < max(stop_s) OVER (PARTITION BY recording_id ORDER BY start_s, stop_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r), h AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY start_s, stop_s ROWS UNBOUNDED PRECEDING) AS g FROM g)

@@ -15,10 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tables below come from this one, so it is kept: a query reads and numbers the events once."""
+    """Events numbered by recording; the tables below are columns and rows of it, read and shuffled for what a query needs of it."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("recording_id"), ((n - 1) * 6).cast("int").alias("start_s"), F.least(F.col("value") / 100, F.lit(1.0)).cast("float").alias("prob"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("skip_code"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).persist()
+    return e.select(F.col("user_id").alias("recording_id"), ((n - 1) * 6).cast("int").alias("start_s"), F.least(F.col("value") / 100, F.lit(1.0)).cast("float").alias("prob"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("skip_code"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
