@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+from pyspark import Broadcast
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigevents.operators.metrics import prefix_sums, roc_auc
+from sigevents.operators import folds
+from sigevents.operators.metrics import in_ranges, prefix_sums, roc_auc
+from sigevents.operators.resampling import blocks, with_ranks
+from sigevents.sources.scratch import stored
 
 EPS = 1e-6
+METHODS = ("temperature", "platt", "isotonic")
 
 
 def logit(p: Column) -> Column:
@@ -91,83 +95,100 @@ def group_folds(df: DataFrame, group: str, k: int, seed: str = "0") -> DataFrame
     return df.join(ranked.select(group, ((F.col("cum__one") - 1) % k).cast("int").alias("fold")), group)
 
 
-def cross_validated(df: DataFrame, group: str, k: int | None = 5, method: str = "platt", score: str = "prob", label: str = "label") -> DataFrame:
-    """Out-of-fold calibrated scores; a fold whose training part has no positive passes scores through. ``k`` None leaves one group out at a time."""
-    k = k or df.select(group).distinct().count()
-    folds, out = group_folds(df, group, k).persist(), None
-    for f in range(k):
-        train, test = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
-        p = F.col(score).cast("double")
-        n = train.agg(F.sum(label).alias("n"), F.count("*").alias("m")).first()
-        if n.n and n.n < n.m:
-            if method == "temperature":
-                p = sigmoid(logit(p) / fit_temperature(train, score, label))
-            elif method == "platt":
-                a, b = fit_platt(train, score, label)
-                p = sigmoid(logit(p) * a + b)
-            else:
-                p = apply_isotonic(p, fit_isotonic(train, score, label))
-        part = test.withColumn("calibrated", p)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _isotonic_values(models: Broadcast, fits: np.ndarray) -> Callable[[Column, Column], Column]:
+    """A function of scores and folds: linear between the edges of the fold's blocks, clipped at them and to [1/2n, 1-1/2n]."""
 
+    @F.pandas_udf("double")
+    def value(q: pd.Series, f: pd.Series) -> pd.Series:
+        out = q.to_numpy(float, copy=True)
+        for i in np.unique(f):
+            if fits[i]:
+                xs, ys, n = models.value[int(i)]
+                mine = ((f == i) & q.notna()).to_numpy()
+                out[mine] = np.clip(np.interp(out[mine], xs, ys), 0.5 / n, 1 - 0.5 / n)
+        return pd.Series(out)
 
-def fold_auc_delta(validated: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
-    """Per fold: AUC of raw and of calibrated scores, and their difference."""
-    raw, new = (roc_auc(validated, ["fold"], c, label).select("fold", F.col("auc").alias(n)) for c, n in ((score, "auc_raw"), ("calibrated", "auc_calibrated")))
-    return raw.join(new, "fold").withColumn("delta", F.col("auc_calibrated") - F.col("auc_raw"))
+    return value
 
 
-#: Weights (draws x clusters) up to which resampling counts are drawn exactly, as one seeded table.
-EXACT_CELLS = 50_000_000
+def all_calibrated(df: DataFrame, group: str, k: int | None = 5, methods: Sequence[str] = METHODS, score: str = "prob", label: str = "label") -> DataFrame:
+    """Rows with ``fold`` and an out-of-fold calibrated score for each method, ``<method>``; all folds are fitted together (folds.py).
 
+    A fold whose training part lacks a class passes scores through, and so do rows without a score. ``k``
+    None leaves one group out at a time. The models, a few numbers a fold (for isotonic ones the edges of
+    their steps), go to the tasks as one table.
+    """
+    k = k or df.select(group).distinct().count()
+    rows = stored(group_folds(df, group, k), "folds")
+    table = stored(folds.counts(rows, score, label), "counts")
+    own = table.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().set_index("fold").reindex(range(k)).fillna(0.0)
+    rest = own.sum() - own
+    fits = ((rest.y > 0) & (rest.y < rest.n)).to_numpy()
+    p, fold, spark = F.col(score).cast("double"), F.col("fold"), df.sparkSession
+    for m in methods:
+        if m == "isotonic":
+            value = _isotonic_values(spark.sparkContext.broadcast(folds.isotonic(table, k) if fits.any() else {}), fits)
+            rows = rows.withColumn(m, value(p, fold))
+            continue
+        if m == "temperature":
+            params = np.stack([1 / folds.temperature(table, k), np.zeros(k)], 1)
+        else:
+            params = folds.platt(table, k)
+        model = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(params) if fits[i]], "fold int, _a double, _b double")
+        fitted = F.when(F.col("_a").isNull() | F.isnan(p), p).otherwise(sigmoid(logit(p) * F.col("_a") + F.col("_b")))
+        rows = rows.join(F.broadcast(model), "fold", "left").withColumn(m, fitted).drop("_a", "_b")  # a row a fold
+    return rows
 
-def bootstrap_weights(clusters: Sequence, draws: int, seed: int) -> np.ndarray:
-    """How often each cluster is drawn, (draws, clusters): resampling with replacement, in the clusters' order."""
-    r = np.random.RandomState(seed)
-    n = len(clusters)
-    return np.stack([np.bincount(r.randint(0, n, n), minlength=n) for _ in range(draws)])
 
+def cross_validated(df: DataFrame, group: str, k: int | None = 5, method: str = "platt", score: str = "prob", label: str = "label") -> DataFrame:
+    """Rows with ``fold`` and ``calibrated``, the out-of-fold score of one method."""
+    return all_calibrated(df, group, k, (method,), score, label).withColumnRenamed(method, "calibrated")
 
-def resampling(df: DataFrame, cluster: str, draws: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
-    """For tasks: the weights (draws, clusters) of some clusters, the same wherever they are asked for.
 
-    While the table of all weights has EXACT_CELLS at most, clusters are resampled with replacement;
-    beyond that each cluster's weights are Poisson numbers with a mean of one, seeded by the cluster.
-    """
-    names = df.select(F.col(cluster).cast("string").alias("c"), F.col(cluster).alias("o")).distinct()
-    if names.count() * draws > EXACT_CELLS:
-        return lambda c: np.stack([np.random.default_rng([seed, zlib.crc32(str(x).encode())]).poisson(1, draws) for x in c], 1)
-    order = [r.c for r in names.orderBy("o").collect()]
-    shared = df.sparkSession.sparkContext.broadcast((dict(zip(order, range(len(order)), strict=True)), bootstrap_weights(order, draws, seed).astype(np.int32)))
-    return lambda c: shared.value[1][:, [shared.value[0][str(x)] for x in c]]
+def fold_auc_delta(validated: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
+    """Per fold: AUC of raw and of calibrated scores, and their difference."""
+    validated = stored(validated.select("fold", score, "calibrated", label), "validated")
+    raw, new = (roc_auc(validated, ["fold"], c, label).select("fold", F.col("auc").alias(n)) for c, n in ((score, "auc_raw"), ("calibrated", "auc_calibrated")))
+    return raw.join(new, "fold").withColumn("delta", F.col("auc_calibrated") - F.col("auc_raw"))
+
 
+#: Rows of a range of scores.
+RANGE_ROWS = 10_000
 
-def auc_draws(df: DataFrame, cluster: str, weights: Callable, draws: int, score: str, label: str, parts: int | None = None) -> DataFrame:
-    """draw, auc (null for one class) of all resamples.
 
-    Counts of each cluster and distinct score are dealt over ranges of the score. A range gives, for
-    every draw, its weighted positives and negatives and the pairs it orders; the ranges of a draw are
-    then added up from the highest one down. Nothing but those sums leaves a range.
+def auc_draws(df: DataFrame, cluster: str, draws: int, seed: int, score: str = "prob", label: str = "label", parts: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """draw, auc (null for one class) of all resamples of the clusters; rows without a score (or with NaN) are left out, their clusters are not.
+
+    Counts of each cluster and distinct score are dealt over ranges of about ``range_rows`` of them. A range
+    gives, for every draw, its weighted positives and negatives and the pairs it orders; the ranges of a draw
+    are then added up from the highest one down. A score that more rows have is a range of its own, dealt by
+    cluster: all its pairs are ties, for which sums are enough. A task holds DRAW_BLOCK draws of a range.
     """
-    counts = df.groupBy(F.col(cluster).cast("string").alias("c"), F.col(score).cast("double").alias("p")).agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg")).where("p is not null").persist()
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = counts.agg(F.percentile_approx("p", [k / n for k in range(1, n)], 100 * n).alias("b")).first().b if n > 1 else []
-    ranged = Bucketizer(splits=[float("-inf"), *sorted(set(found or [])), float("inf")], inputCol="p", outputCol="part").transform(counts)
+    p = F.col(score).cast("double")
+    rows, n = with_ranks(df, cluster, seed)
+    counts = rows.where(p.isNotNull() & ~F.isnan(p)).groupBy("rank", p.alias("p")).agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
+    counts = stored(counts, "counts")
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // range_rows))
+    hot = {r.p: r.n for r in counts.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > range_rows).collect()}  # no more than rows / range_rows
+    found = counts.agg(F.percentile_approx("p", [k / parts for k in range(1, parts)], 100 * parts).alias("b")).first().b if parts > 1 else []
+    ranged = in_ranges(counts, "p", [*(found or []), *hot, *(math.nextafter(x, math.inf) for x in hot)], "part")
+    salt = F.lit(0)
+    for x, rows_ in hot.items():
+        salt = F.when(F.col("p") == x, F.col("rank") % (-(-rows_ // range_rows))).otherwise(salt)
+    ranged = ranged.withColumns({"salt": salt.cast("int"), "tied": F.col("p").isin(*hot) if hot else F.lit(False)})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p", ascending=False, kind="stable")
-        names, where = np.unique(pdf["c"].to_numpy(str), return_inverse=True)
-        w, p = weights(names), pdf["p"].to_numpy()
+        p, made = pdf["p"].to_numpy(), []
         starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        out = np.zeros((4, draws))
-        for b in range(0, draws, 50):
-            some = w[b : b + 50][:, where]
-            pos, neg = (np.add.reduceat(some * pdf[k].to_numpy(), starts, 1) for k in ("pos", "neg"))
-            out[:, b : b + 50] = np.arange(b, b + len(some)), pos.sum(1), neg.sum(1), (neg * (np.cumsum(pos, 1) - pos / 2)).sum(1)
-        return pd.DataFrame({"part": key[0], "draw": out[0].astype(np.int32), "pos": out[1], "neg": out[2], "pairs": out[3]})
-
-    sums = ranged.groupBy("part").applyInPandas(run, "part double, draw int, pos double, neg double, pairs double")
+        for first, w in blocks(pdf["rank"].to_numpy(), n, draws, seed):
+            pos, neg = (np.add.reduceat(w * pdf[k].to_numpy(), starts, 1) for k in ("pos", "neg"))
+            made.append(pd.DataFrame({"part": key[0], "tied": bool(pdf["tied"].iloc[0]), "draw": np.arange(first, first + len(w), dtype=np.int32), "pos": pos.sum(1), "neg": neg.sum(1), "pairs": (neg * (np.cumsum(pos, 1) - pos / 2)).sum(1)}))
+        return pd.concat(made)
+
+    sums = ranged.groupBy("part", "salt").applyInPandas(run, "part int, tied boolean, draw int, pos double, neg double, pairs double")
+    sums = sums.groupBy("part", "draw").agg(F.first("tied").alias("tied"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
+    sums = sums.withColumn("pairs", F.when(F.col("tied"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("pairs")))
     above = F.coalesce(F.sum("pos").over(Window.partitionBy("draw").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sums = sums.withColumn("pairs", F.col("pairs") + F.col("neg") * above)
     return sums.groupBy("draw").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
@@ -181,24 +202,25 @@ def _interval(draws: DataFrame, target: float | None = None) -> DataFrame:
 
 def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 2000, seed: int = 0, target: float | None = None, score: str = "prob", label: str = "label") -> DataFrame:
     """Interval of the AUC under resampling of clusters. One-class draws are left out."""
-    got = auc_draws(df, cluster, resampling(df, cluster, draws, seed), draws, score, label)
+    got = auc_draws(df, cluster, draws, seed, score, label)
     return _interval(got.withColumnRenamed("auc", "value"), target)
 
 
 def summed_draws(sums: DataFrame, cluster: str, columns: Sequence[str], by: Sequence[str], draws: int, seed: int) -> DataFrame:
     """``by``, draw, and the resampled sums of ``columns`` of a table of one row for each cluster and ``by``."""
-    weights, by = resampling(sums, cluster, draws, seed), list(by)
+    by = list(by)
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    table, n = with_ranks(sums, cluster, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, part in pdf.groupby(by) if by else [((), pdf)]:
-                got = weights(part["c"].to_numpy(str)) @ part[list(columns)].to_numpy(float)
-                yield pd.DataFrame({**dict(zip(by, key, strict=True)), "draw": np.arange(draws, dtype=np.int32), **{c: got[:, i] for i, c in enumerate(columns)}})
+                for first, w in blocks(part["rank"].to_numpy(), n, draws, seed):
+                    got = w @ part[list(columns)].to_numpy(float)
+                    yield pd.DataFrame({**dict(zip(by, key, strict=True)), "draw": np.arange(first, first + len(w), dtype=np.int32), **{c: got[:, i] for i, c in enumerate(columns)}})
 
     schema = ", ".join([f"{b} {kinds[b]}" for b in by] + ["draw int"] + [f"{c} double" for c in columns])
-    table = sums.select(F.col(cluster).cast("string").alias("c"), *by, *columns)
-    return table.mapInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in columns])
+    return table.select("rank", *by, *columns).mapInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def ece_bootstrap(df: DataFrame, cluster: str, n_bins: int = 10, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
@@ -210,19 +232,21 @@ def ece_bootstrap(df: DataFrame, cluster: str, n_bins: int = 10, draws: int = 20
     return _interval(got.groupBy("draw").agg(F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("value")))
 
 
-def precision_bootstrap(df: DataFrame, threshold: float, cluster: str, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
-    """Share of positives among scores at or above a threshold, their number, and the share's interval under resampling of clusters."""
-    hot = F.col(score).cast("double") >= threshold
-    sums = df.groupBy(cluster).agg(F.count_if(hot).cast("double").alias("n"), F.sum(F.when(hot, F.col(label)).otherwise(0)).cast("double").alias("y"))
-    whole = sums.agg(F.try_divide(F.sum("y"), F.sum("n")).alias("precision"), F.sum("n").cast("long").alias("n_hot"))
-    got = summed_draws(sums, cluster, ["n", "y"], [], draws, seed)
-    return whole.join(F.broadcast(_interval(got.select(F.try_divide("y", "n").alias("value"))).select("lo", "hi")))  # one row
+def precision_bootstrap(df: DataFrame, thresholds: float | Sequence[float], cluster: str, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
+    """threshold, precision, n_hot, lo, hi: share of positives among scores at or above each threshold, their number, and the share's interval under one resampling of the clusters for all thresholds."""
+    thresholds = [float(t) for t in ([thresholds] if isinstance(thresholds, (int, float)) else thresholds)]
+    t = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    hot = F.col(score).cast("double") >= F.col("threshold")
+    sums = stored(t.groupBy(cluster, "threshold").agg(F.count_if(hot).cast("double").alias("n"), F.sum(F.when(hot, F.col(label)).otherwise(0)).cast("double").alias("y")), "sums")
+    whole = sums.groupBy("threshold").agg(F.try_divide(F.sum("y"), F.sum("n")).alias("precision"), F.sum("n").cast("long").alias("n_hot"))
+    got = summed_draws(sums, cluster, ["n", "y"], ["threshold"], draws, seed).select("threshold", F.try_divide("y", "n").alias("value")).where("value is not null")
+    ends = got.groupBy("threshold").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
+    return whole.join(ends, "threshold", "left")
 
 
 def paired_delta_bootstrap(pairs: DataFrame, cluster: str, draws: int = 10_000, seed: int = 0, a: str = "prob_a", b: str = "prob_b", label: str = "label") -> DataFrame:
     """Interval of AUC(b) - AUC(a), both from the same draw; share of draws in which b is worse."""
-    weights = resampling(pairs, cluster, draws, seed)
-    x, y = (auc_draws(pairs, cluster, weights, draws, c, label).withColumnRenamed("auc", n) for c, n in ((a, "x"), (b, "y")))
+    x, y = (auc_draws(pairs, cluster, draws, seed, c, label).withColumnRenamed("auc", n) for c, n in ((a, "x"), (b, "y")))
     got = x.join(y, "draw").select((F.col("y") - F.col("x")).alias("value")).where("value is not null")
     out = got.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg("value").alias("delta"), F.avg((F.col("value") < 0).cast("double")).alias("p_worse"))
     return out.withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from sigevents.sources.scratch import stored
 
 
+def in_ranges(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
+    """``df`` with the number of the range between ``bounds`` that a number of ``column`` is in."""
+    inner = sorted({x for x in bounds if abs(x) < float("inf")})
+    if not inner:
+        return df.withColumn(out, F.lit(0))
+    return Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=column, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+
+
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = True, parts: int | None = None) -> DataFrame:
     """Running sums over all rows in order of a number, without a one-task window: ranges of ``order``
     are summed on their own, and each adds the totals of those before it.
@@ -24,8 +32,7 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).withColumn("_order", F.col(order).cast("double"))
     found = df.agg(F.percentile_approx("_order", [k / n for k in range(1, n)], 100 * n).alias("b")).first().b if n > 1 else []
-    splits = [float("-inf"), *sorted({x for x in found or [] if abs(x) < float("inf")}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_part").transform(df).withColumn("_part", F.col("_part").cast("int"))
+    ranged = in_ranges(df, "_order", found or [], "_part")
     totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values]).collect()
     rows, run = [], dict.fromkeys(values, 0)
     for r in sorted(totals, key=lambda r: r["_part"], reverse=descending):

@@ -366,7 +366,7 @@ def reliability_quantile(spark, d):
 
 @query()
 def precision_interval(spark, d):
-    return r6(calibration.precision_bootstrap(_scored(spark, d), OP.threshold, "recording_id"))
+    return r6(calibration.precision_bootstrap(_scored(spark, d), OP.grid, "recording_id"))
 
 
 @query()
@@ -378,3 +378,10 @@ def ece_interval(spark, d):
 def fold_auc_delta(spark, d):
     s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20)
     return r6(calibration.fold_auc_delta(calibration.cross_validated(s, "patient", 5, "platt")))
+
+
+@query()
+def leave_one_out(spark, d):
+    """Calibration with one patient left out at a time: rows, areas of raw and calibrated scores of each."""
+    s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20)
+    return r6(calibration.fold_auc_delta(calibration.cross_validated(s, "patient", None, "temperature")))

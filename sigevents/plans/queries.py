@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from sigevents.config import DEFAULT as OP
 from sigevents.operators import calibration, channels, comparison, events, intervals, labels, matching, metrics, seconds, windows
 from sigevents.shipping import ship
 from sigevents.sources import driver_tables as T
+from sigevents.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -220,17 +222,15 @@ def brier_decomposition(spark, d):
 @query()
 def calibration_report(spark, d):
     """ECE and greatest gap of raw and out-of-fold calibrated scores over 15 quantile bins, scores that are exactly 0 or 1, mean score; five patient folds."""
-    s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20).persist()
+    s = calibration.all_calibrated(_scored(spark, d).withColumn("patient", F.col("recording_id") % 20), "patient", 5)
+    s = stored(s.select("prob", "label", *calibration.METHODS), "calibrated")
 
-    def report(df: DataFrame, score: str, method: str) -> DataFrame:
+    def report(score: str, method: str) -> DataFrame:
         p = F.col(score).cast("double")
-        ends = df.agg(F.count_if(p == 0).alias("n_zero"), F.count_if(p == 1).alias("n_one"), F.avg(p).alias("mean_p"))
-        return metrics.ece_mce(metrics.reliability(df, score=score)).join(F.broadcast(ends)).withColumn("method", F.lit(method))  # one row
+        ends = s.agg(F.count_if(p == 0).alias("n_zero"), F.count_if(p == 1).alias("n_one"), F.avg(p).alias("mean_p"))
+        return metrics.ece_mce(metrics.reliability(s, score=score)).join(F.broadcast(ends)).withColumn("method", F.lit(method))  # one row
 
-    out = report(s, "prob", "raw")
-    for m in ("temperature", "platt", "isotonic"):
-        out = out.unionByName(report(calibration.cross_validated(s, "patient", 5, m).persist(), "calibrated", m))
-    return r6(out)
+    return r6(reduce(lambda a, b: a.unionByName(b), [report("prob", "raw"), *(report(m, m) for m in calibration.METHODS)]))
 
 
 @query()

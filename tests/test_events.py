@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigevents.config import OperatingPoint
-from sigevents.operators import calibration, channels, comparison, events, features, intervals, labels, matching, metrics, seconds, windows
+from sigevents.operators import calibration, channels, comparison, events, features, intervals, labels, matching, metrics, resampling, seconds, windows
 from sigevents.sources import files
 
 W = "recording_id string, start_s int, prob float, skip_code int"
@@ -268,11 +268,12 @@ def test_pooled_metrics_over_many_ranges(spark):
             assert metrics.quantiles(df, F.col("prob"), [0, 0.013, 0.5, 1]) == pytest.approx(np.quantile(p, [0, 0.013, 0.5, 1]).tolist())
         curve = metrics.curve_points(df).toPandas().sort_values("threshold")
         assert curve.tpr.is_monotonic_decreasing and curve.tpr.max() == 1
-        draws = calibration.auc_draws(df, "g", lambda c: np.ones((5, len(c))), 5, "prob", "label").toPandas()
-        assert np.allclose(draws.auc, auc) and len(draws) == 5
-        w = calibration.bootstrap_weights(range(40), 20, 3)
-        names = sorted(set(pdf.g))
-        got = calibration.auc_draws(df, "g", calibration.resampling(df, "g", 20, 3), 20, "prob", "label").toPandas().sort_values("draw").auc
+        one = calibration.auc_draws(df.withColumn("g", F.lit("one")), "g", 5, 3).toPandas()  # drawn once in each draw
+        assert np.allclose(one.auc, auc) and len(one) == 5
+        order = {r.g: r["rank"] for r in resampling.ranked(df, "g", 3)[0].collect()}
+        w = resampling.drawn(np.arange(40), 40, 0, 20, 3)
+        names = sorted(order, key=order.get)
+        got = calibration.auc_draws(df, "g", 20, 3).toPandas().sort_values("draw").auc
         for b in range(20):
             k = np.repeat(np.arange(len(p)), w[b][[names.index(g) for g in pdf.g]])
             assert got.iloc[b] == pytest.approx(exact_auc(p[k], y[k])[0])
