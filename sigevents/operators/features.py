@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 # Frequency bands in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 80.0)}
@@ -90,32 +92,53 @@ def band_powers(x: np.ndarray, fs: float, nperseg: int | None = None) -> dict[st
     return out
 
 
-def stacks(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and stack of the arrays of each shape in a column of arrays, or of arrays of arrays."""
-    arrays = [np.stack([np.asarray(c, float) for c in x]) if len(x) and isinstance(x[0], (np.ndarray, list)) else np.asarray(x, float) for x in column]
-    shapes: dict[tuple, list[int]] = {}
-    for i, x in enumerate(arrays):
-        shapes.setdefault(x.shape, []).append(i)
-    return ((np.array(at), np.stack([arrays[i] for i in at])) for at in shapes.values())
+def stacks(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and stack of the arrays of each shape in a column of arrays, or of arrays of arrays of one length; the batch's flat values are taken as they lie."""
+    outer = column.offsets.to_numpy()
+    if pa.types.is_list(column.type.value_type):
+        inner = column.values.offsets.to_numpy()
+        flat, rows = column.values.values.to_numpy(zero_copy_only=False), np.diff(outer)
+        first = np.where(rows > 0, np.diff(inner)[np.minimum(outer[:-1], max(len(inner) - 2, 0))] if len(inner) > 1 else 0, 0)
+        if (np.diff(inner)[outer[0] : outer[-1]] != first.repeat(rows)).any():
+            raise ValueError("channels of a window differ in length")
+        shapes, begins = np.stack([rows, first], 1), inner[outer[:-1]] if len(inner) > 1 else outer[:-1]
+    else:
+        flat, shapes, begins = column.values.to_numpy(zero_copy_only=False), np.diff(outer)[:, None], outer[:-1]
+    for shape in np.unique(shapes, axis=0) if len(column) else ():
+        at, size = np.flatnonzero((shapes == shape).all(1)), int(shape.prod())
+        if len(at) == len(column):  # all of one shape: neighbours in the flat values
+            yield at, flat[begins[0] : begins[0] + size * len(at)].reshape(len(at), *shape).astype(float)
+        else:
+            yield at, flat[begins[at][:, None] + np.arange(size)].reshape(len(at), *shape).astype(float)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """A column of numbers, or of arrays, which are laid flat."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else [], kind.value_type))
 
 
 def _each(df: DataFrame, column: str, f: Callable, names: str) -> DataFrame:
     """Rows of ``df`` with what ``f`` makes of an array column instead of it. ``f`` gets all arrays of a batch that have one shape
     as a stack, and gives a list of values for each new column; small batches come from the session."""
     keys = [x for x in df.schema.fields if x.name != column]
-    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in keys) + ", " + names
-    new = [c.split()[0] for c in names.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values: list[list] = [[None] * len(pdf) for _ in new]
-            for at, stack in stacks(pdf[column]):
+    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in keys] + [names])
+    new = [c.split() for c in names.split(", ")]
+    kinds = [to_arrow_type(_parse_datatype_string(t)) for _, t in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values: list[list] = [[None] * batch.num_rows for _ in new]
+            for at, stack in stacks(batch.column(column)):
                 for into, got in zip(values, f(stack), strict=True):
                     for i, v in zip(at, got, strict=True):
                         into[i] = v
-            yield pdf.drop(columns=column).reset_index(drop=True).assign(**dict(zip(new, values, strict=True)))
+            made = [_column(v, k) for v, k in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in keys), *made], names=[*(x.name for x in keys), *(n for n, _ in new)])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def resample_signal(signals: DataFrame, fs: int, to: int = 250) -> DataFrame:
@@ -173,17 +196,17 @@ def score_windows(windows: DataFrame, make_scorer: Callable[[], Callable], make_
 
     ``make_scorer`` and ``make_cleaner`` are called once for each task; the scorer gets a batch of windows.
     """
-    kind = dict(windows.dtypes)["recording_id"]
+    kind = windows.schema["recording_id"].dataType
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, cleaner = make_scorer(), make_cleaner() if make_cleaner else None
-        for pdf in batches:
-            skip, prob = np.zeros(len(pdf), np.int8), np.zeros(len(pdf), np.float32)
-            for at, stack in stacks(pdf["samples"]):
+        for batch in batches:
+            skip, prob = np.zeros(batch.num_rows, np.int8), np.zeros(batch.num_rows, np.float32)
+            for at, stack in stacks(batch.column("samples")):
                 prob[at], skip[at] = score_stack(stack, scorer, cleaner)
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "start_s": pdf["start_s"], "prob": prob, "skip_code": skip})
+            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("start_s"), pa.array(prob), pa.array(skip)], names=["recording_id", "start_s", "prob", "skip_code"])
 
-    return windows.select("recording_id", "start_s", "samples").mapInPandas(run, f"recording_id {kind}, start_s int, prob float, skip_code byte")
+    return windows.select("recording_id", F.col("start_s").cast("int").alias("start_s"), "samples").mapInArrow(run, f"recording_id {kind.simpleString()}, start_s int, prob float, skip_code byte")
 
 
 def channel_importance(features: DataFrame, n_channels: int, trees: int = 300, seed: int = 0) -> DataFrame:

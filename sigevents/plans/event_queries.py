@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT as OP
 from sigevents.config import OperatingPoint
-from sigevents.operators import calibration, comparison, events, intervals, labels, matching, metrics, seconds, windows
+from sigevents.operators import binned_draws, calibration, comparison, events, intervals, labels, matching, metrics, seconds, windows
 from sigevents.plans.queries import EVENTS, LABELLED, SECONDS, _events_and_keys, _scored, event_runs, query, r6
 from sigevents.sources import driver_tables as T
 from sigevents.sources.scratch import stored
@@ -374,6 +374,13 @@ def ece_interval(spark, d):
     return r6(calibration.ece_bootstrap(_scored(spark, d), "recording_id"))
 
 
+@query()
+def ece_methods(spark, d):
+    """Errors over 15 quantile bins drawn anew, of raw and calibrated scores, and of their differences, by resampling recordings."""
+    s = calibration.all_calibrated(_scored(spark, d).withColumn("patient", F.col("recording_id") % 20), "patient", 5, ("platt",))
+    return r6(binned_draws.ece_intervals(s, "recording_id", {"raw": "prob", "platt": "platt"}))
+
+
 @query()
 def fold_auc_delta(spark, d):
     s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigevents.operators import calibration, folds, resampling
+from sigevents.operators import binned_draws, calibration, folds, resampling
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +107,32 @@ def test_draws_at_any_partitioning(spark):
     several = calibration.precision_bootstrap(df, [0.1, 0.9, 2.0], "g", 100).orderBy("threshold").collect()
     assert [r.n_hot for r in several] == [int((p >= t).sum()) for t in (0.1, 0.9, 2.0)] and several[2].precision is None
     assert several[0].lo < several[0].precision < several[0].hi
+
+
+def test_quantile_bins_of_every_draw(spark):
+    """Errors over bins drawn anew equal those of plain resamples; the difference of two methods is of the same draws."""
+    r = np.random.default_rng(9)
+    n, k = 700, 25
+    pdf = pd.DataFrame({"prob": np.round(r.random(n), 2), "label": (r.random(n) < 0.2).astype(int), "g": r.integers(0, k, n)})
+    pdf["other"] = pdf.prob**2
+    df = spark.createDataFrame(pdf).repartition(4)
+    order = {x.g: x["rank"] for x in resampling.ranked(df, "g", 5)[0].collect()}
+    w = resampling.drawn(np.arange(k), k, 0, 40, 5)
+
+    def plain(score, draw):
+        at = np.repeat(np.arange(n), w[draw][pdf.g.map(order)])
+        p, y = pdf[score].to_numpy()[at], pdf.label.to_numpy()[at]
+        e = np.unique(np.quantile(p, np.linspace(0, 1, 16)))
+        e[0], e[-1] = 0, 1 + 1e-9
+        b = np.searchsorted(e, p, "right") - 1
+        return sum(abs(p[b == i].sum() - y[b == i].sum()) for i in set(b)) / len(p)
+
+    for parts in (1, 6):
+        got = binned_draws.ece_draws(df, "g", "prob", 15, 40, 5, parts=parts).orderBy("draw").toPandas()
+        assert np.allclose(got.value, [plain("prob", d) for d in range(40)], atol=1e-9)
+    found = {(x.method, x.other): x for x in binned_draws.ece_intervals(df, "g", {"raw": "prob", "square": "other"}, 15, 40, 5).collect()}
+    delta = np.array([plain("other", d) - plain("prob", d) for d in range(40)])
+    assert found[("raw", "square")].mean == pytest.approx(delta.mean()) and found[("raw", "square")].lo == pytest.approx(np.quantile(delta, 0.025))
+    assert found[("raw", "square")].separable == bool((np.quantile(delta, [0.025, 0.975]) > 0).all() or (np.quantile(delta, [0.025, 0.975]) < 0).all()) and len(found) == 3
+    one = df.withColumn("label", F.lit(0))
+    assert binned_draws.ece_draws(one, "g", "prob", 15, 10).where("value is not null").count() == 0
