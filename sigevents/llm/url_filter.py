@@ -1,10 +1,15 @@
 """URL filtering: rules first, then a classifier over words segmented out of host and path.
 
 Concatenated host names are split by a unigram Viterbi search; word counts come from all paths and
-hyphenated host names of the corpus and from the lists of known words below. Segmented host and path
-tokens are scored by multinomial naive Bayes. It learns from all pages that a rule decides, by the
-rule's verdict, and knows unwanted words before it has seen a page: each counts as if it had been in
-``SEED`` blocked pages, which what the pages say can outweigh. It decides the pages that no rule does.
+hyphenated host names of the corpus and from the lists of known words below. A word of paths and names
+has 2 to 20 letters and is there twice at least; anything else in a name is split like unknown letters.
+Segmented host and path tokens are scored by multinomial naive Bayes. It learns from all pages that a
+rule decides, by the rule's verdict. The words that rules are made of (of their hosts, and their paths')
+are no tokens: they would only say again which rule a page is like. A token counts once for each host
+and verdict, however many pages the host has, and the classes have equal weight before a token is seen:
+how many pages the rules happen to decide either way says nothing about the others. Unwanted words are
+known before any page: each counts as if it had been in ``SEED`` blocked hosts, which what the pages say
+can outweigh; the classes' totals are of what was seen alone, so this says nothing about other words. The classifier decides the pages that no rule does.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Ties
 between the classes allow. Without pages under rules only the known words count. Repeated rows each
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import ChainMap, Counter
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +39,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 UNWANTED = "ads adult bet bets betting bonus casino cheap click clicks crack deals drugs escort farm free gamble gambling hack jackpot keygen loan loans lottery pharma pharmacy pills poker porn promo prize seo sex slots spam survey torrent track tracker tracking viagra warez win winner xxx".split()
 USUAL = "about api app art blog book books city cloud code com data dev docs edu example forum game games group help home host info lab library mail map media mobile music net new news online org page pages park photo post press science school shop site store study team tech time travel university video web weather wiki world www".split()
 
-#: Blocked pages that each unwanted word counts for before any page is seen.
+#: Blocked hosts that each unwanted word counts for before any page is seen.
 SEED = 20
 _letters = re.compile(r"[a-z]+")
 
@@ -58,6 +63,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return tuple(reduce(lambda c, x: c.when(x[0], F.lit(x[1])), zip(fits, values, strict=True), F.when(F.lit(False), F.lit(None).cast("string"))) for values in ([h + p for _, h, p in ordered], [v for v, _, _ in ordered]))
 
 
+def rule_words(rules=RULES) -> frozenset[str]:
+    """Tokens of the rules' own hosts and paths."""
+    return frozenset(w for _, host, path in rules for w in (*runs_of(host), *(f"/{x}" for x in _letters.findall(path.lower()))))
+
+
 def word_costs(pages: DataFrame, max_words: int = 50_000) -> tuple[dict[str, float], float, float, DataFrame | None]:
     """Minus log probabilities of words: of the ``max_words`` most frequent of the corpus and the lists; the largest one of all words,
     the logarithm of all words' number, and a table (w, n) of the words beyond ``max_words``, if there are any. All words count that are seen twice.
@@ -106,13 +116,13 @@ def runs_of(host: str) -> list[str]:
 
 
 def tokens(host: str, path: str, model: dict, cache: dict[str, list[str]], rare: list[dict] | None = None) -> tuple[list[str], list[str]]:
-    """Words of a host (without its last label) and of a path. ``rare``: words beyond the model's that stand in the host, and their counts."""
+    """Words of a host (without its last label) and of a path, without those of rules. ``rare``: words beyond the model's that stand in the host, and their counts."""
     if host not in cache:
         if len(cache) > 100_000:
             cache.clear()
         more = {r["w"]: model["log_total"] - math.log(r["n"]) for r in rare or ()}
-        cache[host] = [w for part in runs_of(host) for w in segment(part, model["costs"], model["unknown"], more)]
-    return cache[host], [f"/{w}" for w in _letters.findall(path.lower())]
+        cache[host] = [w for part in runs_of(host) if part not in model["dropped"] for w in segment(part, model["costs"], model["unknown"], more)]
+    return cache[host], [f"/{w}" for w in _letters.findall(path.lower()) if f"/{w}" not in model["dropped"]]
 
 
 def with_rare_words(pages: DataFrame, rare: DataFrame | None, costs: dict[str, float]) -> DataFrame:
@@ -139,19 +149,19 @@ def learn(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: in
     """
     costs, unknown, log_total, rare = word_costs(pages, max_words)
     pages = with_rare_words(pages, rare, costs)
-    model = {"costs": costs, "unknown": unknown, "log_total": log_total}
+    model = {"costs": costs, "unknown": unknown, "log_total": log_total, "dropped": rule_words(rules)}
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = {}, Counter()
+        cache, seen = {}, set()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["bad", "w", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.bool_(), pa.string(), pa.string()), strict=True)], names=["bad", "host", "w"])
 
         for batch in batches:
             for host, path, rare, bad in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare", "bad")), strict=True):
                 own, rest = tokens(host, path, shared.value, cache, rare)
-                seen.update((bad, w) for w in (*own, *rest, ""))  # the empty word counts pages
+                seen.update((bad, host, w) for w in (*own, *rest))
             if len(seen) > 200_000:
                 yield flush()
                 seen.clear()
@@ -159,13 +169,11 @@ def learn(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: in
             yield flush()
 
     verdict = rule_of(F.col("host"), F.col("path"), rules)[1]
-    rows = pages.select("host", "path", "rare", (verdict == "block").alias("bad")).where("bad is not null").mapInArrow(count, "bad boolean, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    rows = stored(rows, "tokens")
-    n_good, n_bad = next(((r.good, r.bad) for r in rows.where("w = ''").collect()), (0, 0))
-    rows = rows.where("w <> ''")
+    rows = pages.select("host", "path", "rare", (verdict == "block").alias("bad")).where("bad is not null").mapInArrow(count, "bad boolean, host string, w string").distinct()
+    rows = rows.groupBy("w").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     seeds = pages.sparkSession.createDataFrame([(w,) for w in UNWANTED], "w string").select("w", F.lit(SEED).alias("seed"))
-    rows = stored(rows.join(seeds, "w", "full").select("w", (F.coalesce("bad", F.lit(0)) + F.coalesce("seed", F.lit(0))).alias("bad"), F.coalesce("good", F.lit(0)).alias("good")), "tokens")
-    good, bad, size = rows.agg(F.sum("good"), F.sum("bad"), F.count("*")).first()
+    rows = stored(rows.join(seeds, "w", "full").select("w", (F.coalesce("bad", F.lit(0)) + F.coalesce("seed", F.lit(0))).alias("bad"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("seen")), "tokens")
+    good, bad, size = rows.agg(F.sum("good"), F.sum("seen"), F.count("*")).first()
     below = [1 + (bad or 0) + size + 1, 1 + (good or 0) + size + 1]
     log_odds = lambda r: math.log((r.bad + 1) / below[0]) - math.log((r.good + 1) / below[1])
     top = rows.orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(max_tokens).collect()
@@ -178,7 +186,7 @@ def learn(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: in
             last = top[-1].bad + top[-1].good
             beyond = beyond.where((n < last) | ((n == last) & (F.col("w") > top[-1].w)))
         beyond = beyond.select("w", (F.log((F.col("bad") + 1) / below[0]) - F.log((F.col("good") + 1) / below[1])).alias("odds"))
-    return model | {"odds": odds, "prior": math.log((n_bad + 1) / (n_good + 1))}, pages, beyond
+    return model | {"odds": odds}, pages, beyond
 
 
 def judge(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: int = 50_000) -> DataFrame:
@@ -196,7 +204,7 @@ def judge(pages: DataFrame, rules=RULES, max_tokens: int = 50_000, max_words: in
             score, more = [], []
             for host, path, rare in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rare")), strict=True):
                 own, rest = tokens(host, path, model, cache, rare)
-                score.append(model["prior"] + sum(model["odds"].get(w, 0.0) for w in (*own, *rest)) if host else -1.0)
+                score.append(sum(model["odds"].get(w, 0.0) for w in (*own, *rest)) if host else -1.0)
                 more.append([w for w in (*own, *rest) if w not in model["odds"]] if host and joined else [])
             n = len(score)
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), *(batch.column(c) for c in ("page_id", "host", "path")), pa.array(score, pa.float64()), pa.array(more, pa.list_(pa.string()))], names=["row", "page_id", "host", "path", "score", "more"])

@@ -96,16 +96,17 @@ def test_naive_bayes_by_hand(spark):
     urls = [f"http://{r.choice(names)}-{r.choice(names)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'es', 'fr'])}/{r.choice(names)}" for _ in range(400)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
     got = url_filter.judge(pages).collect()
-    counts, n = {True: Counter(dict.fromkeys(url_filter.UNWANTED, url_filter.SEED)), False: Counter()}, Counter()
-    bag = lambda x: [*re.findall("[a-z]+", x.host.rpartition(".")[0]), *("/" + w for w in re.findall("[a-z]+", x.path))]  # noqa: E731 - all names are frequent words here
+    counts, seen = {True: Counter(dict.fromkeys(url_filter.UNWANTED, url_filter.SEED)), False: Counter()}, set()
+    bag = lambda x: [w for w in [*re.findall("[a-z]+", x.host.rpartition(".")[0]), *("/" + w for w in re.findall("[a-z]+", x.path))] if w not in ("example", "www", "/en", "/es", "/fr")]  # noqa: E731 - all names are frequent words here
     for x in got:
         if x.rule:
-            counts[x.verdict == "block"].update(bag(x))
-            n[x.verdict == "block"] += 1
+            seen |= {(x.verdict == "block", x.host, w) for w in bag(x)}
+    for bad, _, w in seen:  # once for each host
+        counts[bad][w] += 1
     size = len({*counts[True], *counts[False]})
-    total = {k: 1 + sum(v.values()) + size + 1 for k, v in counts.items()}
+    total = {k: 1 + sum(bad == k for bad, _, _ in seen) + size + 1 for k in counts}
     for x in got:
-        s = math.log((n[True] + 1) / (n[False] + 1)) + sum(math.log((counts[True][w] + 1) / total[True]) - math.log((counts[False][w] + 1) / total[False]) for w in bag(x) if counts[True][w] + counts[False][w])
+        s = sum(math.log((counts[True][w] + 1) / total[True]) - math.log((counts[False][w] + 1) / total[False]) for w in bag(x) if counts[True][w] + counts[False][w])
         assert x.score == pytest.approx(s)
         if not x.rule:
             assert x.verdict == ("block" if s > 0 else "allow")
@@ -166,3 +167,18 @@ def test_neighbours_over_merged_shards(spark):
         hits += len(set(part.vec_id) & set(np.argsort(-s)[:20]))
         assert np.allclose(part.score, (x[part.vec_id] * x[q]).sum(1))
     assert hits / got.shape[0] > 0.9
+
+
+def test_words_of_rules_decide_nothing(spark):
+    """The rules' own words are no tokens: pages without a rule that differ only in them have one score, and a host's many pages count once."""
+    urls = [f"http://lake.com/de/a{i % 9}" for i in range(90)] + [f"http://casino{w}.net/fr/page" for w in ("win", "bet", "lake")] + ["http://stone.net/es/", "http://river.com/y"]
+    urls += [f"http://{h}.org/{p}/x" for h in ("lake", "stone", "casino-lake", "example.lake", "www.lake") for p in ("en", "es", "fr", "de")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(x.host, x.path): x for x in url_filter.judge(pages).collect()}
+    for h in ("lake", "stone", "casino-lake"):
+        assert len({got[(f"{h}.org", f"/{p}/x")].score for p in ("en", "es", "fr")}) == 1
+    assert got[("example.lake.org", "/en/x")].score == got[("www.lake.org", "/en/x")].score == got[("lake.org", "/en/x")].score
+    assert {h: got[(f"{h}.org", "/en/x")].verdict for h in ("stone", "casino-lake")} == {"stone": "block", "casino-lake": "block"}
+    assert got[("lake.org", "/en/x")].verdict == "allow" and url_filter.rule_words() == {"example", "www", "/en", "/es", "/fr"}
+    once = url_filter.judge(pages.where("page_id < 10 or page_id >= 90")).collect()
+    assert {(x.host, x.path): x.score for x in once if x.host == "lake.org"} == {k: v.score for k, v in got.items() if k[0] == "lake.org"}
