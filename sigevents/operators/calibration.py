@@ -111,12 +111,12 @@ def _isotonic_values(models: Broadcast, fits: np.ndarray) -> Callable[[Column, C
     return value
 
 
-def all_calibrated(df: DataFrame, group: str, k: int | None = 5, methods: Sequence[str] = METHODS, score: str = "prob", label: str = "label") -> DataFrame:
+def all_calibrated(df: DataFrame, group: str, k: int | None = 5, methods: Sequence[str] = METHODS, score: str = "prob", label: str = "label", rounds: int = 6) -> DataFrame:
     """Rows with ``fold`` and an out-of-fold calibrated score for each method, ``<method>``; all folds are fitted together (folds.py).
 
     A fold whose training part lacks a class passes scores through, and so do rows without a score. ``k``
     None leaves one group out at a time. The models, a few numbers a fold (for isotonic ones the edges of
-    their steps), go to the tasks as one table.
+    their steps), go to the tasks as one table. ``rounds``: passes of the search for the temperature, each eight times finer.
     """
     k = k or df.select(group).distinct().count()
     rows = stored(group_folds(df, group, k), "folds")
@@ -131,7 +131,7 @@ def all_calibrated(df: DataFrame, group: str, k: int | None = 5, methods: Sequen
             rows = rows.withColumn(m, value(p, fold))
             continue
         if m == "temperature":
-            params = np.stack([1 / folds.temperature(table, k), np.zeros(k)], 1)
+            params = np.stack([1 / folds.temperature(table, k, rounds), np.zeros(k)], 1)
         else:
             params = folds.platt(table, k)
         model = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(params) if fits[i]], "fold int, _a double, _b double")

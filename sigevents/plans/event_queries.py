@@ -387,8 +387,23 @@ def fold_auc_delta(spark, d):
     return r6(calibration.fold_auc_delta(calibration.cross_validated(s, "patient", 5, "platt")))
 
 
-@query()
+def _temperatures(rounds: int) -> str:
+    """Tables t1, t2, ...: fold, lo, hi of the logarithm of its temperature after so many rounds of a grid of 17."""
+    out = "t0 AS (SELECT fold, CAST(-4 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi FROM fo)"
+    for k in range(1, rounds + 1):
+        out += f""",
+l{k} AS (SELECT t.fold, i, lo, hi, sum(y * (greatest(-z / exp(lo + i * ((hi - lo) / 16)), 0) + ln(1 + exp(-abs(z / exp(lo + i * ((hi - lo) / 16)))))) + (n - y) * (greatest(z / exp(lo + i * ((hi - lo) / 16)), 0) + ln(1 + exp(-abs(z / exp(lo + i * ((hi - lo) / 16))))))) AS loss
+  FROM t{k - 1} t JOIN ct ON ct.fold <> t.fold, (SELECT unnest(range(0, 17)) AS i) GROUP BY ALL),
+t{k} AS (SELECT fold, lo + greatest(arg_min(i, loss) - 1, 0) * ((hi - lo) / 16) AS lo, lo + least(arg_min(i, loss) + 1, 16) * ((hi - lo) / 16) AS hi FROM l{k} GROUP BY fold, lo, hi)"""
+    return out
+
+
+@query(LABELLED + """, pa AS (SELECT DISTINCT recording_id % 20 AS patient FROM l), fo AS (SELECT patient, (row_number() OVER (ORDER BY md5(CAST(patient AS VARCHAR) || '|0')) - 1) AS fold FROM pa),
+sc AS (SELECT fold, CAST(prob AS DOUBLE) AS p, label, ln(least(greatest(CAST(prob AS DOUBLE), 1e-6), 1 - 1e-6) / (1 - least(greatest(CAST(prob AS DOUBLE), 1e-6), 1 - 1e-6))) AS z FROM l JOIN fo ON fo.patient = l.recording_id % 20),
+ct AS (SELECT fold, z, CAST(sum(label) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS n FROM sc GROUP BY 1, 2), """ + _temperatures(4) + """
+SELECT CAST(sc.fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, round(avg(p), 5) AS mean_raw, round(avg(1 / (1 + exp(-z / exp((lo + hi) / 2)))), 5) AS mean_calibrated FROM sc JOIN t4 USING (fold) GROUP BY sc.fold""")
 def leave_one_out(spark, d):
-    """Calibration with one patient left out at a time: rows, areas of raw and calibrated scores of each."""
+    """Temperature of everything but one patient, for each patient at a time: rows, positives, mean raw and calibrated score."""
     s = _scored(spark, d).withColumn("patient", F.col("recording_id") % 20)
-    return r6(calibration.fold_auc_delta(calibration.cross_validated(s, "patient", None, "temperature")))
+    out = calibration.all_calibrated(s, "patient", None, ("temperature",), rounds=4)
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"), F.round(F.avg(F.col("prob").cast("double")), 5).alias("mean_raw"), F.round(F.avg("temperature"), 5).alias("mean_calibrated"))
