@@ -159,20 +159,20 @@ def _recording_files(spark, d, n: int, channels: int, scale) -> str:
     return path
 
 
-@query("""WITH e AS (SELECT vec_id // 8 AS r, vec_id % 8 AS b, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT r, b * 64 + i AS i, CAST(floor(CAST(x[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS v FROM e, (SELECT unnest(range(0, 64)) AS i))
+@query("""WITH e AS (SELECT vec_id // 64 AS r, vec_id % 64 AS b, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT r, b * 64 + i AS i, CAST(floor(CAST(x[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS v FROM e, (SELECT unnest(range(0, 64)) AS i))
 SELECT CAST(r AS VARCHAR) AS recording_id, 'C3' AS channel, CAST(i // 80 AS INTEGER) AS block_idx, CAST(i // 80 * 5 AS DOUBLE) AS start_s, CAST(16 AS INTEGER) AS fs, CAST(count(*) AS INTEGER) AS n, CAST(sum(v * (i % 80 + 1)) AS BIGINT) AS total FROM s GROUP BY r, i // 80""", base=False)
 def edf_ranges(spark, d):
-    """EDF files of eight vectors, read in ranges of 300 bytes, several a file, to blocks of five seconds."""
-    blocks = files.read_edf_signals(spark, _recording_files(spark, d, 8, 1, lambda r, c: F.lit(1000.0)), 5, 300)
+    """EDF files of 64 vectors, read in ranges of 2,000 bytes, several a file, to blocks of five seconds."""
+    blocks = files.read_edf_signals(spark, _recording_files(spark, d, 64, 1, lambda r, c: F.lit(1000.0)), 5, 2000)
     total = F.aggregate(F.transform("samples", lambda x, i: F.round(x.cast("double") * 10).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return blocks.select("recording_id", "channel", "block_idx", "start_s", "fs", F.size("samples").alias("n"), total.alias("total"))
 
 
-@query("""WITH e AS (SELECT vec_id // 32 AS r, vec_id % 32 // 4 AS b, vec_id % 4 AS c, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), full4 AS (SELECT r, b FROM e GROUP BY 1, 2 HAVING count(*) = 4),
+@query("""WITH e AS (SELECT vec_id // 128 AS r, vec_id % 128 // 4 AS b, vec_id % 4 AS c, embedding AS x FROM embeddings WHERE embedding IS NOT NULL), full4 AS (SELECT r, b FROM e GROUP BY 1, 2 HAVING count(*) = 4),
 s AS (SELECT CAST(r AS VARCHAR) AS recording_id, c, b * 64 + i AS i, CAST(CAST(CAST(floor(CAST(x[i + 1] AS DOUBLE) * CASE WHEN r % 4 = 1 THEN 5.0 WHEN r % 4 = 3 AND c > 0 THEN 100.0 WHEN r % 4 = 3 THEN 30000.0 ELSE 3000.0 END) AS BIGINT) * CAST(0.1 AS DOUBLE) AS FLOAT) AS DOUBLE) AS x FROM e JOIN full4 USING (r, b), (SELECT unnest(range(0, 64)) AS i))"""
     + SCORED_SQL, base=False)
 def scored_ranges(spark, d):
     """EDF files of four channels, read in ranges with six seconds more, and scored in the same stage: no shuffle of samples."""
-    path = _recording_files(spark, d, 32, 4, lambda r, c: F.when(r == 1, 5.0).when((r == 3) & (c > 0), 100.0).when(r == 3, 30000.0).otherwise(3000.0))
-    blocks = edf.read_edf_ranges(spark, path, 4, 1500, ahead_s=6)
+    path = _recording_files(spark, d, 128, 4, lambda r, c: F.when(r == 1, 5.0).when((r == 3) & (c > 0), 100.0).when(r == 3, 30000.0).otherwise(3000.0))
+    blocks = edf.read_edf_ranges(spark, path, 4, 5000, ahead_s=6)
     return scored_rows(recording_scorer.score_recordings(blocks, ["C3", "C4", "P3", "P4"], rms_scorer, 6, 3, 16, layout="ranges"))

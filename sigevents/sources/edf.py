@@ -2,7 +2,7 @@
 
 A file is planned as byte ranges of ``split_bytes`` from its size alone; each task reads the header and,
 by seeking, the data records of the blocks that begin in its range, so a long recording is read by many
-tasks and none holds a file. Rows are blocks of ``block_s`` seconds of a channel, in order of time, then
+tasks and none holds a file; small files are read several by a task. Rows are blocks of ``block_s`` seconds of a channel, in order of time, then
 of the header, with the samples in physical units. With ``ahead_s``, a task also gives the blocks after
 its range that begin within so many seconds, marked ``ahead``: what windows that begin in the range need.
 
@@ -158,10 +158,10 @@ def packed(rows: list[tuple], ahead: list[bool] | None = None) -> pa.RecordBatch
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    begin: int
-    end: int
+class Ranges(InputPartition):
+    """Ranges of bytes of files: path, begin, end."""
+
+    parts: list[tuple[str, int, int]]
 
 
 class EdfReader(DataSourceReader):
@@ -171,24 +171,37 @@ class EdfReader(DataSourceReader):
         self.split_bytes = int(options.get("split_bytes", 32 << 20))
         self.ahead_s = float(options.get("ahead_s", 0))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, root = fs.FileSystem.from_uri(self.root)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        out = [Range(f.path, b, b + self.split_bytes) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.path.lower().endswith(".edf") for b in range(0, max(f.size, 1), self.split_bytes)]
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+        out, small, held = [], [], 0
+        for f in sorted(found, key=lambda f: f.path):
+            if f.type != fs.FileType.File or not f.path.lower().endswith(".edf"):
+                continue
+            if f.size > self.split_bytes:
+                out += [Ranges([(f.path, b, b + self.split_bytes)]) for b in range(0, f.size, self.split_bytes)]
+                continue
+            if small and held + f.size > self.split_bytes:
+                out.append(Ranges(small))
+                small, held = [], 0
+            small.append((f.path, 0, self.split_bytes))
+            held += f.size
+        return [*out, Ranges(small)]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for path, begin, end in partition.parts:
+            yield from self._read(path, begin, end)
+
+    def _read(self, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.root)
-        with system.open_input_file(partition.path) as f:
+        with system.open_input_file(path) as f:
             try:
                 fixed = f.read_at(FIXED, 0)
                 header = parse_header(f.read_at(FIXED + PER_SIGNAL * signals_of(fixed), 0), f.size())
             except (ValueError, IndexError) as e:
-                raise ValueError(f"no EDF header: {partition.path}") from e
-            blocks, name = Blocks(header, self.block_s), partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                raise ValueError(f"no EDF header: {path}") from e
+            blocks, name = Blocks(header, self.block_s), path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
             def batch(k: int, ahead: bool) -> tuple[float, pa.RecordBatch | None]:
                 a, b = blocks.first_record(k), blocks.end_record(k)
@@ -196,7 +209,7 @@ class EdfReader(DataSourceReader):
                 rows = [(name, *r) for r in blocks.rows(k, raw)]
                 return (rows[0][3] if rows else 0.0), packed(rows, [ahead] * len(rows)) if rows else None
 
-            own = blocks.owned(partition.begin, partition.end)
+            own = blocks.owned(first, last)
             for k in own:
                 _, rows = batch(k, False)
                 if rows is not None:
