@@ -4,9 +4,9 @@
 special id ends it. The ``IDS`` - 2 most frequent ids stand for themselves; all others are one id more,
 and which of them is meant is told by their counts. One layer of causal self-attention over ids gives
 the next one in two steps, its group and which of the group's ids it is, both by the network. The
-network starts from the counts of pairs of ids over all training texts and is trained by Adam on a
-share of all windows of all training texts, drawn by a checksum from every part of them; gradients are
-summed in Spark tasks. Texts are scored in windows of ``WINDOW`` ids that overlap: each id, and the
+network starts from the counts of pairs of ids over all training texts and is trained by Adam on all
+windows of all training texts, each once, dealt to steps by a checksum so that every step has some from
+every part of them; gradients are summed in Spark tasks. Texts are scored in windows of ``WINDOW`` ids that overlap: each id, and the
 end of the text, is scored once, by the window that gives it the most context; windows of many texts
 are one batch of masked attention.
 
@@ -67,16 +67,20 @@ class Attention:
         self.group, self.member = np.divmod(np.arange(IDS), MEMBERS)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-    def by_group(self, t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The groups of some targets, and the places of each one's."""
-        g = self.group[t].astype(np.uint8)
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
-        return ((k, order[cuts[k] : cuts[k + 1]]) for k in range(GROUPS) if cuts[k] < cuts[k + 1])
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rooms": {}}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """A work array that is used again, whatever it holds: new ones cost more than what is done in them."""
+        size = int(np.prod(shape))
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, np.float32)
+        return self.rooms[name][:size].reshape(shape)
 
     def ready(self) -> Attention:
-        """With products of weights that scoring needs."""
+        """With products of weights that scores and gradients need."""
         w = self.w
+        self.rooms = {}
         self.qk = w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5)
         self.vo = w["V"] @ w["O"]
         self.first = np.vstack([w["U"], w["b"]])
@@ -88,75 +92,90 @@ class Attention:
         self.steep = not max(x * x * float(np.linalg.norm(self.qk, 2)), y * max(norm(self.first.T), norm(self.second.transpose(0, 2, 1)))) < 80
         return self
 
-    def log10(self, c: np.ndarray, t: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """log10 probability of targets ``t`` at the places ``scored`` of windows ``c``."""
+    def attend(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """x of windows ``c``, xQK', the weights of attention, and the mean of x under them."""
         n = len(c)
-        x = self.w["E"][c]
+        x = np.take(self.w["E"], c, axis=0, out=self.room("x", n, WINDOW, WIDTH), mode="clip")
         x += self.w["P"]
-        flat = x.reshape(-1, WIDTH)
-        q = (flat @ self.qk).reshape(n, WINDOW, WIDTH)
-        v = np.ones((n * WINDOW, WIDTH + 1), np.float32)  # the last column sums the weights
-        np.matmul(flat, self.vo, out=v[:, :WIDTH])
-        a = q @ x.transpose(0, 2, 1)
+        q = self.room("q", n, WINDOW, WIDTH)
+        np.matmul(x.reshape(-1, WIDTH), self.qk, out=q.reshape(-1, WIDTH))
+        a = np.matmul(q, x.transpose(0, 2, 1), out=self.room("a", n, WINDOW, WINDOW))
         a += self.mask
         if self.steep:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
+        a /= a.sum(2, keepdims=True)
+        return x, q, a, np.matmul(a, x, out=self.room("mean", n, WINDOW, WIDTH))
+
+    def heads(self, x: np.ndarray, mean: np.ndarray, at: np.ndarray, t: np.ndarray) -> tuple:
+        """For targets in order of their groups: that order, their places, the targets, y and a one, scores of groups and of members, each group's part."""
+        g = self.group[t].astype(np.uint8)
+        order = np.argsort(g, kind="stable")
+        cuts = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
+        parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        at, t = at[order], t[order]
+        some = np.take(mean.reshape(-1, WIDTH), at, axis=0, out=self.room("some", len(at), WIDTH), mode="clip")
+        moved = np.matmul(some, self.vo, out=self.room("moved", len(at), WIDTH))
+        moved += np.take(x.reshape(-1, WIDTH), at, axis=0, out=some, mode="clip")
+        y = self.room("y", len(at), WIDTH + 1)
+        y[:, :WIDTH], y[:, WIDTH] = moved, 1
+        groups = np.matmul(y, self.first, out=self.room("groups", len(at), GROUPS))
+        members = self.room("members", len(at), MEMBERS)
+        for k, rows in parts:
+            np.matmul(y[rows], self.second[k], out=members[rows])
+        return order, at, t, y, groups, members, parts
+
+    def log10(self, c: np.ndarray, t: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """log10 probability of targets ``t`` at the places ``scored`` of windows ``c``."""
+        x, _, _, mean = self.attend(c)
         at = np.flatnonzero(scored)
-        h = (a @ v.reshape(n, WINDOW, WIDTH + 1)).reshape(-1, WIDTH + 1)[at]
-        y = np.ones((len(at), WIDTH + 1), np.float32)
-        np.divide(h[:, :WIDTH], h[:, WIDTH:], out=y[:, :WIDTH])
-        y[:, :WIDTH] += flat[at]
-        t = t.ravel()[at]
-        out = _log_softmax(y @ self.first, self.group[t], self.steep)
-        for k, rows in self.by_group(t):
-            out[rows] += _log_softmax(y[rows] @ self.second[k], self.member[t[rows]], self.steep)
+        order, _, t, _, groups, members, _ = self.heads(x, mean, at, t.ravel()[at])
+        out = np.empty(len(at), np.float32)
+        out[order] = _log_softmax(groups, self.group[t], self.steep) + _log_softmax(members, self.member[t], self.steep)
         return out / np.float32(np.log(10))
 
     def gradient(self, c: np.ndarray, t: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
-        """Gradient of the cross-entropy, summed over all targets, and their number; t is -1 where there is nothing to predict."""
-        w, scale = self.w, np.float32(WIDTH**-0.5)
+        """Gradient of the cross-entropy, summed over all targets, and their number; t is -1 where there is nothing to predict. After ``ready``."""
+        w = self.w
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        x = w["E"][c] + w["P"]
-        q, k, v = x @ w["Q"] * scale, x @ w["K"], x @ w["V"]
-        a = q @ k.transpose(0, 2, 1) + self.mask
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        h = a @ v
-        y = flat(x + h @ w["O"])
+        x, q, a, mean = self.attend(c)
         at = np.flatnonzero(t.ravel() >= 0)
-        target, ya = t.ravel()[at], y[at]
-        p = _softmax(ya @ w["U"] + w["b"])
-        p[np.arange(len(at)), self.group[target]] -= 1
-        g = {"U": ya.T @ p, "b": p.sum(0), "Ug": np.zeros_like(w["Ug"]), "bg": np.zeros_like(w["bg"])}
-        da = p @ w["U"].T
-        for k_, rows in self.by_group(target):
-            p = _softmax(ya[rows] @ w["Ug"][k_] + w["bg"][k_])
-            p[np.arange(len(rows)), self.member[target[rows]]] -= 1
-            g["Ug"][k_], g["bg"][k_] = ya[rows].T @ p, p.sum(0)
-            da[rows] += p @ w["Ug"][k_].T
-        dy = np.zeros_like(y)
-        dy[at] = da
-        g["O"] = flat(h).T @ dy
-        dy = dy.reshape(x.shape)
-        dh = dy @ w["O"].T
-        dw, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (dw - (dw * a).sum(2, keepdims=True))
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = (flat(x).T @ flat(d) for d in (dq, dk, dv))
-        dx = dy + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-        g["P"] = dx.sum(0)
-        order = np.argsort(c.ravel(), kind="stable")
-        ids = c.ravel()[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][ids[first]] = np.add.reduceat(flat(dx)[order], first, 0)
-        return g, len(at)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+        _, at, target, y, pg, pm, parts = self.heads(x, mean, at, t.ravel()[at])
+        for p, of in ((pg, self.group), (pm, self.member)):
+            if self.steep:
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(at)), of[target]] -= 1
+        first, second = y.T @ pg, np.zeros_like(self.second)
+        some = np.matmul(pg, w["U"].T, out=self.room("moved", len(at), WIDTH))
+        for k, rows in parts:
+            second[k] = y[rows].T @ pm[rows]
+            some[rows] += pm[rows] @ w["Ug"][k].T
+        dy = self.room("dy", *x.shape)
+        dy[:] = 0
+        flat(dy)[at] = some
+        # y = x + mean VO, mean = a x, a = softmax(xQK'x')
+        dvo = flat(mean).T @ flat(dy)
+        dmean = self.room("dmean", *x.shape)
+        np.matmul(flat(dy), self.vo.T, out=flat(dmean))
+        ds = np.matmul(dmean, x.transpose(0, 2, 1), out=self.room("ds", *a.shape))
+        ds *= a
+        ds -= np.multiply(a, ds.sum(2, keepdims=True), out=self.room("shift", *a.shape))
+        more = np.matmul(ds, x, out=self.room("more", *x.shape))
+        dqk = flat(x).T @ flat(more) * np.float32(WIDTH**-0.5)
+        dx = dy
+        flat(dx)[:] += flat(more) @ self.qk.T
+        dx += np.matmul(ds.transpose(0, 2, 1), q, out=more)
+        dx += np.matmul(a.transpose(0, 2, 1), dmean, out=more)
+        ids = c.ravel().astype(np.uint16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        de = np.zeros_like(w["E"])
+        de[ids[begin]] = np.add.reduceat(np.take(flat(dx), order, axis=0, out=flat(more), mode="clip"), begin, 0)
+        g = {"E": de, "P": dx.sum(0), "Q": dqk @ w["K"], "K": dqk.T @ w["Q"], "V": dvo @ w["O"].T, "O": w["V"].T @ dvo}
+        return g | {"U": first[:WIDTH], "b": first[WIDTH], "Ug": second[:, :WIDTH], "bg": second[:, WIDTH]}, len(at)
 
 
 def _log_softmax(z: np.ndarray, t: np.ndarray, steep: bool = True) -> np.ndarray:
@@ -170,7 +189,7 @@ def _log_softmax(z: np.ndarray, t: np.ndarray, steep: bool = True) -> np.ndarray
 class Adam:
     """Adam on the weights of a network; the rate rises over the first tenth of the steps and falls to a tenth."""
 
-    def __init__(self, net: Attention, steps: int, rate: float = 0.01):
+    def __init__(self, net: Attention, steps: int, rate: float = 0.03):
         self.net, self.steps, self.rate, self.step = net, steps, rate, 0
         self.m, self.s = ({k: np.zeros(v.shape) for k, v in net.w.items()} for _ in range(2))
 
@@ -191,7 +210,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seq, nth * STRIDE, np.where(nth > 0, WINDOW - STRIDE, 0)
 
 
-def score_ids(ids: list[bytes], model: dict, batch: int = 512) -> np.ndarray:
+def score_ids(ids: list[bytes], model: dict, batch: int = 256) -> np.ndarray:
     """log10 probability of each sequence of subword ids (16 bits each) and its end."""
     net, own_id, inside = model["net"], model["own"], model["inside"]
     lengths = np.array([len(x) // 2 + 1 for x in ids])
@@ -314,7 +333,7 @@ def start_from(net: Attention, pairs: np.ndarray) -> None:
 #: In packed windows: nothing to predict.
 NOTHING = 65535
 #: Windows that one task adds up in one step.
-TASK_WINDOWS = 4096
+TASK_WINDOWS = 16384
 #: Gradients are summed as whole numbers of this part, so that their sum does not depend on the order of tasks.
 GRAIN = 2.0**24
 
@@ -329,19 +348,34 @@ def training_windows(rows: DataFrame, own: np.ndarray, steps: int, one_in: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step, part, packed = [], [], []
-            for raw in batch.column("ids").to_pylist():
-                t = np.append(shared.value[np.frombuffer(raw, "<u2")], np.uint16(END))
-                turn = zlib.crc32(raw) + np.arange(-(-len(t) // WINDOW))
-                for k in np.flatnonzero(turn % one_in == 0).tolist():
-                    row = np.full(WINDOW + 1, NOTHING, "<u2")
-                    row[0] = t[k * WINDOW - 1] if k else END
-                    some = t[k * WINDOW : (k + 1) * WINDOW]
-                    row[1 : 1 + len(some)] = some
-                    step.append(int(turn[k]) // one_in % steps)
-                    part.append(int(turn[k]) // one_in // steps)
-                    packed.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(part, pa.int64()), pa.array(packed, pa.binary())], names=["step", "part", "windows"])
+            held, n = [], 0
+            for raw in batch.column("ids"):
+                held.append(raw.as_py())
+                n += len(held[-1])
+                if n > 2_000_000:
+                    yield packed(held)
+                    held, n = [], 0
+            if held:
+                yield packed(held)
+
+    def packed(ids: list[bytes]) -> pa.RecordBatch:
+        """Windows of some texts: each a row of ``WINDOW`` + 1 ids."""
+        lengths = np.array([len(x) // 2 + 1 for x in ids])
+        count = -(-lengths // WINDOW)
+        text = np.repeat(np.arange(len(ids)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        turn = np.array([zlib.crc32(x) for x in ids])[text] + nth
+        text, nth, turn = (x[turn % one_in == 0] for x in (text, nth, turn))
+        flat = shared.value[np.frombuffer(b"\0\0".join(ids) + b"\0\0", "<u2")]
+        ends = np.cumsum(lengths)
+        flat[ends - 1] = END
+        place = nth[:, None] * WINDOW + np.arange(-1, WINDOW)
+        rows = flat[np.clip((ends - lengths)[text][:, None] + place, 0, len(flat) - 1)]
+        rows[nth == 0, 0] = END
+        rows[place >= lengths[text][:, None]] = NOTHING
+        offsets = pa.py_buffer((np.arange(len(rows) + 1) * 2 * (WINDOW + 1)).astype(np.int32))
+        binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows, "<u2"))])
+        return pa.RecordBatch.from_arrays([pa.array(turn // one_in % steps, pa.int32()), pa.array(turn // one_in // steps, pa.int64()), binary], names=["step", "part", "windows"])
 
     return rows.select("ids").mapInArrow(tidied(cut), "step int, part long, windows binary")
 
@@ -358,10 +392,11 @@ def summed_gradient(rows: DataFrame, net: Attention) -> tuple[dict[str, np.ndarr
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
+        net.ready()
         for batch in batches:
             c, t = unpacked(b"".join(batch.column("windows").to_pylist()))
-            for b in range(0, len(c), 128):
-                g, some = net.gradient(c[b : b + 128], t[b : b + 128])
+            for b in range(0, len(c), 256):
+                g, some = net.gradient(c[b : b + 256], t[b : b + 256])
                 g = np.concatenate([g[k].ravel() for k in shapes])
                 total, n = (g.astype(np.float64) if total is None else total + g), n + some
         if n:
@@ -377,8 +412,8 @@ def summed_gradient(rows: DataFrame, net: Attention) -> tuple[dict[str, np.ndarr
     return {k: g.reshape(s) / GRAIN for (k, s), g in zip(shapes.items(), np.split(whole[:-1], cuts[:-1]), strict=True)}, int(whole[-1])
 
 
-def train(rows: DataFrame, steps: int = 48, one_in: int = 16) -> dict:
-    """The network for encoded texts (ids), from all their counts and one in ``one_in`` of their windows, a part of them in each of ``steps`` steps."""
+def train(rows: DataFrame, steps: int = 48, one_in: int = 1) -> dict:
+    """The network for encoded texts (ids), from all their counts and all their windows (or one in ``one_in``), a part of them in each of ``steps`` steps."""
     own, inside = own_ids(id_counts(rows))
     net = Attention()
     pairs = pair_counts(rows, own)
