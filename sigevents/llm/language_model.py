@@ -332,8 +332,8 @@ def start_from(net: Attention, pairs: np.ndarray) -> None:
 
 #: In packed windows: nothing to predict.
 NOTHING = 65535
-#: Windows that one task adds up in one step.
-TASK_WINDOWS = 16384
+#: Windows that one task adds up in one step; a step of fewer than eight such tasks has up to eight smaller ones.
+TASK_WINDOWS = 4096
 #: Gradients are summed as whole numbers of this part, so that their sum does not depend on the order of tasks.
 GRAIN = 2.0**24
 
@@ -422,7 +422,8 @@ def train(rows: DataFrame, steps: int = 48, one_in: int = 1) -> dict:
         return {"net": net.ready(), "own": own, "inside": inside}
     start_from(net, pairs)
     # windows in all, from the number of ids; a text has one that is not full
-    parts = int(np.ceil(pairs.sum() / WINDOW / one_in / steps / TASK_WINDOWS))
+    tasks = pairs.sum() / WINDOW / one_in / steps / TASK_WINDOWS
+    parts = int(np.ceil(max(tasks, min(8, 8 * tasks))))
     dealt = training_windows(rows, own, steps, one_in).withColumn("part", F.pmod("part", F.lit(parts)))
     path = stored(dealt.repartition("step", "part"), "windows", "step")
     adam = Adam(net, steps)
