@@ -64,6 +64,18 @@ def test_documents(docs, labels, benchmark):
     assert taken[3] == 2 and taken[4] == 1
 
 
+def test_empty_side_tables(docs, labels, benchmark):
+    """Nothing is contaminated by an empty benchmark; without labels all texts score alike; repeated rows have the same ids in a token file."""
+    found = decontamination.contamination_report(docs, benchmark.limit(0)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in ROWS)
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in found} == {(0, 0, False)}
+    found = toxicity.toxicity_table(docs, labels.limit(0)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in ROWS)
+    assert len({r.score for r in found}) == 1 and 0 <= found[0].score <= 1
+    same = [r for r in binary_tokens.token_table(docs).collect() if r.doc_id == 3]
+    assert len(same) > 1 and len({(r.n_tokens, r.ids_crc32) for r in same}) == 1 and len({r.start for r in same}) == len(same)
+
+
 def test_string_item_ids(spark, docs):
     items = spark.createDataFrame([("q-1", "same text"), ("q-2", "nowhere")], "item_id string, text string")
     got = {r.doc_id: r["items"] for r in decontamination.contamination(docs, items).collect()}
