@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sigevents.operators import folds
 from sigevents.operators.metrics import in_ranges, prefix_sums, roc_auc
-from sigevents.operators.resampling import blocks, with_ranks
+from sigevents.operators.resampling import blocks, ranges_of, rows_of_range, with_ranks
 from sigevents.sources.scratch import stored
 
 EPS = 1e-6
@@ -152,11 +153,100 @@ def fold_auc_delta(validated: DataFrame, score: str = "prob", label: str = "labe
     return raw.join(new, "fold").withColumn("delta", F.col("auc_calibrated") - F.col("auc_raw"))
 
 
-#: Rows of a range of scores.
-RANGE_ROWS = 10_000
+#: Rows whose counts are summed at once.
+STRIP = 1024
+
+
+class _Ordered:
+    """Rows of a range, scores descending and positives before negatives of the same score, cut into strips of whole scores; a score of more rows is a strip of its own."""
+
+    def __init__(self, p: np.ndarray, pos: np.ndarray, neg: np.ndarray, where: np.ndarray):
+        some = np.concatenate([np.flatnonzero(pos), np.flatnonzero(neg)])
+        up = np.arange(len(some)) < np.count_nonzero(pos)
+        order = np.lexsort([~up, -p[some]])
+        p, self.up, self.value, self.where = p[some][order], up[order], np.where(up, pos[some], neg[some])[order], where[some][order]
+        new = np.r_[True, p[1:] != p[:-1]][: len(p)]
+        scores = np.r_[np.flatnonzero(new), len(p)]
+        turn = np.r_[True, self.up[1:] != self.up[:-1]][: len(p)]
+        tied = turn & ~new  # negatives that start below positives of their own score
+        mixed = np.zeros(len(p), bool)
+        mixed[tied] = True
+        mixed = np.add.reduceat(mixed, scores[:-1]).astype(bool)[np.cumsum(new) - 1] if len(p) else mixed
+        self.starts, self.tied = turn | new & (mixed | np.r_[False, mixed[:-1]][: len(p)]), tied
+        self.strips = []
+        a = 0
+        while a < len(scores) - 1:
+            b = max(a + 1, int(np.searchsorted(scores, scores[a] + STRIP, "right")) - 1)
+            self.strips.append((scores[a], scores[b]))
+            self.starts[scores[a]] = True
+            a = b
+
+    def weighted(self, a: int, b: int, w: np.ndarray) -> np.ndarray:
+        g = np.take(w, self.where[a:b], axis=0).astype(float)
+        if (self.value[a:b] != 1).any():
+            g *= self.value[a:b, None]
+        return g
+
+    def pairs(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per draw: positives, negatives and ordered pairs, ties by half; ``w``: counts (clusters, draws)."""
+        above, below, pairs = np.zeros((3, w.shape[1]))
+        for a, b in self.strips:
+            if b - a > STRIP:
+                cut = a + int(np.count_nonzero(self.up[a:b]))
+                pos, neg = (sum((self.weighted(i, min(i + STRIP, z), w).sum(0) for i in range(y, z, STRIP)), np.zeros(w.shape[1])) for y, z in ((a, cut), (cut, b)))
+                pairs += neg * (above + pos / 2)
+            else:
+                at = np.flatnonzero(self.starts[a:b])
+                runs, up, tied = np.add.reduceat(self.weighted(a, b, w), at, 0), self.up[a:b][at], np.flatnonzero(self.tied[a:b][at])
+                higher = np.cumsum(runs * up[:, None], 0)
+                pairs += (runs[~up] * (higher[~up] + above)).sum(0) - (runs[tied] * runs[tied - 1]).sum(0) / 2
+                pos, neg = higher[-1], runs[~up].sum(0)
+            above += pos
+            below += neg
+        return above, below, pairs
+
+
+def _auc_draws(df: DataFrame, cluster: str, draws: int, seed: int, scores: Sequence[str], label: str, parts: int | None, range_rows: int | None) -> DataFrame:
+    """score (its place in ``scores``), draw, auc; see auc_draws. The k-th ranges of all scores are one task's, which makes the draws' counts once for them."""
+    rows, n = with_ranks(df, cluster, seed)
+    of_score = [F.struct(F.lit(i).alias("score"), F.col(s).cast("double").alias("p")) for i, s in enumerate(scores)]
+    rows = rows.select("rank", F.col(label).alias("_label"), F.explode(F.array(*of_score)).alias("s")).select("rank", "_label", "s.*")
+    counts = rows.where(F.col("p").isNotNull() & ~F.isnan("p")).groupBy("score", "rank", "p").agg(F.sum("_label").cast("double").alias("pos"), F.sum(1 - F.col("_label")).cast("double").alias("neg"))
+    counts = stored(counts, "counts")
+    range_rows = range_rows or rows_of_range(n)
+    parts = parts or ranges_of(df.sparkSession, -(-counts.count() // len(scores)), range_rows)
+    dealt = []
+    for i in range(len(scores)):
+        own = counts.where(F.col("score") == i)
+        hot = {r.p: r.n for r in own.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > range_rows).collect()}  # no more than rows / range_rows
+        found = own.agg(F.percentile_approx("p", [k / parts for k in range(1, parts)], 100 * parts).alias("b")).first().b if parts > 1 else []
+        ranged = in_ranges(own, "p", [*(found or []), *hot, *(math.nextafter(x, math.inf) for x in hot)], "part")
+        salt = F.lit(0)
+        for x, rows_ in hot.items():
+            salt = F.when(F.col("p") == x, F.col("rank") % (-(-rows_ // range_rows))).otherwise(salt)
+        dealt.append(ranged.withColumns({"salt": salt.cast("int"), "tied": F.col("p").isin(*hot) if hot else F.lit(False)}))
+    ranged = reduce(DataFrame.unionByName, dealt).repartition(4 * parts, "part", "salt")
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, where = np.unique(pdf["rank"].to_numpy(), return_inverse=True)
+        tables, made = [], []
+        for i, t in pdf.assign(where=where).groupby("score"):
+            tables.append((i, bool(t["tied"].iloc[0]), _Ordered(*(t[c].to_numpy() for c in ("p", "pos", "neg", "where")))))
+        for first, w in blocks(own, n, draws, seed):
+            for i, tied, ordered in tables:
+                pos, neg, pairs = ordered.pairs(w)
+                made.append(pd.DataFrame({"score": i, "part": key[0], "tied": tied, "draw": np.arange(first, first + len(pos), dtype=np.int32), "pos": pos, "neg": neg, "pairs": pairs}))
+        return pd.concat(made)
 
-def auc_draws(df: DataFrame, cluster: str, draws: int, seed: int, score: str = "prob", label: str = "label", parts: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    sums = ranged.groupBy("part", "salt").applyInPandas(run, "score int, part int, tied boolean, draw int, pos double, neg double, pairs double")
+    sums = sums.groupBy("score", "part", "draw").agg(F.first("tied").alias("tied"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
+    sums = sums.withColumn("pairs", F.when(F.col("tied"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("pairs")))
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("score", "draw").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("pairs", F.col("pairs") + F.col("neg") * above)
+    return sums.groupBy("score", "draw").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def auc_draws(df: DataFrame, cluster: str, draws: int, seed: int, score: str = "prob", label: str = "label", parts: int | None = None, range_rows: int | None = None) -> DataFrame:
     """draw, auc (null for one class) of all resamples of the clusters; rows without a score (or with NaN) are left out, their clusters are not.
 
     Counts of each cluster and distinct score are dealt over ranges of about ``range_rows`` of them. A range
@@ -164,34 +254,7 @@ def auc_draws(df: DataFrame, cluster: str, draws: int, seed: int, score: str = "
     are then added up from the highest one down. A score that more rows have is a range of its own, dealt by
     cluster: all its pairs are ties, for which sums are enough. A task holds DRAW_BLOCK draws of a range.
     """
-    p = F.col(score).cast("double")
-    rows, n = with_ranks(df, cluster, seed)
-    counts = rows.where(p.isNotNull() & ~F.isnan(p)).groupBy("rank", p.alias("p")).agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    counts = stored(counts, "counts")
-    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // range_rows))
-    hot = {r.p: r.n for r in counts.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > range_rows).collect()}  # no more than rows / range_rows
-    found = counts.agg(F.percentile_approx("p", [k / parts for k in range(1, parts)], 100 * parts).alias("b")).first().b if parts > 1 else []
-    ranged = in_ranges(counts, "p", [*(found or []), *hot, *(math.nextafter(x, math.inf) for x in hot)], "part")
-    salt = F.lit(0)
-    for x, rows_ in hot.items():
-        salt = F.when(F.col("p") == x, F.col("rank") % (-(-rows_ // range_rows))).otherwise(salt)
-    ranged = ranged.withColumns({"salt": salt.cast("int"), "tied": F.col("p").isin(*hot) if hot else F.lit(False)})
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p", ascending=False, kind="stable")
-        p, made = pdf["p"].to_numpy(), []
-        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        for first, w in blocks(pdf["rank"].to_numpy(), n, draws, seed):
-            pos, neg = (np.add.reduceat(w * pdf[k].to_numpy(), starts, 1) for k in ("pos", "neg"))
-            made.append(pd.DataFrame({"part": key[0], "tied": bool(pdf["tied"].iloc[0]), "draw": np.arange(first, first + len(w), dtype=np.int32), "pos": pos.sum(1), "neg": neg.sum(1), "pairs": (neg * (np.cumsum(pos, 1) - pos / 2)).sum(1)}))
-        return pd.concat(made)
-
-    sums = ranged.groupBy("part", "salt").applyInPandas(run, "part int, tied boolean, draw int, pos double, neg double, pairs double")
-    sums = sums.groupBy("part", "draw").agg(F.first("tied").alias("tied"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
-    sums = sums.withColumn("pairs", F.when(F.col("tied"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("pairs")))
-    above = F.coalesce(F.sum("pos").over(Window.partitionBy("draw").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.withColumn("pairs", F.col("pairs") + F.col("neg") * above)
-    return sums.groupBy("draw").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    return _auc_draws(df, cluster, draws, seed, [score], label, parts, range_rows).drop("score")
 
 
 def _interval(draws: DataFrame, target: float | None = None) -> DataFrame:
@@ -206,21 +269,30 @@ def cluster_bootstrap(df: DataFrame, cluster: str, draws: int = 2000, seed: int
     return _interval(got.withColumnRenamed("auc", "value"), target)
 
 
+#: Neighbouring ranks of a task: counts are made once for all their rows.
+RUN = 4096
+
+
 def summed_draws(sums: DataFrame, cluster: str, columns: Sequence[str], by: Sequence[str], draws: int, seed: int) -> DataFrame:
     """``by``, draw, and the resampled sums of ``columns`` of a table of one row for each cluster and ``by``."""
     by = list(by)
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
     table, n = with_ranks(sums, cluster, seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, part in pdf.groupby(by) if by else [((), pdf)]:
-                for first, w in blocks(part["rank"].to_numpy(), n, draws, seed):
-                    got = w @ part[list(columns)].to_numpy(float)
-                    yield pd.DataFrame({**dict(zip(by, key, strict=True)), "draw": np.arange(first, first + len(w), dtype=np.int32), **{c: got[:, i] for i, c in enumerate(columns)}})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, where = np.unique(pdf["rank"].to_numpy(), return_inverse=True)
+        keyed = [(k if isinstance(k, tuple) else (k,), t) for k, t in pdf.assign(_where=where).groupby(by)] if by else [((), pdf.assign(_where=where))]
+        parts = [(key, t["_where"].to_numpy(), t[list(columns)].to_numpy(float).T) for key, t in keyed]
+        made = []
+        for first, w in blocks(own, n, draws, seed):
+            for name, at, values in parts:
+                got = values @ w[at].astype(float)
+                made.append(pd.DataFrame({**dict(zip(by, name, strict=True)), "draw": np.arange(first, first + got.shape[1], dtype=np.int32), **dict(zip(columns, got, strict=True))}))
+        return pd.concat(made)
 
     schema = ", ".join([f"{b} {kinds[b]}" for b in by] + ["draw int"] + [f"{c} double" for c in columns])
-    return table.select("rank", *by, *columns).mapInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in columns])
+    runs = table.select("rank", *by, *columns).withColumn("_run", F.expr(f"rank div {RUN}")).groupBy("_run")
+    return runs.applyInPandas(run, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def ece_bootstrap(df: DataFrame, cluster: str, n_bins: int = 10, draws: int = 2000, seed: int = 0, score: str = "prob", label: str = "label") -> DataFrame:
@@ -246,7 +318,8 @@ def precision_bootstrap(df: DataFrame, thresholds: float | Sequence[float], clus
 
 def paired_delta_bootstrap(pairs: DataFrame, cluster: str, draws: int = 10_000, seed: int = 0, a: str = "prob_a", b: str = "prob_b", label: str = "label") -> DataFrame:
     """Interval of AUC(b) - AUC(a), both from the same draw; share of draws in which b is worse."""
-    x, y = (auc_draws(pairs, cluster, draws, seed, c, label).withColumnRenamed("auc", n) for c, n in ((a, "x"), (b, "y")))
-    got = x.join(y, "draw").select((F.col("y") - F.col("x")).alias("value")).where("value is not null")
+    both = _auc_draws(pairs, cluster, draws, seed, [a, b], label, None, None).groupBy("draw")
+    x, y = (F.max(F.when(F.col("score") == i, F.col("auc"))) for i in (0, 1))
+    got = both.agg((y - x).alias("value")).where("value is not null")
     out = got.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg("value").alias("delta"), F.avg((F.col("value") < 0).cast("double")).alias("p_worse"))
     return out.withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))
