@@ -151,10 +151,10 @@ def interrupted_flag(windows: DataFrame) -> DataFrame:
 
 def stft_features(windows: DataFrame, fs: int = 250) -> DataFrame:
     def all_of(x: np.ndarray) -> tuple:
-        s = log_spectrogram(x, fs).astype(np.float32)
+        s = log_spectrogram(x, fs)
         return list(s.reshape(len(s), -1)), *([n] * len(s) for n in s.shape[1:])
 
-    return _each(windows, "samples", all_of, "spec array<float>, n_time int, n_ch int, n_freq int")
+    return _each(windows, "samples", all_of, "spec array<double>, n_time int, n_ch int, n_freq int")
 
 
 def fft_bin_table(blocks: DataFrame, fs: int = 250, most: int = 47) -> DataFrame:

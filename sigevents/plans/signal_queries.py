@@ -177,8 +177,11 @@ SELECT recording_id, CAST(count(DISTINCT t) AS INTEGER) AS n_time, CAST(count(DI
 def spectrograms(spark, d):
     """Log spectrograms of windows of four channels, frames of 16 samples."""
     e = _vectors(spark, d).groupBy(F.expr("vec_id div 4").alias("recording_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))).alias("c"))
-    s = features.stft_features(e.select("recording_id", F.transform("c", lambda x: F.transform(x["samples"], lambda v: v * 100)).alias("samples")), 16)
-    return s.select("recording_id", "n_time", "n_ch", "n_freq", F.round(checksum("spec"), 1).alias("checksum"))
+    s = features.stft_features(e.select("recording_id", F.transform("c", lambda x: (x["vec_id"] % 4).cast("int")).alias("c"), F.transform("c", lambda x: F.transform(x["samples"], lambda v: v * 100)).alias("samples")), 16)
+    channel = lambda i: F.get("c", (F.floor(i / F.col("n_freq")) % F.col("n_ch")).cast("int"))  # noqa: E731 - a recording may lack some of the four
+    place = lambda i: F.floor(i / (F.col("n_ch") * F.col("n_freq"))) * 32 + channel(i) * 8 + i % F.col("n_freq") + 1
+    total = F.aggregate(F.transform("spec", lambda x, i: x * place(i)), F.lit(0.0), lambda a, x: a + x)
+    return s.select("recording_id", "n_time", "n_ch", "n_freq", F.round(total, 1).alias("checksum"))
 
 
 BANDS_SQL = ", ".join(f"round(sum(CASE WHEN b = '{n}' THEN area END), 6) AS {n}" for n in features.BANDS)
