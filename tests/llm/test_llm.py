@@ -174,6 +174,30 @@ def test_decontamination_brute(spark, docs, rows):
     assert {r.n_hit for r in decontamination.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_word_encoder_learns_a_word_once_whatever_follows_it():
+    """Words are remembered, not pieces with their punctuation, so that the memory holds more and less is encoded again."""
+    enc, seen = WordEncoder(NAME, 200), []
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **how):
+            seen.append(sum(map(len, texts)))
+            return self.tok.encode_batch_fast(texts, **how)
+
+        def encode(self, *args, **how):
+            return self.tok.encode(*args, **how)
+
+    plain, enc.tok = enc.tok, Counting(enc.tok)
+    words = ["w" + "".join(chr(97 + (i * k) % 26) for k in (1, 3, 7)) + "äu"[i % 2] * (i // 26 + 1) for i in range(120)]
+    for mark in (".", ",", "!", "\nund"):
+        text = " ".join(w + mark for w in words)
+        ids, _ = enc.encode(pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(seen) < 2 * len(" ".join(words))
+
+
 def test_tokens_are_exact():
     """Ids are those of the library's plain call, added tokens' strings included."""
     enc, plain, r = WordEncoder(NAME, 500), Tokenizer.from_file(public_tokenizers.path(NAME)), random.Random(1)
