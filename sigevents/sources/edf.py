@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -146,15 +147,18 @@ class Blocks:
                 yield h.labels[i], k, start, h.rate(i), x.astype(np.float32)
 
 
-def packed(rows: list[tuple], ahead: list[bool] | None = None) -> pa.RecordBatch:
-    """Rows of recording_id, channel, block_idx, start_s, fs, samples as a batch."""
-    ids, channels, blocks, starts, rates, samples = zip(*rows, strict=True)
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of recording_id, channel, block_idx, start_s, fs, samples, ahead as a batch."""
+    ids, channels, blocks, starts, rates, samples, ahead = zip(*rows, strict=True)
     ends = np.cumsum([0, *map(len, samples)]).astype(np.int32)
-    columns = [pa.array(ids), pa.array(channels), pa.array(blocks, pa.int32()), pa.array(starts, pa.float64()), pa.array(rates, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(samples), pa.float32()))]
-    names = [c.split()[0] for c in SIGNALS.split(", ")]
-    if ahead is not None:
-        columns, names = [*columns, pa.array(ahead)], [*names, "ahead"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    columns = [pa.array(ids), pa.array(channels), pa.array(blocks, pa.int32()), pa.array(starts, pa.float64()), pa.array(rates, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(samples), pa.float32())), pa.array(ahead)]
+    return pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in SIGNALS.split(", ")), "ahead"])
+
+
+#: Up to so many ranges are a task each; of more, a task has several, of as many bytes as that takes, TASK_BYTES at most.
+TASKS, TASK_BYTES = 128, 1 << 20
+#: Samples of a batch of rows; a block is not cut.
+BATCH_SAMPLES = 100_000
 
 
 @dataclass
@@ -175,25 +179,45 @@ class EdfReader(DataSourceReader):
         system, root = fs.FileSystem.from_uri(self.root)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        out, small, held = [], [], 0
+        out, small, held = [], [], 0  # parts of tasks, with their bytes
         for f in sorted(found, key=lambda f: f.path):
             if f.type != fs.FileType.File or not f.path.lower().endswith(".edf"):
                 continue
             if f.size > self.split_bytes:
-                out += [Ranges([(f.path, b, b + self.split_bytes)]) for b in range(0, f.size, self.split_bytes)]
+                out += [([(f.path, b, b + self.split_bytes)], min(self.split_bytes, f.size - b)) for b in range(0, f.size, self.split_bytes)]
                 continue
             if small and held + f.size > self.split_bytes:
-                out.append(Ranges(small))
+                out.append((small, held))
                 small, held = [], 0
             small.append((f.path, 0, self.split_bytes))
             held += f.size
-        return [*out, Ranges(small)]
+        out.append((small, held))
+        if len(out) <= TASKS:
+            return [Ranges(parts) for parts, _ in out]
+        most = min(TASK_BYTES, sum(n for _, n in out) // TASKS)
+        dealt, held = [[]], 0
+        for parts, n in out:
+            if dealt[-1] and held + n > most:
+                dealt.append([])
+                held = 0
+            dealt[-1] += parts
+            held += n
+        return [Ranges(parts) for parts in dealt]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for path, begin, end in partition.parts:
-            yield from self._read(path, begin, end)
-
-    def _read(self, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, parts in groupby(partition.parts, key=lambda p: p[0]):
+            for some in self._blocks(path, [p[1:] for p in parts]):
+                rows += some
+                held += sum(len(r[5]) for r in some)
+                if held >= BATCH_SAMPLES:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    def _blocks(self, path: str, parts: list[tuple[int, int]]) -> Iterator[list[tuple]]:
+        """Rows of each block of some ranges of a file."""
         system, _ = fs.FileSystem.from_uri(self.root)
         with system.open_input_file(path) as f:
             try:
@@ -203,24 +227,22 @@ class EdfReader(DataSourceReader):
                 raise ValueError(f"no EDF header: {path}") from e
             blocks, name = Blocks(header, self.block_s), path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
-            def batch(k: int, ahead: bool) -> tuple[float, pa.RecordBatch | None]:
+            def block(k: int, ahead: bool) -> list[tuple]:
                 a, b = blocks.first_record(k), blocks.end_record(k)
                 raw = f.read_at((b - a) * header.record_bytes, header.bytes + a * header.record_bytes)
-                rows = [(name, *r) for r in blocks.rows(k, raw)]
-                return (rows[0][3] if rows else 0.0), packed(rows, [ahead] * len(rows)) if rows else None
-
-            own = blocks.owned(first, last)
-            for k in own:
-                _, rows = batch(k, False)
-                if rows is not None:
-                    yield rows
-            begin = None
-            for k in range(own.stop, blocks.count) if len(own) and self.ahead_s > 0 else ():
-                start, rows = batch(k, True)
-                begin = start if begin is None else begin
-                if start >= begin + self.ahead_s:
-                    break
-                if rows is not None:
+                return [(name, *r, ahead) for r in blocks.rows(k, raw)]
+
+            for first, last in parts:
+                own = blocks.owned(first, last)
+                for k in own:
+                    yield block(k, False)
+                begin = None
+                for k in range(own.stop, blocks.count) if len(own) and self.ahead_s > 0 else ():
+                    rows = block(k, True)
+                    start = rows[0][3] if rows else 0.0
+                    begin = start if begin is None else begin
+                    if start >= begin + self.ahead_s:
+                        break
                     yield rows
 
 

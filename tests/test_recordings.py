@@ -146,6 +146,22 @@ def test_ranges_are_scored_where_they_are_read(spark, tmp_path, signals):
         assert scores(fused) == scores(recording_scorer.score_recordings(whole, NAMES, scorer, 5, 2, 10)) and fused.count() == 22 + 11
 
 
+def test_many_small_ranges_are_read_several_by_a_task(spark, tmp_path, signals):
+    """Tasks grow with the bytes, not with the number of ranges, and rows of blocks come in large batches; the rows are the same."""
+    for i in range(12):
+        (tmp_path / f"r{i}.edf").write_bytes(edf_file(signals, {"Fp1": 20, "O1": 20, "C3": 10}, 2))
+    reader = edf.EdfReader({"path": str(tmp_path), "block_s": 2, "split_bytes": 64, "ahead_s": 3})
+    parts = reader.partitions()
+    ranges = [x for p in parts for x in p.parts]
+    assert len(ranges) > 600 and len(set(ranges)) == len(ranges) and len(parts) < 200
+    assert all(len(list(reader.read(p))) <= 1 for p in parts)
+    few = edf.read_edf_ranges(spark, str(tmp_path), 2, 64, ahead_s=3)
+    assert rows(few.where("not ahead").drop("ahead")) == rows(files.read_edf_signals(spark, str(tmp_path), 2))
+    fused = recording_scorer.score_recordings(edf.read_edf_ranges(spark, str(tmp_path), 3, 64, ahead_s=5).where("channel <> 'C3'"), ["Fp1", "O1"], scorer, 5, 2, 10, layout="ranges")
+    whole = files.read_edf_signals(spark, str(tmp_path), 3).where("channel <> 'C3'")
+    assert scores(fused) == scores(recording_scorer.score_recordings(whole, ["Fp1", "O1"], scorer, 5, 2, 10))
+
+
 def test_bucketed_signals_are_not_shuffled(spark, tmp_path):
     data = {f"r{i}": np.random.default_rng(i).normal(size=(3, 300)) * 30 for i in range(5)}
     table = blocks_of(spark, data, 50, 10)
