@@ -65,11 +65,6 @@ def worst_recordings(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return pair_arms(a, b).groupBy("recording_id").agg(d).orderBy(F.desc("largest"), "recording_id").limit(k)
 
 
-def content_fingerprint(files: DataFrame) -> DataFrame:
-    """SHA-256 of each file of a binaryFile table."""
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
-
-
 def patient_of(stem: Column) -> Column:
     return F.element_at(F.split(stem, "_"), 1)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigevents.config import DEFAULT as OP
 from sigevents.operators import comparison, recording_scorer, windows
+from sigevents.operators.fingerprint import content_fingerprint
 from sigevents.plans.queries import query, r6
 from sigevents.plans.signal_queries import SCORED_SQL, rms_scorer, scored_rows
 from sigevents.sources import driver_tables as T
@@ -113,8 +114,7 @@ def provenance(spark, d):
 def recordings_and_content(spark, d):
     """list_recordings and content_fingerprint over the given tables' own files."""
     found = files.list_recordings(spark, d, "*.parquet")
-    digests = comparison.content_fingerprint(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(d))
-    return found.join(digests, "path").select("recording_id", "size", "sha256")
+    return found.join(content_fingerprint(spark, d, "*.parquet"), "path").select("recording_id", "size", "sha256")
 
 
 def _edf(samples: np.ndarray) -> bytes:
