@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents in order of their ids, and what they hold of each row; null texts give an end id alone."""
     ship(spark)
-    return binary_tokens.token_table(docs, pieces=100_000)  # workers still hold what the stages before left
+    return binary_tokens.token_table(docs, pieces=100_000, text_bytes=2 << 20)  # executors still hold what the stages before left
 
 
 STAGES = [

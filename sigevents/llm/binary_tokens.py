@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigevents.llm.common import scratch_path, tidied
-from sigevents.llm.tokens import encoder
+from sigevents.llm.tokens import KEPT, encoder
 
 _HEAD = struct.Struct("<4sBIQI")
 _MAGIC = b"PLN1"
@@ -92,11 +92,11 @@ def unpack_chunk(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [d if k else None for d, k in zip(docs.tolist(), known, strict=True)], lengths, ids
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_ids: int = 1 << 18, block: int = 1 << 14, planes: str = "byte", pieces: int = 400_000) -> None:
+def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_ids: int = 1 << 18, block: int = 1 << 14, planes: str = "byte", pieces: int = 400_000, text_bytes: int = 4 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write chunks in ascending order of doc_id.
 
     Range partitioning by the id gives shards whose order is the order of ids; each shard is
-    streamed, so a task holds a slice of texts, one chunk, and the ids of ``pieces`` pieces it has seen.
+    streamed, so a task holds ``text_bytes`` of texts, one chunk, and the ids of ``pieces`` pieces it has seen.
     """
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, ch
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(tidied(shard), CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidied(shard, text_bytes, KEPT), CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from sigevents.llm.common import kept
+
 #: Characters that never join a letter in one piece; the apostrophe does (contractions).
 _TAIL = ".,;:!?%*$#&()[]{}\"/\\-+=_<>|~^@"
 #: Letters whatever the version of Unicode; other pieces are looked at one by one.
@@ -187,11 +189,13 @@ class WordEncoder:
         return ragged(flat, (np.cumsum(size) - size)[entry], n), np.add.reduceat(n, begin)
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+#: The kind of tasks that keep encoders.
+KEPT = "word encoders"
 
 
 def encoder(name: str, limit: int = 400_000) -> WordEncoder:
-    """One encoder per Python worker, kept from task to task."""
-    if (name, limit) not in _encoders:
-        _encoders[name, limit] = WordEncoder(name, limit)
-    return _encoders[name, limit]
+    """One encoder per Python worker, kept from task to task of those that ``tidied`` knows to keep ``KEPT``."""
+    held = kept(KEPT)
+    if (name, limit) not in held:
+        held[name, limit] = WordEncoder(name, limit)
+    return held[name, limit]
