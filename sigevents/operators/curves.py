@@ -5,7 +5,8 @@ goes to both, so at most two rows a window are shuffled, and a long recording is
 
 In a stretch, the windows' begins and ends are swept in order of time. Windows of one length that cover a
 moment are neighbours in this order, so mean and maximum of what covers each piece between two boundaries
-are reductions over ranges; the sum is never a difference of larger ones.
+are reductions over ranges; the sum is never a difference of larger ones. For events the stretches of many
+recordings are swept in one go.
 
 Runs are nested: a piece that is above a threshold is above all lower ones. So with thresholds in order
 each piece has a level, the number of thresholds it reaches; where the level rises from i to k, runs begin
@@ -82,6 +83,24 @@ def pieces(lo: np.ndarray, hi: np.ndarray, begin: float, end: float) -> tuple[np
     return edges, np.searchsorted(hi, edges[:-1], "right"), np.searchsorted(lo, edges[:-1], "right")
 
 
+def pieces_of_many(of: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``pieces`` of many stretches at once: each piece's stretch, its bounds, and the range of windows that cover it.
+
+    ``of``: each window's stretch, in order. A stretch and a time are one whole number, the stretch's and
+    the time's place among all times, so nothing is added to a time.
+    """
+    k = np.arange(len(begin))
+    times, place = np.unique(np.concatenate([begin, end, lo, hi]), return_inverse=True)
+    key = np.concatenate([k, k, of, of]) * len(times) + place
+    first_edge, last_edge, lo_key, hi_key = np.split(key, [len(k), 2 * len(k), 2 * len(k) + len(of)])
+    edges = np.unique(key)
+    stretch = edges // len(times)
+    edges = edges[(edges >= first_edge[stretch]) & (edges <= last_edge[stretch])]
+    stretch, time = np.divmod(edges, len(times))
+    at = np.flatnonzero(stretch[1:] == stretch[:-1])
+    return stretch[at], times[time[at]], times[time[at + 1]], np.searchsorted(hi_key, edges[at], "right"), np.searchsorted(lo_key, edges[at], "right")
+
+
 def reduced(ufunc: np.ufunc, p: np.ndarray, first: np.ndarray, last: np.ndarray, none: float) -> np.ndarray:
     """``ufunc`` over the ranges [first, last) of ``p``; ``none`` for empty ones."""
     out, some = np.full(len(first), none), first < last
@@ -149,31 +168,36 @@ def range_maxima(p: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return of
 
 
-def nested_runs(edges: np.ndarray, value: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """threshold's place, first and end piece of every maximal run of pieces with value >= threshold; thresholds ascend. In order of threshold and time."""
+def nested_runs(stretch: np.ndarray, value: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """threshold's place, first and last piece of every maximal run of pieces of a stretch with value >= threshold; thresholds ascend. In order of stretch, threshold and time."""
     level = np.searchsorted(thresholds, value, "right")
-    before, after = np.r_[0, level[:-1]], np.r_[level[1:], 0]
+    other = stretch[1:] != stretch[:-1]
+    before, after = np.r_[0, np.where(other, 0, level[:-1])], np.r_[np.where(other, 0, level[1:]), 0]
 
     def spread(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = high - low
         which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         place = np.repeat(at, n)
-        order = np.lexsort((place, which))
+        order = np.lexsort((place, which, stretch[place]))
         return which[order], place[order]
 
     up, down = np.flatnonzero(level > before), np.flatnonzero(level > after)
     which, first = spread(up, before[up], level[up])
     _, last = spread(down, after[down], level[down])
-    return which, first, last + 1
+    return which, first, last
 
 
-def joined(which: np.ndarray, a: np.ndarray, b: np.ndarray, top: np.ndarray, gap: float) -> tuple[np.ndarray, ...]:
-    """Disjoint runs in order, with those of one threshold joined whose gap is less than ``gap``."""
+def joined(stretch: np.ndarray, which: np.ndarray, a: np.ndarray, b: np.ndarray, top: np.ndarray, gap: float) -> tuple[np.ndarray, ...]:
+    """Disjoint runs in order, with those of one stretch and threshold joined whose gap is less than ``gap``."""
     if not len(which):
-        return which, a, b, top
-    new = np.r_[True, (which[1:] != which[:-1]) | (a[1:] - b[:-1] >= gap)]
+        return stretch, which, a, b, top
+    new = np.r_[True, (stretch[1:] != stretch[:-1]) | (which[1:] != which[:-1]) | (a[1:] - b[:-1] >= gap)]
     at = np.flatnonzero(new)
-    return which[at], a[at], b[np.r_[at[1:] - 1, len(b) - 1]], np.maximum.reduceat(top, at)
+    return stretch[at], which[at], a[at], b[np.r_[at[1:] - 1, len(b) - 1]], np.maximum.reduceat(top, at)
+
+
+#: Windows, and stretches, that are swept in one go.
+SWEEP_WINDOWS, SWEEP_STRETCHES = 50_000, 5_000
 
 
 def threshold_events(windows: DataFrame, durations: DataFrame, thresholds: Sequence[float], seg: int, min_duration: float, gap: float, average: bool = True, shapes: Sequence[bool] = (True,), skip_policy: str = "zero", span_s: int = SPAN_S) -> DataFrame:
@@ -189,49 +213,48 @@ def threshold_events(windows: DataFrame, durations: DataFrame, thresholds: Seque
     sorted_ = np.array(sorted({float(t) for t in thresholds}))
     gaps = {shape: max(gap, TOUCH) if shape else TOUCH for shape in shapes}
 
-    def runs_of(span: int, duration: float | None, start: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        begin, end = float(span * span_s), float((span + 1) * span_s)
+    def runs_of(held: list[Group]) -> tuple[np.ndarray, ...]:
+        """stretch, threshold's place, begin, end and highest score of all runs of some stretches."""
+        begin = np.array([float(g[1] * span_s) for g in held])
+        start, p = (np.concatenate([g[k] for g in held]) for k in (3, 4))
+        of = np.repeat(np.arange(len(held)), [len(g[3]) for g in held])
         if average:
-            if duration is None:
-                return None
-            edges, value = curve(start, p, seg, begin, min(end, float(np.ceil(duration))), "mean")
-            value = top = value.astype(float)
+            end = np.minimum(begin + span_s, np.ceil([g[2] for g in held]))
+            stretch, a, b, first, last = pieces_of_many(of, np.floor(start), np.ceil(start + seg), begin, end)
+            value = top = (reduced(np.add, p, first, last, 0.0) / np.maximum(last - first, 1)).astype(np.float32).astype(float)
         else:
-            edges, first, last = pieces(start, start + seg, begin, end)
+            stretch, a, b, first, last = pieces_of_many(of, start, start + seg, begin, begin + span_s)
             value = reduced(np.maximum, p, first, last, -np.inf)
-            inside = (start < (-np.inf if duration is None else duration)) & (start + seg > 0)
+            duration = np.array([-np.inf if g[2] is None else g[2] for g in held])
+            inside = (start < duration[of]) & (start + seg > 0)
             top = value if inside.all() else reduced(np.maximum, np.where(inside, p, -np.inf), first, last, -np.inf)
-        which, first, last = nested_runs(edges, value, sorted_)
-        if not len(which):
-            return None
-        return which, edges[first], edges[last], range_maxima(top)(first, last)
+        which, first, last = nested_runs(stretch, value, sorted_)
+        return stretch[first], which, a[first], b[last], range_maxima(top)(first, last + 1) if len(which) else np.zeros(0)
+
+    def events(held: list[Group]) -> Iterator[pa.RecordBatch]:
+        found = runs_of(held)
+        keys, begins = pa.array([g[0][0] for g in held], arrow[0]), np.array([g[1] * span_s for g in held])
+        for shape, near in gaps.items():
+            stretch, which, a, b, top = joined(*found, near)
+            if shape:  # what may still be joined over an edge stays
+                begin = begins[stretch]
+                keep = (b - a >= min_duration) | (a - begin < near) | (begin + span_s - b < near)
+                stretch, which, a, b, top = (x[keep] for x in (stretch, which, a, b, top))
+            if len(which):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(stretch)), pa.array(sorted_[which]), pa.array(np.full(len(which), shape)), pa.array(a), pa.array(b), pa.array(top)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            n = [len(x[2]) for x in held]
-            keys = pa.array([x[0] for x in held], arrow[0]).take(pa.array(np.repeat(np.arange(len(held)), n)))
-            columns = [np.concatenate([x[k] for x in held]) for k in range(2, 6)]
-            shaped = np.repeat([x[1] for x in held], n)
-            return pa.RecordBatch.from_arrays([keys, pa.array(sorted_[columns[0]]), pa.array(shaped), *[pa.array(c) for c in columns[1:]]], names=names)
-
-        for key, span, duration, start, p in groups(batches, 1):
-            found = runs_of(span, duration, start, p)
-            if found is None:
+        held, n = [], 0
+        for group in groups(batches, 1):
+            if average and group[2] is None:
                 continue
-            for shape, near in gaps.items():
-                which, a, b, top = joined(*found, near)
-                if shape:  # what may still be joined over an edge stays
-                    keep = (b - a >= min_duration) | (a - span * span_s < near) | ((span + 1) * span_s - b < near)
-                    which, a, b, top = which[keep], a[keep], b[keep], top[keep]
-                if len(which):
-                    held.append((key[0], shape, which, a, b, top))
-            if len(held) > 500:
-                yield packed()
-                held = []
+            held.append(group)
+            n += len(group[3])
+            if n > SWEEP_WINDOWS or len(held) > SWEEP_STRETCHES:
+                yield from events(held)
+                held, n = [], 0
         if held:
-            yield packed()
+            yield from events(held)
 
     parts = dealt(windows, durations, seg, ["recording_id"], span_s, skip_policy).mapInArrow(run, f"recording_id {kind.simpleString()}, threshold double, shaped boolean, start_s double, stop_s double, prob double")
     key = ["recording_id", "threshold", "shaped"]

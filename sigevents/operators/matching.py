@@ -63,6 +63,8 @@ def greedy(preds: list[tuple], refs: list[tuple], tol: float) -> list[tuple]:
     """Predictions in time order claim the unclaimed reference within ``tol`` of greatest overlap,
     then least onset and offset error; near a claimed one only: duplicate; near none: false positive."""
     preds, refs = sorted(preds), sorted(refs)
+    if not refs:
+        return [("false_positive", a, b, None, None) for a, b in preds]
     free, out = set(range(len(refs))), []
     around = nearby(refs, tol, max((b - a for a, b in refs), default=0.0))
     for a, b in preds:
@@ -109,13 +111,13 @@ def by_chain(sides: DataFrame, by: Sequence[str], columns: Sequence[str], decide
     return dealt.mapInArrow(run, f"{head}, {schema}")
 
 
-def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame, cell_s: float = CHAIN_CELL_S) -> DataFrame:
-    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds to be scored.
+def match_events(preds: DataFrame, refs: DataFrame, tol: float, keys: DataFrame, cell_s: float = CHAIN_CELL_S, by: Sequence[str] = KEY) -> DataFrame:
+    """One row per prediction and per missed reference. ``keys``: the recordings and thresholds (``by``, which has recording_id) to be scored.
 
     Matching is decided inside chains of predictions and references that come within ``tol`` of each other, so the events of a long recording are dealt over many tasks.
     """
-    sides = preds.select(*KEY, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*KEY).join(refs, "recording_id").select(*KEY, F.lit(1).alias("side"), "start_s", "stop_s"))
-    return by_chain(chained(sides, KEY, tol, cell_s), KEY, ["start_s", "stop_s"], lambda a, b: greedy(a, b, tol), MATCHES)
+    sides = preds.select(*by, F.lit(0).alias("side"), "start_s", "stop_s").unionByName(keys.select(*by).join(refs, "recording_id").select(*by, F.lit(1).alias("side"), "start_s", "stop_s"))
+    return by_chain(chained(sides, by, tol, cell_s), by, ["start_s", "stop_s"], lambda a, b: greedy(a, b, tol), MATCHES)
 
 
 def proximity_hits(events: DataFrame, others: DataFrame, tol: float, by: tuple[str, ...] = ("recording_id",), cell_s: float | None = CELL_S) -> DataFrame:
@@ -180,12 +182,9 @@ def postprocessing_ablation(windows: DataFrame, durations: DataFrame, refs: Data
         name = {shape: config for config, (mean, shape) in ABLATION.items() if mean == average}
         runs.append(e.withColumn("config", F.when(F.col("shaped"), name[True]).otherwise(name[False])).drop("shaped"))
     preds = runs[0].unionByName(runs[1])
-    # the greedy match is per recording and threshold: a configuration is a part of the recording's name here
-    named = lambda d: d.withColumn("recording_id", F.struct("recording_id", "config"))
-    whole = F.explode(F.array(*map(F.lit, ABLATION))).alias("config")
-    of = named(threshold_table(keys.select("recording_id", whole), thresholds))
-    matches = match_events(named(preds), named(refs.select("*", whole)), op.tolerance, of)
-    counts = matches.groupBy(F.col("recording_id.config").alias("config"), "threshold").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("match", "hits"), ("miss", "misses"), ("false_positive", "false_positives"), ("duplicate", "duplicates"))])
+    of = threshold_table(keys.select("recording_id", F.explode(F.array(*map(F.lit, ABLATION))).alias("config")), thresholds)
+    matches = match_events(preds, refs, op.tolerance, of, by=[*KEY, "config"])
+    counts = matches.groupBy("config", "threshold").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("match", "hits"), ("miss", "misses"), ("false_positive", "false_positives"), ("duplicate", "duplicates"))])
     total = durations.join(keys, "recording_id", "left_semi").agg(F.sum("duration_s").alias("duration_s"))
     grid = windows.sparkSession.createDataFrame([(c, float(t)) for c in ABLATION for t in thresholds], "config string, threshold double")
     out = grid.join(counts, ["config", "threshold"], "left").fillna(0).join(F.broadcast(total))  # one row

@@ -264,3 +264,38 @@ def test_one_recording_over_many_tasks(spark):
             spark.conf.set(k, v)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(met) >= 8 and max(r["count"] for r in met) < sum(r["count"] for r in met) / 4
+
+
+def test_pieces_of_many_stretches_are_those_of_each():
+    r = np.random.default_rng(3)
+    begin = np.array([0.0, 100.0, 0.0, 200.0, 300.0])
+    end = np.array([100.0, 131.5, 40.0, 300.0, 400.0])
+    starts = [np.sort(b + r.integers(-20, 120, n) * r.choice([0.1, 1.0])) for b, n in zip(begin, (40, 25, 0, 1, 30), strict=True)]
+    of, start = np.repeat(np.arange(5), list(map(len, starts))), np.concatenate(starts)
+    got = curves.pieces_of_many(of, start, start + 12, begin, end)
+    before = 0
+    for k, s in enumerate(starts):
+        edges, first, last = curves.pieces(s, s + 12, begin[k], end[k])
+        mine = got[0] == k
+        for x, y in zip(got[1:], (edges[:-1], edges[1:], first + before, last + before), strict=True):
+            assert x[mine].tolist() == y.tolist()
+        before += len(s)
+
+
+def test_runs_end_where_their_stretch_ends():
+    stretch, value = np.array([0, 0, 1, 1, 1, 2]), np.array([0.2, 0.9, 0.9, 0.1, 0.6, 0.6])
+    which, first, last = curves.nested_runs(stretch, value, np.array([0.15, 0.5]))
+    assert list(zip(which.tolist(), first.tolist(), last.tolist(), strict=True)) == [(0, 0, 1), (1, 1, 1), (0, 2, 2), (0, 4, 4), (1, 2, 2), (1, 4, 4), (0, 5, 5), (1, 5, 5)]
+
+
+def test_matches_of_several_names_are_those_of_each(spark):
+    rows = [(1, 0.5, "x", 0.0, 10.0), (1, 0.5, "y", 40.0, 50.0), (1, 0.5, "y", 9.0, 19.0), (2, 0.5, "x", 0.0, 5.0)]
+    preds = spark.createDataFrame(rows, "recording_id long, threshold double, config string, start_s double, stop_s double")
+    refs = spark.createDataFrame([(1, 8.0, 18.0), (2, 90.0, 99.0)], "recording_id long, start_s double, stop_s double")
+    keys = spark.createDataFrame([(i, 0.5, c) for i in (1, 2) for c in "xy"], "recording_id long, threshold double, config string")
+    got = sorted(map(str, map(tuple, matching.match_events(preds, refs, 5.0, keys, by=["recording_id", "threshold", "config"]).collect())))
+    want = []
+    for c in "xy":
+        one = matching.match_events(preds.where(f"config = '{c}'").drop("config"), refs, 5.0, keys.where(f"config = '{c}'").drop("config"))
+        want += [str((*x[:2], c, *x[2:])) for x in map(tuple, one.collect())]
+    assert got == sorted(want)
