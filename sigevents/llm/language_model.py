@@ -24,21 +24,24 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigevents.llm.common import find_words, id_crc32, keyed, lower_ascii, stored, tidied
+from sigevents.llm.common import id_crc32, keyed, stored, tidied
+from sigevents.llm.tokens import ragged
 
 WINDOW, STRIDE = 32, 24
 WIDTH, GROUPS, MEMBERS = 32, 32, 32
 IDS = GROUPS * MEMBERS
+#: Numbers of a long array in one row.
+LANES = 32
 #: All rarer ids; the end (and start) of a text.
 RARE, END = IDS - 2, IDS - 1
 #: The end of a text among words; no word holds it.
@@ -66,6 +69,8 @@ class Attention:
         self.w = {k: (r.normal(0, WIDTH**-0.5, s) * (k[0] != "b") * (0.1 if k in "PO" else 1)).astype(np.float32) for k, s in shapes.items()}
         self.group, self.member = np.divmod(np.arange(IDS), MEMBERS)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        self.ones = np.ones(WINDOW, np.float32)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rooms": {}}
@@ -83,29 +88,39 @@ class Attention:
         self.rooms = {}
         self.qk = w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5)
         self.vo = w["V"] @ w["O"]
-        self.first = np.vstack([w["U"], w["b"]])
-        self.second = np.concatenate([w["Ug"], w["bg"][:, None]], 1)
-        # bounds of all scores, by norms: small ones need no largest one taken off before exp()
-        norm = lambda z: float(np.sqrt((z.astype(np.float64) ** 2).sum(-1).max()))
-        x = norm(w["E"]) + norm(w["P"])
-        y = x * (1 + norm(self.vo.T) * WIDTH**0.5) + 1
-        self.steep = not max(x * x * float(np.linalg.norm(self.qk, 2)), y * max(norm(self.first.T), norm(self.second.transpose(0, 2, 1)))) < 80
+        # scores of groups, then of the members of one group, from y and a one
+        self.out = np.concatenate([np.broadcast_to(np.vstack([w["U"], w["b"]]), (GROUPS, WIDTH + 1, GROUPS)), np.concatenate([w["Ug"], w["bg"][:, None]], 1)], 2)
+        # products with a matrix that lies transposed in memory cost thrice as much
+        self.qk_t, self.vo_t, self.out_t = (np.ascontiguousarray(z.swapaxes(-1, -2)) for z in (self.qk, self.vo, self.out[:, :WIDTH]))
+        # bounds of all scores, from all ids and places: small ones need no largest one taken off before exp()
+        most = lambda z: float(np.abs(z).max())
+        every = np.concatenate([w["U"], *w["Ug"]], 1)
+        asked = sum(most(w[i] @ self.qk @ w[j].T) for i in "EP" for j in "EP")
+        told = most(self.out[:, WIDTH]) + sum(most(w[k] @ every) + most(w[k] @ (self.vo @ every)) for k in "EP")
+        self.steep = not max(asked, told) < 80
         return self
 
-    def attend(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x of windows ``c``, xQK', the weights of attention, and the mean of x under them."""
-        n = len(c)
+    def attend(self, c: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+        """x and x' of windows ``c``, with a row of -1 below; of their places from ``skip`` on xQK', the weights of attention, and the mean of x under them.
+
+        xQK' and weights are the first and second halves of arrays with room for two matrices a window.
+        """
+        n, places = len(c), WINDOW - skip
         x = np.take(self.w["E"], c, axis=0, out=self.room("x", n, WINDOW, WIDTH), mode="clip")
         x += self.w["P"]
-        q = self.room("q", n, WINDOW, WIDTH)
-        np.matmul(x.reshape(-1, WIDTH), self.qk, out=q.reshape(-1, WIDTH))
-        a = np.matmul(q, x.transpose(0, 2, 1), out=self.room("a", n, WINDOW, WINDOW))
-        a += self.mask
+        x_t = self.room("x'", n, WIDTH + 1, WINDOW)
+        x_t[:, :WIDTH], x_t[:, WIDTH] = x.transpose(0, 2, 1), -1
+        q = np.matmul(x[:, skip:], self.qk, out=self.room("q", n, 2 * places, WIDTH + 1)[:, :places, :WIDTH])
+        a = np.matmul(q, x_t[:, :WIDTH], out=self.room("a", n, 2 * places, WINDOW)[:, places:])
         if self.steep:
+            a += self.mask[skip:]
             a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        return x, q, a, np.matmul(a, x, out=self.room("mean", n, WINDOW, WIDTH))
+            np.exp(a, out=a)
+        else:
+            np.exp(a, out=a)
+            a *= self.seen[skip:]
+        a *= 1 / (a @ self.ones)[:, :, None]
+        return x, x_t, q, a, np.matmul(a, x, out=self.room("mean", n, places, WIDTH))
 
     def heads(self, x: np.ndarray, mean: np.ndarray, at: np.ndarray, t: np.ndarray) -> tuple:
         """For targets in order of their groups: that order, their places, the targets, y and a one, scores of groups and of members, each group's part."""
@@ -114,78 +129,84 @@ class Attention:
         cuts = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
         parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
         at, t = at[order], t[order]
-        some = np.take(mean.reshape(-1, WIDTH), at, axis=0, out=self.room("some", len(at), WIDTH), mode="clip")
-        moved = np.matmul(some, self.vo, out=self.room("moved", len(at), WIDTH))
-        moved += np.take(x.reshape(-1, WIDTH), at, axis=0, out=some, mode="clip")
+        moved = np.matmul(mean, self.vo, out=self.room("moved", *mean.shape))
+        moved += x
         y = self.room("y", len(at), WIDTH + 1)
-        y[:, :WIDTH], y[:, WIDTH] = moved, 1
-        groups = np.matmul(y, self.first, out=self.room("groups", len(at), GROUPS))
-        members = self.room("members", len(at), MEMBERS)
+        y[:, :WIDTH], y[:, WIDTH] = np.take(moved.reshape(-1, WIDTH), at, axis=0, out=self.room("some", len(at), WIDTH), mode="clip"), 1
+        scores = self.room("scores", len(at), GROUPS + MEMBERS)
         for k, rows in parts:
-            np.matmul(y[rows], self.second[k], out=members[rows])
-        return order, at, t, y, groups, members, parts
-
-    def log10(self, c: np.ndarray, t: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """log10 probability of targets ``t`` at the places ``scored`` of windows ``c``."""
-        x, _, _, mean = self.attend(c)
-        at = np.flatnonzero(scored)
-        order, _, t, _, groups, members, _ = self.heads(x, mean, at, t.ravel()[at])
+            np.matmul(y[rows], self.out[k], out=scores[rows])
+        if self.steep:
+            halves = scores.reshape(-1, 2, MEMBERS)
+            halves -= halves.max(2, keepdims=True)
+        return order, at, t, y, scores, parts
+
+    def summed(self, scores: np.ndarray) -> np.ndarray:
+        """The sums of exp() of the scores of groups and of members, which takes their place."""
+        np.exp(scores, out=scores)
+        return (scores.reshape(-1, MEMBERS) @ self.ones).reshape(-1, 2)
+
+    def log10(self, c: np.ndarray, t: np.ndarray, scored: np.ndarray, skip: int = 0) -> np.ndarray:
+        """log10 probability of targets ``t`` at the places ``scored`` of windows ``c``, all of them from ``skip`` on."""
+        x, _, _, _, mean = self.attend(c, skip)
+        at = np.flatnonzero(scored[:, skip:])
+        order, _, t, _, scores, _ = self.heads(x[:, skip:], mean, at, t[:, skip:].ravel()[at])
+        rows = np.arange(len(at))
+        hit = scores[rows, self.group[t]] + scores[rows, GROUPS + self.member[t]]
         out = np.empty(len(at), np.float32)
-        out[order] = _log_softmax(groups, self.group[t], self.steep) + _log_softmax(members, self.member[t], self.steep)
+        out[order] = hit - np.log(self.summed(scores)).sum(1)
         return out / np.float32(np.log(10))
 
     def gradient(self, c: np.ndarray, t: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
         """Gradient of the cross-entropy, summed over all targets, and their number; t is -1 where there is nothing to predict. After ``ready``."""
         w = self.w
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        x, q, a, mean = self.attend(c)
+        x, x_t, _, a, mean = self.attend(c)
         at = np.flatnonzero(t.ravel() >= 0)
-        _, at, target, y, pg, pm, parts = self.heads(x, mean, at, t.ravel()[at])
-        for p, of in ((pg, self.group), (pm, self.member)):
-            if self.steep:
-                p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), of[target]] -= 1
-        first, second = y.T @ pg, np.zeros_like(self.second)
-        some = np.matmul(pg, w["U"].T, out=self.room("moved", len(at), WIDTH))
+        _, at, target, y, p, parts = self.heads(x, mean, at, t.ravel()[at])
+        halves = p.reshape(-1, 2, MEMBERS)
+        halves *= 1 / self.summed(p)[:, :, None]
+        rows = np.arange(len(at))
+        p[rows, self.group[target]] -= 1
+        p[rows, GROUPS + self.member[target]] -= 1
+        out = np.zeros_like(self.out)
+        some = self.room("some", len(at), WIDTH)
         for k, rows in parts:
-            second[k] = y[rows].T @ pm[rows]
-            some[rows] += pm[rows] @ w["Ug"][k].T
+            np.matmul(y[rows].T, p[rows], out=out[k])
+            np.matmul(p[rows], self.out_t[k], out=some[rows])
         dy = self.room("dy", *x.shape)
-        dy[:] = 0
+        if len(at) < flat(dy).shape[0]:
+            dy[:] = 0
         flat(dy)[at] = some
         # y = x + mean VO, mean = a x, a = softmax(xQK'x')
         dvo = flat(mean).T @ flat(dy)
-        dmean = self.room("dmean", *x.shape)
-        np.matmul(flat(dy), self.vo.T, out=flat(dmean))
-        ds = np.matmul(dmean, x.transpose(0, 2, 1), out=self.room("ds", *a.shape))
+        sides, weights = self.room("q", len(c), 2 * WINDOW, WIDTH + 1), self.room("a", len(c), 2 * WINDOW, WINDOW)  # q and dmean, ds and a
+        dmean, ds = sides[:, WINDOW:, :WIDTH], weights[:, :WINDOW]
+        np.matmul(dy, self.vo_t, out=dmean)
+        np.einsum("nij,nij->ni", dmean, mean, out=sides[:, WINDOW:, WIDTH])  # what the row of -1 takes off
+        np.matmul(sides[:, WINDOW:], x_t, out=ds)
         ds *= a
-        ds -= np.multiply(a, ds.sum(2, keepdims=True), out=self.room("shift", *a.shape))
         more = np.matmul(ds, x, out=self.room("more", *x.shape))
         dqk = flat(x).T @ flat(more) * np.float32(WIDTH**-0.5)
-        dx = dy
-        flat(dx)[:] += flat(more) @ self.qk.T
-        dx += np.matmul(ds.transpose(0, 2, 1), q, out=more)
-        dx += np.matmul(a.transpose(0, 2, 1), dmean, out=more)
-        ids = c.ravel().astype(np.uint16)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        de = np.zeros_like(w["E"])
-        de[ids[begin]] = np.add.reduceat(np.take(flat(dx), order, axis=0, out=flat(more), mode="clip"), begin, 0)
-        g = {"E": de, "P": dx.sum(0), "Q": dqk @ w["K"], "K": dqk.T @ w["Q"], "V": dvo @ w["O"].T, "O": w["V"].T @ dvo}
+        dx = np.matmul(weights.transpose(0, 2, 1), sides[:, :, :WIDTH], out=self.room("dx", *x.shape))
+        dx += dy
+        dx += np.matmul(more, self.qk_t, out=dy)
+        # sums of dx by id: by its upper bits in order, by its lower bits as a product
+        upper, lower = np.divmod(c.ravel().astype(np.uint16), np.uint16(MEMBERS))
+        order = np.argsort(upper.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(upper[order], np.arange(GROUPS + 1)).tolist()
+        ranked = np.take(flat(dx), order, axis=0, out=flat(more), mode="clip")
+        ones = flat(dy)
+        ones[:] = 0
+        ones[np.arange(len(order)), lower[order]] = 1
+        de = np.zeros((GROUPS, MEMBERS, WIDTH), np.float32)
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            np.matmul(ones[i:j].T, ranked[i:j], out=de[k])
+        g = {"E": de.reshape(IDS, WIDTH), "P": dx.sum(0), "Q": dqk @ w["K"], "K": dqk.T @ w["Q"], "V": dvo @ w["O"].T, "O": w["V"].T @ dvo}
+        first, second = out[:, :, :GROUPS].sum(0), out[:, :, GROUPS:]
         return g | {"U": first[:WIDTH], "b": first[WIDTH], "Ug": second[:, :WIDTH], "bg": second[:, WIDTH]}, len(at)
 
 
-def _log_softmax(z: np.ndarray, t: np.ndarray, steep: bool = True) -> np.ndarray:
-    """Log probability of each row's target."""
-    if steep:
-        z -= z.max(1, keepdims=True)
-    hit = z[np.arange(len(z)), t]
-    return hit - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
-
-
 class Adam:
     """Adam on the weights of a network; the rate rises over the first tenth of the steps and falls to a tenth."""
 
@@ -216,40 +237,113 @@ def score_ids(ids: list[bytes], model: dict, batch: int = 256) -> np.ndarray:
     lengths = np.array([len(x) // 2 + 1 for x in ids])
     flat = np.frombuffer(b"\0\0".join(ids) + b"\0\0", "<u2")
     ends = np.cumsum(lengths) - 1
-    target = own_id[flat]
+    target = own_id.astype(np.int16)[flat]
     target[ends] = END
-    given = np.r_[END, target[:-1]]  # after a text's end the next one starts
+    target = np.append(target, np.full(WINDOW, END, np.int16))  # the last windows end there
+    given = np.append(np.int16(END), target[:-1])  # after a text's end the next one starts
+    given, target = (np.lib.stride_tricks.sliding_window_view(x, WINDOW) for x in (given, target))
     own = inside[flat]
     own[ends] = 0.0
     starts = ends - lengths + 1
     out = np.add.reduceat(own, starts)
     seq, first, skip = windows(lengths)
     place = np.arange(WINDOW)
-    for b in range(0, len(seq), batch):
-        s, f = seq[b : b + batch], first[b : b + batch]
-        scored = (place >= skip[b : b + batch, None]) & (f[:, None] + place < lengths[s][:, None])
-        at = np.minimum(starts[s][:, None] + f[:, None] + place, len(target) - 1)
-        got = net.log10(given[at], target[at], scored)
-        out += np.bincount(np.repeat(s, scored.sum(1)), got, len(out))
+    for none in (0, WINDOW - STRIDE):  # a text's first window, of which no place is skipped, and its other ones
+        some = np.flatnonzero(skip == none)
+        for b in range(0, len(some), batch):
+            s, f = seq[some[b : b + batch]], first[some[b : b + batch]]
+            scored = (place >= none) & (f[:, None] + place < lengths[s][:, None])
+            at = starts[s] + f
+            got = net.log10(given[at], target[at], scored, none)
+            out += np.bincount(np.repeat(s, scored.sum(1)), got, len(out))
     return out
 
 
+class PieceEncoder:
+    """Encodes many texts at once, each distinct piece of them once.
+
+    The pattern cuts at every single space between two characters that are not white space. Texts with
+    other white space beside a space are encoded whole.
+    """
+
+    def __init__(self, enc: tiktoken.Encoding):
+        self.enc = enc
+        self.n_bytes = np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.enc.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+
+    def _spaced(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words that follow a space: some thousand in one call, cut where each word's bytes end."""
+        flat, size = [], []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = self._ids(" " + " ".join(part))
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            flat.append(ids)
+            size.append(np.diff(ends, prepend=0))
+        return flat, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none of them null), one after the other, 16 bits each, and each one's number of ids."""
+        pieces = pc.split_pattern(texts, " ")
+        begin = pieces.offsets.to_numpy()[:-1].astype(np.int64) - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        entry, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        flat, size = self._spaced([w for w, other in zip(words, odd.tolist(), strict=True) if not other])
+        # entries: words after a space, first words of texts, texts encoded whole
+        entry_of = np.cumsum(~odd) - 1
+        whole = np.logical_or.reduceat(odd[entry], begin)
+        alone = [self._ids(words[i]) for i in entry[begin[~whole]].tolist()] + [self._ids(t) for t in texts.filter(pa.array(whole)).to_pylist()]
+        size = np.concatenate([*size, np.fromiter(map(len, alone), np.int64, len(alone))])
+        flat = np.concatenate([*flat, *alone])
+        n_words = len(words) - int(odd.sum())
+        entry = entry_of[entry]
+        entry[begin[~whole]] = n_words + np.arange((~whole).sum())
+        n = size[entry]
+        n[np.repeat(whole, np.diff(np.append(begin, len(entry))))] = 0
+        entry[begin[whole]] = n_words + (~whole).sum() + np.arange(whole.sum())
+        n[begin[whole]] = size[entry[begin[whole]]]
+        return ragged(flat, (np.cumsum(size) - size)[entry], n), np.add.reduceat(n, begin)
+
+
 def encoded(docs: DataFrame, learn: Column, tokenizer: str) -> DataFrame:
     """_row, learn, ids: the subword ids of each whole text, 16 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = PieceEncoder(encoding(tokenizer))
         for batch in batches:
-            ids = [enc.encode_to_numpy(lower_ascii(t), disallowed_special=()).astype("<u2").tobytes() if t else b"" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("learn"), pa.array(ids, pa.binary())], names=["_row", "learn", "ids"])
+            if not batch.num_rows:
+                continue
+            ids, size = enc.encode(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+            ends = pa.py_buffer((2 * np.append(0, np.cumsum(size))).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("learn"), ids], names=["_row", "learn", "ids"])
 
-    return docs.select("_row", learn.alias("learn"), "text").mapInArrow(tidied(run), "_row long, learn boolean, ids binary")
+    return docs.select("_row", learn.alias("learn"), "text").mapInArrow(tidied(run, most=8 << 20), "_row long, learn boolean, ids binary")
 
 
-def _summed(rows: DataFrame, count, size: int) -> np.ndarray:
-    """Sums over tasks of an array of ``size`` numbers, which ``count`` gives for a list of sequences; at most ``size`` rows come to the driver."""
+def _summed(rows: DataFrame, column: str, size: int, task: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """Sums over tasks of arrays of ``size`` whole numbers that ``task`` gives for its part of a column; ``LANES`` of them a row, at most ``size`` come to the driver."""
+    lanes, n = [f"g{k}" for k in range(LANES)], -(-size // LANES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((n, LANES), np.int64)
+        held.reshape(-1)[:size] = task(batches)
+        seen = np.flatnonzero(held.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(held[seen].T))], names=["i", *lanes])
+
+    got = rows.select(column).mapInArrow(tidied(run), ", ".join(f"{k} long" for k in ["i", *lanes])).groupBy("i").agg(*(F.sum(k).alias(k) for k in lanes)).toArrow()
+    out = np.zeros((n, LANES))
+    out[got.column("i").to_numpy()] = np.stack([got.column(k).to_numpy() for k in lanes], 1)
+    return out.ravel()[:size]
+
+
+def _counted(rows: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
+    """Sums over a table of an array of ``size`` numbers, which ``count`` gives for a list of sequences."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         sums, held, n = np.zeros(size, np.int64), [], 0
         for batch in batches:
             for x in batch.column("ids"):
@@ -258,20 +352,14 @@ def _summed(rows: DataFrame, count, size: int) -> np.ndarray:
                 if n > 2_000_000:
                     sums += count(held)
                     held, n = [], 0
-        if held:
-            sums += count(held)
-        seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen], pa.int64())], names=["i", "n"])
+        return sums + count(held) if held else sums
 
-    got = rows.select("ids").mapInArrow(tidied(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return _summed(rows, "ids", size, task)
 
 
 def id_counts(rows: DataFrame) -> np.ndarray:
     """Number of each subword id in all sequences of a table."""
-    return _summed(rows, lambda held: np.bincount(np.concatenate(held), minlength=1 << 16), 1 << 16)
+    return _counted(rows, lambda held: np.bincount(np.concatenate(held), minlength=1 << 16), 1 << 16)
 
 
 def own_ids(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +379,7 @@ def pair_counts(rows: DataFrame, own: np.ndarray) -> np.ndarray:
         t = np.concatenate([np.append(shared.value[x], np.uint16(END)) for x in held]).astype(np.int64)
         return np.bincount(np.r_[END, t[:-1]] * IDS + t, minlength=IDS * IDS)
 
-    return _summed(rows, count, IDS * IDS).reshape(IDS, IDS)
+    return _counted(rows, count, IDS * IDS).reshape(IDS, IDS)
 
 
 def regrouped(pairs: np.ndarray) -> np.ndarray:
@@ -333,16 +421,17 @@ def start_from(net: Attention, pairs: np.ndarray) -> None:
 #: In packed windows: nothing to predict.
 NOTHING = 65535
 #: Windows that one task adds up in one step; a step of fewer than eight such tasks has up to eight smaller ones.
-TASK_WINDOWS = 4096
+TASK_WINDOWS = 16_384
 #: Gradients are summed as whole numbers of this part, so that their sum does not depend on the order of tasks.
 GRAIN = 2.0**24
 
 
-def training_windows(rows: DataFrame, own: np.ndarray, steps: int, one_in: int) -> DataFrame:
+def training_windows(rows: DataFrame, own: np.ndarray, steps: int, one_in: int, parts: int | None = None) -> DataFrame:
     """step, part, windows: one in ``one_in`` of the windows of ``WINDOW`` targets, after the id before them, into which all sequences are cut.
 
     A text's windows are dealt in turn from a place given by its checksum, so that each step has
-    windows from all parts of the texts.
+    windows from all parts of the texts. With a number of ``parts`` of a step, windows of many texts that
+    go to the same part are one row; without, each is a row.
     """
     shared = rows.sparkSession.sparkContext.broadcast(own.astype("<u2"))
 
@@ -369,46 +458,50 @@ def training_windows(rows: DataFrame, own: np.ndarray, steps: int, one_in: int)
         flat = shared.value[np.frombuffer(b"\0\0".join(ids) + b"\0\0", "<u2")]
         ends = np.cumsum(lengths)
         flat[ends - 1] = END
-        place = nth[:, None] * WINDOW + np.arange(-1, WINDOW)
-        rows = flat[np.clip((ends - lengths)[text][:, None] + place, 0, len(flat) - 1)]
-        rows[nth == 0, 0] = END
-        rows[place >= lengths[text][:, None]] = NOTHING
-        offsets = pa.py_buffer((np.arange(len(rows) + 1) * 2 * (WINDOW + 1)).astype(np.int32))
-        binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows, "<u2"))])
-        return pa.RecordBatch.from_arrays([pa.array(turn // one_in % steps, pa.int32()), pa.array(turn // one_in // steps, pa.int64()), binary], names=["step", "part", "windows"])
+        flat = np.concatenate([flat[-1:], flat, np.full(WINDOW, NOTHING, flat.dtype)])  # an end goes before each text
+        rows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW + 1)[(ends - lengths)[text] + nth * WINDOW]
+        last = np.flatnonzero(nth == count[text] - 1)
+        rows[last] = np.where(nth[last, None] * WINDOW + np.arange(-1, WINDOW) < lengths[text[last], None], rows[last], NOTHING)
+        step, part = turn // one_in % steps, turn // one_in // steps
+        begin = np.arange(len(rows))
+        if parts:
+            key = part % parts * steps + step
+            order = np.argsort(key, kind="stable")
+            rows, key = rows[order], key[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            step, part = key[begin] % steps, key[begin] // steps
+        offsets = pa.py_buffer((np.append(begin, len(rows)) * 2 * (WINDOW + 1)).astype(np.int32))
+        binary = pa.Array.from_buffers(pa.binary(), len(begin), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows, "<u2"))])
+        return pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(part, pa.int64()), binary], names=["step", "part", "windows"])
 
     return rows.select("ids").mapInArrow(tidied(cut), "step int, part long, windows binary")
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids before each target, and targets (-1 for none), of packed windows."""
-    rows = np.frombuffer(raw, "<u2").reshape(-1, WINDOW + 1).astype(np.int64)
-    return np.where(rows[:, :-1] == NOTHING, END, rows[:, :-1]), np.where(rows[:, 1:] == NOTHING, -1, rows[:, 1:])
+    rows = np.frombuffer(raw, "<i2").reshape(-1, WINDOW + 1)  # NOTHING is read as -1
+    return np.where(rows[:, :-1] < 0, np.int16(END), rows[:, :-1]), rows[:, 1:]
 
 
 def summed_gradient(rows: DataFrame, net: Attention) -> tuple[dict[str, np.ndarray], int]:
     """Gradient over all windows of a table: summed in the tasks, then on Spark; one number for each weight comes to the driver."""
     shapes = {k: v.shape for k, v in net.w.items()}
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])
+    net.ready()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        net.ready()
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total, n = np.zeros(cuts[-1]), 0
         for batch in batches:
             c, t = unpacked(b"".join(batch.column("windows").to_pylist()))
             for b in range(0, len(c), 256):
                 g, some = net.gradient(c[b : b + 256], t[b : b + 256])
-                g = np.concatenate([g[k].ravel() for k in shapes])
-                total, n = (g.astype(np.float64) if total is None else total + g), n + some
-        if n:
-            whole = np.r_[np.rint(total * GRAIN).astype(np.int64), n]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(whole)), pa.int32()), pa.array(whole)], names=["i", "g"])
+                total += np.concatenate([g[k].ravel() for k in shapes])
+                n += some
+        return np.append(np.rint(total * GRAIN).astype(np.int64), n)
 
-    got = rows.select("windows").mapInArrow(tidied(add), "i int, g long").groupBy("i").agg(F.sum("g").alias("g")).toArrow()
-    if not got.num_rows:
+    whole = _summed(rows, "windows", int(cuts[-1]) + 1, add)
+    if not whole[-1]:
         return {}, 0
-    whole = np.zeros(got.num_rows)
-    whole[got.column("i").to_numpy()] = got.column("g").to_numpy()
-    cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])
     return {k: g.reshape(s) / GRAIN for (k, s), g in zip(shapes.items(), np.split(whole[:-1], cuts[:-1]), strict=True)}, int(whole[-1])
 
 
@@ -424,8 +517,7 @@ def train(rows: DataFrame, steps: int = 48, one_in: int = 1) -> dict:
     # windows in all, from the number of ids; a text has one that is not full
     tasks = pairs.sum() / WINDOW / one_in / steps / TASK_WINDOWS
     parts = int(np.ceil(max(tasks, min(8, 8 * tasks))))
-    dealt = training_windows(rows, own, steps, one_in).withColumn("part", F.pmod("part", F.lit(parts)))
-    path = stored(dealt.repartition("step", "part"), "windows", "step")
+    path = stored(training_windows(rows, own, steps, one_in, parts).repartition("step", "part"), "windows", "step")
     adam = Adam(net, steps)
     for step in range(steps):
         g, n = summed_gradient(path.where(F.col("step") == step), net)
@@ -434,25 +526,30 @@ def train(rows: DataFrame, steps: int = 48, one_in: int = 1) -> dict:
     return {"net": net.ready(), "own": own, "inside": inside}
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Lower-case (A-Z) words between white space of ASCII; an empty one before white space that begins a text and after such that ends it, and in one that is null or empty."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all rows of ``docs``; END_WORD counts the rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        held = []
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if t:
-                    seen.update(find_words(lower_ascii(t)))
-                seen[END_WORD] += 1
-                if len(seen) > 400_000:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+            seen = split_words(batch.column("text")).flatten().value_counts()
+            held.append(pa.table({"word": seen.field("values"), "n": seen.field("counts")}).filter(pc.field("word") != ""))
+            held.append(pa.table({"word": [END_WORD], "n": pa.array([batch.num_rows], pa.int64())}))
+            if sum(map(len, held)) > 400_000:
+                held = [summed()]
+                if len(held[0]) > 200_000:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return docs.select("text").mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -478,17 +575,21 @@ def base_scores(docs: DataFrame, counts: DataFrame, top_words: int) -> tuple[Dat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: float(np.log10(c + 1)) - bottom for w, c in shared.value.items()}
-        get = logs.get
         for batch in batches:
-            length, known, base, rare = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                words = find_words(lower_ascii(t)) if t else []
-                got = [x for x in map(get, words) if x is not None]
-                length.append(len(words) + 1)
-                rare.append([w for w in words if w not in logs] if len(got) < len(words) else [])
-                known.append(len(got) + (END_WORD in logs))
-                base.append(sum(got) + get(END_WORD, -bottom))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.string()))], names=["_row", "doc_id", "n_tokens", "n_known", "base", "rare"])
+            if not batch.num_rows:
+                continue
+            lists = split_words(batch.column("text"))
+            begin = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            log = np.array([logs.get(w, np.nan) for w in words])
+            word, found = np.array([w != "" for w in words]), ~np.isnan(log)
+            total = lambda x: np.add.reduceat(x[which], begin)  # noqa: B023, E731
+            rest = (word & ~found)[which]
+            ends = np.append(0, np.cumsum(np.add.reduceat(rest.astype(np.int64), begin)))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.dictionary.take(coded.indices.filter(pa.array(rest))))
+            known, base = total(found.astype(np.int64)) + (END_WORD in logs), total(np.where(found, log, 0.0)) + logs.get(END_WORD, -bottom)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(total(word.astype(np.int64)) + 1), pa.array(known), pa.array(base), rare], names=["_row", "doc_id", "n_tokens", "n_known", "base", "rare"])
 
     done = stored(docs.mapInArrow(tidied(score), "_row long, doc_id long, n_tokens long, n_known long, base double, rare array<string>"), "base")
     rare = done.select("_row", F.explode("rare").alias("word")).join(counts, "word", "left")

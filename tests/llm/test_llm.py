@@ -451,6 +451,47 @@ def test_training_takes_from_all_of_each_text(spark):
         assert (loss(name, at, 1e-2) - loss(name, at, -1e-2)) / 2e-2 == pytest.approx(sums[0][0][name].flat[at], rel=0.05)
 
 
+def test_equal_pieces_are_encoded_once():
+    """Ids are those of each whole text, whatever white space is in it; what repeats costs no more encoding."""
+    enc = language_model.encoding(TIK)
+    texts = ["", " ", "a", " a", "a ", "a  b", "don't stop 's", "x\n\ny z", "\u3000 a b", "a\u00a0 b c", "é e\u0301 z", "a\x1c b", "\n", "a\tb c\t d", '12 345 a1b2 ,.! "q" ', "日本 語 x", "the words of it " * 500 + "end"]
+    coder, given = language_model.PieceEncoder(enc), []
+    plain = coder._ids
+    coder._ids = lambda t: given.append(t) or plain(t)
+    ids, size = coder.encode(pa.array(texts))
+    each = [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    assert size.tolist() == [len(x) for x in each] and (ids == np.concatenate(each)).all()
+    assert sum(map(len, given)) < 500 < sum(map(len, texts))
+    assert [len(x) for x in coder.encode(pa.array([""] * 2))] == [0, 2]
+
+
+def test_words_are_split_at_ascii_white_space_alone():
+    texts = [*(f"A{chr(i)}b" for i in range(400)), None, "", "  A\u00a0B \x0b c\n", "\u0130\u212a X"]
+    got = [[w for w in x if w] for x in language_model.split_words(pa.array(texts, pa.string())).to_pylist()]
+    assert got == [find_words(lower_ascii(t or "")) for t in texts]
+
+
+def test_windows_of_a_part_are_one_row_and_small_scores_need_no_maximum(spark):
+    texts = [" ".join(f"w{i % 90}" for i in range(3000)), "one two", "", "one two"]
+    ids, _, _, m = trained(texts)
+    assert not m["net"].steep  # by the largest scores that ids can have; norms alone give a larger bound
+    table = spark.createDataFrame([(x.tobytes(),) for x in ids], "ids binary").repartition(2)
+    one, many = (language_model.training_windows(table, m["own"], 7, 1, *parts).collect() for parts in ((), (3,)))
+    cells = [Counter((r.step, r.part % 3, bytes(r.windows[i : i + 66])) for r in rows for i in range(0, len(r.windows), 66)) for rows in (one, many)]
+    assert cells[0] == cells[1] and len(many) <= 2 * 7 * 3 < len(one)
+    given, target = language_model.unpacked(b"".join(bytes(r.windows) for r in one))
+    grads, logs = [], []
+    for steep in (False, True):
+        m["net"].steep = steep
+        grads.append(m["net"].gradient(given, target)[0])
+        logs.append(m["net"].log10(given, np.maximum(target, 0), target >= 0))
+    assert np.allclose(*logs, atol=1e-5)
+    for k, g in grads[0].items():
+        assert np.allclose(g, grads[1][k], atol=1e-4 * np.abs(g).max())
+    late = (target >= 0) & (np.arange(32) >= 8)
+    assert np.allclose(*(m["net"].log10(given, np.maximum(target, 0), late, skip) for skip in (0, 8)), atol=1e-5)
+
+
 def test_urls_use_all_counts(spark):
     """Scores are the same however few words and tokens are broadcast; runs of letters are cut nowhere."""
     r = random.Random(6)
